@@ -69,26 +69,55 @@ def parse_lines(lines: DataFrame, names: list[str], spec: TableSpec) -> DataFram
     # `inline` makes the parsed fields plain columns, so that no later filter parses a line again.
     parsed = lines.select(LINE, FILE, POSITION, F.inline(F.array(_fields(line, count, spec, corrupt=True))))
     quotes = F.length(line) - F.length(F.replace(line, F.lit(spec.quote), F.lit("")))
-    suspect = F.col("_bad").isNotNull() | (quotes % 2 == 1)
-    marked = _fields(F.concat(line, F.lit(spec.delimiter + END_MARK)), count + 1, spec)
-    well_formed = F.coalesce(
-        F.exists(
-            F.array(marked),
-            lambda r: F.array_contains(F.array(*[r.getField(f"c{i}") for i in range(count + 1)]), END_MARK),
-        ),
-        F.lit(False),
-    )
-    reason = F.when(quotes % 2 == 1, F.lit(UNFINISHED)).otherwise(F.lit(TOO_MANY))
-    reject = F.when(suspect, F.when(~well_formed, reason))
-    return parsed.select(
-        *[F.nullif(F.col(f"c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)],
-        line.alias("_raw"),
-        FILE,
-        POSITION,
+    odd_quotes = quotes % 2 == 1
+    suspect = F.col("_bad").isNotNull() | odd_quotes
+    reason = F.when(odd_quotes, F.lit(UNFINISHED)).otherwise(F.lit(TOO_MANY))
+    reject = F.when(suspect, F.when(~_well_formed(line, count, spec), reason))
+    return parsed.select(*_named(names), line.alias("_raw"), FILE, POSITION, reject.alias(REJECT))
+
+
+def parse_multi_line(spark: SparkSession, names: list[str], spec: TableSpec) -> DataFrame:
+    """As ``parse_lines``, for records whose quoted fields span lines.
+
+    Files are then not split, so this is opt-in. Trailers are recognised by the first column.
+    """
+    if spec.header_rows > 1:
+        raise ValueError("multi_line supports one header row")
+    count = len(names)
+    fields = ", ".join([*[f"c{i} string" for i in range(count)], "_bad string"])
+    reader = spark.read.schema(fields).options(**csv_options(spec)).option("multiLine", True)
+    reader = reader.option("header", spec.header_rows > 0).option("encoding", spec.encoding)
+    records = reader.option("columnNameOfCorruptRecord", "_bad").csv(spec.path)
+    first = F.coalesce("c0", F.lit(""))
+    for pattern in spec.trailer_patterns:
+        records = records.filter(~first.startswith(pattern))
+    # Naming the first column here matters: Spark refuses to read the raw record alone.
+    suspect = F.col("_bad").isNotNull() & (first != END_MARK)
+    reject = F.when(suspect, F.when(~_well_formed(F.col("_bad"), count, spec), F.lit(TOO_MANY)))
+    return records.select(
+        *_named(names),
+        F.col("_bad").alias("_raw"),
+        F.col("_metadata.file_path").alias(FILE),
+        F.monotonically_increasing_id().alias(POSITION),
         reject.alias(REJECT),
     )
 
 
+def _named(names: list[str]) -> list[Column]:
+    """The parsed fields under their names; an empty field is null, quoted or not."""
+    return [F.nullif(F.col(f"c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)]
+
+
+def _well_formed(line: Column, count: int, spec: TableSpec) -> Column:
+    """True when the end mark added to a line comes out as a field of its own, not too far right."""
+    marked = _fields(F.concat(line, F.lit(spec.delimiter + END_MARK)), count + 1, spec)
+    found = F.exists(
+        F.array(marked),
+        lambda r: F.array_contains(F.array(*[r.getField(f"c{i}") for i in range(count + 1)]), END_MARK),
+    )
+    return F.coalesce(found, F.lit(False))
+
+
 def good_rows(parsed: DataFrame, names: list[str]) -> DataFrame:
     return parsed.filter(F.col(REJECT).isNull()).select(*[ref(n) for n in names])
 
@@ -100,14 +129,3 @@ def rejected_rows(parsed: DataFrame) -> DataFrame:
         F.col(REJECT).alias("error_type"),
         F.col("_raw").alias("csv_line"),
     )
-
-
-def read_multi_line(spark: SparkSession, spec: TableSpec, names: list[str]) -> DataFrame:
-    """Records whose quoted fields span lines; files are then not split, so this is opt-in."""
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, REJECT]])
-    reader = spark.read.schema(schema).options(**csv_options(spec)).option("multiLine", True)
-    reader = reader.option("header", spec.header_rows > 0).option("encoding", spec.encoding)
-    rows = reader.option("columnNameOfCorruptRecord", REJECT).csv(spec.path)
-    for pattern in spec.trailer_patterns:
-        rows = rows.filter(~F.coalesce(ref(names[0]), F.lit("")).startswith(pattern))
-    return rows

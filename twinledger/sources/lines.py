@@ -36,8 +36,10 @@ BROADCAST_FILES = 200_000
 def _decoded(value: Column, encoding: str) -> Column:
     """Text from bytes that the text reader passed through unchanged."""
     codec = codecs.lookup(encoding).name
-    if codec in ("utf-8", "utf-8-sig"):
+    if codec == "utf-8":
         return value
+    if codec == "utf-8-sig":
+        return F.regexp_replace(value, "^\ufeff", "")
     raw = value.cast("binary")
     charset = SPARK_CHARSETS.get(codec) or WIDE_CHARSETS.get(codec)
     if charset:
@@ -127,7 +129,7 @@ def _without_header(spark: SparkSession, spec: TableSpec) -> DataFrame:
     files = len(spark.read.text(spec.path).inputFiles())
     if files <= 1:
         return lines.filter(F.col(POSITION) >= n)
-    if n == 1 and codecs.lookup(spec.encoding).name in ("utf-8", "utf-8-sig"):
+    if n == 1 and codecs.lookup(spec.encoding).name == "utf-8":
         reader = spark.read.schema("value string").option("header", True).option("sep", NO_SEPARATOR)
         return reader.option("quote", "").csv(spec.path).select(
             F.col("value").alias(LINE),

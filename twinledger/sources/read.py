@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinledger.functions.names import distinct_names, ref, with_clean_names
+from twinledger.functions.names import distinct_names, with_clean_names
 from twinledger.sources import delimited
 from twinledger.sources.fixed_width import read_fixed_width
 from twinledger.sources.lines import (
@@ -33,15 +33,19 @@ class LoadedTable:
     rejects: DataFrame
     headers: DataFrame
     trailers: DataFrame
-    header_text: list[str] = field(default_factory=list)
+    parsed: DataFrame | None = None
 
     def rejects_sample(self, n: int = REJECT_CAP) -> DataFrame:
         """The first ``n`` rejected lines in file order."""
         return self.rejects.orderBy("file", "position").limit(n)
 
     @property
-    def reject_count(self) -> DataFrame:
-        return self.rejects.agg(F.count(F.lit(1)).alias("reject_count"))
+    def counts(self) -> DataFrame:
+        """One row: good rows and rejected lines, from a single scan."""
+        if self.parsed is not None:
+            bad = F.col(delimited.REJECT).isNotNull()
+            return self.parsed.agg(F.count_if(~bad).alias("row_count"), F.count_if(bad).alias("reject_count"))
+        return self.rows.agg(F.count(F.lit(1)).alias("row_count"), F.lit(0).cast("bigint").alias("reject_count"))
 
 
 def read_table(spark: SparkSession, spec: TableSpec) -> LoadedTable:
@@ -52,7 +56,7 @@ def read_table(spark: SparkSession, spec: TableSpec) -> LoadedTable:
         return LoadedTable(spec, with_clean_names(spark.read.parquet(spec.path)), no_rejects, no_lines, no_lines)
 
     headers = header_lines(spark, spec)
-    edges = (header_frame(spark, headers), trailer_frame(spark, spec), headers)
+    edges = (header_frame(spark, headers), trailer_frame(spark, spec))
     if spec.is_fixed_width:
         return LoadedTable(spec, read_fixed_width(spark, spec, headers), no_rejects, *edges)
 
@@ -61,20 +65,11 @@ def read_table(spark: SparkSession, spec: TableSpec) -> LoadedTable:
         empty = spark.createDataFrame([], "column0 string")
         return LoadedTable(spec, empty, no_rejects, *edges)
     if spec.multi_line:
-        records = delimited.read_multi_line(spark, spec, names)
-        bad = F.col(delimited.REJECT).isNotNull()
-        rows = records.filter(~bad).select(*[ref(n) for n in names])
-        rejects = records.filter(bad).select(
-            F.col("_metadata.file_path").alias("file"),
-            F.monotonically_increasing_id().alias("position"),
-            F.lit("CAST").alias("error_type"),
-            F.col(delimited.REJECT).alias("csv_line"),
-        )
-        return LoadedTable(spec, rows, rejects, *edges)
-
-    parsed = delimited.parse_lines(data_lines(spark, spec), names, spec)
+        parsed = delimited.parse_multi_line(spark, names, spec)
+    else:
+        parsed = delimited.parse_lines(data_lines(spark, spec), names, spec)
     return LoadedTable(
-        spec, delimited.good_rows(parsed, names), delimited.rejected_rows(parsed), *edges
+        spec, delimited.good_rows(parsed, names), delimited.rejected_rows(parsed), *edges, parsed=parsed
     )
 
 
