@@ -5,9 +5,9 @@ from __future__ import annotations
 
 def all_queries() -> dict:
     """Name -> (query, SQL or None), over all groups."""
-    from twinledger.catalog import recon, rules
+    from twinledger.catalog import files, recon, rules
 
-    groups = (recon.QUERIES, rules.QUERIES)
+    groups = (recon.QUERIES, rules.QUERIES, files.QUERIES)
     out = {}
     for group in groups:
         repeated = out.keys() & group.keys()

@@ -9,23 +9,22 @@ from twinledger.functions.chardiff import CHAR_DIFF_TYPE, char_diff
 from twinledger.operators.reconcile import MISSING_IN_SOURCE, MISSING_IN_TARGET
 
 
-def number_lines(lines: DataFrame, position: str = "_pos") -> DataFrame:
-    """Number rows 1..n in the order of ``position`` without gathering them in one task.
+def number_lines(lines: DataFrame, chunk: tuple[str, ...] = ("_file", "_block"), position: str = "_pos") -> DataFrame:
+    """Number lines 1..n in file order without gathering them in one task.
 
-    ``position`` is a monotonically increasing id, whose upper bits are the partition. Rows are
-    ranked within their partition; the totals of the earlier partitions are added to that. The
-    table of totals has one row per input partition, whatever the number of lines.
+    ``chunk`` names the piece of a file that one task reads, and ``position`` grows within it.
+    Lines are ranked within their chunk; the totals of the earlier chunks are added to that. The
+    table of totals has one row per chunk, whatever the number of lines.
     """
-    parted = lines.withColumn("_part", F.shiftright(F.col(position), 33))
-    totals = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select("_part", F.coalesce(before, F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(position))
+    totals = lines.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*chunk, F.coalesce(before, F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy(*chunk).orderBy(position))
     return (
-        parted.withColumn("_rank", rank)
-        .join(offsets, "_part")
+        lines.withColumn("_rank", rank)
+        .join(offsets, list(chunk))
         .withColumn("line_number", F.col("_offset") + F.col("_rank"))
-        .drop("_part", "_rank", "_offset")
+        .drop("_rank", "_offset")
     )
 
 

@@ -35,7 +35,7 @@ def _open_member(content: bytes, codec: str):
 
 
 def read_archive_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
-    """All physical lines: value, _file, _line (from 1 within its file), _pos."""
+    """All physical lines: value, _file, _line (from 1 within its file), _block, _pos."""
     codec, encoding = spec.codec, spec.encoding
 
     def lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,4 +53,4 @@ def read_archive_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(spec.path).select("path", "content")
     lines = files.mapInPandas(lines_of, "value string, _file string, _line bigint")
-    return lines.withColumn("_pos", F.monotonically_increasing_id())
+    return lines.withColumn("_block", F.lit(0)).withColumn("_pos", F.monotonically_increasing_id())

@@ -18,7 +18,7 @@ from twinledger.operators.lines import number_lines
 from twinledger.sources.archives import read_archive_lines
 from twinledger.spec import TableSpec
 
-LINE, FILE, POSITION = "value", "_file", "_pos"
+LINE, FILE, BLOCK, POSITION = "value", "_file", "_block", "_pos"
 
 # Encodings that Spark decodes by itself, by their Python codec name.
 SPARK_CHARSETS = {"ascii": "US-ASCII", "iso8859-1": "ISO-8859-1"}
@@ -53,7 +53,7 @@ def _decoded(value: Column, encoding: str) -> Column:
 
 
 def raw_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
-    """All physical lines: value, _file, _pos."""
+    """All physical lines: value, _file, _block (where its split begins), _pos."""
     if not spec.opens_natively:
         return read_archive_lines(spark, spec)
     reader = spark.read
@@ -67,7 +67,7 @@ def raw_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
     return text.select(
         value.alias(LINE),
         F.col("_metadata.file_path").alias(FILE),
-        F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_block_start").alias(BLOCK),
         F.monotonically_increasing_id().alias(POSITION),
     )
 
@@ -96,7 +96,7 @@ def trailer_frame(spark: SparkSession, spec: TableSpec) -> DataFrame:
     if not spec.trailer_patterns:
         return spark.createDataFrame([], LINE_HEADS)
     found = raw_lines(spark, spec).filter(is_trailer(F.col(LINE), spec.trailer_patterns))
-    return number_lines(found.select(LINE, POSITION), POSITION).select(
+    return number_lines(found.select(LINE, FILE, BLOCK, POSITION)).select(
         F.col("line_number").cast("int"), F.col(LINE).alias("line")
     )
 
@@ -136,8 +136,8 @@ def _without_header(spark: SparkSession, spec: TableSpec) -> DataFrame:
             F.col("_metadata.file_path").alias(FILE),
             F.monotonically_increasing_id().alias(POSITION),
         )
-    starts = lines.filter(F.col("_block") == 0).groupBy(FILE).agg(F.min(POSITION).alias("_start"))
+    starts = lines.filter(F.col(BLOCK) == 0).groupBy(FILE).agg(F.min(POSITION).alias("_start"))
     if files <= BROADCAST_FILES:
         starts = F.broadcast(starts)
-    in_header = (F.col("_block") == 0) & (F.col(POSITION) < F.col("_start") + n)
+    in_header = (F.col(BLOCK) == 0) & (F.col(POSITION) < F.col("_start") + n)
     return lines.join(starts, FILE).filter(~in_header)
