@@ -18,8 +18,11 @@ from pyspark.sql import types as T
 from twinledger.functions.names import key_names, ref, with_clean_names
 from twinledger.functions.normalize import canonical_text
 
-N_SOURCE, N_TARGET = "_n_source", "_n_target"
-SOURCE, TARGET = "_source", "_target"
+N_SOURCE, N_TARGET = "__n_source", "__n_target"
+SOURCE, TARGET = "__source", "__target"
+
+# Names of result columns, which a key column may not take.
+RESERVED = {"validation_status", "mismatch", "mismatch_exact", "is_difference", "source_rows", "target_rows"}
 
 
 @dataclass(frozen=True)
@@ -104,6 +107,9 @@ def align(
         lacking = [k for k in key_list if k not in df.columns]
         if lacking:
             raise ValueError(f"key columns not in {side}: {', '.join(lacking)}")
+    taken = sorted(RESERVED.intersection(key_list))
+    if taken:
+        raise ValueError(f"key columns clash with result columns: {', '.join(taken)}")
     both = [c for c in source.columns if c in target.columns and c not in key_list]
     source_only = [c for c in source.columns if c not in target.columns]
     target_only = [c for c in target.columns if c not in source.columns]

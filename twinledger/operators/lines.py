@@ -9,7 +9,7 @@ from twinledger.functions.chardiff import CHAR_DIFF_TYPE, char_diff
 from twinledger.operators.reconcile import MISSING_IN_SOURCE, MISSING_IN_TARGET
 
 
-def number_lines(lines: DataFrame, chunk: tuple[str, ...] = ("_file", "_block"), position: str = "_pos") -> DataFrame:
+def number_lines(lines: DataFrame, chunk: tuple[str, ...] = ("__file", "__block"), position: str = "__pos") -> DataFrame:
     """Number lines 1..n in file order without gathering them in one task.
 
     ``chunk`` names the piece of a file that one task reads, and ``position`` grows within it.

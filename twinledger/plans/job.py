@@ -26,7 +26,9 @@ from twinledger.operators.reconcile import (
 )
 from twinledger.plans.history import HISTORY_SCHEMA, append_run
 from twinledger.plans.report import report_tables
-from twinledger.sources.read import LoadedTable, read_table
+from twinledger.plans.session import scratch_dir
+from twinledger.sources.read import LoadedTable
+from twinledger.sources.stage import stage_table
 from twinledger.spec import JobConfig
 
 META_SCHEMA = """
@@ -113,17 +115,20 @@ def _column_stats(spark: SparkSession, columns: list[str], compared: int, counts
 def run_recon_job(spark: SparkSession, config: JobConfig) -> StoredRun:
     """Run one comparison and store its tables below ``<output>/runs/<run id>``.
 
-    The compared data is shuffled once: that pass writes only the exceptions, and the summary and
-    column statistics follow from them and the two row counts. All that later steps read is
-    committed to storage, so a lost executor costs at most the tasks it was running.
+    Text is parsed once, into the shared scratch folder. The compared data is shuffled once: that
+    pass writes only the exceptions, and the summary and column statistics follow from them and the
+    two row counts. All that later steps read is committed to storage, so a lost executor costs at
+    most the tasks it was running.
     """
     began, started = time.time(), datetime.now(timezone.utc)
-    source, target = read_table(spark, config.source), read_table(spark, config.target)
     naming = spark.range(1).select(
         fmt.run_id(F.lit(config.job_name), F.lit(config.source.filename), F.lit(started)).alias("run_id")
     )
     run_id = naming.head()["run_id"]
     path = f"{config.output.rstrip('/')}/runs/{run_id}"
+    staging = f"{scratch_dir(spark)}/{run_id}"
+    source = stage_table(spark, config.source, f"{staging}/source")
+    target = stage_table(spark, config.target, f"{staging}/target")
 
     result = reconcile(spark, source.rows, target.rows, list(config.primary_keys), config.rules)
     result.exceptions.write.mode("overwrite").option("compression", "snappy").partitionBy(

@@ -35,7 +35,7 @@ def _open_member(content: bytes, codec: str):
 
 
 def read_archive_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
-    """All physical lines: value, _file, _line (from 1 within its file), _block, _pos."""
+    """All physical lines: value, file, line number (from 1 within its file), block, position."""
     codec, encoding = spec.codec, spec.encoding
 
     def lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,11 +46,11 @@ def read_archive_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
                     for line in text:
                         chunk.append(line.rstrip("\n"))
                         if len(chunk) == ROWS_PER_BATCH:
-                            yield pd.DataFrame({"value": chunk, "_file": path, "_line": range(first, first + len(chunk))})
+                            yield pd.DataFrame({"value": chunk, "__file": path, "__line": range(first, first + len(chunk))})
                             first, chunk = first + len(chunk), []
                     if chunk:
-                        yield pd.DataFrame({"value": chunk, "_file": path, "_line": range(first, first + len(chunk))})
+                        yield pd.DataFrame({"value": chunk, "__file": path, "__line": range(first, first + len(chunk))})
 
     files = spark.read.format("binaryFile").load(spec.path).select("path", "content")
-    lines = files.mapInPandas(lines_of, "value string, _file string, _line bigint")
-    return lines.withColumn("_block", F.lit(0)).withColumn("_pos", F.monotonically_increasing_id())
+    lines = files.mapInPandas(lines_of, "value string, __file string, __line bigint")
+    return lines.withColumn("__block", F.lit(0)).withColumn("__pos", F.monotonically_increasing_id())

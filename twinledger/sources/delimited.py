@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinledger.functions.names import distinct_names, ref
-from twinledger.sources.lines import FILE, LINE, POSITION
+from twinledger.sources.lines import BLOCK, FILE, LINE, POSITION
 from twinledger.spec import TableSpec
 
-REJECT = "_reject"
+RAW, REJECT = "__raw", "__reject"
 
 # Why a line was rejected.
 TOO_MANY = "TOO MANY COLUMNS"
@@ -58,7 +58,7 @@ def _fields(line: Column, count: int, spec: TableSpec, corrupt: bool = False) ->
 
 
 def parse_lines(lines: DataFrame, names: list[str], spec: TableSpec) -> DataFrame:
-    """Columns ``names`` plus the raw line, its place, and ``_reject`` (null for good lines).
+    """Columns ``names`` plus the raw line, its place, and why it is rejected (null for good lines).
 
     Spark flags lines whose field count is not that of the schema, in either direction. Only those,
     and lines with an odd number of quotes, are parsed once more with an end mark added: the mark
@@ -67,13 +67,13 @@ def parse_lines(lines: DataFrame, names: list[str], spec: TableSpec) -> DataFram
     """
     line, count = F.col(LINE), len(names)
     # `inline` makes the parsed fields plain columns, so that no later filter parses a line again.
-    parsed = lines.select(LINE, FILE, POSITION, F.inline(F.array(_fields(line, count, spec, corrupt=True))))
+    parsed = lines.select(LINE, FILE, BLOCK, POSITION, F.inline(F.array(_fields(line, count, spec, corrupt=True))))
     quotes = F.length(line) - F.length(F.replace(line, F.lit(spec.quote), F.lit("")))
     odd_quotes = quotes % 2 == 1
     suspect = F.col("_bad").isNotNull() | odd_quotes
     reason = F.when(odd_quotes, F.lit(UNFINISHED)).otherwise(F.lit(TOO_MANY))
     reject = F.when(suspect, F.when(~_well_formed(line, count, spec), reason))
-    return parsed.select(*_named(names), line.alias("_raw"), FILE, POSITION, reject.alias(REJECT))
+    return parsed.select(*_named(names), line.alias(RAW), FILE, BLOCK, POSITION, reject.alias(REJECT))
 
 
 def parse_multi_line(spark: SparkSession, names: list[str], spec: TableSpec) -> DataFrame:
@@ -96,8 +96,9 @@ def parse_multi_line(spark: SparkSession, names: list[str], spec: TableSpec) ->
     reject = F.when(suspect, F.when(~_well_formed(F.col("_bad"), count, spec), F.lit(TOO_MANY)))
     return records.select(
         *_named(names),
-        F.col("_bad").alias("_raw"),
+        F.col("_bad").alias(RAW),
         F.col("_metadata.file_path").alias(FILE),
+        F.col("_metadata.file_block_start").alias(BLOCK),
         F.monotonically_increasing_id().alias(POSITION),
         reject.alias(REJECT),
     )
@@ -127,5 +128,5 @@ def rejected_rows(parsed: DataFrame) -> DataFrame:
         F.col(FILE).alias("file"),
         F.col(POSITION).alias("position"),
         F.col(REJECT).alias("error_type"),
-        F.col("_raw").alias("csv_line"),
+        F.col(RAW).alias("csv_line"),
     )

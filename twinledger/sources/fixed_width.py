@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinledger.functions.names import clean_name, distinct_names
@@ -40,13 +40,15 @@ def column_names(spec: TableSpec, headers: list[str]) -> list[str]:
 
 def slice_lines(lines: DataFrame, col_specs, names: list[str], line: str = LINE) -> DataFrame:
     """One column per (start, end), with surrounding whitespace removed."""
-    text = F.col(line)
-    return lines.select(
-        *[
-            F.trim(F.substring(text, start + 1, end - start), F.lit(whitespace())).alias(clean_name(name))
-            for (start, end), name in zip(col_specs, names, strict=True)
-        ]
-    )
+    return lines.select(*slices(col_specs, names, line))
+
+
+def slices(col_specs, names: list[str], line: str = LINE) -> list[Column]:
+    text, blanks = F.col(line), F.lit(whitespace())
+    return [
+        F.trim(F.substring(text, start + 1, end - start), blanks).alias(clean_name(name))
+        for (start, end), name in zip(col_specs, names, strict=True)
+    ]
 
 
 def read_fixed_width(spark: SparkSession, spec: TableSpec, headers: list[str] | None = None) -> DataFrame:

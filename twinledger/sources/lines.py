@@ -1,6 +1,6 @@
 """Files as tables of raw lines, with header and trailer lines told apart from data.
 
-Every line keeps its file and ``_pos``, an id that grows in file order. Working on raw lines lets
+Every line keeps its file, the start of the split it came from, and an id that grows within it. Working on raw lines lets
 trailers be recognised before parsing, and keeps the original text for rejects.
 """
 
@@ -18,7 +18,7 @@ from twinledger.operators.lines import number_lines
 from twinledger.sources.archives import read_archive_lines
 from twinledger.spec import TableSpec
 
-LINE, FILE, BLOCK, POSITION = "value", "_file", "_block", "_pos"
+LINE, FILE, BLOCK, POSITION = "value", "__file", "__block", "__pos"
 
 # Encodings that Spark decodes by itself, by their Python codec name.
 SPARK_CHARSETS = {"ascii": "US-ASCII", "iso8859-1": "ISO-8859-1"}
@@ -53,7 +53,7 @@ def _decoded(value: Column, encoding: str) -> Column:
 
 
 def raw_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
-    """All physical lines: value, _file, _block (where its split begins), _pos."""
+    """All physical lines: value, file, where its split begins, and its id within that split."""
     if not spec.opens_natively:
         return read_archive_lines(spark, spec)
     reader = spark.read
@@ -96,20 +96,26 @@ def trailer_frame(spark: SparkSession, spec: TableSpec) -> DataFrame:
     if not spec.trailer_patterns:
         return spark.createDataFrame([], LINE_HEADS)
     found = raw_lines(spark, spec).filter(is_trailer(F.col(LINE), spec.trailer_patterns))
-    return number_lines(found.select(LINE, FILE, BLOCK, POSITION)).select(
-        F.col("line_number").cast("int"), F.col(LINE).alias("line")
-    )
+    return numbered(found.select(LINE, FILE, BLOCK, POSITION))
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """(line_number, line) in file order."""
+    return number_lines(lines).select(F.col("line_number").cast("int"), F.col(LINE).alias("line"))
 
 
 def data_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
     """The lines that hold records: no header, no trailer, not empty."""
-    lines = _without_header(spark, spec)
-    if spec.trailer_patterns:
-        lines = lines.filter(~is_trailer(F.col(LINE), spec.trailer_patterns))
-    lines = lines.filter(F.length(LINE) > 0).select(LINE, FILE, POSITION)
+    lines = body_lines(spark, spec)
+    return lines.filter(~is_trailer(F.col(LINE), spec.trailer_patterns)) if spec.trailer_patterns else lines
+
+
+def body_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
+    """All lines after the header that are not empty, trailers included."""
+    lines = _without_header(spark, spec).filter(F.length(LINE) > 0).select(LINE, FILE, BLOCK, POSITION)
     if spec.codec in ("gzip", "zip"):
         # Such a file is one task however large it is; spread its lines before they are parsed.
-        lines = lines.repartition(spec.fan_out or spark.sparkContext.defaultParallelism)
+        lines = lines.repartition(spec.fan_out or spark.sparkContext.defaultParallelism, POSITION)
     return lines
 
 
@@ -124,7 +130,7 @@ def _without_header(spark: SparkSession, spec: TableSpec) -> DataFrame:
     if not n:
         return raw_lines(spark, spec)
     if not spec.opens_natively:
-        return raw_lines(spark, spec).filter(F.col("_line") > n)
+        return raw_lines(spark, spec).filter(F.col("__line") > n)
     lines = raw_lines(spark, spec)
     files = len(spark.read.text(spec.path).inputFiles())
     if files <= 1:
@@ -134,6 +140,7 @@ def _without_header(spark: SparkSession, spec: TableSpec) -> DataFrame:
         return reader.option("quote", "").csv(spec.path).select(
             F.col("value").alias(LINE),
             F.col("_metadata.file_path").alias(FILE),
+            F.col("_metadata.file_block_start").alias(BLOCK),
             F.monotonically_increasing_id().alias(POSITION),
         )
     starts = lines.filter(F.col(BLOCK) == 0).groupBy(FILE).agg(F.min(POSITION).alias("_start"))

@@ -34,6 +34,7 @@ class LoadedTable:
     headers: DataFrame
     trailers: DataFrame
     parsed: DataFrame | None = None
+    counts_of: DataFrame | None = None
 
     def rejects_sample(self, n: int = REJECT_CAP) -> DataFrame:
         """The first ``n`` rejected lines in file order."""
@@ -42,6 +43,8 @@ class LoadedTable:
     @property
     def counts(self) -> DataFrame:
         """One row: good rows and rejected lines, from a single scan."""
+        if self.counts_of is not None:
+            return self.counts_of
         if self.parsed is not None:
             bad = F.col(delimited.REJECT).isNotNull()
             return self.parsed.agg(F.count_if(~bad).alias("row_count"), F.count_if(bad).alias("reject_count"))
@@ -60,7 +63,7 @@ def read_table(spark: SparkSession, spec: TableSpec) -> LoadedTable:
     if spec.is_fixed_width:
         return LoadedTable(spec, read_fixed_width(spark, spec, headers), no_rejects, *edges)
 
-    names = _delimited_names(spark, spec, headers)
+    names = delimited_names(spark, spec, headers)
     if not names:
         empty = spark.createDataFrame([], "column0 string")
         return LoadedTable(spec, empty, no_rejects, *edges)
@@ -73,7 +76,7 @@ def read_table(spark: SparkSession, spec: TableSpec) -> LoadedTable:
     )
 
 
-def _delimited_names(spark: SparkSession, spec: TableSpec, headers: list[str]) -> list[str]:
+def delimited_names(spark: SparkSession, spec: TableSpec, headers: list[str]) -> list[str]:
     """Given names, else the last header line, else ``columnN`` after the first record's fields."""
     if spec.column_names:
         return distinct_names(spec.column_names)
