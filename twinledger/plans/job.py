@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinledger.functions import fmt
+from twinledger.functions.chardiff import CHAR_DIFF_TYPE
 from twinledger.functions.compare import MATCH
 from twinledger.functions.names import ref
 from twinledger.operators.lines import compare_lines
@@ -21,20 +25,30 @@ from twinledger.operators.reconcile import (
     MISSING_IN_TARGET,
     ReconResult,
     derive_statistics,
-    match_percentage,
     reconcile,
 )
 from twinledger.plans.history import HISTORY_SCHEMA, append_run
 from twinledger.plans.report import report_tables
 from twinledger.plans.session import scratch_dir
-from twinledger.sources.read import LoadedTable
+from twinledger.sources.read import REJECT_SCHEMA
 from twinledger.sources.stage import stage_table
 from twinledger.spec import JobConfig
 
 META_SCHEMA = """
-    primary_keys array<string>, columns array<string>, source_only array<string>,
-    target_only array<string>, exceptions_schema string, sampled boolean
+    run_id string, primary_keys array<string>, columns array<string>, source_only array<string>,
+    target_only array<string>, exceptions_schema string, tables array<string>,
+    summary struct<source_count: bigint, target_count: bigint, source_keys: bigint, target_keys: bigint,
+        found_in_both: bigint, missing_in_source: bigint, missing_in_target: bigint,
+        mismatched_rows: bigint, mismatched_rows_exact: bigint, source_duplicate_rows: bigint,
+        target_duplicate_rows: bigint, matching_rows: bigint, match_percentage: double,
+        row_count_diff: bigint>,
+    column_stats array<struct<column_name: string, compared: bigint, matching: bigint,
+        mismatched: bigint, match_percentage: double>>
 """
+LINE_SCHEMA = (
+    "line_number int, source string, target string, status string, first_diff_pos int, diff_count int, "
+    f"char_diffs {CHAR_DIFF_TYPE}, source_len int, target_len int"
+)
 
 
 @dataclass(frozen=True)
@@ -104,12 +118,20 @@ def summary_from_exceptions(
     return derive_statistics(spark.createDataFrame([tuple(known.values())], schema))
 
 
-def _column_stats(spark: SparkSession, columns: list[str], compared: int, counts: Row) -> DataFrame:
-    rows = [(c, compared, compared - counts[f"_x{i}"], counts[f"_x{i}"]) for i, c in enumerate(columns)]
-    schema = "column_name string, compared bigint, matching bigint, mismatched bigint"
-    return spark.createDataFrame(rows, schema).withColumn(
-        "match_percentage", match_percentage(F.col("matching"), F.col("compared"))
-    )
+def _column_stats(columns: list[str], compared: int, counts: Row) -> list[tuple]:
+    """Per column: name, keys in both, matching, mismatched, match percentage."""
+    rows = []
+    for i, name in enumerate(columns):
+        differing = counts[f"_x{i}"]
+        matching = compared - differing
+        rows.append((name, compared, matching, differing, matching / compared * 100 if compared else 0.0))
+    return rows
+
+
+def in_parallel(spark: SparkSession, *actions: Callable) -> list:
+    """Run independent Spark actions at the same time; small ones then share the cluster."""
+    with ThreadPoolExecutor(len(actions)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(a)) for a in actions]]
 
 
 def run_recon_job(spark: SparkSession, config: JobConfig) -> StoredRun:
@@ -121,68 +143,59 @@ def run_recon_job(spark: SparkSession, config: JobConfig) -> StoredRun:
     most the tasks it was running.
     """
     began, started = time.time(), datetime.now(timezone.utc)
-    naming = spark.range(1).select(
-        fmt.run_id(F.lit(config.job_name), F.lit(config.source.filename), F.lit(started)).alias("run_id")
-    )
-    run_id = naming.head()["run_id"]
+    naming = fmt.run_id(F.lit(config.job_name), F.lit(config.source.filename), F.lit(started))
+    run_id = spark.range(1).select(naming).head()[0]
     path = f"{config.output.rstrip('/')}/runs/{run_id}"
     staging = f"{scratch_dir(spark)}/{run_id}"
-    source = stage_table(spark, config.source, f"{staging}/source")
-    target = stage_table(spark, config.target, f"{staging}/target")
+    source, target = in_parallel(
+        spark,
+        lambda: stage_table(spark, config.source, f"{staging}/source"),
+        lambda: stage_table(spark, config.target, f"{staging}/target"),
+    )
 
     result = reconcile(spark, source.rows, target.rows, list(config.primary_keys), config.rules)
     result.exceptions.write.mode("overwrite").option("compression", "snappy").partitionBy(
         "is_difference"
     ).parquet(f"{path}/exceptions")
     stored = spark.read.schema(result.exceptions.schema).parquet(f"{path}/exceptions")
-    counts = exception_counts(stored, result.columns).head()
-    source_counts, target_counts = source.counts.head(), target.counts.head()
-    summary = summary_from_exceptions(
-        spark, source_counts["row_count"], target_counts["row_count"], counts
+    counts, source_counts, target_counts = in_parallel(
+        spark, exception_counts(stored, result.columns).head, source.counts.head, target.counts.head
     )
-    summary.write.mode("overwrite").parquet(f"{path}/summary")
-    stats = summary.head()
-    _column_stats(spark, result.columns, stats["found_in_both"], counts).write.mode("overwrite").parquet(
-        f"{path}/column_stats"
+    stats = summary_from_exceptions(spark, source_counts["row_count"], target_counts["row_count"], counts).head()
+
+    tables = {}
+    if stats["mismatched_rows"] + stats["missing_in_source"] + stats["missing_in_target"] == 0:
+        tables["sample"] = result.sample(config.sample_rows)
+    if source.header_text or target.header_text:
+        tables["header_comparison"] = compare_lines(source.headers, target.headers)
+    if config.source.trailer_patterns or config.target.trailer_patterns:
+        tables["trailer_comparison"] = compare_lines(source.trailers, target.trailers)
+    if source_counts["reject_count"]:
+        tables["source_rejects"] = source.rejects_sample()
+    if target_counts["reject_count"]:
+        tables["target_rejects"] = target.rejects_sample()
+
+    def write(name: str, df: DataFrame) -> Callable:
+        return lambda: df.write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/{name}")
+
+    if tables:
+        in_parallel(spark, *[write(name, df) for name, df in tables.items()])
+    meta = (
+        run_id,
+        result.keys,
+        result.columns,
+        result.source_only,
+        result.target_only,
+        result.exceptions.schema.json(),
+        sorted(tables),
+        tuple(stats),
+        _column_stats(result.columns, stats["found_in_both"], counts),
     )
-
-    differences = stats["mismatched_rows"] + stats["missing_in_source"] + stats["missing_in_target"]
-    if differences == 0:
-        sample = result.sample(config.sample_rows)
-        sample.write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/sample")
-
-    compare_lines(source.headers, target.headers).write.mode("overwrite").parquet(f"{path}/header_comparison")
-    compare_lines(source.trailers, target.trailers).write.mode("overwrite").parquet(f"{path}/trailer_comparison")
-    for side, table, counted in (("source", source, source_counts), ("target", target, target_counts)):
-        _write_rejects(table, counted["reject_count"], f"{path}/{side}_rejects")
-
-    _write_metadata(spark, path, result, sampled=differences == 0)
+    spark.createDataFrame([meta], META_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
     _record(spark, config, run_id, path, result, stats, source_counts, target_counts, started, began)
     return load_run(spark, config.output, run_id)
 
 
-def _write_rejects(table: LoadedTable, n: int, path: str) -> None:
-    rejects = table.rejects_sample() if n else table.rejects.limit(0)
-    rejects.write.mode("overwrite").parquet(path)
-
-
-def _write_metadata(spark: SparkSession, path: str, result: ReconResult, sampled: bool) -> None:
-    meta = spark.createDataFrame(
-        [
-            (
-                result.keys,
-                result.columns,
-                result.source_only,
-                result.target_only,
-                result.exceptions.schema.json(),
-                sampled,
-            )
-        ],
-        META_SCHEMA,
-    )
-    meta.write.mode("overwrite").json(f"{path}/meta")
-
-
 def _record(
     spark: SparkSession,
     config: JobConfig,
@@ -220,12 +233,15 @@ def _record(
 def load_run(spark: SparkSession, output: str, run_id: str) -> StoredRun:
     """Reopen a stored run by its id."""
     path = f"{output.rstrip('/')}/runs/{run_id}"
-    meta = spark.read.schema(META_SCHEMA).json(f"{path}/meta").head()
+    stored_meta = spark.read.schema(META_SCHEMA).json(f"{path}/meta")
+    meta = stored_meta.head()
     keys = list(meta["primary_keys"])
     exceptions = spark.read.schema(T.StructType.fromJson(json.loads(meta["exceptions_schema"])))
 
-    def stored(name: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/{name}")
+    def stored(name: str, schema: str) -> DataFrame:
+        if name in meta["tables"]:
+            return spark.read.schema(schema).parquet(f"{path}/{name}")
+        return spark.createDataFrame([], schema)
 
     triplets = [f"{c}_{part}" for c in meta["columns"] for part in ("status", "source", "target")]
     return StoredRun(
@@ -235,11 +251,11 @@ def load_run(spark: SparkSession, output: str, run_id: str) -> StoredRun:
         detail=exceptions.parquet(f"{path}/exceptions")
         .filter("is_difference")
         .select("validation_status", *[ref(name) for name in [*keys, *triplets]]),
-        summary=stored("summary"),
-        column_stats=stored("column_stats"),
-        header_comparison=stored("header_comparison"),
-        trailer_comparison=stored("trailer_comparison"),
-        source_rejects=stored("source_rejects"),
-        target_rejects=stored("target_rejects"),
-        sample=stored("sample") if meta["sampled"] else None,
+        summary=stored_meta.select("summary.*"),
+        column_stats=stored_meta.select(F.inline("column_stats")),
+        header_comparison=stored("header_comparison", LINE_SCHEMA),
+        trailer_comparison=stored("trailer_comparison", LINE_SCHEMA),
+        source_rejects=stored("source_rejects", REJECT_SCHEMA),
+        target_rejects=stored("target_rejects", REJECT_SCHEMA),
+        sample=spark.read.parquet(f"{path}/sample") if "sample" in meta["tables"] else None,
     )

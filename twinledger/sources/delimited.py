@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from twinledger.functions.names import distinct_names, ref
 from twinledger.sources.lines import BLOCK, FILE, LINE, POSITION
@@ -28,19 +27,17 @@ def csv_options(spec: TableSpec) -> dict[str, str]:
     return {"sep": spec.delimiter, "quote": spec.quote, "escape": spec.quote, "maxCharsPerColumn": "-1"}
 
 
-def field_count(spark: SparkSession, spec: TableSpec, line: str) -> int:
-    """Number of fields in one line, by Spark's own CSV rules."""
-    options = {**csv_options(spec), "inferSchema": "false"}
-    ddl = spark.range(1).select(F.schema_of_csv(F.lit(line), options)).head()[0]
-    return len(T._parse_datatype_string(ddl).fields)
+def fields_of(spark: SparkSession, spec: TableSpec, line: str) -> list[str | None]:
+    """The fields of one line, by Spark's own CSV rules; an end mark shows how many there are."""
+    most = line.count(spec.delimiter) + 1
+    parsed = _fields(F.lit(line + spec.delimiter + END_MARK), most + 1, spec)
+    values = list(spark.range(1).select(parsed.alias("r")).head()["r"])
+    return values[: values.index(END_MARK)] if END_MARK in values else values[:most]
 
 
 def header_names(spark: SparkSession, spec: TableSpec, line: str) -> list[str]:
     """Column names from a header line; a blank name becomes ``columnN``."""
-    count = field_count(spark, spec, line)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(count)])
-    parsed = F.from_csv(F.lit(line), F.lit(schema.simpleString()[7:-1].replace(":", " ")), csv_options(spec))
-    values = spark.range(1).select(parsed.alias("r")).head()["r"]
+    values = fields_of(spark, spec, line)
     return distinct_names([(v or "").strip() or f"column{i}" for i, v in enumerate(values)])
 
 

@@ -35,6 +35,7 @@ class LoadedTable:
     trailers: DataFrame
     parsed: DataFrame | None = None
     counts_of: DataFrame | None = None
+    header_text: tuple[str, ...] = ()
 
     def rejects_sample(self, n: int = REJECT_CAP) -> DataFrame:
         """The first ``n`` rejected lines in file order."""
@@ -61,7 +62,8 @@ def read_table(spark: SparkSession, spec: TableSpec) -> LoadedTable:
     headers = header_lines(spark, spec)
     edges = (header_frame(spark, headers), trailer_frame(spark, spec))
     if spec.is_fixed_width:
-        return LoadedTable(spec, read_fixed_width(spark, spec, headers), no_rejects, *edges)
+        rows = read_fixed_width(spark, spec, headers)
+        return LoadedTable(spec, rows, no_rejects, *edges, header_text=tuple(headers))
 
     names = delimited_names(spark, spec, headers)
     if not names:
@@ -72,7 +74,7 @@ def read_table(spark: SparkSession, spec: TableSpec) -> LoadedTable:
     else:
         parsed = delimited.parse_lines(data_lines(spark, spec), names, spec)
     return LoadedTable(
-        spec, delimited.good_rows(parsed, names), delimited.rejected_rows(parsed), *edges, parsed=parsed
+        spec, delimited.good_rows(parsed, names), delimited.rejected_rows(parsed), *edges, parsed=parsed, header_text=tuple(headers)
     )
 
 
@@ -83,4 +85,4 @@ def delimited_names(spark: SparkSession, spec: TableSpec, headers: list[str]) ->
     if headers:
         return delimited.header_names(spark, spec, headers[-1])
     first = data_lines(spark, spec).select(LINE).head()
-    return delimited.auto_names(delimited.field_count(spark, spec, first[0])) if first else []
+    return delimited.auto_names(len(delimited.fields_of(spark, spec, first[0]))) if first else []

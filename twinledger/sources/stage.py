@@ -16,6 +16,7 @@ from twinledger.sources.lines import (
     BLOCK,
     FILE,
     LINE,
+    LINE_HEADS,
     POSITION,
     body_lines,
     header_frame,
@@ -72,6 +73,7 @@ def stage_table(spark: SparkSession, spec: TableSpec, path: str) -> LoadedTable:
         rows=stored.filter(F.col(KIND) == ROW).select(*[ref(n) for n in names]),
         rejects=delimited.rejected_rows(stored.filter(F.col(KIND) == REJECTED)),
         headers=header_frame(spark, headers),
+        header_text=tuple(headers),
         trailers=_trailers(spark, spec, headers, stored),
         counts_of=stored.agg(
             F.count_if(F.col(KIND) == ROW).alias("row_count"),
@@ -82,6 +84,8 @@ def stage_table(spark: SparkSession, spec: TableSpec, path: str) -> LoadedTable:
 
 def _trailers(spark, spec, headers, stored):
     """Trailer lines in file order; a header line that looks like a trailer counts as one too."""
+    if not spec.trailer_patterns:
+        return spark.createDataFrame([], LINE_HEADS)
     among_headers = [h for h in headers if h.startswith(tuple(q + p for p in spec.trailer_patterns for q in ("", '"')))]
     found = numbered(stored.filter(F.col(KIND) == TRAILER).select(F.col(delimited.RAW).alias(LINE), FILE, BLOCK, POSITION))
     if not among_headers:
