@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from twinledger import CompareRules, JobConfig, TableSpec, read_table, reconcile
+from twinledger import CompareRules, JobConfig, TableSpec, compare_files, read_table, reconcile
+from twinledger.operators.reconcile import sample_of_equal_tables
 from twinledger.plans import history
 from twinledger.plans.job import load_run, run_recon_job
 from twinledger.plans.report import report_tables, write_report
@@ -160,3 +161,32 @@ def test_shuffle_settings_grow_with_the_input():
     small, large = shuffle_settings(10**6, 8), shuffle_settings(10**14, 8)
     assert small["spark.sql.shuffle.partitions"] == "8"
     assert int(large["spark.sql.shuffle.partitions"]) > 700_000
+
+
+def test_failed_run_is_recorded(spark, config):
+    wrong = JobConfig("bad", config.source, config.target, ("nope",), config.output)
+    with pytest.raises(ValueError, match="nope"):
+        run_recon_job(spark, wrong)
+    row = history.read_history(spark, config.output).head()
+    assert (row["status"], row["primary_keys"], row["matching_rows"]) == ("error", ["nope"], None)
+    assert "nope" in row["message"]
+
+
+def test_compare_files(spark, config):
+    comparison = compare_files(spark, config.source, config.target, ["ID"], config.rules)
+    assert comparison.result.summary.head()["mismatched_rows"] == 1
+    assert comparison.header_comparison.head()["status"] == "MISMATCH"
+    assert comparison.trailer_comparison.count() == 1
+    assert (comparison.source_rejects.count(), comparison.target_rejects.count()) == (1, 0)
+    assert "rejected_records" in comparison.report() and "sample_matching_data" in comparison.report(5)
+    plain = TableSpec(config.source.path, column_names=("id", "n", "a"))
+    bare = compare_files(spark, plain, plain, ["id"])
+    assert bare.header_comparison is None and bare.trailer_comparison is None
+
+
+def test_sample_of_equal_tables(spark):
+    rows = [(i % 40 if i % 40 else None, f"v{i % 40}", float(i % 40)) for i in range(100)]
+    table = spark.createDataFrame(rows, "`Row Key` int, name string, amount double")
+    plain = reconcile(spark, table, table, ["row key"]).sample(7).collect()
+    assert sample_of_equal_tables(spark, table, table, ["row key"], n=7).collect() == plain
+    assert len(plain) == 7

@@ -9,22 +9,30 @@ from twinledger.functions.chardiff import CHAR_DIFF_TYPE, char_diff
 from twinledger.operators.reconcile import MISSING_IN_SOURCE, MISSING_IN_TARGET
 
 
-def number_lines(lines: DataFrame, chunk: tuple[str, ...] = ("__file", "__block"), position: str = "__pos") -> DataFrame:
+# Lines per chunk are at most two to this power, also in a file that cannot be split.
+CHUNK_BITS = 20
+
+
+def number_lines(
+    lines: DataFrame, split: tuple[str, ...] = ("__file", "__block"), position: str = "__pos"
+) -> DataFrame:
     """Number lines 1..n in file order without gathering them in one task.
 
-    ``chunk`` names the piece of a file that one task reads, and ``position`` grows within it.
-    Lines are ranked within their chunk; the totals of the earlier chunks are added to that. The
-    table of totals has one row per chunk, whatever the number of lines.
+    ``split`` names the piece of a file that one task reads, and ``position`` grows within it by
+    one per line read. Lines are ranked within chunks of bounded size; the totals of the earlier
+    chunks are added to that. The table of totals has one row per chunk.
     """
-    totals = lines.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*chunk, F.coalesce(before, F.lit(0)).alias("_offset"))
+    chunk = (*split, "__chunk")
+    lines = lines.withColumn("__chunk", F.shiftright(F.col(position), CHUNK_BITS))
+    totals = lines.groupBy(*chunk).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*chunk, F.coalesce(before, F.lit(0)).alias("__offset"))
     rank = F.row_number().over(Window.partitionBy(*chunk).orderBy(position))
     return (
-        lines.withColumn("_rank", rank)
+        lines.withColumn("__rank", rank)
         .join(offsets, list(chunk))
-        .withColumn("line_number", F.col("_offset") + F.col("_rank"))
-        .drop("_rank", "_offset")
+        .withColumn("line_number", F.col("__offset") + F.col("__rank"))
+        .drop("__rank", "__offset", "__chunk")
     )
 
 

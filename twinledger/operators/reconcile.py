@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from twinledger.functions.compare import MATCH, Cell, compare_cell
-from twinledger.functions.names import ref
+from twinledger.functions.names import key_names, ref, with_clean_names
 from twinledger.operators.align import N_SOURCE, N_TARGET, SOURCE, TARGET, Aligned, align
 from twinledger.spec import CompareRules
 
@@ -261,6 +261,28 @@ class ReconResult:
         return matching.orderBy(*self._key_refs).limit(n).select(*self._key_refs, *columns)
 
 
+def sample_of_equal_tables(
+    spark: SparkSession,
+    source: DataFrame,
+    target: DataFrame,
+    keys: str | list[str],
+    rules: CompareRules | None = None,
+    n: int = DETAIL_CAP,
+) -> DataFrame:
+    """What ``ReconResult.sample`` gives for tables known to match, without aligning all of them.
+
+    The first ``n`` keys are found by reading keys alone; being at most ``n`` rows they are
+    broadcast, and only the rows that have them are compared.
+    """
+    source, target = with_clean_names(source), with_clean_names(target)
+    names = key_names(keys)
+    first = source.select(*[ref(k) for k in names]).distinct().orderBy(*[ref(k) for k in names]).limit(n)
+    wanted = F.broadcast(first.toDF(*[f"__k{i}" for i in range(len(names))]))
+    same = reduce(and_, [ref(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(names)])
+    left, right = (df.join(wanted, same, "left_semi") for df in (source, target))
+    return reconcile(spark, left, right, names, rules).sample(n)
+
+
 def derive_statistics(counted: DataFrame) -> DataFrame:
     """Add what follows from the raw counts. All derived numbers count distinct keys."""
     matching = F.col("found_in_both") - F.col("mismatched_rows")

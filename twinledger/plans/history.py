@@ -53,9 +53,13 @@ def within_age(at: Column, now: Column, ttl_seconds: int) -> Column:
 
 
 def recent_runs(spark: SparkSession, output: str, limit: int = RECENT_RUNS) -> DataFrame:
-    """The latest runs with the size of their stored results and whether there are any."""
+    """The latest runs with the size of their stored results and whether there are any.
+
+    Only the folders of the listed runs are looked into, however many runs are stored.
+    """
     newest = latest(read_history(spark, output), "finished_at", "run_id", limit)
-    files = list_files(spark, f"{output.rstrip('/')}/runs")
+    run_ids = [row["run_id"] for row in newest.select("run_id").collect()]
+    files = list_files(spark, f"{output.rstrip('/')}/runs/{{{','.join(run_ids)}}}")
     sizes = (
         files.filter(F.col("path").endswith(".parquet"))
         .groupBy(F.regexp_extract("path", r"/runs/([^/]+)/", 1).alias("run_id"))

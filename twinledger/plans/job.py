@@ -17,15 +17,15 @@ from pyspark.sql import types as T
 from twinledger.functions import fmt
 from twinledger.functions.chardiff import CHAR_DIFF_TYPE
 from twinledger.functions.compare import MATCH
-from twinledger.functions.names import ref
+from twinledger.functions.names import key_names, ref
 from twinledger.operators.lines import compare_lines
 from twinledger.operators.reconcile import (
     FOUND_IN_BOTH,
     MISSING_IN_SOURCE,
     MISSING_IN_TARGET,
-    ReconResult,
     derive_statistics,
     reconcile,
+    sample_of_equal_tables,
 )
 from twinledger.plans.history import HISTORY_SCHEMA, append_run
 from twinledger.plans.report import report_tables
@@ -135,26 +135,41 @@ def in_parallel(spark: SparkSession, *actions: Callable) -> list:
 
 
 def run_recon_job(spark: SparkSession, config: JobConfig) -> StoredRun:
-    """Run one comparison and store its tables below ``<output>/runs/<run id>``.
+    """Run one comparison, store its tables below ``<output>/runs/<run id>``, record it, reopen it.
 
-    Text is parsed once, into the shared scratch folder. The compared data is shuffled once: that
-    pass writes only the exceptions, and the summary and column statistics follow from them and the
-    two row counts. All that later steps read is committed to storage, so a lost executor costs at
-    most the tasks it was running.
+    A run that fails is recorded with its error before the error is passed on.
     """
     began, started = time.time(), datetime.now(timezone.utc)
     naming = fmt.run_id(F.lit(config.job_name), F.lit(config.source.filename), F.lit(started))
     run_id = spark.range(1).select(naming).head()[0]
     path = f"{config.output.rstrip('/')}/runs/{run_id}"
+    try:
+        known = _run(spark, config, run_id, path)
+    except Exception as error:
+        failure = {"status": "error", "message": str(error).split("\n")[0]}
+        _record(spark, config, run_id, path, failure, started, began)
+        raise
+    _record(spark, config, run_id, path, known, started, began)
+    return load_run(spark, config.output, run_id)
+
+
+def _run(spark: SparkSession, config: JobConfig, run_id: str, path: str) -> dict:
+    """Compare and store; returns what the history records about the outcome.
+
+    Text is parsed once, into the shared scratch folder. The compared data is shuffled once: that
+    pass writes only the exceptions, and the summary and column statistics follow from them and the
+    two row counts. All that later steps read is committed to storage, so a lost executor costs at
+    most the tasks it was running.
+    """
     staging = f"{scratch_dir(spark)}/{run_id}"
     source, target = in_parallel(
         spark,
         lambda: stage_table(spark, config.source, f"{staging}/source"),
         lambda: stage_table(spark, config.target, f"{staging}/target"),
     )
-
     result = reconcile(spark, source.rows, target.rows, list(config.primary_keys), config.rules)
-    result.exceptions.write.mode("overwrite").option("compression", "snappy").partitionBy(
+    # Rebalancing moves only the exceptions, and turns many nearly empty files into a few full ones.
+    result.exceptions.hint("rebalance").write.mode("overwrite").option("compression", "snappy").partitionBy(
         "is_difference"
     ).parquet(f"{path}/exceptions")
     stored = spark.read.schema(result.exceptions.schema).parquet(f"{path}/exceptions")
@@ -165,7 +180,9 @@ def run_recon_job(spark: SparkSession, config: JobConfig) -> StoredRun:
 
     tables = {}
     if stats["mismatched_rows"] + stats["missing_in_source"] + stats["missing_in_target"] == 0:
-        tables["sample"] = result.sample(config.sample_rows)
+        tables["sample"] = sample_of_equal_tables(
+            spark, source.rows, target.rows, result.keys, config.rules, config.sample_rows
+        )
     if source.header_text or target.header_text:
         tables["header_comparison"] = compare_lines(source.headers, target.headers)
     if config.source.trailer_patterns or config.target.trailer_patterns:
@@ -192,8 +209,13 @@ def run_recon_job(spark: SparkSession, config: JobConfig) -> StoredRun:
         _column_stats(result.columns, stats["found_in_both"], counts),
     )
     spark.createDataFrame([meta], META_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
-    _record(spark, config, run_id, path, result, stats, source_counts, target_counts, started, began)
-    return load_run(spark, config.output, run_id)
+    return {
+        **stats.asDict(),
+        "status": "completed",
+        "primary_keys": result.keys,
+        "source_rejects": source_counts["reject_count"],
+        "target_rejects": target_counts["reject_count"],
+    }
 
 
 def _record(
@@ -201,10 +223,7 @@ def _record(
     config: JobConfig,
     run_id: str,
     path: str,
-    result: ReconResult,
-    stats: Row,
-    source_counts: Row,
-    target_counts: Row,
+    outcome: dict,
     started: datetime,
     began: float,
 ) -> None:
@@ -215,19 +234,16 @@ def _record(
         "job_name": config.job_name,
         "source_path": config.source.path,
         "target_path": config.target.path,
-        "primary_keys": result.keys,
+        "primary_keys": key_names(config.primary_keys),
         "output": path,
-        "status": "completed",
         "message": f"Completed in {elapsed}",
         "started_at": started,
         "finished_at": datetime.fromtimestamp(finished, timezone.utc),
-        "source_rejects": source_counts["reject_count"],
-        "target_rejects": target_counts["reject_count"],
         "run_date": started.date(),
+        **outcome,
     }
     names = spark.createDataFrame([], HISTORY_SCHEMA).columns
-    row = tuple(known[name] if name in known else stats[name] for name in names)
-    append_run(spark.createDataFrame([row], HISTORY_SCHEMA), config.output)
+    append_run(spark.createDataFrame([tuple(known.get(name) for name in names)], HISTORY_SCHEMA), config.output)
 
 
 def load_run(spark: SparkSession, output: str, run_id: str) -> StoredRun:
