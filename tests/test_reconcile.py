@@ -159,6 +159,15 @@ def test_missing_key_column_is_named(spark):
         reconcile(spark, s, s, ["nope"])
 
 
+def test_clashing_result_names_are_refused(spark):
+    s = spark.createDataFrame([(1, "a")], "a_status int, a string")
+    with pytest.raises(ValueError, match="a_status"):
+        reconcile(spark, s, s, ["a_status"]).detail
+    assert reconcile(spark, s, s, ["a_status"]).summary.head()["matching_rows"] == 1
+    with pytest.raises(ValueError, match="mismatch"):
+        reconcile(spark, s.toDF("mismatch", "v"), s.toDF("mismatch", "v"), ["mismatch"])
+
+
 def test_awkward_names(spark):
     s = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "`Key.One` int, `Job_Status` string, `a``b` string")
     t = spark.createDataFrame([(1, "a", "x"), (2, "c", "y")], "`Key.One` int, `Job_Status` string, `a``b` string")

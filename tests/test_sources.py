@@ -13,6 +13,7 @@ from twinledger import TableSpec, read_table
 from twinledger.operators.lines import compare_lines
 from twinledger.sources.fixed_width import convert_fixed_width, parse_widths
 from twinledger.sources.inventory import file_inventory, storage_stats
+from twinledger.sources.stage import stage_table
 
 
 def write(path, text, encoding="utf-8"):
@@ -158,6 +159,71 @@ def test_long_lines(spark, tmp_path):
     assert table.rejects.count() == 1
 
 
+def test_lines_with_very_many_fields_are_rejected_not_fatal(spark, tmp_path):
+    commas = "," * 1_200_000
+    path = write(tmp_path / "a.csv", f'a,b\n1,2\n{"x," * 30_000}\n{commas}\n3,"{commas}"\n')
+    table = read_table(spark, TableSpec(path, header_rows=1))
+    assert [(r["a"], len(r["b"])) for r in table.rows.orderBy("a").collect()] == [("1", 1), ("3", 1_200_000)]
+    assert tuple(table.counts.head()) == (2, 2)
+    assert {r["error_type"] for r in table.rejects.collect()} == {"TOO MANY COLUMNS"}
+
+
+def test_random_fields_survive(spark, tmp_path):
+    """Whatever a CSV writer quotes comes back; empty fields come back as null."""
+    import csv
+    import random
+
+    rng = random.Random(3)
+    alphabet = ['a', 'B', ' ', ',', '"', "'", "\\", "é", "|", "\t", "0", "-", "#", "\U0001f600"]
+    data = [["".join(rng.choices(alphabet, k=rng.randrange(6))) for _ in range(4)] for _ in range(400)]
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as out:
+        csv.writer(out, lineterminator="\n").writerows([["c1", "c2", "c3", "c4"], *data])
+    table = read_table(spark, TableSpec(str(tmp_path / "a.csv"), header_rows=1))
+    assert table.rejects.isEmpty()
+    assert rows(table) == sorted((tuple(v or None for v in row) for row in data), key=str)
+
+
+def test_random_ragged_lines(spark, tmp_path):
+    """Too long is rejected, too short is padded, whatever the fields are."""
+    import random
+
+    rng = random.Random(4)
+    data = [[rng.choice(["", "x", '"q,q"', '""', "5 in"]) for _ in range(rng.randrange(1, 7))] for _ in range(300)]
+    lines = [",".join(fields) for fields in data]
+    path = write(tmp_path / "a.csv", "\n".join(lines) + "\n")
+    table = read_table(spark, TableSpec(path, column_names=("a", "b", "c")))
+    plain = {"": None, "x": "x", '"q,q"': "q,q", '""': None, "5 in": "5 in"}
+    kept = [tuple(([plain[f] for f in fields] + [None] * 3)[:3]) for fields, line in zip(data, lines) if line and len(fields) <= 3]
+    assert rows(table) == sorted(kept, key=str)
+    rejected = sorted(line for fields, line in zip(data, lines) if len(fields) > 3)
+    assert sorted(r["csv_line"] for r in table.rejects.collect()) == rejected
+
+
+STAGED = {
+    "plain": ("a,b\n1,2\n3\n4,5,6\n", {"header_rows": 1}),
+    "trailers": ("T0,h\na,b\n1,2\nT1,x\n3,4\n\"T2,y\"\n", {"header_rows": 2, "trailer_patterns": ("T",)}),
+    "fixed": ("ab cd\n11 22\nEOF 1\n", {"file_type": "fwf", "col_specs": ((0, 3), (3, 5)), "header_rows": 1, "trailer_patterns": ("EOF",)}),
+    "whole_lines": ("ab\ncd\n", {"file_type": "fwf"}),
+    "multi_line": ('a,b\n1,"x\ny"\n2,3,4\n', {"header_rows": 1, "multi_line": True}),
+    "empty": ("", {}),
+}
+
+
+@pytest.mark.parametrize("name", STAGED)
+def test_staged_tables_equal_lazy_ones(spark, tmp_path, name):
+    text, options = STAGED[name]
+    spec = TableSpec(write(tmp_path / "a.txt", text), **options)
+    lazy, staged = read_table(spark, spec), stage_table(spark, spec, str(tmp_path / "staged"))
+    assert staged.rows.columns == lazy.rows.columns
+    assert rows(staged) == rows(lazy)
+    assert tuple(staged.counts.head()) == tuple(lazy.counts.head())
+    for part in ("headers", "trailers"):
+        order = "line_number"
+        assert getattr(staged, part).orderBy(order).collect() == getattr(lazy, part).orderBy(order).collect()
+    assert staged.rejects_sample().collect() == lazy.rejects_sample().collect()
+    assert staged.header_text == lazy.header_text
+
+
 @pytest.mark.parametrize("encoding", ["utf-8", "latin-1", "cp1252", "utf-16-le", "utf-8-sig"])
 def test_encodings(spark, tmp_path, encoding):
     path = write(tmp_path / "a.csv", "id,näme\n1,Zoé\n2,Müller\n", encoding)

@@ -414,13 +414,14 @@ FROM (
 def run_id(spark: SparkSession, sf: str) -> DataFrame:
     """A run id for every page, as if its URL were the compared file."""
     pages = load(spark, sf, "pages")
-    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 86_399)
+    start = F.lit("2023-11-14 22:13:20").cast("timestamp_ntz")
+    at = F.timestamp_add("SECOND", F.col("page_id") * 86_399, start)
     return pages.select("page_id", fmt.run_id(F.lit("Nightly check #1"), F.col("url"), at).alias("run_id"))
 
 
 RUN_ID_SQL = r"""SELECT page_id, 'Nightly_check__1_' ||
   regexp_replace(regexp_replace(regexp_replace(url, '^.*/', ''), '^(.+)\.[^.]*$', '\1'), '[^\p{L}\p{N}_-]', '_', 'g')
-  || '_' || strftime(to_timestamp(1700000000 + page_id * 86399) AT TIME ZONE 'UTC', '%Y%m%d_%H%M%S') AS run_id
+  || '_' || strftime(TIMESTAMP '2023-11-14 22:13:20' + page_id * INTERVAL 86399 SECOND, '%Y%m%d_%H%M%S') AS run_id
 FROM pages"""
 
 

@@ -178,6 +178,9 @@ class ReconResult:
         return self.rows.filter(F.col(flag) | (F.col("validation_status") != FOUND_IN_BOTH))
 
     def _triplets(self) -> list[Column]:
+        clashes = {f"{c}_{part}" for c in self.columns for part in ("status", "source", "target")}.intersection(self.keys)
+        if clashes:
+            raise ValueError(f"key columns clash with result columns: {', '.join(sorted(clashes))}")
         out = []
         for name, cell in self._cells.items():
             out += [
@@ -308,7 +311,7 @@ def top_per_status(detail: DataFrame, keys: list[str], n: int) -> DataFrame:
     limit = int(detail.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if n <= limit:
         rank = F.row_number().over(Window.partitionBy(status).orderBy(*key_refs))
-        return detail.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+        return detail.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
     legs = [detail.filter(status == name).orderBy(*key_refs).limit(n) for name in STATUS_ORDER]
     return reduce(DataFrame.unionByName, legs)
 

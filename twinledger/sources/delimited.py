@@ -6,6 +6,8 @@ ends. A line with fewer fields is padded with nulls.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,28 @@ UNFINISHED = "UNQUOTED VALUE"
 END_MARK = "\ufdd0\ufdd1"
 
 
+# Most fields Spark's CSV parser is let to find in a line. More would fail the whole query, so
+# lines long enough to hold more are looked at before they are parsed.
+MOST_FIELDS = 1_000_000
+
+
 def csv_options(spec: TableSpec) -> dict[str, str]:
-    return {"sep": spec.delimiter, "quote": spec.quote, "escape": spec.quote, "maxCharsPerColumn": "-1"}
+    return {
+        "sep": spec.delimiter,
+        "quote": spec.quote,
+        "escape": spec.quote,
+        "maxCharsPerColumn": "-1",
+        "maxColumns": str(MOST_FIELDS),
+    }
+
+
+def _cannot_be_parsed(line: Column, spec: TableSpec) -> Column:
+    """True for lines with more delimiters outside quotes than the parser can take."""
+    mark = re.escape(spec.quote)
+    outside = F.regexp_replace(line, f"{mark}[^{mark}]*{mark}", "")
+    without = F.length(F.replace(outside, F.lit(spec.delimiter), F.lit("")))
+    delimiters = (F.length(outside) - without) / len(spec.delimiter)
+    return (F.octet_length(line) >= MOST_FIELDS) & (delimiters >= MOST_FIELDS - 2)
 
 
 def fields_of(spark: SparkSession, spec: TableSpec, line: str) -> list[str | None]:
@@ -64,12 +86,16 @@ def parse_lines(lines: DataFrame, names: list[str], spec: TableSpec) -> DataFram
     """
     line, count = F.col(LINE), len(names)
     # `inline` makes the parsed fields plain columns, so that no later filter parses a line again.
-    parsed = lines.select(LINE, FILE, BLOCK, POSITION, F.inline(F.array(_fields(line, count, spec, corrupt=True))))
+    hopeless = _cannot_be_parsed(line, spec)
+    fields = _fields(F.when(~hopeless, line), count, spec, corrupt=True)
+    parsed = lines.select(LINE, FILE, BLOCK, POSITION, F.inline(F.array(fields)))
     quotes = F.length(line) - F.length(F.replace(line, F.lit(spec.quote), F.lit("")))
     odd_quotes = quotes % 2 == 1
     suspect = F.col("_bad").isNotNull() | odd_quotes
     reason = F.when(odd_quotes, F.lit(UNFINISHED)).otherwise(F.lit(TOO_MANY))
-    reject = F.when(suspect, F.when(~_well_formed(line, count, spec), reason))
+    reject = F.when(hopeless, F.lit(TOO_MANY)).when(
+        suspect, F.when(~_well_formed(line, count, spec), reason)
+    )
     return parsed.select(*_named(names), line.alias(RAW), FILE, BLOCK, POSITION, reject.alias(REJECT))
 
 
