@@ -81,3 +81,14 @@ def test_a_hot_key_is_reduced_before_the_shuffle(spark, rows):
         result.summary._jdf.queryExecution().executedPlan().toString()
     )
     assert "partial_min" in written
+
+
+def test_bucketed_tables_are_compared_without_a_shuffle(spark):
+    source, target = pairs.orders_pair(spark, SF)
+    for name, df in (("bucketed_source", source), ("bucketed_target", target)):
+        df.write.mode("overwrite").bucketBy(8, "o_orderkey").sortBy("o_orderkey").saveAsTable(name)
+    result = reconcile(
+        spark, spark.table("bucketed_source"), spark.table("bucketed_target"), ["o_orderkey"], pairs.ORDERS_RULES
+    )
+    assert "Exchange" not in plan_of(result.detail)
+    assert result.summary.head()["mismatched_rows"] == 981

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
 
@@ -32,9 +31,8 @@ def accent_table() -> tuple[str, str]:
     Built from the Unicode rule (decompose, drop marks, compose) one character at a time.
     """
     accented, bases, marks = [], [], []
-    for code in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
+    # No character beyond these planes has a decomposition or is a mark.
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE1000)):
         char = chr(code)
         if unicodedata.category(char).startswith("M"):
             marks.append(char)

@@ -5,11 +5,9 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +27,7 @@ from twinledger.operators.reconcile import (
 )
 from twinledger.plans.history import HISTORY_SCHEMA, append_run
 from twinledger.plans.report import report_tables
-from twinledger.plans.session import scratch_dir
+from twinledger.plans.session import in_parallel, scratch_dir
 from twinledger.sources.read import REJECT_SCHEMA
 from twinledger.sources.stage import stage_table
 from twinledger.spec import JobConfig
@@ -128,12 +126,6 @@ def _column_stats(columns: list[str], compared: int, counts: Row) -> list[tuple]
     return rows
 
 
-def in_parallel(spark: SparkSession, *actions: Callable) -> list:
-    """Run independent Spark actions at the same time; small ones then share the cluster."""
-    with ThreadPoolExecutor(len(actions)) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(a)) for a in actions]]
-
-
 def run_recon_job(spark: SparkSession, config: JobConfig) -> StoredRun:
     """Run one comparison, store its tables below ``<output>/runs/<run id>``, record it, reopen it.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.functions.names import ref
 from twinledger.operators.reconcile import status_rank
 from twinledger.operators.results import data_columns, mismatches_only
+from twinledger.plans.session import in_parallel
 
 # How many rows a published table may hold.
 TABLE_CAP = 10_000
@@ -135,9 +138,13 @@ def report_tables(
 
 def write_report(tables: dict[str, DataFrame], output: str, fmt: str = "parquet") -> dict[str, str]:
     """One directory per table below ``output``; returns where each one is."""
-    paths = {}
-    for name, df in tables.items():
-        paths[name] = f"{output.rstrip('/')}/{name}"
-        writer = df.write.mode("overwrite").format(fmt)
-        (writer.option("header", True) if fmt == "csv" else writer).save(paths[name])
+    paths = {name: f"{output.rstrip('/')}/{name}" for name in tables}
+
+    def write(name: str) -> Callable:
+        writer = tables[name].write.mode("overwrite").format(fmt)
+        writer = writer.option("header", True) if fmt == "csv" else writer
+        return lambda: writer.save(paths[name])
+
+    if tables:
+        in_parallel(next(iter(tables.values())).sparkSession, *[write(name) for name in tables])
     return paths
