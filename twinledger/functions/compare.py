@@ -29,20 +29,27 @@ def timestamp_from_text(text: Column) -> Column:
     return F.when(text.rlike(DATE_PATTERN), iso.try_cast("timestamp_ntz"))
 
 
+# How far two cells agree.
+EXACT, NEAR, DIFFERENT = 0, 1, 2
+
+
 @dataclass(frozen=True)
 class Cell:
-    """The comparison of one column, as expressions over the two raw values."""
+    """The comparison of one column, as expressions over the two raw values.
+
+    ``level`` is EXACT for equal normalized values, NEAR for values that agree only within the
+    tolerance or as times, else DIFFERENT. It is one expression per cell on purpose: boolean chains
+    over all cells of a wide table grow into code that neither Spark nor the JVM compiles well.
+    """
 
-    exact: Column
-    match: Column
+    level: Column
     source: Column
     target: Column
 
-    @property
-    def status(self) -> Column:
-        """``MATCH``, or the two raw values with null written as ``NULL``."""
+    def status(self, level: Column) -> Column:
+        """``MATCH``, or the two raw values with null written as ``NULL``, for a computed level."""
         missing = F.lit("NULL")
-        return F.when(self.match, F.lit(MATCH)).otherwise(
+        return F.when(level < DIFFERENT, F.lit(MATCH)).otherwise(
             F.concat(
                 F.lit("MISMATCH: "),
                 F.coalesce(self.source, missing),
@@ -59,28 +66,24 @@ def compare_cell(name: str, dtype: T.DataType, source: Column, target: Column, r
     case and date formats have no meaning; only the numeric tolerance applies.
     """
     tolerance = rules.float_epsilon
+    # Equal raw values are equal however they are normalized; most cells end the check here.
+    level = F.when(source.eqNullSafe(target), F.lit(EXACT))
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
         left, right = normalized_text(source, name, rules), normalized_text(target, name, rules)
-        exact = left.eqNullSafe(right)
-        match = exact
+        level = level.when(left.eqNullSafe(right), F.lit(EXACT))
         if tolerance:
             gap = F.abs(number_from_text(left) - number_from_text(right))
-            match = match | F.coalesce(gap <= F.lit(float(tolerance)), F.lit(False))
+            level = level.when(gap <= F.lit(float(tolerance)), F.lit(NEAR))
         if rules.normalize_dates:
-            same = timestamp_from_text(left) == timestamp_from_text(right)
-            match = match | F.coalesce(same, F.lit(False))
-    else:
-        exact = source.eqNullSafe(target)
-        match = exact
-        if tolerance and isinstance(dtype, T.NumericType):
-            if isinstance(dtype, T.IntegralType):
-                gap = F.abs(F.try_subtract(source.cast("decimal(20,0)"), target.cast("decimal(20,0)")))
-            else:
-                gap = F.abs(source.cast("double") - target.cast("double"))
-            match = match | F.coalesce(gap <= F.lit(float(tolerance)), F.lit(False))
+            level = level.when(timestamp_from_text(left) == timestamp_from_text(right), F.lit(NEAR))
+    elif tolerance and isinstance(dtype, T.NumericType):
+        if isinstance(dtype, T.IntegralType):
+            gap = F.abs(F.try_subtract(source.cast("decimal(20,0)"), target.cast("decimal(20,0)")))
+        else:
+            gap = F.abs(source.cast("double") - target.cast("double"))
+        level = level.when(gap <= F.lit(float(tolerance)), F.lit(NEAR))
     return Cell(
-        exact,
-        match,
+        level.otherwise(F.lit(DIFFERENT)),
         canonical_text(source, dtype, rules.numeric_scale),
         canonical_text(target, dtype, rules.numeric_scale),
     )

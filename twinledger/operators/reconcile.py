@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from twinledger.functions.compare import MATCH, Cell, compare_cell
+from twinledger.functions.compare import DIFFERENT, EXACT, MATCH, Cell, compare_cell
 from twinledger.functions.names import key_names, ref, with_clean_names
 from twinledger.operators.align import N_SOURCE, N_TARGET, SOURCE, TARGET, Aligned, align
 from twinledger.spec import CompareRules
@@ -20,6 +20,12 @@ MISSING_IN_SOURCE = "Missing in Source"
 MISSING_IN_TARGET = "Missing in Target"
 STATUS_ORDER = (FOUND_IN_BOTH, MISSING_IN_SOURCE, MISSING_IN_TARGET)
 
+# Name of the array with one agreement level per compared column.
+LEVELS = "__levels"
+
+# The JVM never compiles a method of more bytecodes than this.
+COMPILED_METHOD_LIMIT = 8000
+
 # Fixed value: rows listed per status and in the detail report unless asked otherwise.
 DETAIL_CAP = 500
 
@@ -86,16 +92,18 @@ class ReconResult:
             .when(F.col(N_TARGET) == 0, F.lit(MISSING_IN_TARGET))
             .otherwise(F.lit(FOUND_IN_BOTH))
         )
-        never = F.lit(False)
-        exact = reduce(and_, [c.exact for c in self._cells.values()]) if self.columns else ~never
-        match = reduce(and_, [c.match for c in self._cells.values()]) if self.columns else ~never
-        return self._aligned.select(
+        levels = [cell.level for cell in self._cells.values()] or [F.lit(EXACT)]
+        judged = self._aligned.select("*", status.alias("validation_status"), F.array(*levels).alias(LEVELS))
+        worst = F.array_max(LEVELS)
+        return judged.select(
             "*",
-            status.alias("validation_status"),
-            (in_both & ~exact).alias("mismatch_exact"),
-            (in_both & ~match).alias("mismatch"),
+            (in_both & (worst > EXACT)).alias("mismatch_exact"),
+            (in_both & (worst == DIFFERENT)).alias("mismatch"),
         )
 
+    def _level(self, position: int) -> Column:
+        return F.get(F.col(LEVELS), F.lit(position))
+
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> ReconResult:
         """Keep the aligned rows for the following tables; pair with ``unpersist``."""
         self._aligned = self._aligned.persist(level)
@@ -139,8 +147,8 @@ class ReconResult:
         counts = self.rows.agg(
             F.count_if(in_both).alias("_both"),
             *[
-                F.count_if(in_both & self._cells[name].match).alias(f"_m{i}")
-                for i, name in enumerate(self.columns)
+                F.count_if(in_both & (self._level(i) < DIFFERENT)).alias(f"_m{i}")
+                for i in range(len(self.columns))
             ],
         )
         per_column = F.array(
@@ -182,9 +190,9 @@ class ReconResult:
         if clashes:
             raise ValueError(f"key columns clash with result columns: {', '.join(sorted(clashes))}")
         out = []
-        for name, cell in self._cells.items():
+        for i, (name, cell) in enumerate(self._cells.items()):
             out += [
-                cell.status.alias(f"{name}_status"),
+                cell.status(self._level(i)).alias(f"{name}_status"),
                 cell.source.alias(f"{name}_source"),
                 cell.target.alias(f"{name}_target"),
             ]
@@ -212,11 +220,11 @@ class ReconResult:
             *[
                 F.struct(
                     F.lit(name).alias("column_name"),
-                    cell.status.alias("cell_status"),
+                    cell.status(self._level(i)).alias("cell_status"),
                     cell.source.alias("source_value"),
                     cell.target.alias("target_value"),
                 )
-                for name, cell in self._cells.items()
+                for i, (name, cell) in enumerate(self._cells.items())
             ]
         )
         return (
@@ -326,5 +334,18 @@ def reconcile(
 ) -> ReconResult:
     """Compare two tables on a composite key under the given rules."""
     rules = rules or CompareRules()
+    _split_large_methods(spark)
     aligned = align(source, target, keys, unique_keys=unique_keys, numeric_scale=rules.numeric_scale)
     return ReconResult(aligned, rules)
+
+
+def _split_large_methods(spark: SparkSession) -> None:
+    """Have Spark split generated code that the JVM would otherwise only interpret.
+
+    Comparing many columns makes one long method of a whole stage. Beyond the JVM's limit Spark is
+    told to generate such a stage operator by operator, in methods that are compiled. A lower limit
+    set by the caller is kept.
+    """
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name, "65535")) > COMPILED_METHOD_LIMIT:
+        spark.conf.set(name, str(COMPILED_METHOD_LIMIT))
