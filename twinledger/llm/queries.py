@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinledger.llm import chat_format, exact_dedup, mixing, packing, token_counts, warc
+from twinledger.llm import (
+    chat_format,
+    exact_dedup,
+    exact_topk,
+    license_scan,
+    minhash_dedup,
+    mixing,
+    packing,
+    token_counts,
+    toxicity,
+    warc,
+)
 from twinledger.llm.common import load
 
 
@@ -25,6 +36,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.parse(chat_format.render(messages)))
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_copy_report(spark, load(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_report(spark, load(spark, sf_dir, "documents"))
 
@@ -33,10 +48,22 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(spark, load(spark, sf_dir, "documents"))
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(spark, load(spark, sf_dir, "embeddings"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(load(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, load(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(spark, load(spark, sf_dir, "pages"))
 
@@ -72,6 +99,21 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM rows WINDOW same AS (PARTITION BY text)
 """
 
+OP6_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 OP10_SQL = r"""
 WITH payloads AS (
   SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
@@ -95,8 +137,12 @@ FROM base32
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
+    "op3_minhash_dedup": (op3_minhash_dedup, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_source_mixing": (op5_source_mixing, None),
+    "op6_exact_topk": (op6_exact_topk, OP6_SQL),
+    "op7_license_scan": (op7_license_scan, None),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
+    "op9_toxicity": (op9_toxicity, None),
     "op10_warc": (op10_warc, OP10_SQL),
 }
