@@ -1,0 +1,110 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+from helpers import CLASHING, ODD, docs, tuples
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from twinledger.llm import mixing
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def by_seat(shares, seats, limits):
+    """Sainte-Laguë, one seat at a time."""
+    held = [0] * len(shares)
+    for _ in range(seats):
+        open_ = [i for i, x in enumerate(shares) if x > 0 and held[i] < limits[i]]
+        if not open_:
+            break
+        held[max(open_, key=lambda i: (shares[i] / (2 * held[i] + 1), -i))] += 1
+    return held
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1000), st.integers(0, 60)), max_size=12), st.integers(0, 200))
+def test_apportionment_is_the_one_by_highest_quotients(parties, seats):
+    shares, limits = [s for s, _ in parties], [n for _, n in parties]
+    assert mixing.apportion(shares, seats, limits) == by_seat(shares, seats, limits)
+    assert mixing.apportion(shares, seats) == by_seat(shares, seats, [seats] * len(shares))
+
+
+@pytest.mark.parametrize(
+    ("sizes", "weights", "expected"),
+    [
+        ([100, 100, 100], [5, 2, 1], [187.5, 75.0, 37.5]),
+        ([10, 100, 100], [5, 2, 1], [30.0, 120.0, 60.0]),
+        ([0, 10], [5, 2], [0.0, 10.0]),
+        ([], [], []),
+        ([0], [5], [0.0]),
+    ],
+)
+def test_targets(sizes, weights, expected):
+    assert mixing.targets(sizes, weights, 3) == pytest.approx(expected)
+
+
+def corpus(seed=1):
+    rng, rows = random.Random(seed), []
+    for i in range(900):
+        source = "hot" if i % 3 else rng.choice(["a", "b", "Z", None, "é"])
+        rows.append((i, " \t".join(["w"] * rng.choice([0, 1, 5, 60, 700])), source))
+    return rows + [(9_000, "tiny source here", "tiny"), (9_001, None, "empty"), (9_002, "x " * 50_000, "b")]
+
+
+def check(rows, found):
+    sizes = Counter()
+    for _, text, *source in rows:
+        sizes[source[0] if source else "s"] += len(WORD.findall(text or ""))
+    sources = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    aims = mixing.targets([sizes[s] for s in sources], [(5, 2, 1)[i % 3] for i in range(len(sources))], 3)
+    aim, taken = dict(zip(sources, aims)), Counter()
+    assert len(found) == len(rows)
+    source_of = {i: (source[0] if source else "s") for i, _, *source in rows}
+    for i, size, source_size, target, took in found:
+        assert (source_size, target) == (sizes[source_of[i]], pytest.approx(aim[source_of[i]]))
+        assert 0 <= took <= 3 * size
+        taken[source_of[i]] += took
+    for source in sources:
+        assert abs(taken[source] - aim[source]) <= max(0.03 * aim[source], 2), source
+
+
+COLUMNS = ("doc_id", "size", "source_size", "target", "taken")
+
+
+def test_mix_comes_near_its_targets_and_reruns_agree(spark):
+    rows = corpus()
+    first = tuples(mixing.mix_report(spark, docs(spark, rows)), *COLUMNS)
+    check(rows, first)
+    assert tuples(mixing.mix_report(spark, docs(spark, rows[::-1]).repartition(5)), *COLUMNS) == first
+
+
+def test_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 5_000)
+    monkeypatch.setattr(mixing, "BROADCAST_SHARDS", 0)
+    check(corpus(2), tuples(mixing.mix_report(spark, docs(spark, corpus(2))), *COLUMNS))
+
+
+def test_odd_rows_clashing_columns_and_no_rows(spark):
+    found = tuples(mixing.mix_report(spark, docs(spark, ODD, CLASHING)), *COLUMNS)
+    assert len(found) == len(ODD) and all(took == size for _, size, _, _, took in found)
+    assert mixing.mix_report(spark, docs(spark, [])).count() == 0
+
+
+def test_mixed_texts_hold_the_words_taken(spark, tmp_path):
+    rows = [(i, " ".join(f"{i}_{k}" for k in range(n % 97)), "ab"[i % 2]) for i, n in enumerate(range(400))]
+    frame = docs(spark, [*rows, (7_000, None, "a"), (7_001, "\n", "b")], CLASHING, tmp_path / "d")
+    mixed = mixing.mix(spark, frame)
+    assert mixed.columns == frame.columns
+    words = Counter()
+    own = {i: WORD.findall(t) for i, t, _ in rows}
+    for r in mixed.collect():
+        found = WORD.findall(r["text"])
+        assert r["n_chars"] == len(r["text"]) and found
+        places = [own[r["doc_id"]].index(w) for w in found]
+        assert places == sorted(set(places))
+        words[r["doc_id"]] += len(found)
+    report = mixing.mix_report(spark, frame).collect()
+    assert {r["doc_id"]: r["taken"] for r in report if r["taken"]} == dict(words)
+    assert mixing.mix(spark, docs(spark, [], path=tmp_path / "e")).count() == 0

@@ -117,7 +117,8 @@ class SortedLists:
         return [(int(scores[i]), int(self.ids[who[i]])) for i in best]
 
 
-_NO_ID = np.iinfo(np.int64).max
+#: Stands for a null id, behind all others.
+_NO_ID = int(np.iinfo(np.int64).max)
 
 
 def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
@@ -131,8 +132,8 @@ def top_k(
     spark: SparkSession, embeddings: DataFrame, k: int = K, query_step: int = QUERY_STEP
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every query."""
-    vectors = written(spark, integer_vectors(embeddings))
-    is_query = F.col("vec_id") % query_step == 0
+    vectors = written(spark, integer_vectors(embeddings).fillna(_NO_ID, "vec_id"))
+    is_query = (F.col("vec_id") % query_step == 0) & (F.col("vec_id") != _NO_ID)
     total = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).head()
     shards = max(1, -(-total["n"] // SHARD_ROWS))
     blocks = max(1, -(-total["q"] // BLOCK_ROWS))
@@ -152,12 +153,11 @@ def top_k(
         rows = []
         if len(asked) and len(held):
             dims = max(held["vector"].map(len).max(), asked["vector"].map(len).max())
-            ids = held["vec_id"].fillna(_NO_ID).astype("int64").to_numpy()
-            lists = SortedLists(ids, _matrix(held["vector"], dims))
+            lists = SortedLists(held["vec_id"].to_numpy(), _matrix(held["vector"], dims))
             wanted = _matrix(asked["vector"], dims)
-            for which, (own, query) in enumerate(zip(asked["vec_id"], wanted)):
-                rows += [(own, asked["vector"].iat[which], vec_id, score) for score, vec_id in lists.best(query, int(own), k)]
-        return pd.DataFrame(rows, columns=["query_id", "vector", "vec_id", "score"])
+            for own, vector, query in zip(asked["vec_id"].tolist(), asked["vector"], wanted):
+                rows += [(own, vector, vec_id, score) for score, vec_id in lists.best(query, own, k)]
+        return pd.DataFrame(rows, columns=["query_id", "vector", "vec_id", "score"], dtype=object)
 
     local = (
         queries.groupBy("block", "shard")
@@ -168,5 +168,5 @@ def top_k(
     return (
         local.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .select("query_id", "rank", F.nullif("vec_id", F.lit(int(_NO_ID))).alias("vec_id"), "score")
+        .select("query_id", "rank", F.nullif("vec_id", F.lit(_NO_ID)).alias("vec_id"), "score")
     )

@@ -80,7 +80,7 @@ def word_frequencies(docs: DataFrame, words: frozenset[bytes]) -> dict[bytes, in
         for batch in batches:
             for text in batch["text"]:
                 found.update(w for w in words_of(_plain(text)) if w in words)
-        yield pd.DataFrame({"word": [w.decode() for w in found], "n": list(found.values())}).astype({"n": "int64"})
+        yield pd.DataFrame([(w.decode(), n) for w, n in found.items()], columns=["word", "n"], dtype=object)
 
     counted = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r["word"].encode(): r["n"] for r in counted.collect()}  # at most the templates' words
@@ -174,7 +174,6 @@ def scan(
 
     @F.pandas_udf(schema)
     def scanned(texts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([one(t) for t in texts], columns=names)
-        return out.astype({"first_word": "Int64", "last_word": "Int64"})
+        return pd.DataFrame([one(t) for t in texts], columns=names, dtype=object)
 
     return docs.select("doc_id", scanned("text").alias("found")).select("doc_id", "found.*")

@@ -123,7 +123,8 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf(_SIGNATURE)
     def sign(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([signature(t) for t in texts], columns=[c.split()[0] for c in _SIGNATURE.split(", ")])
+        names = [column.split()[0] for column in _SIGNATURE.split(", ")]
+        return pd.DataFrame([signature(t) for t in texts], columns=names, dtype=object)
 
     return numbered(docs, "_row").select("_row", "doc_id", sign("text").alias("s")).select("_row", "doc_id", "s.*")
 

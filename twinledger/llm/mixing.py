@@ -118,7 +118,7 @@ def plan(
     by_source = _plan_table(
         spark,
         [
-            (source, i, n, aim, max(1, min(MAX_SHARDS, math.ceil(n / SHARD_WORDS))))
+            (source, i, n, float(aim), max(1, min(MAX_SHARDS, math.ceil(n / SHARD_WORDS))))
             for i, (source, n, aim) in enumerate(zip(sources, sizes, aims))
         ],
         "_source string, place int, source_size long, target double, shards int",
@@ -134,11 +134,11 @@ def plan(
         by_place.setdefault(r["place"], []).append((r["shard"], r["n"]))
     rows = []
     for place, shards in by_place.items():
-        counts = [math.ceil(n / block) for _, n in shards]
+        counts = [max(1, (n + block // 2) // block) for _, n in shards]
         held = apportion([n for _, n in shards], quotas[place], [max_repeats * c for c in counts])
         for (shard, _), count, quota in zip(shards, counts, held):
-            phase = (seed * 7919 + place * 104_729 + shard * 1_299_709) % max(1, count)
-            rows.append((place, shard, max(1, count), quota // max(1, count), quota % max(1, count), phase))
+            phase = (seed * 7919 + place * 104_729 + shard * 1_299_709) % count
+            rows.append((place, shard, count, quota // count, quota % count, phase))
     by_shard = _plan_table(
         spark, rows, "place int, shard int, blocks long, base long, more long, phase long"
     )
@@ -156,12 +156,13 @@ def plan(
 def _once_more(words):
     """Of a shard's first ``words`` words, how many are in blocks taken once more.
 
-    Block j is such a block when (j * more + phase) // blocks steps up from j to j + 1.
+    Block j is such a block when (j * more + phase) // blocks steps up from j to j + 1. The last block
+    also holds what is left of the shard, less than half a block more, or is as much shorter.
     """
     def steps(j):
         return F.floor((j * F.col("more") + F.col("phase")) / F.col("blocks"))
 
-    j = F.floor(words / F.col("block"))
+    j = F.least(F.floor(words / F.col("block")), F.col("blocks") - 1)
     return steps(j) * F.col("block") + (words - j * F.col("block")) * (steps(j + 1) - steps(j))
 
 
@@ -182,9 +183,10 @@ def _extra_text(text, start, size, block, blocks, more, phase):
                 out.append(None)
                 continue
             places, runs = [m.span() for m in word.finditer(t)], []
-            for j in range(s // b, (s + n - 1) // b + 1):
+            for j in range(min(s // b, count - 1), min((s + n - 1) // b, count - 1) + 1):
                 if ((j + 1) * extra + u) // count > (j * extra + u) // count:
-                    first, last = max(s, j * b) - s, min(s + n, (j + 1) * b) - s
+                    first = max(s, j * b) - s
+                    last = n if j == count - 1 else min(s + n, (j + 1) * b) - s
                     if runs and runs[-1][1] == first:
                         runs[-1][1] = last
                     else:

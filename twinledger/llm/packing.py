@@ -64,7 +64,7 @@ def pieces(
                     row = (doc_id, piece, start, n, crc, part, seen[n], ids[start:end])
                     rows.append(row[: len(names)])
                     seen[n] += 1
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": object})
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, place long"

@@ -61,7 +61,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return toxicity.score_report(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,17 +6,16 @@ share it; so inflected terms are found as well. A logistic regression over a few
 gives the score.
 
 Finding. The lexicon is a trie. Each word is run through it with a Levenshtein automaton for one edit, kept as
-bits, which leaves a branch as soon as no spelling below it can be near enough. Exact and misspelled
-finds are counted apart.
+bits, which leaves a branch as soon as no spelling below it can be near enough. A word one edit from a whole
+term is a misspelling of it, unless clean texts of the fit hold that word.
 
-Context. A find counts as quoted when it stands inside quotation marks on its line, or when one of the
-WINDOW words before it is a word of reporting; quoted finds are counted apart as well, and the fit gives them
-a weight of their own.
+Context. A find is quoted when it stands between quotation marks on its line, or when one of the WINDOW
+words before it is a word of reporting. Quoted and misspelled finds count as QUOTED and MISSPELLED of a find.
 
 Only the text is an input of a score; labels serve the fit alone. The fit reads at most FIT_ROWS
 labelled rows of each class, chosen by hash, and MAX_TERMS terms; all else covers all documents.
 Rows without a label, or with a null one, are not learnt from; of several labels the highest counts. Without any
-toxic or clean example every score is that share. Null texts are empty; an empty text gets the score of
+toxic (or clean) example every score is 0 (or 1), but for rounding. Null texts are empty; an empty text gets the score of
 a text without finds. Repeated rows are scored each time; an empty table gives no rows. Other columns are
 carried along by ``drop_toxic`` and are not read by the rest.
 """
@@ -32,16 +31,19 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinledger.llm.common import written
+
 #: Labelled rows of each class that a fit reads, and terms that a lexicon holds.
 FIT_ROWS, MAX_TERMS = 40_000, 5_000
 #: Texts that must hold a term, how much more often toxic ones must, and words that share a beginning.
 MIN_TEXTS, MIN_RATIO, MIN_WORDS = 8, 20.0, 4
 #: Lengths of beginnings, and the least length of a term that may be misspelled.
 SHORTEST, LONGEST, FUZZY_LENGTH = 3, 10, 5
-WINDOW = 4
+WINDOW, QUOTED, MISSPELLED = 4, 0.4, 0.9
 THRESHOLD = 0.3
 KEPT_WORDS = 500_000
 # Words that announce somebody else's speech.
@@ -83,7 +85,7 @@ class Lexicon:
         return best
 
     def near(self, word: str) -> int | None:
-        """A term one edit away from the word, or for open terms from a beginning of it.
+        """A whole term one edit away from the word.
 
         Bit i of ``none`` (of ``one``) says that the path so far is the word's first i letters with no
         (with at most one) edit.
@@ -97,10 +99,8 @@ class Lexicon:
         found, stack = [], [(self.root, 1, 3, 0)]
         while stack:
             (children, ends), none, one, depth = stack.pop()
-            if depth >= FUZZY_LENGTH:
-                for number, open_ in ends:
-                    if one >> len(word) & 1 or (open_ and depth > FUZZY_LENGTH):
-                        found.append(number)
+            if depth >= FUZZY_LENGTH and one >> len(word) & 1:
+                found += [number for number, open_ in ends if not open_]
             for letter, child in children.items():
                 mask = letters.get(letter, 0)
                 exact = (none & mask) << 1
@@ -113,26 +113,29 @@ class Lexicon:
 
 @dataclass(frozen=True)
 class Model:
+    """terms: (term, open, weight); known: words of clean texts that are one edit from a term."""
+
     terms: tuple[tuple[str, bool, float], ...] = ()
+    known: frozenset[str] = frozenset()
     weights: tuple[float, ...] = ()
     bias: float = 0.0
 
-    def score(self, features: Sequence[float]) -> float:
-        z = self.bias + sum(w * x for w, x in zip(self.weights, features))
+    def score(self, text: str | None) -> float:
+        z = self.bias + sum(w * x for w, x in zip(self.weights, features(self.terms, self.known, text)))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
 class _Matcher(dict):
     """Word -> (term, misspelled) or None, remembered."""
 
-    def __init__(self, lexicon: Lexicon):
+    def __init__(self, lexicon: Lexicon, known: frozenset[str]):
         super().__init__()
-        self.lexicon = lexicon
+        self.lexicon, self.known = lexicon, known
 
     def __missing__(self, word: str):
         number = self.lexicon.exact(word)
         found = (number, False) if number is not None else None
-        if found is None:
+        if found is None and word not in self.known:
             number = self.lexicon.near(word)
             found = (number, True) if number is not None else None
         if len(self) < KEPT_WORDS:
@@ -141,42 +144,40 @@ class _Matcher(dict):
 
 
 @lru_cache(maxsize=2)
-def _matcher(terms: tuple[tuple[str, bool, float], ...]) -> _Matcher:
-    return _Matcher(Lexicon(terms))
-
+def _matcher(terms: tuple[tuple[str, bool, float], ...], known: frozenset[str]) -> _Matcher:
+    return _Matcher(Lexicon(terms), known)
 
-N_FEATURES = 7
 
-
-def features(terms: tuple[tuple[str, bool, float], ...], text: str | None) -> list[float]:
-    """Direct finds, their largest weight, their share of the words, different terms, misspelled, quoted, heaviest quoted."""
+def finds(terms, known: frozenset[str], text: str | None) -> tuple[int, list[tuple[str, int, int, float]]]:
+    """Number of words, and (term, start, end, what it counts) of all finds in the text in lower case."""
     lowered = (text or "").lower()
-    matcher = _matcher(terms)
+    matcher = _matcher(terms, known)
     words = _WORD.findall(lowered)
     found = [(at, hit) for at, hit in enumerate(map(matcher.__getitem__, words)) if hit]
     if not found:
-        return [0.0] * N_FEATURES
-    places = [m.start() for m in _WORD.finditer(lowered)]
-    direct, misspelled, quoted = [], 0, []
-    for at, (number, fuzzy) in found:
-        line = lowered.rfind("\n", 0, places[at]) + 1
-        inside = len(_QUOTES.findall(lowered, line, places[at])) % 2 == 1
-        if inside or not REPORTING.isdisjoint(words[max(0, at - WINDOW) : at]):
-            quoted.append(number)
-        elif fuzzy:
-            misspelled += 1
-        else:
-            direct.append(number)
-    weight = lambda numbers: max((terms[n][2] for n in numbers), default=0.0)
-    return [
-        math.log1p(len(direct)),
-        weight(direct),
-        math.sqrt(len(direct) / len(words)),
-        math.log1p(len(set(direct))),
-        math.log1p(misspelled),
-        math.log1p(len(quoted)),
-        weight(quoted),
-    ]
+        return len(words), []
+    spans, out = [m.span() for m in _WORD.finditer(lowered)], []
+    for at, (number, misspelled) in found:
+        start, end = spans[at]
+        line_end = lowered.find("\n", end)
+        before = len(_QUOTES.findall(lowered, lowered.rfind("\n", 0, start) + 1, start))
+        after = _QUOTES.search(lowered, end, line_end if line_end >= 0 else len(lowered))
+        quoted = (before % 2 == 1 and after) or not REPORTING.isdisjoint(words[max(0, at - WINDOW) : at])
+        out.append((number, start, end, (QUOTED if quoted else 1.0) * (MISSPELLED if misspelled else 1.0)))
+    return len(words), out
+
+
+def features(terms, known: frozenset[str], text: str | None) -> list[float]:
+    """How many finds, the heaviest, their share of the words, how many terms."""
+    n_words, found = finds(terms, known, text)
+    if not found:
+        return [0.0] * 4
+    total = sum(counts for *_, counts in found)
+    by_term: dict[int, float] = {}
+    for number, _, _, counts in found:
+        by_term[number] = max(counts, by_term.get(number, 0.0))
+    heaviest = max(terms[number][2] * counts for number, counts in by_term.items())
+    return [math.log1p(total), heaviest, math.sqrt(total / n_words), math.log1p(sum(by_term.values()))]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -184,20 +185,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int], dict[int, float]]:
-    """(text, toxic) rows for the fit; counts of each class; share of each that is read."""
+def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """(text, toxic) rows for the fit; share of each class's labels that was drawn.
+
+    Copies and most near copies count once: of rows with the same min-hash of three-word shingles and the
+    same label, one is kept. Else the words of a text that was copied often would look like terms.
+    """
     marked = (
         labels.filter("toxic is not null")
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
         .filter(~held_out(F.col("doc_id")))
+        .withColumn("toxic", (F.col("toxic") == 1).cast("int"))
     )
     counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     shares = {c: min(1.0, FIT_ROWS / n) for c, n in counts.items()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000))
     limit = F.when(F.col("toxic") == 1, shares.get(1, 1.0)).otherwise(shares.get(0, 1.0)) * 1_000_000
-    drawn = F.broadcast(marked.filter(draw < limit))  # some FIT_ROWS of each class, 12 bytes each
-    return docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "toxic"), counts, shares
+
+    @F.pandas_udf("long")
+    def mark(texts: pd.Series) -> pd.Series:
+        return pd.Series([_first_shingle(t) for t in texts], dtype="int64")
+
+    texts = docs.select("doc_id", "text")
+    # Both sides that are broadcast hold some FIT_ROWS ids of each class.
+    drawn = texts.join(F.broadcast(marked.filter(draw < limit)), "doc_id")
+    one = drawn.select("doc_id", "toxic", mark("text").alias("mark")).groupBy("mark", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    return texts.join(F.broadcast(one.select("doc_id", "toxic")), "doc_id").select("text", "toxic"), shares
+
+
+def _first_shingle(text: str | None) -> int:
+    """The smallest hash of three words in a row, as a signed number."""
+    words = words_of(text)
+    shingles = (" ".join(words[at : at + 3]) for at in range(max(1, len(words) - 2)))
+    return min(map(xxhash.xxh3_64_intdigest, shingles)) - 2**63
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
@@ -207,19 +228,39 @@ def _word_counts(sample: DataFrame) -> DataFrame:
         found = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
-                found[int(toxic == 1)].update(set(words_of(text)))
-        words = list(found[0].keys() | found[1].keys())
-        yield pd.DataFrame(
-            {"word": words, "toxic_texts": [found[1][w] for w in words], "clean_texts": [found[0][w] for w in words]}
-        ).astype({"word": object, "toxic_texts": "int64", "clean_texts": "int64"})
+                found[toxic].update(set(words_of(text)))
+        rows = [(w, found[1][w], found[0][w]) for w in found[0].keys() | found[1].keys()]
+        yield pd.DataFrame(rows, columns=["word", "toxic_texts", "clean_texts"], dtype=object)
 
     counted = sample.mapInPandas(count, "word string, toxic_texts long, clean_texts long")
     return counted.groupBy("word").agg(F.sum("toxic_texts").alias("toxic_texts"), F.sum("clean_texts").alias("clean_texts"))
 
 
-def _lexicon(sample: DataFrame, n_toxic: float, n_clean: float) -> tuple[tuple[str, bool, float], ...]:
+def _term_counts(sample: DataFrame, candidates: frozenset[tuple[str, bool]]) -> dict[tuple[str, bool], list[int]]:
+    """Candidate -> how many clean and how many toxic texts hold it."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
+        for batch in batches:
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                words = set(words_of(text))
+                held = {(w, False) for w in words}
+                held.update((w[:n], True) for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1))
+                found.update((*term, toxic) for term in held & candidates)
+        rows = [(*key, n) for key, n in found.items()]
+        yield pd.DataFrame(rows, columns=["term", "open", "toxic", "n"], dtype=object)
+
+    counted = sample.mapInPandas(count, "term string, open boolean, toxic int, n long")
+    out = {term: [0, 0] for term in candidates}
+    for r in counted.groupBy("term", "open", "toxic").agg(F.sum("n").alias("n")).collect():
+        out[r["term"], r["open"]][r["toxic"]] = r["n"]
+    return out
+
+
+def _lexicon(
+    words: DataFrame, sample: DataFrame, n_toxic: float, n_clean: float
+) -> tuple[tuple[str, bool, float], ...]:
     least = max(3, min(MIN_TEXTS, int(n_toxic / 10)))
-    words = _word_counts(sample)
     lengths = F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.char_length("word")))
     begun = words.filter(F.char_length("word") >= SHORTEST).select(
         F.explode(F.transform(lengths, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("term"),
@@ -240,25 +281,30 @@ def _lexicon(sample: DataFrame, n_toxic: float, n_clean: float) -> tuple[tuple[s
         .limit(4 * MAX_TERMS)
         .collect()
     )
-    beginnings = {r["term"]: r for r in rows if r["open"]}
+    n_words = {(r["term"], r["open"]): r["words"] for r in rows}
+    texts = {
+        term: (toxic, clean)
+        for term, (clean, toxic) in _term_counts(sample, frozenset(n_words)).items()
+        if toxic >= least and (toxic / n_toxic) >= MIN_RATIO * (clean + 0.5) / n_clean
+    }
+
+    def weight(term: tuple[str, bool]) -> float:
+        toxic, clean = texts[term]
+        return math.log((toxic + 0.5) / n_toxic) - math.log((clean + 0.5) / n_clean)
+
+    # The longest form of a beginning that still covers its texts.
+    covered = {
+        term[:-1]
+        for term, open_ in texts
+        if open_ and (term[:-1], True) in texts and texts[term, True][0] >= 0.95 * texts[term[:-1], True][0]
+    }
     chosen: dict[str, tuple[str, bool, float]] = {}
-
-    def weight(r) -> float:
-        return math.log((r["toxic"] + 0.5) / n_toxic) - math.log((r["clean"] + 0.5) / n_clean)
-
-    # The longest form of a beginning that still covers its words.
-    covered = {t[:-1] for t, r in beginnings.items() if len(t) > SHORTEST and t[:-1] in beginnings
-               and r["toxic"] >= 0.95 * beginnings[t[:-1]]["toxic"]}
-    for term in sorted(beginnings, key=len):
-        r = beginnings[term]
-        if r["words"] >= MIN_WORDS and term not in covered:
-            if not any(term[:n] in chosen for n in range(SHORTEST, len(term))):
-                chosen[term] = (term, True, weight(r))
-    for r in rows:
-        term = r["term"]
-        if not r["open"] and not any(term[:n] in chosen and chosen[term[:n]][1] for n in range(SHORTEST, len(term) + 1)):
-            chosen.setdefault(term, (term, False, weight(r)))
-    return tuple(sorted(chosen.values(), key=lambda t: -t[2]))[:MAX_TERMS]
+    for term, open_ in sorted(texts, key=lambda t: (not t[1], len(t[0]), t[0])):
+        if open_ and (n_words[term, True] < MIN_WORDS or term in covered):
+            continue
+        if not any(chosen.get(term[:n], ("", False))[1] for n in range(SHORTEST, len(term) + 1)):
+            chosen[term] = (term, open_, weight((term, open_)))
+    return tuple(sorted(chosen.values(), key=lambda t: (-t[2], t[0])))[:MAX_TERMS]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray) -> np.ndarray:
@@ -286,31 +332,47 @@ def _fit(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """Learn lexicon and weights from the labelled rows that are not held out."""
-    sample, counts, shares = _sample(docs, labels)
-    n_toxic = counts.get(1, 0)
-    n_clean = sum(n for c, n in counts.items() if c != 1)
-    share = n_toxic / max(1, n_toxic + n_clean)
-    if not n_toxic or not n_clean:
-        return Model(bias=40.0 if n_toxic else -40.0)
-    terms = _lexicon(sample, max(1.0, n_toxic * shares[1]), max(1.0, n_clean * shares.get(0, 1.0)))
-    found = _with_features(sample, F.col("text"), terms)
+    sample, shares = _sample(docs, labels)
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return Model(bias=40.0 if 1 in sizes else -40.0)
+    words = written(spark, _word_counts(sample))
+    terms = _lexicon(words, sample, sizes[1], sizes[0])
+    known = _known(words, terms)
+    found = _with_features(sample, F.col("text"), terms, known)
     # Equal rows of features are summed before they come to the driver: at most FIT_ROWS of each class.
     table = found.groupBy("toxic", "_features").agg(F.count(F.lit(1)).alias("n")).collect()
-    if not table:
-        return Model(bias=math.log(share / (1 - share)))
     x = np.array([r["_features"] for r in table], float)
-    y = np.array([r["toxic"] == 1 for r in table], float)
-    n = np.array([r["n"] / shares.get(r["toxic"], 1.0) for r in table], float)
+    y = np.array([r["toxic"] for r in table], float)
+    n = np.array([r["n"] / shares[r["toxic"]] for r in table], float)
     w = _fit(x, y, n)
-    return Model(terms, tuple(map(float, w[1:])), float(w[0]))
+    return Model(terms, known, tuple(map(float, w[1:])), float(w[0]))
+
+
+def _known(words: DataFrame, terms) -> frozenset[str]:
+    """The words of clean texts that one edit turns into a term, the most frequent if there are very many."""
+
+    @F.pandas_udf("boolean")
+    def near(batch: pd.Series) -> pd.Series:
+        lexicon = Lexicon(terms)
+        return pd.Series([lexicon.exact(w) is None and lexicon.near(w) is not None for w in batch], dtype=bool)
+
+    lengths = [len(term) for term, open_, _ in terms if not open_ and len(term) >= FUZZY_LENGTH]
+    if not lengths:
+        return frozenset()
+    candidates = words.filter(
+        (F.col("clean_texts") > 0) & F.char_length("word").between(min(lengths) - 1, max(lengths) + 1)
+    )
+    rows = candidates.filter(near("word")).orderBy(F.desc("clean_texts"), "word").limit(4 * MAX_TERMS).collect()
+    return frozenset(r["word"] for r in rows)
 
 
-def _with_features(df: DataFrame, text: Column, terms) -> DataFrame:
+def _with_features(df: DataFrame, text: Column, terms, known: frozenset[str]) -> DataFrame:
     @F.pandas_udf("array<double>")
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(terms, t) for t in texts], dtype=object)
+        return pd.Series([features(terms, known, t) for t in texts], dtype=object)
 
     return df.withColumn("_features", found(text))
 
@@ -320,18 +382,18 @@ def toxicity_score(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(features(model.terms, t)) for t in texts], dtype="float64")
+        return pd.Series([model.score(t) for t in texts], dtype="float64")
 
     return scored(text)
 
 
-def score_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_report(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    model = fit(docs, labels)
+    model = fit(spark, docs, labels)
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity_score(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score THRESHOLD or more."""
-    return docs.filter(toxicity_score(fit(docs, labels), F.col("text")) < THRESHOLD)
+    return docs.filter(toxicity_score(fit(spark, docs, labels), F.col("text")) < THRESHOLD)

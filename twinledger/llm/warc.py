@@ -152,9 +152,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                rows = pd.DataFrame(list(parse_records(content)))
-                if len(rows):
-                    yield rows.astype({"page_id": "Int64", "payload_bytes": "Int64"})
+                names = [column.split()[0] for column in _PARSED.split(", ")]
+                yield pd.DataFrame(list(parse_records(content)), columns=names, dtype=object)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(parsed, _PARSED)
