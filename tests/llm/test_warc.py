@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import random
 
@@ -51,14 +52,14 @@ def test_small_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
     path = str(tmp_path / "archives")
     warc.write_archives(spark, table(spark, pages(), tmp_path / "p"), path)
-    assert len(list((tmp_path / "archives").glob("*.txt"))) > 10
+    assert len(list((tmp_path / "archives").glob("*.gz"))) > 10
     assert tuples(warc.resolve(spark, warc.read_archives(spark, path)), *COLUMNS) == brute(pages())
 
 
 def test_records_are_warc(spark, tmp_path):
     path = tmp_path / "archives"
     warc.write_archives(spark, table(spark, [(1, "http://h/a b", "body"), (2, None, "body")], tmp_path / "p").coalesce(1), str(path))
-    content = b"".join(f.read_bytes() for f in path.glob("*.txt"))
+    content = b"".join(gzip.decompress(f.read_bytes()) for f in path.glob("*.gz"))
     assert content.count(b"WARC/1.1\r\n") == 2
     assert b"WARC-Target-URI: http://h/a%20b\r\n" in content
     assert content.count(b"body") == 1 and b"WARC-Profile: " + warc.REVISIT_PROFILE.encode() in content

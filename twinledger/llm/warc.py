@@ -1,8 +1,8 @@
 """WARC: deduplicated archives by revisit resolution.
 
 Only headers (row, page, digests, size) are shuffled by payload digest to decide which record is the
-response; the payloads move once, to meet that decision. Archives are written by Spark as WARC/1.1 text
-files in the shared folder, so they may lie in any store that Spark writes to. Reading back cuts the
+response; the payloads move once, to meet that decision. Archives are written by Spark as gzipped WARC/1.1 files
+in the shared folder, so they may lie in any store that Spark writes to. Reading back cuts the
 archives by the records' own lengths, takes size and digest from the payloads themselves, and joins
 revisit records to the original responses.
 
@@ -16,6 +16,7 @@ are percent-encoded; a null URL or page_id leaves its header out. Other columns
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from twinledger.llm.common import numbered, written
 from twinledger.plans.session import scratch_dir
 
-#: Bytes that a file of an archive should hold, so that a task reads one within its memory.
+#: Bytes that a file of an archive should hold before it is compressed, so that a task reads one within its memory.
 FILE_BYTES = 32_000_000
 EPOCH = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -117,7 +118,7 @@ def write_archives(
         block,
     )
     records = rows.join(decisions, "_row").select(record.alias("value"))
-    records.write.option("lineSep", _END).option("maxRecordsPerFile", per_file).text(path)
+    records.write.option("lineSep", _END).option("maxRecordsPerFile", per_file).text(path, compression="gzip")
 
 
 def parse_records(content: bytes) -> Iterator[dict]:
@@ -153,7 +154,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 names = [column.split()[0] for column in _PARSED.split(", ")]
-                yield pd.DataFrame(list(parse_records(content)), columns=names, dtype=object)
+                yield pd.DataFrame(list(parse_records(gzip.decompress(content))), columns=names, dtype=object)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(parsed, _PARSED)
