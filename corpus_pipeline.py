@@ -16,7 +16,7 @@ from twinledger.llm.common import load, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.drop_toxic(docs, load(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(spark, docs, load(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
