@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from twinledger import CompareRules, JobConfig, TableSpec, compare_files, read_table, reconcile
 from twinledger.operators.reconcile import sample_of_equal_tables
-from twinledger.plans import history
+from twinledger.plans import history, job
 from twinledger.plans.job import load_run, run_recon_job
 from twinledger.plans.report import report_tables, write_report
-from twinledger.plans.session import scratch_dir, shuffle_settings
+from twinledger.plans.session import shuffle_settings
 
 SOURCE = "Id,Name,Amount\n1,Ann,1.00\n2,Bob,2.00\n2,Bob,2.00\n3,Cy,3.00\n4,Di,4.00\n5,x,y,z\nEOF,3\n"
 TARGET = "Id|Name|Amount\n1|Ann|1.00\n2| Bob |2.00\n3|Cy|3.50\n6|Flo|6.00\nEOF|4\n"
@@ -144,17 +146,45 @@ def test_expiry(spark, tmp_path):
         history.append_run(run(i, day), out)
     assert len(names) == len(history.read_history(spark, out).columns)
     now = F.lit("2025-01-12 00:00:00").cast("timestamp")
-    history.purge_runs(spark, out, now, history.REPORT_TTL_SECONDS, scratch_dir(spark))
+    spark.range(3).write.parquet(f"{out}/runs/r0/exceptions")
+    assert history.purge_runs(spark, out, now, history.REPORT_TTL_SECONDS) == 1
+    assert not (tmp_path / "runs" / "r0").exists()
     assert sorted(r["run_id"] for r in history.read_history(spark, out).collect()) == ["r1", "r2"]
     recent = history.recent_runs(spark, out, limit=1).collect()
     assert [(r["run_id"], r["has_results"]) for r in recent] == [("r2", False)]
+    history.append_run(run(3, "2025-01-10"), out)
+    assert history.purge_runs(spark, out, F.lit("2025-01-17 12:00:00").cast("timestamp"), 8 * 24 * 3600) == 1
+    assert sorted(r["run_id"] for r in history.read_history(spark, out).collect()) == ["r2", "r3"]
+
+
+def test_a_day_that_keeps_some_runs_is_rewritten(spark, tmp_path):
+    out, schema = str(tmp_path), history.HISTORY_SCHEMA
+    names = spark.createDataFrame([], schema).columns
+    day = datetime.date(2025, 1, 1)
+    rows = [{"run_id": f"r{h}", "finished_at": datetime.datetime(2025, 1, 1, h), "run_date": day} for h in (1, 2, 20)]
+    history.append_run(spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema), out)
+    assert history.purge_runs(spark, out, F.lit("2025-01-01 22:00:00").cast("timestamp"), 4 * 3600) == 2
+    assert [r["run_id"] for r in history.read_history(spark, out).collect()] == ["r20"]
+
+
+def test_a_new_output_has_no_runs(spark, tmp_path):
+    assert history.recent_runs(spark, str(tmp_path / "new")).collect() == []
+
+
+def test_runs_within_a_second_stay_apart_and_leave_no_staging(spark, config, tmp_path, monkeypatch):
+    staging = tmp_path / "staging"
+    monkeypatch.setattr(job, "scratch_dir", lambda _: str(staging))
+    runs = [run_recon_job(spark, config) for _ in range(2)]
+    assert runs[0].run_id != runs[1].run_id
+    assert not staging.exists()
 
 
 def test_drop_results(spark, tmp_path):
     path = str(tmp_path / "detail")
     spark.range(5).write.parquet(path)
     history.drop_results(spark, path)
-    assert spark.read.parquet(path).count() == 0
+    history.drop_results(spark, path)
+    assert not (tmp_path / "detail").exists()
 
 
 def test_shuffle_settings_grow_with_the_input():

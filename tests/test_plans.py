@@ -19,7 +19,7 @@ def plan_of(df) -> str:
 
 
 def test_summary_shuffles_each_side_once(spark):
-    result = reconcile(spark, *pairs.orders_pair(spark, SF), ["o_orderkey"], pairs.ORDERS_RULES)
+    result = reconcile(spark, *pairs.orders_pair(spark, SF), ["o_orderkey"], pairs.ORDERS_RULES, unique_keys=False)
     plan = plan_of(result.summary)
     hashed = re.findall(r"Exchange hashpartitioning", plan)
     assert len(hashed) == 1
@@ -34,6 +34,28 @@ def test_unique_keys_plan_is_one_join(spark):
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
 
 
+def test_keys_that_do_not_repeat_need_no_sort_before_the_shuffle(spark):
+    result = reconcile(spark, *pairs.orders_pair(spark, SF), ["o_orderkey"], pairs.ORDERS_RULES)
+    plan = plan_of(result.summary)
+    assert "FullOuter" in plan and "partial_min" not in plan
+    for part in plan.split("Exchange hashpartitioning")[1:]:
+        assert "Sort " not in part.split("Scan parquet")[0]
+
+
+def test_a_broken_promise_of_unique_keys_is_refused(spark):
+    table = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    with pytest.raises(ValueError, match="keys repeat"):
+        reconcile(spark, table, table, ["k"], unique_keys=True)
+    row = reconcile(spark, table, table, ["k"]).summary.head()
+    assert (row["source_keys"], row["source_duplicate_rows"]) == (2, 1)
+
+
+def test_the_session_is_left_as_it_is(spark):
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    reconcile(spark, *pairs.orders_pair(spark, SF), ["o_orderkey"]).summary.head()
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
+
+
 def test_keys_only_reads_only_keys(spark):
     source, target = pairs.lineitem_pair(spark, SF)
     plan = plan_of(key_ops.missing_in_target(source, target, pairs.LINEITEM_KEYS))
@@ -52,7 +74,7 @@ def test_filters_on_the_inputs_reach_the_scan(spark):
 
 def test_capped_detail_limits_before_its_shuffle(spark):
     result = reconcile(spark, *pairs.orders_pair(spark, SF), ["o_orderkey"], pairs.ORDERS_RULES)
-    plan = plan_of(result.detail_report())
+    plan = plan_of(result.detail_report(cap=500, per_status=500))
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert "TakeOrderedAndProject" in plan
 
@@ -88,7 +110,7 @@ def test_bucketed_tables_are_compared_without_a_shuffle(spark):
     for name, df in (("bucketed_source", source), ("bucketed_target", target)):
         df.write.mode("overwrite").bucketBy(8, "o_orderkey").sortBy("o_orderkey").saveAsTable(name)
     result = reconcile(
-        spark, spark.table("bucketed_source"), spark.table("bucketed_target"), ["o_orderkey"], pairs.ORDERS_RULES
+        spark, spark.table("bucketed_source"), spark.table("bucketed_target"), ["o_orderkey"], pairs.ORDERS_RULES, unique_keys=False
     )
     assert "Exchange" not in plan_of(result.detail)
     assert result.summary.head()["mismatched_rows"] == 981

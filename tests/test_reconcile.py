@@ -212,11 +212,11 @@ def test_caps_per_status_and_overall(spark):
     s = spark.range(3000).select(F.col("id").alias("k"), F.lit("a").alias("v"))
     t = spark.range(1000, 5000).select(F.col("id").alias("k"), F.lit("b").alias("v"))
     result = reconcile(spark, s, t, ["k"])
-    capped = result.detail_report()
+    capped = result.detail_report(cap=500, per_status=500)
     assert [r["k"] for r in capped.collect()] == list(range(1000, 1500))
-    wide = Counter(r["validation_status"] for r in result.detail_report(cap=None).collect())
+    wide = Counter(r["validation_status"] for r in result.detail_report(per_status=500).collect())
     assert wide == {"Found in Both": 500, "Missing in Source": 500, "Missing in Target": 500}
-    assert result.detail_report(cap=None, per_status=None).count() == 5000
+    assert result.detail_report().count() == 5000
     large = top_per_status(result.detail, ["k"], 1500)
     assert Counter(r["validation_status"] for r in large.collect()) == {
         "Found in Both": 1500,

@@ -17,6 +17,7 @@ from twinledger.sources.stage import stage_table
 
 
 def write(path, text, encoding="utf-8"):
+    path.parent.mkdir(parents=True, exist_ok=True)
     path.write_bytes(text.encode(encoding))
     return str(path)
 
@@ -132,7 +133,7 @@ def test_rejects(spark, tmp_path):
             ],
         )
     )
-    rejected = [(r["error_type"], r["csv_line"]) for r in table.rejects_sample().collect()]
+    rejected = [(r["error_type"], r["csv_line"]) for r in table.first_rejects(100).collect()]
     assert rejected == [
         ("TOO MANY COLUMNS", "6,7,8,9"),
         ("TOO MANY COLUMNS", "10,11,12,"),
@@ -140,7 +141,7 @@ def test_rejects(spark, tmp_path):
         ("UNQUOTED VALUE", '13,14,"open'),
     ]
     assert tuple(table.counts.head()) == (5, 4)
-    assert [r["csv_line"] for r in table.rejects_sample(1).collect()] == ["6,7,8,9"]
+    assert [r["csv_line"] for r in table.first_rejects(1).collect()] == ["6,7,8,9"]
 
 
 def test_multi_line_records(spark, tmp_path):
@@ -220,7 +221,7 @@ def test_staged_tables_equal_lazy_ones(spark, tmp_path, name):
     for part in ("headers", "trailers"):
         order = "line_number"
         assert getattr(staged, part).orderBy(order).collect() == getattr(lazy, part).orderBy(order).collect()
-    assert staged.rejects_sample().collect() == lazy.rejects_sample().collect()
+    assert staged.first_rejects(100).collect() == lazy.first_rejects(100).collect()
     assert staged.header_text == lazy.header_text
 
 
@@ -271,8 +272,10 @@ def test_compression(spark, tmp_path, name, compression):
         path.write_bytes(bz2.compress(data))
     elif spec.codec == "zip":
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("first.csv", TEXT)
-            archive.writestr("second.csv", "not read")
+            first, *others = TEXT.splitlines(keepends=True)
+            archive.writestr("first.csv", first + "".join(others[:1]))
+            archive.writestr("folder/", "")
+            archive.writestr("folder/second.csv", first + "".join(others[1:]))
     else:
         path.write_bytes(data)
     table = read_table(spark, spec)
@@ -281,6 +284,101 @@ def test_compression(spark, tmp_path, name, compression):
     assert [r["line"] for r in table.trailers.collect()] == ["EOF|2"]
 
 
+def zipped(path, **members):
+    with zipfile.ZipFile(path, "w") as archive:
+        for name, text in members.items():
+            archive.writestr(name, text)
+    return str(path)
+
+
+def test_zip_with_records_over_lines(spark, tmp_path):
+    path = zipped(tmp_path / "a.zip", a='id,v\n1,"x\n\ny ""z"""\n2,b\n', b='id,v\n3,"p\nq"\n4,5,6\n')
+    for multi_line in (False, True):
+        table = read_table(spark, TableSpec(path, header_rows=1, multi_line=multi_line))
+        assert rows(table) == [("1", 'x\n\ny "z"'), ("2", "b"), ("3", "p\nq")]
+        found = table.rejects.head()
+        assert (found["file"].split("!")[1], found["line_number"], found["csv_line"]) == ("b", 4, "4,5,6")
+
+
+def test_zip_members_with_other_names_are_refused(spark, tmp_path):
+    path = zipped(tmp_path / "a.zip", a="id,v\n1,2\n", b="v,id\n1,2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_table(spark, TableSpec(path, header_rows=1))
+    with pytest.raises(Exception, match="empty zip file"):
+        read_table(spark, TableSpec(zipped(tmp_path / "b.zip"), column_names=("a",))).rows.collect()
+
+
+def test_folder_with_other_headers_is_refused(spark, tmp_path):
+    write(tmp_path / "d/a.csv", "id,v\n1,2\n")
+    write(tmp_path / "d/b.csv", "v,id\n" + "3,4\n" * 100)
+    with pytest.raises(ValueError, match="different headers"):
+        read_table(spark, TableSpec(str(tmp_path / "d"), header_rows=1))
+
+
+@pytest.mark.parametrize("files", [1, 2])
+def test_a_blank_first_line_is_the_header_in_any_number_of_files(spark, tmp_path, files):
+    for name in "ab"[:files]:
+        write(tmp_path / f"d/{name}.csv", "\nid,v\n1,2\n")
+    table = read_table(spark, TableSpec(str(tmp_path / "d"), header_rows=1, column_names=("a", "b")))
+    assert rows(table) == sorted([("id", "v"), ("1", "2")] * files)
+
+
+def test_headers_are_those_of_the_first_file_by_name(spark, tmp_path):
+    write(tmp_path / "d/a.csv", "made on Monday\nid,v\n1,2\n")
+    write(tmp_path / "d/b.csv", "made on Tuesday\nid,v\n" + "3,4\n" * 100)
+    table = read_table(spark, TableSpec(str(tmp_path / "d"), header_rows=2))
+    assert list(table.header_text) == ["made on Monday", "id,v"]
+    assert table.rows.count() == 101
+
+
+EMBEDDED = 'id,v,w\n1,"a\nb",x\n2,5" pipe,y\n3,"c\n\nd ""e""\nTRAILER",z\n4,"open,w\n5,f,g\n6,"h,\ni",j\n7,k,"l\n'
+
+
+@pytest.mark.parametrize("split", [None, 8, 23])
+def test_records_over_lines_by_default(spark, tmp_path, split):
+    """A stray quote costs its own line; fields may hold line ends wherever files are split."""
+    path = write(tmp_path / "a.csv", EMBEDDED)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    if split:
+        spark.conf.set(name, str(split))
+    try:
+        spec = TableSpec(path, header_rows=1, trailer_patterns=("TRAILER",))
+        for table in (read_table(spark, spec), stage_table(spark, spec, str(tmp_path / f"staged{split}"))):
+            assert rows(table) == [
+                ("1", "a\nb", "x"), ("2", '5" pipe', "y"), ("3", 'c\n\nd "e"\nTRAILER', "z"), ("5", "f", "g"),
+                ("i\"", "j", None),
+            ]
+            found = [(r["line_number"], r["csv_line"]) for r in table.first_rejects(9).collect()]
+            assert found == [(9, '4,"open,w'), (11, '6,"h,'), (13, '7,k,"l')]
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_record_beyond_the_bound_is_judged_line_by_line(spark, tmp_path):
+    path = write(tmp_path / "a.csv", '1,"' + "x\n" * 50 + '"\n2,"a\nb"\n')
+    table = read_table(spark, TableSpec(path, column_names=("a", "b"), max_record_bytes=60))
+    assert ("2", "a\nb") in rows(table)
+    assert table.first_rejects(1).head()["line_number"] == 1
+
+
+def test_line_numbers_of_rejects_in_split_files(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "".join(f"{i},b{',c' * (i % 10 == 7)}\n" for i in range(1, 401)))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "300")
+    try:
+        table = read_table(spark, TableSpec(path, column_names=("a", "b")))
+        assert [r["line_number"] for r in table.first_rejects(500).collect()] == list(range(7, 401, 10))
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_line_numbers_beyond_32_bits(spark):
+    lines = spark.createDataFrame([(3_000_000_000, "a")], "line_number long, line string")
+    assert compare_lines(lines, lines).head()["line_number"] == 3_000_000_000
+
+
 def test_spec_properties():
     spec = TableSpec("gs://bucket/in/extract.csv.gz")
     assert (spec.is_object_store, spec.is_compressed, spec.filename) == (True, True, "extract.csv.gz")

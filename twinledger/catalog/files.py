@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +14,14 @@ from twinledger.catalog import pairs, sql
 from twinledger.catalog.pairs import load
 from twinledger.catalog.recon import RULES, summary_of
 from twinledger.catalog.rules import TEXT_COLUMNS
-from twinledger.operators.lines import number_lines
+from twinledger.operators.lines import compare_lines, number_lines
 from twinledger.operators.reconcile import reconcile
-from twinledger.plans.history import read_history
+from twinledger.plans.compare import compare_files
+from twinledger.plans.history import append_run, drop_results, purge_runs, read_history, recent_runs
 from twinledger.plans.job import StoredRun, run_recon_job
 from twinledger.plans.session import scratch_dir
 from twinledger.sources.fixed_width import convert_fixed_width, parse_widths, slice_lines
+from twinledger.sources.inventory import file_inventory, storage_stats
 from twinledger.sources.lines import BLOCK, FILE, LINE, POSITION, is_trailer, raw_lines
 from twinledger.sources.read import LoadedTable, read_table
 from twinledger.spec import CompareRules, JobConfig, TableSpec
@@ -89,6 +96,64 @@ def csv_multi_line(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, TableSpec(path, header_rows=1, multi_line=True)).rows
 
 
+def csv_embedded_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with default settings: files stay split, and lines of one record are joined."""
+    path = write_csv(load(spark, sf, "documents"), f"{scratch_dir(spark)}/d")
+    return read_table(spark, TableSpec(path, header_rows=1)).rows
+
+
+def csv_utf16(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents on one line each, in UTF-16."""
+    docs = load(spark, sf, "documents").select("doc_id", F.translate("text", "\n", " ").alias("text"), "lang")
+    path = write_csv(docs, f"{scratch_dir(spark)}/u", encoding="UTF-16LE")
+    return read_table(spark, TableSpec(path, header_rows=1, encoding="utf-16-le")).rows
+
+
+def _with_heads(lines: DataFrame, path: str, heads: list[str]) -> str:
+    """Text files that each begin with the given lines."""
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": heads})
+        yield from batches
+
+    lines.mapInPandas(headed, "value string").write.text(path)
+    return path
+
+
+def header_rows_3(spark: SparkSession, sf: str) -> DataFrame:
+    """Many files with three header lines each, the first of them empty."""
+    customers = load(spark, sf, "customer").repartition(5, "c_custkey")
+    lines = customers.select(F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment").alias("value"))
+    path = _with_heads(lines, f"{scratch_dir(spark)}/h", ["", "made by hand", "Cust Key,Name,Segment"])
+    return read_table(spark, TableSpec(path, header_rows=3)).rows
+
+
+ZIP_ROWS = 5_000
+
+
+def _zipped(rows: pd.DataFrame) -> pd.DataFrame:
+    """One archive with the lines of a group dealt to two members, each with a header."""
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for name, part in (("a.csv", rows["value"][::2]), ("more/b.csv", rows["value"][1::2])):
+            archive.writestr(name, "\n".join(["Cust Key,Name,Segment", *part]) + "\n")
+    return pd.DataFrame({"data": [data.getvalue()]})
+
+
+def zip_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives of two members each; fields with line ends and quotes among them."""
+    customers = load(spark, sf, "customer")
+    name = F.when(pairs.every(7, 1, "c_custkey"), F.concat(F.lit('"'), F.col("c_name"), F.lit('\n""second"" line"')))
+    lines = customers.select(
+        F.floor(F.col("c_custkey") / ZIP_ROWS).alias("part"),
+        F.concat_ws(",", "c_custkey", F.coalesce(name, F.col("c_name")), "c_mktsegment").alias("value"),
+    )
+    archives = lines.groupBy("part").applyInPandas(_zipped, "data binary")
+    path = f"{scratch_dir(spark)}/z"
+    archives.select(F.col("data").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    return read_table(spark, TableSpec(path, compression="zip", header_rows=1)).rows
+
+
 # -- rejects: some lines too long, some never closing a quote, some too short ------------------
 
 
@@ -123,6 +188,15 @@ def csv_padded(spark: SparkSession, sf: str) -> DataFrame:
     return _ragged_table(spark, sf).rows
 
 
+def job_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole run over one file with many rejected lines: all are stored, with their line numbers."""
+    root = scratch_dir(spark)
+    _ragged(load(spark, sf, "orders").orderBy("o_orderkey")).coalesce(1).write.text(f"{root}/r")
+    side = TableSpec(f"{root}/r", column_names=("o_orderkey", "customer", "status", "priority"))
+    run = run_recon_job(spark, JobConfig("ragged", side, side, ("o_orderkey",), f"{root}/out"))
+    return run.source_rejects.select("line_number", "error_type", "csv_line")
+
+
 # -- trailers and line order -------------------------------------------------------------------
 
 
@@ -162,6 +236,29 @@ def trailer_flags(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("value", is_trailer(F.col("value"), TRAILERS).alias("is_trailer"))
 
 
+def trailer_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Trailers of a file against those of a changed copy, line by line."""
+    root = scratch_dir(spark)
+    lines = _with_trailers(spark, sf)
+    changed = F.when(F.col("value").contains("|O|"), F.replace("value", F.lit("|O|"), F.lit("|o|"))).otherwise(F.col("value"))
+    lines.write.text(f"{root}/s")
+    lines.select(changed.alias("value")).write.text(f"{root}/t")
+    names = ("o_orderkey", "status", "priority")
+    sides = [TableSpec(f"{root}/{x}", delimiter="|", trailer_patterns=TRAILERS, column_names=names) for x in "st"]
+    found = compare_files(spark, *sides, keys="o_orderkey").trailer_comparison
+    return found.select("line_number", "source", "target", "status", "first_diff_pos", "diff_count")
+
+
+def header_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers of two sets of files with different delimiters, with how many rows each side has."""
+    source, target = orders_files(spark, sf)
+    lines = compare_lines(source.headers, target.headers).select("line_number", "source", "target", "status", "diff_count")
+    counts = source.counts.select(F.col("row_count").alias("source_rows")).crossJoin(
+        target.counts.select(F.col("row_count").alias("target_rows"))
+    )
+    return lines.crossJoin(counts)  # one header line, one row of counts
+
+
 _TRAILERS_CTE = """WITH l AS (
   SELECT o_orderkey, o_orderstatus, o_orderpriority,
          CASE o_orderkey % 19 WHEN 0 THEN 'TRAILER|' || concat_ws('|', o_orderkey, o_orderstatus, o_orderpriority)
@@ -205,6 +302,14 @@ def fwf_slice(spark: SparkSession, sf: str) -> DataFrame:
     return slice_lines(_packed(load(spark, sf, "part")), parse_widths(PART_WIDTHS), PART_NAMES)
 
 
+def fwf_header_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names cut from each file's header line at the columns' positions."""
+    specs = parse_widths(PART_WIDTHS)
+    head = "".join(name[: b - a].ljust(b - a) for name, (a, b) in zip(["Part Key", "P Name", "brand", "type", "", "retail"], specs))
+    path = _with_heads(_packed(load(spark, sf, "part")).repartition(3), f"{scratch_dir(spark)}/f", [head])
+    return read_table(spark, TableSpec(path, file_type="fwf", col_specs=specs, header_rows=1)).rows
+
+
 def fwf_convert(spark: SparkSession, sf: str) -> DataFrame:
     """The same through text files, with trailers, converted to Parquet."""
     root = scratch_dir(spark)
@@ -249,6 +354,57 @@ def _job(spark: SparkSession, sf: str, rules: CompareRules = pairs.ORDERS_RULES)
     )
 
 
+def job_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over equal sides stores a sample of matching rows."""
+    path = f"{sf.rstrip('/')}/customer.parquet"
+    side = TableSpec(path, file_type="parquet")
+    run = run_recon_job(spark, JobConfig("equal", side, side, ("c_custkey",), f"{scratch_dir(spark)}/out"))
+    return run.sample
+
+
+def _two_runs(spark: SparkSession, sf: str) -> str:
+    """The output of a run over customers and of one over suppliers."""
+    output = f"{scratch_dir(spark)}/out"
+    for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        side = TableSpec(f"{sf.rstrip('/')}/{name}.parquet", file_type="parquet")
+        run_recon_job(spark, JobConfig(name, side, side, (key,), output))
+    return output
+
+
+def history_recent(spark: SparkSession, sf: str) -> DataFrame:
+    output = _two_runs(spark, sf)
+    drop_results(spark, read_history(spark, output).filter("job_name = 'supplier'").head()["output"])
+    listed = recent_runs(spark, output).select("run_id", "job_name", "status", "match_percentage", "has_results")
+    counts = read_history(spark, output).select("run_id", "source_count")
+    return listed.join(counts, "run_id").drop("run_id")
+
+
+def history_purged(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left after runs older than a day are removed, one of two being moved back by two days."""
+    output = _two_runs(spark, sf)
+    history = read_history(spark, output)
+    age = F.when(F.col("job_name") == "customer", F.expr("INTERVAL 2 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    moved = history.withColumn("finished_at", F.col("finished_at") - age)
+    older = f"{output}_older"
+    append_run(moved, older)
+    purge_runs(spark, older, F.current_timestamp(), 24 * 60 * 60)
+    return read_history(spark, older).select("job_name", "source_count")
+
+
+def storage_of_files(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/p"
+    load(spark, sf, "orders").repartition(7).write.parquet(path)
+    stats = storage_stats(spark, path)
+    return stats.select("files", (F.col("total_bytes") > 0).alias("has_bytes"), (F.col("oldest_mtime") <= F.col("newest_mtime")).alias("ordered"))
+
+
+def inventory_of_files(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_dir(spark)
+    write_csv(load(spark, sf, "orders"), f"{root}/orders.csv.gz", compression="gzip")
+    found = file_inventory(spark, [f"{root}/orders.csv.gz", f"{root}/absent.csv"])
+    return found.select("filename", "compression", "exists", (F.coalesce("size_bytes", F.lit(0)) > 0).alias("has_bytes"))
+
+
 def job_history(spark: SparkSession, sf: str) -> DataFrame:
     run = _job(spark, sf)
     history = read_history(spark, run.path.split("/runs/")[0])
@@ -302,6 +458,79 @@ QUERIES = {
         csv_multi_line,
         """SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, lang, source,
   CAST(n_chars AS VARCHAR) AS n_chars FROM documents""",
+    ),
+    "csv_embedded_lines": (
+        csv_embedded_lines,
+        """SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(text, '') AS text, lang, source,
+  CAST(n_chars AS VARCHAR) AS n_chars FROM documents""",
+    ),
+    "csv_utf16": (
+        csv_utf16,
+        """SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif(replace(text, chr(10), ' '), '') AS text, lang FROM documents""",
+    ),
+    "header_rows_3": (
+        header_rows_3,
+        "SELECT CAST(c_custkey AS VARCHAR) AS cust_key, c_name AS name, c_mktsegment AS segment FROM customer",
+    ),
+    "zip_members": (
+        zip_members,
+        """SELECT CAST(c_custkey AS VARCHAR) AS cust_key, c_mktsegment AS segment,
+  CASE WHEN c_custkey % 7 = 1 THEN c_name || chr(10) || '"second" line' ELSE c_name END AS name FROM customer""",
+    ),
+    "job_rejects": (
+        job_rejects,
+        """WITH l AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS line_number FROM orders)
+SELECT line_number, 'TOO MANY COLUMNS' AS error_type,
+  concat_ws(',', o_orderkey, o_custkey, o_orderstatus, o_orderpriority) || ',extra,' AS csv_line
+FROM l WHERE o_orderkey % 23 = 1
+UNION ALL SELECT line_number, 'UNQUOTED VALUE', concat_ws(',', o_orderkey, '"open', o_orderstatus, o_orderpriority)
+FROM l WHERE o_orderkey % 23 = 2""",
+    ),
+    "trailer_compare": (
+        trailer_compare,
+        _TRAILERS_CTE
+        + """SELECT row_number() OVER (ORDER BY o_orderkey) AS line_number, line AS source, replace(line, '|O|', '|o|') AS target,
+  CASE WHEN contains(line, '|O|') THEN 'MISMATCH' ELSE 'MATCH' END AS status,
+  CASE WHEN contains(line, '|O|') THEN CAST(strpos(line, '|O|') AS INTEGER) END AS first_diff_pos,
+  CASE WHEN contains(line, '|O|') THEN 1 ELSE 0 END AS diff_count
+FROM l WHERE o_orderkey % 19 < 2""",
+    ),
+    "header_compare": (
+        header_compare,
+        sql.with_(pairs.ORDERS_SQL)
+        + """SELECT CAST(1 AS BIGINT) AS line_number,
+  'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS source,
+  'o_orderkey|o_custkey|o_orderstatus|o_totalprice|o_orderdate|o_orderpriority' AS target, 'MISMATCH' AS status,
+  5 AS diff_count, (SELECT count(*) FROM src) AS source_rows, (SELECT count(*) FROM tgt) AS target_rows""",
+    ),
+    "fwf_header_names": (
+        fwf_header_names,
+        f"""SELECT p_partkey AS part_key, p_name, p_brand AS brand, p_type AS type, p_size AS column4,
+  p_retailprice AS retail FROM ({_PART_SQL})""",
+    ),
+    "job_sample": (
+        job_sample,
+        """SELECT c_custkey, c_name AS c_name_source, c_name AS c_name_target, 'MATCH' AS c_name_status,
+  CAST(c_nationkey AS VARCHAR) AS c_nationkey_source, CAST(c_nationkey AS VARCHAR) AS c_nationkey_target,
+  'MATCH' AS c_nationkey_status, CAST(c_acctbal AS VARCHAR) AS c_acctbal_source,
+  CAST(c_acctbal AS VARCHAR) AS c_acctbal_target, 'MATCH' AS c_acctbal_status,
+  c_mktsegment AS c_mktsegment_source, c_mktsegment AS c_mktsegment_target, 'MATCH' AS c_mktsegment_status
+FROM customer ORDER BY c_custkey LIMIT 500""",
+    ),
+    "history_recent": (
+        history_recent,
+        """SELECT 'customer' AS job_name, 'completed' AS status, CAST(100 AS DOUBLE) AS match_percentage,
+  true AS has_results, count(*) AS source_count FROM customer
+UNION ALL SELECT 'supplier', 'completed', 100, false, count(*) FROM supplier""",
+    ),
+    "history_purged": (history_purged, "SELECT 'supplier' AS job_name, count(*) AS source_count FROM supplier"),
+    "storage_stats": (
+        storage_of_files, "SELECT CAST(7 AS BIGINT) AS files, count(*) > 0 AS has_bytes, true AS ordered FROM orders",
+    ),
+    "file_inventory": (
+        inventory_of_files,
+        """SELECT 'orders.csv.gz' AS filename, 'gzip' AS compression, true AS "exists", count(*) > 0 AS has_bytes FROM orders
+UNION ALL SELECT 'absent.csv', NULL, false, false""",
     ),
     "csv_rejects": (
         csv_rejects,
@@ -332,7 +561,7 @@ FROM orders WHERE o_orderkey % 19 > 1""",
     "trailer_lines": (
         trailer_lines,
         _TRAILERS_CTE
-        + """SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS INTEGER) AS line_number, line
+        + """SELECT row_number() OVER (ORDER BY o_orderkey) AS line_number, line
 FROM l WHERE o_orderkey % 19 < 2""",
     ),
     "trailer_flags": (

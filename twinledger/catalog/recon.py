@@ -190,10 +190,76 @@ FROM ({sql.SUMMARY})
 """
 
 
-def _ordered_sql(columns: list[sql.Col], select: str, cap: int, where: str = DIFFERING) -> str:
+def _ordered_sql(select: str, where: str = DIFFERING, cap: int | None = None) -> str:
     return f"""SELECT {select} FROM (
   SELECT *, row_number() OVER (ORDER BY {sql.RANK}, {', '.join(ORDERS_KEYS)}) AS _pos FROM j WHERE {where})
-WHERE _pos <= {cap}"""
+WHERE {'true' if cap is None else f'_pos <= {cap}'}"""
+
+
+def report_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """A listing cut to its first rows in report order."""
+    detail = orders_rules(spark, sf).detail
+    return one_side_table(in_report_order(detail, ORDERS_KEYS, cap=100), ORDERS_KEYS, "target")
+
+
+# Keys and values beyond what floating point tells apart: whole numbers against wide decimals.
+WIDE = 2**53
+
+
+def wide_keys(spark: SparkSession, sf: str) -> DataFrame:
+    orders = load(spark, sf, "orders")
+    key, customer = F.col("o_orderkey") + F.lit(WIDE), F.col("o_custkey") + F.lit(WIDE)
+    source = orders.select(key.alias("k"), customer.alias("c"))
+    changed = F.when(pairs.every(10, 3, "o_orderkey"), customer + 1).otherwise(customer)
+    target = orders.filter(~pairs.every(97, 0, "o_orderkey")).select(
+        key.cast("decimal(38,0)").alias("k"), changed.cast("decimal(38,0)").alias("c")
+    )
+    return summary_of(reconcile(spark, source, target, ["k"]))
+
+
+WIDE_SQL = f"""
+src AS (SELECT CAST(o_orderkey + {WIDE} AS HUGEINT) AS k, CAST(o_custkey + {WIDE} AS HUGEINT) AS c FROM orders),
+tgt AS (
+  SELECT CAST(o_orderkey + {WIDE} AS HUGEINT) AS k,
+         CAST(o_custkey + {WIDE} + CASE WHEN o_orderkey % 10 = 3 THEN 1 ELSE 0 END AS HUGEINT) AS c
+  FROM orders WHERE o_orderkey % 97 <> 0)
+"""
+
+
+def decimal_epsilon(spark: SparkSession, sf: str) -> DataFrame:
+    """Decimals of 23 digits that differ by less than the tolerance, and by more."""
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    large = (price + F.lit("100000000000000000000").cast("decimal(30,2)")).cast("decimal(30,2)")
+    step = F.when(pairs.every(10, 1, "o_orderkey"), F.lit("0.01")).when(pairs.every(10, 2, "o_orderkey"), F.lit("1"))
+    moved = (large + F.coalesce(step, F.lit("0")).cast("decimal(10,2)")).cast("decimal(30,2)")
+    orders = load(spark, sf, "orders")
+    source, target = (orders.select("o_orderkey", p.alias("price")) for p in (large, moved))
+    return summary_of(reconcile(spark, source, target, ORDERS_KEYS, CompareRules(float_epsilon=0.011)))
+
+
+DECIMAL_SQL = """
+src AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) + CAST('100000000000000000000' AS DECIMAL(30,2)) AS DECIMAL(30,2)) AS price FROM orders),
+tgt AS (
+  SELECT o_orderkey, CAST(price + CASE o_orderkey % 10 WHEN 1 THEN CAST('0.01' AS DECIMAL(10,2))
+    WHEN 2 THEN CAST('1' AS DECIMAL(10,2)) ELSE CAST('0' AS DECIMAL(10,2)) END AS DECIMAL(30,2)) AS price FROM src)
+"""
+
+
+def date_timestamp(spark: SparkSession, sf: str) -> DataFrame:
+    """A date on one side, a timestamp on the other; some of those are not at midnight."""
+    day = F.col("o_orderdate").cast("date")
+    source = load(spark, sf, "orders").select("o_orderkey", day.alias("placed"))
+    at = day.cast("timestamp_ntz")
+    later = F.when(pairs.every(10, 4, "o_orderkey"), at + F.expr("INTERVAL 1 HOUR")).otherwise(at)
+    target = load(spark, sf, "orders").select("o_orderkey", later.alias("placed"))
+    return summary_of(reconcile(spark, source, target, ORDERS_KEYS))
+
+
+DATE_SQL = """
+src AS (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS placed FROM orders),
+tgt AS (
+  SELECT o_orderkey, placed + CASE WHEN o_orderkey % 10 = 4 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END AS placed FROM src)
+"""
 
 
 def report_source_target(spark: SparkSession, sf: str) -> DataFrame:
@@ -384,30 +450,42 @@ WHERE validation_status = 'Found in Both' AND NOT mismatch ORDER BY o_orderkey L
         report_source_target,
         RULES
         + _ordered_sql(
-            ORDERS_COLUMNS_RULES,
-            "o_orderkey, " + ", ".join([f"{n}_source" for n in _NAMES] + [f"{n}_target" for n in _NAMES]),
-            10_000,
+            "o_orderkey, " + ", ".join([f"{n}_source" for n in _NAMES] + [f"{n}_target" for n in _NAMES])
         ),
     ),
     "report_source_data": (
         report_source_data,
-        RULES + _ordered_sql(ORDERS_COLUMNS_RULES, "o_orderkey, " + ", ".join(f"{n}_source AS {n}" for n in _NAMES), 10_000),
+        RULES + _ordered_sql("o_orderkey, " + ", ".join(f"{n}_source AS {n}" for n in _NAMES)),
     ),
     "report_target_data": (
         report_target_data,
-        RULES + _ordered_sql(ORDERS_COLUMNS_RULES, "o_orderkey, " + ", ".join(f"{n}_target AS {n}" for n in _NAMES), 10_000),
+        RULES + _ordered_sql("o_orderkey, " + ", ".join(f"{n}_target AS {n}" for n in _NAMES)),
     ),
     "report_mismatches": (
         report_mismatches,
         RULES
         + _ordered_sql(
-            ORDERS_COLUMNS_RULES,
             "o_orderkey, validation_status, "
             + ", ".join(f"{n}_{p}" for n in _NAMES for p in ("source", "target", "status")),
-            10_000,
             "mismatch",
         ),
     ),
+    "report_capped": (
+        report_capped,
+        RULES + _ordered_sql("o_orderkey, " + ", ".join(f"{n}_target AS {n}" for n in _NAMES), cap=100),
+    ),
+    "recon_wide_keys": (wide_keys, sql.with_(WIDE_SQL, sql.joined(["k"], [sql.Col("c")])) + sql.SUMMARY),
+    "recon_decimal_epsilon": (
+        decimal_epsilon,
+        sql.with_(
+            DECIMAL_SQL, sql.joined(ORDERS_KEYS, [sql.Col("price", also="abs({s} - {t}) <= CAST('0.011' AS DECIMAL(10,3))")])
+        )
+        + sql.SUMMARY,
+    ),
+    "recon_date_timestamp": (
+        date_timestamp,
+        sql.with_(DATE_SQL, sql.joined(ORDERS_KEYS, [sql.Col("placed")])) + sql.SUMMARY,
+    ),
     "search_results": (
         search_results,
         RULES

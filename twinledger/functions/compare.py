@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,9 +80,13 @@ def compare_cell(name: str, dtype: T.DataType, source: Column, target: Column, r
     elif tolerance and isinstance(dtype, T.NumericType):
         if isinstance(dtype, T.IntegralType):
             gap = F.abs(F.try_subtract(source.cast("decimal(20,0)"), target.cast("decimal(20,0)")))
+        elif isinstance(dtype, T.DecimalType):
+            gap = F.abs(F.try_subtract(source, target))
         else:
             gap = F.abs(source.cast("double") - target.cast("double"))
-        level = level.when(gap <= F.lit(float(tolerance)), F.lit(NEAR))
+        exact = isinstance(dtype, T.DecimalType)
+        most = F.lit(Decimal(repr(float(tolerance)))) if exact else F.lit(float(tolerance))
+        level = level.when(gap <= most, F.lit(NEAR))
     return Cell(
         level.otherwise(F.lit(DIFFERENT)),
         canonical_text(source, dtype, rules.numeric_scale),

@@ -87,10 +87,41 @@ def canonical_text(value: Column, dtype: T.DataType, numeric_scale: int | None =
     if isinstance(dtype, T.BinaryType):
         return F.hex(value)
     if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(value)
+        return F.to_json(_with_sorted_maps(value, dtype))
     return value.cast("string")
 
 
+def plain_number_text(value: Column) -> Column:
+    """An exact number without zeros at the end of its fraction, so that equal numbers have equal texts."""
+    text = F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1")
+    return F.regexp_replace(text, r"\.$", "")
+
+
+def _holds_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _holds_map(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(_holds_map(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.MapType)
+
+
+def _with_sorted_maps(value: Column, dtype: T.DataType) -> Column:
+    """The value with the entries of all maps in it in key order: maps are equal in any order."""
+    if not _holds_map(dtype):
+        return value
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: _with_sorted_maps(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [_with_sorted_maps(value.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    entries = F.transform(
+        F.map_entries(value),
+        lambda e: F.struct(e["key"].alias("key"), _with_sorted_maps(e["value"], dtype.valueType).alias("value")),
+    )
+    by_key = F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+    return F.map_from_entries(by_key)
+
+
 def normalized_text(text: Column, name: str, rules: CompareRules) -> Column:
     """All text rules for one column, in their fixed order; null-as-empty comes last."""
     out = text

@@ -3,8 +3,8 @@
 Both sides are tagged, stacked and grouped by key. Grouping treats null key parts as equal, counts
 the rows per side, and keeps one survivor per side and key. Spark aggregates before it shuffles, so
 however many copies one key has, each task sends at most one row for it: a hot key cannot pile up in
-one reducer, and no join ever sees a duplicate. When the caller vouches that keys are unique, a plain
-null-safe full outer join saves the sort before the shuffle.
+one reducer, and no join ever sees a duplicate. Where no key repeats, which a pass over the keys alone
+finds out, a plain null-safe full outer join saves the sort of whole rows before the shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinledger.functions.names import key_names, ref, with_clean_names
-from twinledger.functions.normalize import canonical_text
+from twinledger.functions.normalize import canonical_text, plain_number_text
 
 N_SOURCE, N_TARGET = "__n_source", "__n_target"
 SOURCE, TARGET = "__source", "__target"
@@ -48,6 +48,21 @@ def _is_orderable(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.AtomicType, T.NullType)) and not isinstance(dtype, T.VariantType)
 
 
+# Digits of the whole-number types.
+WHOLE_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+# Rows looked at before all keys are, when it is open whether keys repeat.
+FIRST_LOOK = 100_000
+
+
+def _as_decimal(dtype: T.DataType) -> T.DecimalType | None:
+    """The decimal type that holds all values of an exact number type, else None."""
+    if isinstance(dtype, T.DecimalType):
+        return dtype
+    digits = WHOLE_DIGITS.get(type(dtype))
+    return T.DecimalType(digits, 0) if digits else None
+
+
 def common_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
     """The type both sides are compared in, or None when only their text forms can be compared."""
     if _is_text(left) and _is_text(right):
@@ -56,17 +71,30 @@ def common_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
         return left if _is_orderable(left) else None
     if isinstance(left, T.IntegralType) and isinstance(right, T.IntegralType):
         return T.LongType()
-    if isinstance(left, T.DecimalType) and isinstance(right, T.DecimalType):
-        scale = max(left.scale, right.scale)
-        digits = max(left.precision - left.scale, right.precision - right.scale) + scale
+    exact = _as_decimal(left), _as_decimal(right)
+    if all(exact):
+        scale = max(d.scale for d in exact)
+        digits = max(d.precision - d.scale for d in exact) + scale
         return T.DecimalType(digits, scale) if digits <= 38 else None
     if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
         return T.DoubleType()
-    if {type(left), type(right)} == {T.DateType, T.TimestampNTZType}:
+    times = {type(left), type(right)}
+    if times in ({T.DateType, T.TimestampNTZType}, {T.TimestampType, T.TimestampNTZType}):
         return T.TimestampNTZType()
+    if times == {T.DateType, T.TimestampType}:
+        return T.TimestampType()
     return None
 
 
+def _refuse_inexact_keys(source: DataFrame, target: DataFrame, keys: list[str]) -> None:
+    """Floating point against exact numbers would merge keys that differ."""
+    for key in keys:
+        types = [df.schema[key].dataType for df in (source, target)]
+        floating = [isinstance(t, T.FractionalType) and _as_decimal(t) is None for t in types]
+        if any(floating) and any(map(_as_decimal, types)):
+            raise ValueError(f"key {key} is floating point on one side and exact on the other: cast one of them")
+
+
 def share_types(
     source: DataFrame, target: DataFrame, names: list[str], numeric_scale: int | None = None
 ) -> tuple[DataFrame, DataFrame, dict[str, T.DataType]]:
@@ -79,7 +107,9 @@ def share_types(
         types[name] = dtype or T.StringType()
         for df_type, out in ((from_type, left), (to_type, right)):
             column = ref(name)
-            if dtype is None:
+            if dtype is None and _as_decimal(from_type) and _as_decimal(to_type):
+                column = plain_number_text(column)
+            elif dtype is None:
                 column = canonical_text(column, df_type, numeric_scale)
             elif df_type != dtype:
                 column = column.cast(dtype)
@@ -91,15 +121,16 @@ def align(
     source: DataFrame,
     target: DataFrame,
     keys: str | list[str],
-    unique_keys: bool = False,
+    unique_keys: bool | None = None,
     keys_only: bool = False,
     numeric_scale: int | None = None,
 ) -> Aligned:
     """One row per key found on either side.
 
-    Columns present on one side only are reported as drift and not compared. With ``unique_keys``
-    the caller promises that no key repeats within a side; a broken promise is visible in the
-    counts only as extra rows, so leave it off unless the key is enforced upstream.
+    Columns present on one side only are reported as drift and not compared. ``unique_keys`` None
+    looks at the keys first, with one action, and joins if none repeats. True does so as well and raises
+    if one repeats. False groups without looking, which is right where reading the keys costs as much as
+    reading everything (text).
     """
     source, target = with_clean_names(source), with_clean_names(target)
     key_list = key_names(keys)
@@ -113,19 +144,32 @@ def align(
     both = [c for c in source.columns if c in target.columns and c not in key_list]
     source_only = [c for c in source.columns if c not in target.columns]
     target_only = [c for c in target.columns if c not in source.columns]
+    _refuse_inexact_keys(source, target, key_list)
     names = key_list + ([] if keys_only else both)
     left, right, types = share_types(source, target, names, numeric_scale)
     columns = {c: types[c] for c in names if c not in key_list}
 
     if keys_only or not columns:
         frame = _keys_by_grouping(left, right, key_list)
-    elif unique_keys:
+    elif unique_keys is not False and not any(has_repeats(df, key_list) for df in (left, right)):
         frame = _by_join(left, right, key_list, list(columns))
+    elif unique_keys:
+        raise ValueError(f"keys repeat: {', '.join(key_list)}")
     else:
         frame = _by_grouping(left, right, key_list, list(columns))
     return Aligned(frame, key_list, columns, source_only, target_only)
 
 
+def has_repeats(df: DataFrame, keys: list[str]) -> bool:
+    """Whether a key occurs twice. Reads keys alone, and only the first rows if those show it."""
+    key_refs = [ref(k) for k in keys]
+    only = df.select(*key_refs)
+    return any(
+        not part.groupBy(*key_refs).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").isEmpty()
+        for part in (only.limit(FIRST_LOOK), only)
+    )
+
+
 def _record(columns: list[str]):
     return F.struct(*[ref(c) for c in columns])
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinledger.functions.names import key_names, ref, with_clean_names
-from twinledger.operators.align import N_SOURCE, N_TARGET, align
+from twinledger.operators.align import N_SOURCE, N_TARGET, align, has_repeats
 
 
 def key_counts(df: DataFrame, keys: str | list[str]) -> DataFrame:
@@ -36,13 +36,16 @@ def dedup_rows(df: DataFrame, keys: str | list[str]) -> DataFrame:
     """One row per key: the smallest by all other columns in order, nulls first.
 
     The same survivor as row number 1 over (partition by key order by the rest), but as an
-    aggregate that shrinks each key before the shuffle, so a hot key needs no sort in one task.
+    aggregate that shrinks each key before the shuffle, so a hot key needs no sort in one task. The keys
+    alone are looked at first: if none repeats, the rows are returned as they are.
     """
     df = with_clean_names(df)
     names = key_names(keys)
     rest = [c for c in df.columns if c not in names]
     if not rest:
         return df.distinct()
+    if not has_repeats(df, names):
+        return df
     record = F.struct(*[ref(c) for c in rest])
     kept = df.groupBy(*[ref(k) for k in names]).agg(F.min(record).alias("_kept"))
     return kept.select(

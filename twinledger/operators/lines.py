@@ -18,15 +18,24 @@ def number_lines(
 ) -> DataFrame:
     """Number lines 1..n in file order without gathering them in one task.
 
-    ``split`` names the piece of a file that one task reads, and ``position`` grows within it by
-    one per line read. Lines are ranked within chunks of bounded size; the totals of the earlier
-    chunks are added to that. The table of totals has one row per chunk.
+    ``split`` names the piece of a file that one task reads, file first, and ``position`` grows within
+    it by one per line read. Lines are ranked within chunks of bounded size; the totals of the earlier
+    chunks of the file, and of the files before, are added to that. Running totals go over the chunks of
+    each file and over the files, never over all chunks together.
     """
-    chunk = (*split, "__chunk")
+    chunk, file = (*split, "__chunk"), split[0]
     lines = lines.withColumn("__chunk", F.shiftright(F.col(position), CHUNK_BITS))
     totals = lines.groupBy(*chunk).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*chunk, F.coalesce(before, F.lit(0)).alias("__offset"))
+    earlier = (Window.unboundedPreceding, -1)
+    in_file = F.sum("__n").over(Window.partitionBy(file).orderBy(*chunk[1:]).rowsBetween(*earlier))
+    files = totals.groupBy(file).agg(F.sum("__n").alias("__n"))
+    before_file = F.sum("__n").over(Window.orderBy(file).rowsBetween(*earlier))
+    starts = files.select(file, F.coalesce(before_file, F.lit(0)).alias("__start"))
+    offsets = (
+        totals.select(*chunk, F.coalesce(in_file, F.lit(0)).alias("__in_file"))
+        .join(starts, file)
+        .select(*chunk, (F.col("__start") + F.col("__in_file")).alias("__offset"))
+    )
     rank = F.row_number().over(Window.partitionBy(*chunk).orderBy(position))
     return (
         lines.withColumn("__rank", rank)
@@ -53,7 +62,7 @@ def compare_lines(source_lines: DataFrame, target_lines: DataFrame) -> DataFrame
     )
     nothing = F.array().cast(CHAR_DIFF_TYPE)
     described = paired.select(
-        F.coalesce("_sn", "_tn").cast("int").alias("line_number"),
+        F.coalesce("_sn", "_tn").cast("bigint").alias("line_number"),
         F.coalesce("_s", F.lit("")).alias("source"),
         F.coalesce("_t", F.lit("")).alias("target"),
         status.alias("status"),

@@ -23,11 +23,11 @@ STATUS_ORDER = (FOUND_IN_BOTH, MISSING_IN_SOURCE, MISSING_IN_TARGET)
 # Name of the array with one agreement level per compared column.
 LEVELS = "__levels"
 
-# The JVM never compiles a method of more bytecodes than this.
-COMPILED_METHOD_LIMIT = 8000
+# Fixed value: matching rows shown unless asked otherwise.
+SAMPLE_ROWS = 500
 
-# Fixed value: rows listed per status and in the detail report unless asked otherwise.
-DETAIL_CAP = 500
+# Parts that the rows of one status are ranked in before they are ranked together.
+RANK_PARTS = 64
 
 
 def status_rank(status: Column | str = "validation_status") -> Column:
@@ -253,13 +253,13 @@ class ReconResult:
             (F.col("mismatch") | missing).alias("is_difference"),
         )
 
-    def detail_report(self, cap: int | None = DETAIL_CAP, per_status: int | None = DETAIL_CAP) -> DataFrame:
-        """The differences in report order: at most ``per_status`` of each status, ``cap`` in all."""
+    def detail_report(self, cap: int | None = None, per_status: int | None = None) -> DataFrame:
+        """The differences in report order; if asked, at most ``per_status`` of each status, ``cap`` in all."""
         ordered = [status_rank(), *self._key_refs]
         capped = self.detail if per_status is None else top_per_status(self.detail, self.keys, per_status)
         return capped.orderBy(*ordered) if cap is None else capped.orderBy(*ordered).limit(cap)
 
-    def sample(self, n: int = DETAIL_CAP) -> DataFrame:
+    def sample(self, n: int = SAMPLE_ROWS) -> DataFrame:
         """The first ``n`` matching rows by key, both sides next to each other."""
         matching = self.rows.filter((F.col("validation_status") == FOUND_IN_BOTH) & ~F.col("mismatch"))
         columns = []
@@ -278,7 +278,7 @@ def sample_of_equal_tables(
     target: DataFrame,
     keys: str | list[str],
     rules: CompareRules | None = None,
-    n: int = DETAIL_CAP,
+    n: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """What ``ReconResult.sample`` gives for tables known to match, without aligning all of them.
 
@@ -309,19 +309,17 @@ def derive_statistics(counted: DataFrame) -> DataFrame:
 
 
 def top_per_status(detail: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows by key of each status, with at most ``n`` rows per task and status moved.
+    """The first ``n`` rows by key of each status.
 
-    Up to Spark's group-limit threshold a ranked window is cut down before its shuffle. Beyond it
-    that rule does not apply and one status could fill one task, so each status gets its own top-n.
+    Rows are ranked in parts of each status first, and the first ``n`` of each part then together, so one
+    status never fills one task. Spark also cuts each ranking down before its shuffle, for moderate ``n``.
     """
     key_refs = [ref(k) for k in keys]
-    status = F.col("validation_status")
-    limit = int(detail.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n <= limit:
-        rank = F.row_number().over(Window.partitionBy(status).orderBy(*key_refs))
-        return detail.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
-    legs = [detail.filter(status == name).orderBy(*key_refs).limit(n) for name in STATUS_ORDER]
-    return reduce(DataFrame.unionByName, legs)
+    status, part = F.col("validation_status"), F.pmod(F.xxhash64(*key_refs), F.lit(RANK_PARTS))
+    for groups in ([status, F.col("__part")], [status]):
+        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*key_refs))
+        detail = detail.withColumn("__part", part).withColumn("__rank", rank).filter(F.col("__rank") <= n)
+    return detail.drop("__part", "__rank")
 
 
 def reconcile(
@@ -330,22 +328,13 @@ def reconcile(
     target: DataFrame,
     keys: str | list[str],
     rules: CompareRules | None = None,
-    unique_keys: bool = False,
+    unique_keys: bool | None = None,
 ) -> ReconResult:
-    """Compare two tables on a composite key under the given rules."""
+    """Compare two tables on a composite key under the given rules.
+
+    Unless ``unique_keys`` is False, the keys are looked at first (see ``align``); all else is lazy.
+    """
     rules = rules or CompareRules()
-    _split_large_methods(spark)
     aligned = align(source, target, keys, unique_keys=unique_keys, numeric_scale=rules.numeric_scale)
     return ReconResult(aligned, rules)
 
-
-def _split_large_methods(spark: SparkSession) -> None:
-    """Have Spark split generated code that the JVM would otherwise only interpret.
-
-    Comparing many columns makes one long method of a whole stage. Beyond the JVM's limit Spark is
-    told to generate such a stage operator by operator, in methods that are compiled. A lower limit
-    set by the caller is kept.
-    """
-    name = "spark.sql.codegen.hugeMethodLimit"
-    if int(spark.conf.get(name, "65535")) > COMPILED_METHOD_LIMIT:
-        spark.conf.set(name, str(COMPILED_METHOD_LIMIT))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from twinledger.operators.lines import compare_lines
 from twinledger.operators.reconcile import ReconResult, reconcile
 from twinledger.plans.report import report_tables
+from twinledger.plans.session import scratch_dir
 from twinledger.sources.read import LoadedTable, read_table
 from twinledger.spec import CompareRules, TableSpec
 
@@ -37,19 +38,27 @@ class FileComparison:
 
     @property
     def source_rejects(self) -> DataFrame:
-        return self.source.rejects_sample()
+        return self.source.rejects
 
     @property
     def target_rejects(self) -> DataFrame:
-        return self.target.rejects_sample()
+        return self.target.rejects
 
-    def report(self, sample_rows: int | None = None) -> dict[str, DataFrame]:
-        """The report tables; with ``sample_rows``, also that many matching rows."""
+    def report(self, sample_rows: int | None = None, cap: int | None = None) -> dict[str, DataFrame]:
+        """The report tables; with ``sample_rows``, also that many matching rows.
+
+        The differences are stored below the shared scratch folder first, so that the inputs are compared
+        once for all tables, and once more for summary and sample each.
+        """
+        detail = self.result.detail
+        spark, path = detail.sparkSession, scratch_dir(detail.sparkSession)
+        detail.write.parquet(path)
         return report_tables(
-            self.result.detail,
+            spark.read.schema(detail.schema).parquet(path),
             self.result.summary,
             self.result.keys,
             sample=None if sample_rows is None else self.result.sample(sample_rows),
+            cap=cap,
             header_comparison=self.header_comparison,
             trailer_comparison=self.trailer_comparison,
             source_rejects=self.source_rejects,
@@ -63,8 +72,13 @@ def compare_files(
     target: TableSpec,
     keys: str | list[str],
     rules: CompareRules | None = None,
-    unique_keys: bool = False,
+    unique_keys: bool | None = None,
 ) -> FileComparison:
-    """Read both sides as described, each with its own settings, and compare them."""
+    """Read both sides as described, each with its own settings, and compare them.
+
+    Whether keys repeat is looked up only in Parquet: in text that would cost a whole parse.
+    """
     left, right = read_table(spark, source), read_table(spark, target)
+    if unique_keys is None and not (source.is_parquet and target.is_parquet):
+        unique_keys = False
     return FileComparison(left, right, reconcile(spark, left.rows, right.rows, keys, rules, unique_keys))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinledger.functions import fmt
+from twinledger.plans.session import delete_path
 from twinledger.sources.inventory import list_files
 
 # How many runs are listed, and how long results and reports are kept.
@@ -34,7 +36,13 @@ def append_run(run: DataFrame, output: str) -> None:
 
 
 def read_history(spark: SparkSession, output: str) -> DataFrame:
-    return spark.read.schema(HISTORY_SCHEMA).parquet(history_path(output))
+    """All recorded runs; none where nothing has been recorded yet."""
+    try:
+        return spark.read.schema(HISTORY_SCHEMA).parquet(history_path(output))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], HISTORY_SCHEMA)
 
 
 def run_metadata(history: DataFrame, run_id: str) -> DataFrame:
@@ -55,15 +63,15 @@ def within_age(at: Column, now: Column, ttl_seconds: int) -> Column:
 def recent_runs(spark: SparkSession, output: str, limit: int = RECENT_RUNS) -> DataFrame:
     """The latest runs with the size of their stored results and whether there are any.
 
-    Only the folders of the listed runs are looked into, however many runs are stored.
+    Results are there when the run's metadata is, without which they cannot be reopened. Only the
+    folders of the listed runs are looked into, however many runs are stored.
     """
     newest = latest(read_history(spark, output), "finished_at", "run_id", limit)
     run_ids = [row["run_id"] for row in newest.select("run_id").collect()]
     files = list_files(spark, f"{output.rstrip('/')}/runs/{{{','.join(run_ids)}}}")
-    sizes = (
-        files.filter(F.col("path").endswith(".parquet"))
-        .groupBy(F.regexp_extract("path", r"/runs/([^/]+)/", 1).alias("run_id"))
-        .agg(F.sum("length").alias("size_bytes"))
+    sizes = files.groupBy(F.regexp_extract("path", r"/runs/([^/]+)/", 1).alias("run_id")).agg(
+        F.coalesce(F.sum(F.when(F.col("path").endswith(".parquet"), F.col("length"))), F.lit(0)).alias("size_bytes"),
+        F.bool_or(F.col("path").rlike(r"/runs/[^/]+/meta/part-")).alias("has_meta"),
     )
     joined = newest.join(sizes, "run_id", "left")
     size = F.coalesce("size_bytes", F.lit(0))
@@ -75,24 +83,38 @@ def recent_runs(spark: SparkSession, output: str, limit: int = RECENT_RUNS) -> D
         "match_percentage",
         size.alias("size_bytes"),
         fmt.format_bytes(size).alias("size_human"),
-        F.col("size_bytes").isNotNull().alias("has_results"),
+        F.coalesce("has_meta", F.lit(False)).alias("has_results"),
     ).orderBy(F.col("finished_at").desc(), F.col("run_id").desc())
 
 
-def purge_runs(spark: SparkSession, output: str, now: Column, ttl_seconds: int, scratch: str) -> None:
-    """Rewrite the history without runs older than the age.
+def purge_runs(spark: SparkSession, output: str, now: Column, ttl_seconds: int) -> int:
+    """Remove runs that finished longer ago than the age, with their results; returns how many.
 
-    The kept rows are written to ``scratch`` first and stay there, so a failure between the two
-    writes loses nothing.
+    Results go first, so a run that is still listed never lacks more than its results. Whole days that
+    have expired are dropped as partitions; only the days that keep some runs are rewritten, and
+    later ones, where new runs are recorded, are not touched.
     """
-    kept = read_history(spark, output).filter(within_age(F.col("finished_at"), now, ttl_seconds))
-    kept.write.mode("overwrite").parquet(scratch)
-    staged = spark.read.schema(HISTORY_SCHEMA).parquet(scratch)
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("run_date").parquet(
-        history_path(output)
+    history = read_history(spark, output)
+    fresh = F.coalesce(within_age(F.col("finished_at"), now, ttl_seconds), F.lit(True))
+    days = history.groupBy("run_date").agg(
+        F.count_if(~fresh).alias("expired"), F.count_if(fresh).alias("kept")
     )
+    expired_days = days.filter("expired > 0").collect()  # one row for each day
+    for row in history.filter(~fresh).select("run_id").toLocalIterator():
+        drop_results(spark, f"{output.rstrip('/')}/runs/{row['run_id']}")
+    for day in expired_days:
+        folder = f"{history_path(output)}/run_date={day['run_date']}"
+        if day["kept"]:
+            kept = history.filter((F.col("run_date") == F.lit(day["run_date"])) & fresh)
+            kept = spark.createDataFrame(kept.collect(), HISTORY_SCHEMA)  # a day's runs, one row each
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(
+                history_path(output)
+            )
+        else:
+            delete_path(spark, folder)
+    return sum(day["expired"] for day in expired_days)
 
 
 def drop_results(spark: SparkSession, run_path: str) -> None:
-    """Replace the stored rows of an expired run by an empty table."""
-    spark.createDataFrame([], "expired boolean").write.mode("overwrite").parquet(run_path)
+    """Remove the stored tables of a run."""
+    delete_path(spark, run_path)

@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from twinledger.operators.reconcile import (
 )
 from twinledger.plans.history import HISTORY_SCHEMA, append_run
 from twinledger.plans.report import report_tables
-from twinledger.plans.session import in_parallel, scratch_dir
+from twinledger.plans.session import delete_path, in_parallel, scratch_dir
 from twinledger.sources.read import REJECT_SCHEMA
 from twinledger.sources.stage import stage_table
 from twinledger.spec import JobConfig
@@ -44,7 +45,7 @@ META_SCHEMA = """
         mismatched: bigint, match_percentage: double>>
 """
 LINE_SCHEMA = (
-    "line_number int, source string, target string, status string, first_diff_pos int, diff_count int, "
+    "line_number bigint, source string, target string, status string, first_diff_pos int, diff_count int, "
     f"char_diffs {CHAR_DIFF_TYPE}, source_len int, target_len int"
 )
 
@@ -65,7 +66,8 @@ class StoredRun:
     target_rejects: DataFrame
     sample: DataFrame | None
 
-    def report(self) -> dict[str, DataFrame]:
+    def report(self, cap: int | None = None, sample_cap: int | None = None) -> dict[str, DataFrame]:
+        """The report tables; caps bound how many rows the detail tables and the sample list."""
         return report_tables(
             self.detail,
             self.summary,
@@ -75,6 +77,8 @@ class StoredRun:
             trailer_comparison=self.trailer_comparison,
             source_rejects=self.source_rejects,
             target_rejects=self.target_rejects,
+            cap=cap,
+            sample_cap=sample_cap,
         )
 
 
@@ -129,23 +133,28 @@ def _column_stats(columns: list[str], compared: int, counts: Row) -> list[tuple]
 def run_recon_job(spark: SparkSession, config: JobConfig) -> StoredRun:
     """Run one comparison, store its tables below ``<output>/runs/<run id>``, record it, reopen it.
 
-    A run that fails is recorded with its error before the error is passed on.
+    A run that fails is recorded with its error before the error is passed on. The staged copies of text
+    inputs are removed in either case.
     """
     began, started = time.time(), datetime.now(timezone.utc)
     naming = fmt.run_id(F.lit(config.job_name), F.lit(config.source.filename), F.lit(started))
-    run_id = spark.range(1).select(naming).head()[0]
+    # The tail keeps runs apart that begin within the same second.
+    run_id = f"{spark.range(1).select(naming).head()[0]}_{uuid4().hex[:8]}"
     path = f"{config.output.rstrip('/')}/runs/{run_id}"
+    staging = scratch_dir(spark)
     try:
-        known = _run(spark, config, run_id, path)
+        known = _run(spark, config, run_id, path, staging)
     except Exception as error:
         failure = {"status": "error", "message": str(error).split("\n")[0]}
         _record(spark, config, run_id, path, failure, started, began)
         raise
+    finally:
+        delete_path(spark, staging)
     _record(spark, config, run_id, path, known, started, began)
     return load_run(spark, config.output, run_id)
 
 
-def _run(spark: SparkSession, config: JobConfig, run_id: str, path: str) -> dict:
+def _run(spark: SparkSession, config: JobConfig, run_id: str, path: str, staging: str) -> dict:
     """Compare and store; returns what the history records about the outcome.
 
     Text is parsed once, into the shared scratch folder. The compared data is shuffled once: that
@@ -153,7 +162,6 @@ def _run(spark: SparkSession, config: JobConfig, run_id: str, path: str) -> dict
     two row counts. All that later steps read is committed to storage, so a lost executor costs at
     most the tasks it was running.
     """
-    staging = f"{scratch_dir(spark)}/{run_id}"
     source, target = in_parallel(
         spark,
         lambda: stage_table(spark, config.source, f"{staging}/source"),
@@ -180,9 +188,9 @@ def _run(spark: SparkSession, config: JobConfig, run_id: str, path: str) -> dict
     if config.source.trailer_patterns or config.target.trailer_patterns:
         tables["trailer_comparison"] = compare_lines(source.trailers, target.trailers)
     if source_counts["reject_count"]:
-        tables["source_rejects"] = source.rejects_sample()
+        tables["source_rejects"] = source.rejects
     if target_counts["reject_count"]:
-        tables["target_rejects"] = target.rejects_sample()
+        tables["target_rejects"] = target.rejects
 
     def write(name: str, df: DataFrame) -> Callable:
         return lambda: df.write.mode("overwrite").option("compression", "snappy").parquet(f"{path}/{name}")

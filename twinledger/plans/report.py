@@ -12,11 +12,6 @@ from twinledger.operators.reconcile import status_rank
 from twinledger.operators.results import data_columns, mismatches_only
 from twinledger.plans.session import in_parallel
 
-# How many rows a published table may hold.
-TABLE_CAP = 10_000
-SAMPLE_CAP = 1_000
-NAMES_SHOWN = 10
-
 # Summary column -> label, in report order.
 SUMMARY_LABELS = {
     "source_count": "Total Source Rows",
@@ -26,13 +21,11 @@ SUMMARY_LABELS = {
     "missing_in_source": "Missing in Source",
     "missing_in_target": "Missing in Target",
     "match_percentage": "Match Percentage",
-    "data_match_percentage": "Data Match Percentage",
 }
 
 
 def summary_metrics(summary: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """The one-row summary as (position, metric, value), followed by what was compared."""
-    shown = ", ".join(columns[:NAMES_SHOWN]) + ("..." if len(columns) > NAMES_SHOWN else "")
     entries = []
     for name, label in SUMMARY_LABELS.items():
         if name not in summary.columns:
@@ -46,7 +39,7 @@ def summary_metrics(summary: DataFrame, keys: list[str], columns: list[str]) ->
     entries += [
         (F.lit("Primary Keys"), F.lit(", ".join(keys))),
         (F.lit("Columns Compared"), F.lit(str(len(columns)))),
-        (F.lit("Column Names"), F.lit(shown)),
+        (F.lit("Column Names"), F.lit(", ".join(columns))),
     ]
     rows = F.array(
         *[
@@ -57,7 +50,7 @@ def summary_metrics(summary: DataFrame, keys: list[str], columns: list[str]) ->
     return summary.select(F.inline(rows))
 
 
-def in_report_order(detail: DataFrame, keys: list[str], cap: int | None = TABLE_CAP) -> DataFrame:
+def in_report_order(detail: DataFrame, keys: list[str], cap: int | None = None) -> DataFrame:
     """Detail rows by status, then key; a cap turns the sort into a bounded top-n."""
     ordered = detail.orderBy(status_rank(), *[ref(k) for k in keys])
     return ordered if cap is None else ordered.limit(cap)
@@ -106,9 +99,10 @@ def report_tables(
     trailer_comparison: DataFrame | None = None,
     source_rejects: DataFrame | None = None,
     target_rejects: DataFrame | None = None,
-    cap: int | None = TABLE_CAP,
+    cap: int | None = None,
+    sample_cap: int | None = None,
 ) -> dict[str, DataFrame]:
-    """All tables of a report that have rows, by name.
+    """All tables of a report that have rows, by name; whole, unless caps are given.
 
     Hand in a detail table that is stored (as a run does), since each table is read on its own.
     Deciding which tables have rows takes one small job for each optional input.
@@ -129,7 +123,8 @@ def report_tables(
         if comparison is not None and not comparison.isEmpty():
             tables[name] = line_table(comparison)
     if sample is not None and not sample.isEmpty():
-        tables["sample_matching_data"] = sample.orderBy(*[ref(k) for k in keys]).limit(SAMPLE_CAP)
+        ordered = sample.orderBy(*[ref(k) for k in keys])
+        tables["sample_matching_data"] = ordered if sample_cap is None else ordered.limit(sample_cap)
     rejects = reject_table(source_rejects, target_rejects)
     if rejects is not None and not rejects.isEmpty():
         tables["rejected_records"] = rejects

@@ -1,7 +1,9 @@
 """Lines of compressed files that Spark's text reader does not open by itself.
 
-Zip archives (their first member), and gzip or bzip2 data under another suffix. The bytes come from
-Spark's ``binaryFile`` source, one file per task at a time, and are decompressed as a stream.
+Zip archives, and gzip or bzip2 data under another suffix. Each member of a zip archive is a file of its
+own, named ``<archive>!<member>``. The bytes come from Spark's ``binaryFile`` source, one file per task at a
+time, and are decompressed as a stream. Spark refuses files of 2 GiB or more there, by name; unpack
+those first.
 """
 
 from __future__ import annotations
@@ -9,8 +11,10 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import itertools
 import zipfile
 from collections.abc import Iterator
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +25,20 @@ from twinledger.spec import TableSpec
 ROWS_PER_BATCH = 20_000
 
 
-def _open_member(content: bytes, codec: str):
+def _open_members(path: str, content: bytes, codec: str) -> Iterator[tuple[str, IO[bytes]]]:
+    """(name, stream) of everything that the file holds, in the order of the archive's directory."""
     data = io.BytesIO(content)
     if codec == "gzip":
-        return gzip.open(data)
-    if codec == "bzip2":
-        return bz2.open(data)
-    archive = zipfile.ZipFile(data)
-    names = archive.namelist()
-    if not names:
-        raise ValueError("empty zip file")
-    return archive.open(names[0])
+        yield path, gzip.open(data)
+    elif codec == "bzip2":
+        yield path, bz2.open(data)
+    else:
+        archive = zipfile.ZipFile(data)
+        members = [m for m in archive.infolist() if not m.is_dir()]
+        if not members:
+            raise ValueError(f"empty zip file: {path}")
+        for member in members:
+            yield f"{path}!{member.filename}", archive.open(member)
 
 
 def read_archive_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
@@ -41,15 +48,13 @@ def read_archive_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
     def lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                with io.TextIOWrapper(_open_member(content, codec), encoding=encoding) as text:
-                    chunk, first = [], 1
-                    for line in text:
-                        chunk.append(line.rstrip("\n"))
-                        if len(chunk) == ROWS_PER_BATCH:
-                            yield pd.DataFrame({"value": chunk, "__file": path, "__line": range(first, first + len(chunk))})
-                            first, chunk = first + len(chunk), []
-                    if chunk:
-                        yield pd.DataFrame({"value": chunk, "__file": path, "__line": range(first, first + len(chunk))})
+                for name, stream in _open_members(path, content, codec):
+                    with io.TextIOWrapper(stream, encoding=encoding) as text:
+                        numbers = itertools.count(1)
+                        while chunk := [line.rstrip("\n") for line in itertools.islice(text, ROWS_PER_BATCH)]:
+                            yield pd.DataFrame(
+                                {"value": chunk, "__file": name, "__line": [next(numbers) for _ in chunk]}
+                            )
 
     files = spark.read.format("binaryFile").load(spec.path).select("path", "content")
     lines = files.mapInPandas(lines_of, "value string, __file string, __line bigint")

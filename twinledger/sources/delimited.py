@@ -1,18 +1,20 @@
 """Delimited lines to columns of text, with rejected lines kept apart.
 
 A line is rejected when it has more fields than there are columns, or when a quoted field never
-ends. A line with fewer fields is padded with nulls.
+ends. A line with fewer fields is padded with nulls. A quoted field may go on over line ends: such lines
+are joined to one record, also across the splits of a file.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinledger.functions.names import distinct_names, ref
-from twinledger.sources.lines import BLOCK, FILE, LINE, POSITION
+from twinledger.operators.lines import CHUNK_BITS
+from twinledger.sources.lines import BLOCK, FILE, LINE, POSITION, with_line_numbers
 from twinledger.spec import TableSpec
 
 RAW, REJECT = "__raw", "__reject"
@@ -21,32 +23,39 @@ RAW, REJECT = "__raw", "__reject"
 TOO_MANY = "TOO MANY COLUMNS"
 UNFINISHED = "UNQUOTED VALUE"
 
+# Fields that Spark's CSV parser is always let to find in a line.
+MOST_FIELDS = 1_000_000
+
 # A field no file holds (Unicode noncharacters), put after a line to see where its fields end.
 END_MARK = "\ufdd0\ufdd1"
 
 
-# Most fields Spark's CSV parser is let to find in a line. More would fail the whole query, so
-# lines long enough to hold more are looked at before they are parsed.
-MOST_FIELDS = 1_000_000
+def most_fields(count: int) -> int:
+    """Most fields that Spark's CSV parser is let to find in a line of ``count`` columns.
+
+    More would fail the whole query, so lines with more delimiters, which are too long for any such
+    table, are rejected before they are parsed.
+    """
+    return max(MOST_FIELDS, 2 * count)
 
 
-def csv_options(spec: TableSpec) -> dict[str, str]:
+def csv_options(spec: TableSpec, count: int) -> dict[str, str]:
     return {
         "sep": spec.delimiter,
         "quote": spec.quote,
         "escape": spec.quote,
         "maxCharsPerColumn": "-1",
-        "maxColumns": str(MOST_FIELDS),
+        "maxColumns": str(most_fields(count)),
     }
 
 
-def _cannot_be_parsed(line: Column, spec: TableSpec) -> Column:
+def _cannot_be_parsed(line: Column, count: int, spec: TableSpec) -> Column:
     """True for lines with more delimiters outside quotes than the parser can take."""
     mark = re.escape(spec.quote)
     outside = F.regexp_replace(line, f"{mark}[^{mark}]*{mark}", "")
     without = F.length(F.replace(outside, F.lit(spec.delimiter), F.lit("")))
     delimiters = (F.length(outside) - without) / len(spec.delimiter)
-    return (F.octet_length(line) >= MOST_FIELDS) & (delimiters >= MOST_FIELDS - 2)
+    return (F.octet_length(line) >= most_fields(count)) & (delimiters >= most_fields(count) - 2)
 
 
 def fields_of(spark: SparkSession, spec: TableSpec, line: str) -> list[str | None]:
@@ -69,7 +78,7 @@ def auto_names(count: int) -> list[str]:
 
 def _fields(line: Column, count: int, spec: TableSpec, corrupt: bool = False) -> Column:
     names = [f"c{i} string" for i in range(count)]
-    options = csv_options(spec)
+    options = csv_options(spec, count)
     if corrupt:
         names.append("_bad string")
         options["columnNameOfCorruptRecord"] = "_bad"
@@ -86,11 +95,10 @@ def parse_lines(lines: DataFrame, names: list[str], spec: TableSpec) -> DataFram
     """
     line, count = F.col(LINE), len(names)
     # `inline` makes the parsed fields plain columns, so that no later filter parses a line again.
-    hopeless = _cannot_be_parsed(line, spec)
+    hopeless = _cannot_be_parsed(line, count, spec)
     fields = _fields(F.when(~hopeless, line), count, spec, corrupt=True)
     parsed = lines.select(LINE, FILE, BLOCK, POSITION, F.inline(F.array(fields)))
-    quotes = F.length(line) - F.length(F.replace(line, F.lit(spec.quote), F.lit("")))
-    odd_quotes = quotes % 2 == 1
+    odd_quotes = _odd_quotes(line, spec)
     suspect = F.col("_bad").isNotNull() | odd_quotes
     reason = F.when(odd_quotes, F.lit(UNFINISHED)).otherwise(F.lit(TOO_MANY))
     reject = F.when(hopeless, F.lit(TOO_MANY)).when(
@@ -99,16 +107,103 @@ def parse_lines(lines: DataFrame, names: list[str], spec: TableSpec) -> DataFram
     return parsed.select(*_named(names), line.alias(RAW), FILE, BLOCK, POSITION, reject.alias(REJECT))
 
 
+def _odd_quotes(line: Column, spec: TableSpec) -> Column:
+    return (F.length(line) - F.length(F.replace(line, F.lit(spec.quote), F.lit("")))) % 2 == 1
+
+
+def _ends_amid(line: Column, spec: TableSpec) -> Column:
+    """Whether a quoted field is followed by something other than a delimiter or the end."""
+    quote, sep = re.escape(spec.quote), re.escape(spec.delimiter)
+    plain = F.replace(line, F.lit(spec.quote * 2), F.lit(""))
+    return plain.rlike(f"(?s)(?:^|{sep}){quote}[^{quote}]*{quote}(?!{sep}|\\z)")
+
+
+def may_span_lines(lines: DataFrame, spec: TableSpec) -> bool:
+    """Whether some line holds an odd number of quotes, without which no field goes on over its end."""
+    return not lines.filter(_odd_quotes(F.col(LINE), spec)).isEmpty()
+
+
+def join_records(lines: DataFrame, count: int, spec: TableSpec) -> DataFrame:
+    """Physical lines to records: lines within one quoted field are joined by a line feed.
+
+    Only lines with an odd number of quotes change whether a field is open. Those that leave a field open when
+    they begin with none toggle; the others can only close one. What is open before a line follows from the
+    toggles since the last line that closed for certain, counted within chunks of a file and then over its
+    chunks. A record counts if it closes within ``max_record_bytes`` and parses to ``count`` fields or less; else
+    each of its lines is judged alone, so one stray quote costs its own line and no more.
+    """
+    chunk = [FILE, BLOCK, "__chunk"]
+    line, odd = F.col(LINE), _odd_quotes(F.col(LINE), spec)
+    lines = lines.select(LINE, FILE, BLOCK, POSITION)
+    marked = (
+        lines.withColumn("__chunk", F.shiftright(F.col(POSITION), CHUNK_BITS))
+        .withColumn("__odd", odd)
+        .withColumn(
+            "__opens",
+            F.when(odd & ~_cannot_be_parsed(line, count, spec), ~_well_formed(line, count, spec)).otherwise(F.lit(False)),
+        )
+    )
+    in_order = Window.partitionBy(*chunk).orderBy(POSITION)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    closes = F.col("__odd") & ~F.col("__opens")
+    counted = marked.withColumn("__t", F.sum(F.col("__opens").cast("bigint")).over(so_far))
+    counted = counted.withColumn("__closed_at", F.max(F.when(closes, F.col("__t"))).over(earlier))
+    # Chunks in file order: open at the start of one if the toggles since the last closing one are odd.
+    totals = counted.groupBy(*chunk).agg(
+        F.max("__t").alias("__all"), F.max(F.when(closes, F.col("__t"))).alias("__last")
+    )
+    of_file = Window.partitionBy(FILE).orderBy(BLOCK, "__chunk")
+    chunks_before = of_file.rowsBetween(Window.unboundedPreceding, -1)
+    tail = F.col("__all") - F.coalesce("__last", F.lit(0))
+    totals = totals.withColumn("__sum", F.coalesce(F.sum(tail).over(chunks_before), F.lit(0)))
+    base = F.max(F.when(F.col("__last").isNotNull(), F.col("__sum"))).over(chunks_before)
+    enters = totals.select(*chunk, (F.col("__sum") - F.coalesce(base, F.lit(0))).alias("__enter"))
+    toggles = F.col("__t") - F.col("__opens").cast("bigint")
+    before = F.when(F.col("__closed_at").isNotNull(), toggles - F.col("__closed_at")).otherwise(
+        toggles + F.col("__enter")
+    )
+    stated = counted.join(enters, chunk).withColumn("__inside", before % 2 == 1)
+    starts = F.when(F.col("__opens") & ~F.col("__inside"), F.struct(BLOCK, POSITION))
+    stated = stated.withColumn("__first", F.last(starts, ignorenulls=True).over(so_far))
+    carried = stated.groupBy(*chunk).agg(F.max(starts).alias("__latest"))
+    carried = carried.select(*chunk, F.last("__latest", ignorenulls=True).over(chunks_before).alias("__carried"))
+    grouped = stated.join(carried, chunk).withColumn(
+        "__record",
+        F.when(F.col("__inside") | (F.col("__opens") & ~F.col("__inside")), F.coalesce("__first", "__carried")),
+    )
+    kept = [LINE, FILE, BLOCK, POSITION]
+    alone = grouped.filter(F.col("__record").isNull()).select(*kept)
+    spanning = grouped.filter(F.col("__record").isNotNull()).select(*kept, "__odd", "__record")
+    sizes = spanning.groupBy(FILE, "__record").agg(
+        (F.sum(F.octet_length(LINE)) + F.count(F.lit(1))).alias("__bytes"), F.count_if("__odd").alias("__quotes")
+    )
+    bounded = (F.col("__bytes") <= spec.max_record_bytes) & (F.col("__quotes") > 1)
+    sized = spanning.join(sizes, [FILE, "__record"])
+    gathered = (
+        sized.filter(bounded)
+        .groupBy(FILE, "__record")
+        .agg(F.array_sort(F.collect_list(F.struct(BLOCK, POSITION, LINE))).alias("__lines"))
+        .withColumn("__text", F.array_join(F.transform("__lines", lambda x: x[LINE]), "\n"))
+    )
+    whole = F.struct(F.col("__record")[BLOCK].alias(BLOCK), F.col("__record")[POSITION].alias(POSITION), F.col("__text").alias(LINE))
+    sound = _well_formed(F.col("__text"), count, spec) & ~_ends_amid(F.col("__text"), spec)
+    each = F.when(sound, F.array(whole)).otherwise(F.col("__lines"))
+    records = gathered.select(FILE, F.inline(each)).select(*kept)
+    return alone.unionByName(records).unionByName(sized.filter(~bounded).select(*kept))
+
+
 def parse_multi_line(spark: SparkSession, names: list[str], spec: TableSpec) -> DataFrame:
-    """As ``parse_lines``, for records whose quoted fields span lines.
+    """As ``parse_lines``, with Spark's own reader of records that span lines.
 
-    Files are then not split, so this is opt-in. Trailers are recognised by the first column.
+    Files are then not split, so this is opt-in. Trailers are recognised by the first column, and rejects
+    have no line number.
     """
     if spec.header_rows > 1:
         raise ValueError("multi_line supports one header row")
     count = len(names)
     fields = ", ".join([*[f"c{i} string" for i in range(count)], "_bad string"])
-    reader = spark.read.schema(fields).options(**csv_options(spec)).option("multiLine", True)
+    reader = spark.read.schema(fields).options(**csv_options(spec, len(names))).option("multiLine", True)
     reader = reader.option("header", spec.header_rows > 0).option("encoding", spec.encoding)
     records = reader.option("columnNameOfCorruptRecord", "_bad").csv(spec.path)
     first = F.coalesce("c0", F.lit(""))
@@ -116,7 +211,8 @@ def parse_multi_line(spark: SparkSession, names: list[str], spec: TableSpec) ->
         records = records.filter(~first.startswith(pattern))
     # Naming the first column here matters: Spark refuses to read the raw record alone.
     suspect = F.col("_bad").isNotNull() & (first != END_MARK)
-    reject = F.when(suspect, F.when(~_well_formed(F.col("_bad"), count, spec), F.lit(TOO_MANY)))
+    reason = F.when(_odd_quotes(F.col("_bad"), spec), F.lit(UNFINISHED)).otherwise(F.lit(TOO_MANY))
+    reject = F.when(suspect, F.when(~_well_formed(F.col("_bad"), count, spec), reason))
     return records.select(
         *_named(names),
         F.col("_bad").alias(RAW),
@@ -146,10 +242,16 @@ def good_rows(parsed: DataFrame, names: list[str]) -> DataFrame:
     return parsed.filter(F.col(REJECT).isNull()).select(*[ref(n) for n in names])
 
 
-def rejected_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col(REJECT).isNotNull()).select(
+def rejected_rows(spark: SparkSession, parsed: DataFrame, spec: TableSpec) -> DataFrame:
+    """Where each reject stands (file and line), why, and its text."""
+    found = parsed.filter(F.col(REJECT).isNotNull()).select(FILE, BLOCK, POSITION, REJECT, RAW)
+    if spec.multi_line and spec.opens_natively:
+        numbered = found.withColumn("line_number", F.lit(None).cast("bigint"))
+    else:
+        numbered = with_line_numbers(spark, spec, found)
+    return numbered.select(
         F.col(FILE).alias("file"),
-        F.col(POSITION).alias("position"),
+        "line_number",
         F.col(REJECT).alias("error_type"),
         F.col(RAW).alias("csv_line"),
     )

@@ -7,10 +7,11 @@ trailers be recognised before parsing, and keeps the original text for rejects.
 from __future__ import annotations
 
 import codecs
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,13 +25,7 @@ LINE, FILE, BLOCK, POSITION = "value", "__file", "__block", "__pos"
 SPARK_CHARSETS = {"ascii": "US-ASCII", "iso8859-1": "ISO-8859-1"}
 WIDE_CHARSETS = {"utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "utf-32-le": "UTF-32LE", "utf-32-be": "UTF-32BE"}
 
-# A separator that text never holds (a Unicode noncharacter), for reading a line as one field.
-NO_SEPARATOR = "\ufdd0"
-
-LINE_HEADS = T.StructType([T.StructField("line_number", T.IntegerType()), T.StructField("line", T.StringType())])
-
-# Above this many files their first positions are joined without a broadcast.
-BROADCAST_FILES = 200_000
+LINE_HEADS = T.StructType([T.StructField("line_number", T.LongType()), T.StructField("line", T.StringType())])
 
 
 def _decoded(value: Column, encoding: str) -> Column:
@@ -78,12 +73,54 @@ def is_trailer(line: Column, patterns: tuple[str, ...]) -> Column:
     return reduce(or_, starts) if starts else F.lit(False)
 
 
+def _is_single(spark: SparkSession, spec: TableSpec) -> bool:
+    """Whether the path holds one file at most (an archive may hold several, and counts as many)."""
+    if spec.codec == "zip":
+        return False
+    return spark.read.format("binaryFile").load(spec.path).select("path").limit(2).count() < 2
+
+
+def _first_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
+    """The first ``header_rows`` lines of every file, with ``__line`` from 1."""
+    lines = raw_lines(spark, spec)
+    if not spec.opens_natively:
+        return lines.filter(F.col("__line") <= spec.header_rows)
+    index = F.col(POSITION) - F.col("__start")
+    return (
+        lines.filter(F.col(BLOCK) == 0)
+        .join(_starts(lines), FILE)
+        .filter(index < spec.header_rows)
+        .withColumn("__line", index + 1)
+    )
+
+
+def _starts(lines: DataFrame) -> DataFrame:
+    """Where each file begins: the smallest position of its first split."""
+    return lines.filter(F.col(BLOCK) == 0).groupBy(FILE).agg(F.min(POSITION).alias("__start"))
+
+
 def header_lines(spark: SparkSession, spec: TableSpec) -> list[str]:
-    """The first ``header_rows`` lines (of the first file); only those rows reach the driver."""
+    """The first ``header_rows`` lines of the first file by name; only those rows reach the driver.
+
+    The last of them names the columns. Files of one folder whose names differ are refused: read by
+    position, they would swap columns.
+    """
     if not spec.header_rows:
         return []
-    rows = raw_lines(spark, spec).select(LINE).head(spec.header_rows)
-    lines = [row[0] for row in rows]
+    if _is_single(spark, spec):
+        rows = raw_lines(spark, spec).select(LINE).head(spec.header_rows)
+        lines = [row[0] for row in rows]
+    else:
+        by_file = _first_lines(spark, spec).groupBy(FILE).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("__line", LINE))), lambda x: x[LINE]).alias("lines")
+        )
+        named = F.regexp_replace(F.element_at("lines", -1), "^\ufeff", "")
+        whole = by_file.filter(F.size("lines") == spec.header_rows)
+        kinds = whole.groupBy(named.alias("names")).agg(F.min(F.struct(FILE, "lines")).alias("first"))
+        found = kinds.select("first.*").orderBy(FILE).head(2)
+        if len(found) > 1:
+            raise ValueError(f"files with different headers: {found[0][FILE]} and {found[1][FILE]}")
+        lines = list(found[0]["lines"]) if found else []
     return [line.removeprefix("\ufeff") if i == 0 else line for i, line in enumerate(lines)]
 
 
@@ -101,7 +138,7 @@ def trailer_frame(spark: SparkSession, spec: TableSpec) -> DataFrame:
 
 def numbered(lines: DataFrame) -> DataFrame:
     """(line_number, line) in file order."""
-    return number_lines(lines).select(F.col("line_number").cast("int"), F.col(LINE).alias("line"))
+    return number_lines(lines).select(F.col("line_number").cast("bigint"), F.col(LINE).alias("line"))
 
 
 def data_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
@@ -110,9 +147,16 @@ def data_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
     return lines.filter(~is_trailer(F.col(LINE), spec.trailer_patterns)) if spec.trailer_patterns else lines
 
 
-def body_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
-    """All lines after the header that are not empty, trailers included."""
-    lines = _without_header(spark, spec).filter(F.length(LINE) > 0).select(LINE, FILE, BLOCK, POSITION)
+def body_lines(
+    spark: SparkSession, spec: TableSpec, joined: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """All lines after the header that are not empty, trailers included.
+
+    ``joined`` may turn physical lines into records before empty lines go.
+    """
+    lines = _without_header(spark, spec)
+    lines = joined(lines) if joined else lines
+    lines = lines.filter(F.length(LINE) > 0).select(LINE, FILE, BLOCK, POSITION)
     if spec.codec in ("gzip", "zip"):
         # Such a file is one task however large it is; spread its lines before they are parsed.
         lines = lines.repartition(spec.fan_out or spark.sparkContext.defaultParallelism, POSITION)
@@ -120,31 +164,32 @@ def body_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
 
 
 def _without_header(spark: SparkSession, spec: TableSpec) -> DataFrame:
-    """Drop the first ``header_rows`` lines of every file without numbering all lines.
+    """Drop the first ``header_rows`` lines of every file, empty ones included.
 
-    In a single file the first block opens the first partition, so its ids simply start at 0. With
-    many files and one header row, Spark's reader drops it at the start of each file. Only many
-    files with several header rows need a look at where each file's ids start.
+    Lines of a split have ids in a row. In a single file the first split opens the first partition, so
+    ids start at 0; else the start of each file is looked up.
     """
+    lines = raw_lines(spark, spec)
     n = spec.header_rows
     if not n:
-        return raw_lines(spark, spec)
+        return lines
     if not spec.opens_natively:
-        return raw_lines(spark, spec).filter(F.col("__line") > n)
-    lines = raw_lines(spark, spec)
-    files = len(spark.read.text(spec.path).inputFiles())
-    if files <= 1:
+        return lines.filter(F.col("__line") > n)
+    if _is_single(spark, spec):
         return lines.filter(F.col(POSITION) >= n)
-    if n == 1 and codecs.lookup(spec.encoding).name == "utf-8":
-        reader = spark.read.schema("value string").option("header", True).option("sep", NO_SEPARATOR)
-        return reader.option("quote", "").csv(spec.path).select(
-            F.col("value").alias(LINE),
-            F.col("_metadata.file_path").alias(FILE),
-            F.col("_metadata.file_block_start").alias(BLOCK),
-            F.monotonically_increasing_id().alias(POSITION),
-        )
-    starts = lines.filter(F.col(BLOCK) == 0).groupBy(FILE).agg(F.min(POSITION).alias("_start"))
-    if files <= BROADCAST_FILES:
-        starts = F.broadcast(starts)
-    in_header = (F.col(BLOCK) == 0) & (F.col(POSITION) < F.col("_start") + n)
-    return lines.join(starts, FILE).filter(~in_header)
+    in_header = (F.col(BLOCK) == 0) & (F.col(POSITION) < F.col("__start") + n)
+    return lines.join(_starts(lines), FILE).filter(~in_header)
+
+
+def with_line_numbers(spark: SparkSession, spec: TableSpec, places: DataFrame) -> DataFrame:
+    """``places`` (file, block and position of some lines) with ``line_number``, from 1 within the file.
+
+    Lines of a split have ids in a row, so a line's number follows from where its split starts and how many
+    lines the file's earlier splits have.
+    """
+    splits = raw_lines(spark, spec).groupBy(FILE, BLOCK)
+    counted = splits.agg(F.min(POSITION).alias("__start"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    number = F.col("__before") + F.col(POSITION) - F.col("__start") + 1
+    return places.join(before, [FILE, BLOCK]).withColumn("line_number", number).drop("__start", "__n", "__before")

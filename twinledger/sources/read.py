@@ -13,15 +13,16 @@ from twinledger.sources.fixed_width import read_fixed_width
 from twinledger.sources.lines import (
     LINE,
     LINE_HEADS,
+    body_lines,
     data_lines,
     header_frame,
     header_lines,
+    is_trailer,
     trailer_frame,
 )
 from twinledger.spec import TableSpec
 
-REJECT_CAP = 500
-REJECT_SCHEMA = "file string, position bigint, error_type string, csv_line string"
+REJECT_SCHEMA = "file string, line_number bigint, error_type string, csv_line string"
 
 
 @dataclass(frozen=True)
@@ -37,9 +38,9 @@ class LoadedTable:
     counts_of: DataFrame | None = None
     header_text: tuple[str, ...] = ()
 
-    def rejects_sample(self, n: int = REJECT_CAP) -> DataFrame:
+    def first_rejects(self, n: int) -> DataFrame:
         """The first ``n`` rejected lines in file order."""
-        return self.rejects.orderBy("file", "position").limit(n)
+        return self.rejects.orderBy("file", "line_number").limit(n)
 
     @property
     def counts(self) -> DataFrame:
@@ -69,15 +70,30 @@ def read_table(spark: SparkSession, spec: TableSpec) -> LoadedTable:
     if not names:
         empty = spark.createDataFrame([], "column0 string")
         return LoadedTable(spec, empty, no_rejects, *edges)
-    if spec.multi_line:
+    if spec.multi_line and spec.opens_natively:
         parsed = delimited.parse_multi_line(spark, names, spec)
     else:
-        parsed = delimited.parse_lines(data_lines(spark, spec), names, spec)
+        lines = record_lines(spark, spec, len(names))
+        parsed = delimited.parse_lines(lines.filter(~is_trailer(F.col(LINE), spec.trailer_patterns)), names, spec)
     return LoadedTable(
-        spec, delimited.good_rows(parsed, names), delimited.rejected_rows(parsed), *edges, parsed=parsed, header_text=tuple(headers)
+        spec,
+        delimited.good_rows(parsed, names),
+        delimited.rejected_rows(spark, parsed, spec),
+        *edges,
+        parsed=parsed,
+        header_text=tuple(headers),
     )
 
 
+def record_lines(spark: SparkSession, spec: TableSpec, count: int) -> DataFrame:
+    """The lines after the header, those of one record joined. Looks for open quotes, with one action."""
+
+    def joined(lines: DataFrame) -> DataFrame:
+        return delimited.join_records(lines, count, spec) if delimited.may_span_lines(lines, spec) else lines
+
+    return body_lines(spark, spec, joined)
+
+
 def delimited_names(spark: SparkSession, spec: TableSpec, headers: list[str]) -> list[str]:
     """Given names, else the last header line, else ``columnN`` after the first record's fields."""
     if spec.column_names:

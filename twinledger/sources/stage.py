@@ -2,12 +2,13 @@
 
 A run needs a text input several times: its rows, their number, its rejects and its trailers. One
 pass over the lines writes them all to one staged table, tagged by kind. Later reads are columnar:
-counts touch only the tag, and rejects and trailers skip the row groups that hold none.
+counts touch only the tag, and rejects and trailers skip the row groups that hold none. Lines are parsed
+alone first; only if one leaves a quoted field open is the file read again, with such lines joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinledger.functions.names import ref
@@ -24,7 +25,7 @@ from twinledger.sources.lines import (
     is_trailer,
     numbered,
 )
-from twinledger.sources.read import LoadedTable, delimited_names, read_table
+from twinledger.sources.read import LoadedTable, delimited_names, read_table, record_lines
 from twinledger.spec import TableSpec
 
 KIND = "__kind"
@@ -33,7 +34,7 @@ ROW, REJECTED, TRAILER = "row", "reject", "trailer"
 
 def stage_table(spark: SparkSession, spec: TableSpec, path: str) -> LoadedTable:
     """As ``read_table``, from a staged copy at ``path``. Parquet inputs are read in place."""
-    if spec.is_parquet or spec.multi_line:
+    if spec.is_parquet:
         return read_table(spark, spec)
     headers = header_lines(spark, spec)
     lines = body_lines(spark, spec)
@@ -49,8 +50,31 @@ def stage_table(spark: SparkSession, spec: TableSpec, path: str) -> LoadedTable:
         names = delimited_names(spark, spec, headers)
         if not names:
             return read_table(spark, spec)
-        parsed = delimited.parse_lines(lines, names, spec)
+        if spec.multi_line and spec.opens_natively:
+            parsed = delimited.parse_multi_line(spark, names, spec)
+        else:
+            parsed = delimited.parse_lines(lines, names, spec)
+    stored = _stored(spark, spec, names, parsed, path)
+    if not spec.is_fixed_width and not spec.multi_line:
+        # Without a field that is open at a line's end, no record spans lines, and nothing is left to do.
+        if not stored.filter(F.col(delimited.REJECT) == delimited.UNFINISHED).isEmpty():
+            parsed = delimited.parse_lines(record_lines(spark, spec, len(names)), names, spec)
+            stored = _stored(spark, spec, names, parsed, f"{path}_records")
+    return LoadedTable(
+        spec,
+        rows=stored.filter(F.col(KIND) == ROW).select(*[ref(n) for n in names]),
+        rejects=delimited.rejected_rows(spark, stored.filter(F.col(KIND) == REJECTED), spec),
+        headers=header_frame(spark, headers),
+        header_text=tuple(headers),
+        trailers=_trailers(spark, spec, headers, stored),
+        counts_of=stored.agg(
+            F.count_if(F.col(KIND) == ROW).alias("row_count"),
+            F.count_if(F.col(KIND) == REJECTED).alias("reject_count"),
+        ),
+    )
 
+
+def _stored(spark: SparkSession, spec: TableSpec, names: list[str], parsed: DataFrame, path: str) -> DataFrame:
     raw = F.col(delimited.RAW)
     kind = (
         F.when(is_trailer(raw, spec.trailer_patterns), F.lit(TRAILER))
@@ -67,19 +91,7 @@ def stage_table(spark: SparkSession, spec: TableSpec, path: str) -> LoadedTable:
         kind.alias(KIND),
     )
     staged.write.mode("overwrite").parquet(path)
-    stored = spark.read.schema(staged.schema).parquet(path)
-    return LoadedTable(
-        spec,
-        rows=stored.filter(F.col(KIND) == ROW).select(*[ref(n) for n in names]),
-        rejects=delimited.rejected_rows(stored.filter(F.col(KIND) == REJECTED)),
-        headers=header_frame(spark, headers),
-        header_text=tuple(headers),
-        trailers=_trailers(spark, spec, headers, stored),
-        counts_of=stored.agg(
-            F.count_if(F.col(KIND) == ROW).alias("row_count"),
-            F.count_if(F.col(KIND) == REJECTED).alias("reject_count"),
-        ),
-    )
+    return spark.read.schema(staged.schema).parquet(path)
 
 
 def _trailers(spark, spec, headers, stored):
