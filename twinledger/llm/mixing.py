@@ -7,7 +7,7 @@ each block q // n times, and q % n of them, spread evenly from a seeded start, o
 a shard in seeded hash order, so the words that a document gives follow from its place alone, in one step
 and without listing blocks.
 
-Shards hold some four million words, so a source of any size is dealt out to many tasks; only sums by
+Shards hold some 250,000 words, more only in sources of over four billion, so a source of any size is dealt out to many tasks; only sums by
 source and by shard (at most ``MAX_SHARDS`` for each source) reach the driver, which needs the list of
 sources anyway, since weights belong to them.
 
@@ -34,7 +34,7 @@ from twinledger.llm.common import WORD, columns_of, numbered, written
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words in a block; less where the smallest source would have under MIN_BLOCKS of them.
 BLOCK_WORDS, MIN_BLOCKS = 512, 256
-SHARD_WORDS, MAX_SHARDS = 4_000_000, 16_384
+SHARD_WORDS, MAX_SHARDS = 250_000, 16_384
 #: The plan of so many shards is broadcast: 80 bytes each.
 BROADCAST_SHARDS = 100_000
 
