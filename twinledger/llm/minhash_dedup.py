@@ -11,9 +11,13 @@ its links are.
 2. Keys that only one node has are dropped. The pairs of the remaining ones, few for most nodes, are the
    tables' buckets.
 3. Every node is compared with the smallest node of each of its buckets. Links give components.
-4. In buckets that still hold several components, nodes outside the largest one are compared with all
-   nodes of other components. So every pair that shares a bucket is compared or already connected,
-   while a bucket of near copies of any size costs one comparison for each node.
+4. Of the nodes in buckets that still hold several components, it is counted how many shingles of each any
+   other of them has: no pair can share more than the smaller of its two counts, and what cannot reach
+   the threshold so is left out. Texts with a passage in common and little else drop out here.
+5. The rest is compared with one node of each bucket again, another in each of STAR_ROUNDS rounds. In
+   buckets that hold several components even then, nodes outside the largest one are compared with all
+   nodes of other components. So every pair that shares a bucket is compared, ruled out or already
+   connected, while a bucket of near copies costs a few comparisons for each node.
 
 Pairs go on to the comparison if their sizes and a sketch of 128 bits allow the threshold (the sketch
 turns down a pair at the threshold with a chance below one in 10,000), and are then compared on the full
@@ -41,6 +45,8 @@ from twinledger.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 75
 KEYS, HASHES = 16, 4
+#: Rounds in which buckets with several components are compared with one node before pairs are.
+STAR_ROUNDS = 3
 #: Of 128 sketch bits, how many may differ: 16 are expected at 0.75, with a deviation of 3.7.
 SKETCH_BITS, SKETCH_DIFFERENCE = 128, 33
 #: Nodes whose ids are broadcast when their texts are fetched; beyond it the texts are shuffled.
@@ -142,10 +148,8 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.select("node", sets("text").alias("shingles"))
 
 
-def _confirmed(spark: SparkSession, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v: those pairs whose full sets reach the threshold."""
-    nodes = written(spark, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    sets = written(spark, _full_sets(docs, nodes))
     of_u = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
     of_v = sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
     common = F.size(F.array_intersect("set_u", "set_v"))
@@ -207,15 +211,23 @@ def _links_to_smallest(spark: SparkSession, docs: DataFrame, buckets: DataFrame)
     ).distinct()
     of_u = written(spark, of_u.join(pairs.select("u").distinct(), "u", "left_semi"))
     allowed = pairs.join(of_u, "u").filter(_may_reach("n", "m", ("a", "b", "sketch_a", "sketch_b")))
-    return _confirmed(spark, docs, written(spark, allowed.select("u", "v")))
+    pairs = written(spark, allowed.select("u", "v"))
+    nodes = written(spark, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    return _confirmed(spark, pairs, written(spark, _full_sets(docs, nodes)))
 
 
-def _links_between(
-    spark: SparkSession, docs: DataFrame, buckets: DataFrame, roots: DataFrame, known: DataFrame
-) -> DataFrame:
-    """Links between components that share a bucket."""
-    rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = written(spark, rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_nodes")))
+def _shared_counts(spark: SparkSession, sets: DataFrame) -> DataFrame:
+    """node, shared: how many of its shingles any other node of these has."""
+    places = sets.select("node", F.explode("shingles").alias("shingle"))
+    common = written(
+        spark, places.groupBy("shingle").agg(F.count(F.lit(1)).alias("n_nodes")).filter("n_nodes > 1").select("shingle")
+    )
+    return places.join(common, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _still_mixed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Those of rows (key, node, root, ...) whose key holds several roots, with the most frequent as main."""
+    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_nodes"))
     mixed = written(
         spark,
         counts.groupBy("key")
@@ -223,18 +235,63 @@ def _links_between(
         .filter("parts > 1")
         .select("key", "main"),
     )
-    open_ = written(spark, rooted.join(mixed, "key"))
-    left = open_.filter("root != main").select(
-        "key", F.col("node").alias("u"), F.col("n").alias("m"), F.col("sketch_a").alias("a"),
-        F.col("sketch_b").alias("b"), F.col("root").alias("root_u"),
-    )
-    other = (F.col("root") != F.col("root_u")) & ((F.col("root") == F.col("main")) | (F.col("u") < F.col("node")))
-    met = left.join(
-        open_.withColumnRenamed("key", "key_"),
-        (F.col("key") == F.col("key_")) & other & _may_reach("n", "m", ("a", "b", "sketch_a", "sketch_b")),
+    return written(spark, rows.drop("main").join(mixed, "key"))
+
+
+def _links_between(spark: SparkSession, docs: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between components that share a bucket."""
+    rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = _still_mixed(spark, rooted)
+    sets = written(spark, _full_sets(docs, written(spark, found.select("node").distinct())))
+    able = F.col("shared") * 100 >= F.col("n") * PERCENT
+    found = found.join(written(spark, _shared_counts(spark, sets)), "node").filter(able)
+    open_, links = _still_mixed(spark, found), None
+    most = F.least("shared", "shared_u")
+    enough = 100 * most >= PERCENT * (F.col("n") + F.col("m") - most)
+    possible = (
+        (F.col("root") != F.col("root_u")) & enough & _may_reach("n", "m", ("a", "b", "sketch_a", "sketch_b"))
     )
+    for turn in range(STAR_ROUNDS):
+        # One node of each bucket, another in each round, against the rest of it.
+        order = F.xxhash64("node", F.lit(turn))
+        centres = written(spark, open_.groupBy("key").agg(F.min_by("node", order).alias("u")))
+        known = written(spark, _of_nodes(open_).join(centres.select("u").distinct(), "u", "left_semi"))
+        near = open_.join(centres, "key").select("u", "node", "n", "sketch_a", "sketch_b", "root", "shared").distinct()
+        pairs = written(spark, near.join(known, "u").filter(possible).select("u", F.col("node").alias("v")))
+        new = _confirmed(spark, pairs, sets)
+        if new.isEmpty():
+            continue
+        links = new if links is None else links.union(new)
+        # Components grow by the new links, drawn between the roots.
+        root_of = open_.select("node", "root").distinct()
+        joined = (
+            new.join(root_of.select(F.col("node").alias("u"), F.col("root").alias("a")), "u")
+            .join(root_of.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
+            .select(F.col("a").alias("u"), F.col("b").alias("v"))
+        )
+        merged = connected_components(spark, joined).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+        open_ = open_.join(merged, "root", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
+        open_ = _still_mixed(spark, open_)
+    left = _of_nodes(open_, "key", "main").filter("root_u != main").drop("main")
+    right = open_.withColumnRenamed("key", "key_").withColumnRenamed("main", "main_")
+    other = (F.col("root") == F.col("main_")) | (F.col("u") < F.col("node"))
+    met = left.join(right, (F.col("key") == F.col("key_")) & other & possible)
     pairs = met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-    return _confirmed(spark, docs, written(spark, pairs))
+    last = _confirmed(spark, written(spark, pairs), sets)
+    return last if links is None else written(spark, links.union(last))
+
+
+def _of_nodes(rows: DataFrame, *more: str) -> DataFrame:
+    """The nodes of rows with what a pair's other side is compared by."""
+    return rows.select(
+        *more,
+        F.col("node").alias("u"),
+        F.col("n").alias("m"),
+        F.col("sketch_a").alias("a"),
+        F.col("sketch_b").alias("b"),
+        F.col("root").alias("root_u"),
+        F.col("shared").alias("shared_u"),
+    ).distinct()
 
 
 def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -251,7 +308,7 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     buckets = _buckets(spark, nodes)
     first = _links_to_smallest(spark, docs, buckets)
     roots = connected_components(spark, first)
-    second = _links_between(spark, docs, buckets, roots, first)
+    second = _links_between(spark, docs, buckets, roots)
     if not second.isEmpty():
         roots = connected_components(spark, first.union(second))
     rooted = written(
