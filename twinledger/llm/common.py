@@ -16,24 +16,24 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def written(spark: SparkSession, df: DataFrame) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df, written below the shared checkpoint folder and read again.
 
     This cuts the lineage, so that a lost executor costs no more than the tasks that it held, and
     it fixes values such as row numbers once and for all.
     """
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with a number for each row.
+def numbered(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row, written with its rows.
 
-    Rows of a table that is read from files get the same numbers whenever this DataFrame runs. Of
-    anything else, write the result before using it twice.
+    Numbers made anew would differ: they follow the file splits, which follow the cores that are
+    registered when a query is planned. So all that uses them must read this one table.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return written(spark, df.withColumn(name, F.monotonically_increasing_id()), "zstd")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -29,12 +29,10 @@ from twinledger.llm.common import ascii_lower, columns_of, numbered, written
 CHUNK = r"(?s).{512,8192}?(?<=[\n.!?])|.{1,8192}"
 
 
-def _chunked(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, _text (normalised) and its _chunks."""
-    return (
-        numbered(docs, "_row")
-        .select("_row", "doc_id", ascii_lower(F.col("text")).alias("_text"))
-        .withColumn("_chunks", F.regexp_extract_all("_text", F.lit(CHUNK), F.lit(0)))
+def _chunked(docs: DataFrame, *more: Column) -> DataFrame:
+    """The columns of more, doc_id, _text (normalised) and its _chunks."""
+    return docs.select(*more, "doc_id", ascii_lower(F.col("text")).alias("_text")).withColumn(
+        "_chunks", F.regexp_extract_all("_text", F.lit(CHUNK), F.lit(0))
     )
 
 
@@ -51,14 +49,14 @@ def _shared_hashes(chunked: DataFrame, hash_of: Callable[[Column], Column]) -> D
 
 
 def recipes(
-    spark: SparkSession, docs: DataFrame, hash_of: Callable[[Column], Column] = F.xxhash64
+    spark: SparkSession, rows: DataFrame, hash_of: Callable[[Column], Column] = F.xxhash64
 ) -> DataFrame:
-    """_row, doc_id, text_sha256, recipe: equal recipes, and only they, are equal texts.
+    """_row, doc_id, text_sha256, recipe of rows numbered as _llm_row: equal recipes, and only they, are equal texts.
 
     A recipe is the number of chunks, their identifiers in order, and then place and number of each
     chunk that shares its hash with another.
     """
-    chunked = _chunked(docs)
+    chunked = _chunked(rows, F.col("_llm_row").alias("_row"))
     plain = written(
         spark,
         chunked.select(
@@ -100,7 +98,11 @@ def copies(
     Groups are counted before they move and come back through a join of slim rows that Spark can
     split, so a group of any size is no burden to one task.
     """
-    rows = recipes(spark, docs, hash_of)
+    return _copies(spark, numbered(spark, docs.select("doc_id", "text"), "_llm_row"), hash_of)
+
+
+def _copies(spark: SparkSession, numbered_docs: DataFrame, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    rows = recipes(spark, numbered_docs, hash_of)
     groups = written(
         spark,
         rows.groupBy("recipe").agg(
@@ -124,9 +126,7 @@ def copy_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs, one row of each group of equal texts, all columns as they were.
-
-    docs must come from files, or else give the same rows in the same order whenever it runs.
-    """
-    dropped = copies(spark, docs).filter(F.col("_row") != F.col("keep_row")).select(F.col("_row").alias("_llm_row"))
-    return numbered(docs, "_llm_row").join(dropped, "_llm_row", "left_anti").select(*columns_of(docs))
+    """docs, one row of each group of equal texts, all columns as they were."""
+    rows = numbered(spark, docs, "_llm_row")
+    dropped = _copies(spark, rows).filter(F.col("_row") != F.col("keep_row")).select(F.col("_row").alias("_llm_row"))
+    return rows.join(dropped, "_llm_row", "left_anti").select(*columns_of(docs))

@@ -125,14 +125,15 @@ def signature(text: str | None) -> tuple:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """_row, doc_id and the signature of every row."""
+    """_row, doc_id and the signature of every row of docs numbered as _llm_row."""
 
     @F.pandas_udf(_SIGNATURE)
     def sign(texts: pd.Series) -> pd.DataFrame:
         names = [column.split()[0] for column in _SIGNATURE.split(", ")]
         return pd.DataFrame([signature(t) for t in texts], columns=names, dtype=object)
 
-    return numbered(docs, "_row").select("_row", "doc_id", sign("text").alias("s")).select("_row", "doc_id", "s.*")
+    signed = docs.select(F.col("_llm_row").alias("_row"), "doc_id", sign("text").alias("s"))
+    return signed.select("_row", "doc_id", "s.*")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     if nodes.count() <= BROADCAST_NODES:
         nodes = F.broadcast(nodes)
-    texts = numbered(docs, "_row").select(F.col("_row").alias("node"), "text").join(nodes, "node", "left_semi")
+    texts = docs.select(F.col("_llm_row").alias("node"), "text").join(nodes, "node", "left_semi")
     return texts.select("node", sets("text").alias("shingles"))
 
 
@@ -296,6 +297,10 @@ def _of_nodes(rows: DataFrame, *more: str) -> DataFrame:
 
 def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """_row, doc_id, n_shingles, component_id, keep_row for every row."""
+    return _components(spark, numbered(spark, docs.select("doc_id", "text"), "_llm_row"))
+
+
+def _components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = written(spark, _signatures(docs))
     same_set = ["n_shingles", "set_a", "set_b"]
     classes = written(
@@ -338,7 +343,8 @@ def near_copy_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id. docs must come from files."""
-    found = components(spark, docs)
+    """docs with one document of each component: that with the smallest doc_id."""
+    rows = numbered(spark, docs, "_llm_row")
+    found = _components(spark, rows)
     dropped = found.filter("_row != keep_row").select(F.col("_row").alias("_llm_row"))
-    return numbered(docs, "_llm_row").join(dropped, "_llm_row", "left_anti").select(*columns_of(docs))
+    return rows.join(dropped, "_llm_row", "left_anti").select(*columns_of(docs))

@@ -26,7 +26,7 @@ import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinledger.llm.common import WORD, columns_of, numbered, written
@@ -93,16 +93,17 @@ def plan(
     weights: Sequence[float] = WEIGHTS,
     max_repeats: int = 3,
     seed: int = 0,
+    row: Column | None = None,
 ) -> DataFrame:
-    """How much of each row is taken.
+    """How much of each row is taken. row: the number of each row, if docs has one.
 
     _row, doc_id, size, source_size, target, taken, and the place of the document's words in its shard:
     start, block, blocks, base, more, phase (see ``_taken_once_more``).
     """
     sized = written(
         spark,
-        numbered(docs, "_row").select(
-            "_row",
+        docs.select(
+            (F.monotonically_increasing_id() if row is None else row).alias("_row"),
             "doc_id",
             "source",
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
@@ -210,13 +211,14 @@ def mix(
     """The mixed documents, with the columns of docs.
 
     A document comes whole as often as all its blocks are taken, and once more with the text of those
-    blocks that are taken once more. docs must come from files.
+    blocks that are taken once more.
     """
-    places = plan(spark, docs, weights, max_repeats, seed).filter("taken > 0").select(
+    stored = numbered(spark, docs, "_llm_row")
+    places = plan(spark, stored, weights, max_repeats, seed, F.col("_llm_row")).filter("taken > 0").select(
         F.col("_row").alias("_llm_row"),
         F.struct("size", "start", "block", "blocks", "base", "more", "phase", "extra").alias("_llm_mix"),
     )
-    rows = numbered(docs, "_llm_row").join(places, "_llm_row")
+    rows = stored.join(places, "_llm_row")
     m = F.col("_llm_mix")
     part = m["extra"].between(1, m["size"] - 1)
     cut = _extra_text(

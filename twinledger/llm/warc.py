@@ -49,12 +49,12 @@ def base32_sha1(data: Column) -> Column:
     )
 
 
-def headers(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """_row, page_id, _digest, _content, _bytes of every payload."""
+def headers(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """_row, page_id, _digest, _content, _bytes of every payload of pages numbered as _row."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     return written(
         spark,
-        numbered(pages, "_row").select(
+        rows.select(
             "_row",
             "page_id",
             base32_sha1(payload).alias("_digest"),
@@ -91,10 +91,11 @@ def write_archives(
     spark: SparkSession, pages: DataFrame, path: str, min_bytes: int = 0, date: str = EPOCH
 ) -> None:
     """Write pages (page_id, url, html) as WARC files below path."""
-    heads = headers(spark, pages)
+    stored = numbered(spark, pages.select("page_id", "url", "html"), "_row")
+    heads = headers(spark, stored)
     decisions = decide(spark, heads, min_bytes)
     html = F.coalesce("html", F.lit(""))
-    rows = numbered(pages, "_row").select("_row", "page_id", "url", html.alias("html"))
+    rows = stored.select("_row", "page_id", "url", html.alias("html"))
     mean_bytes = heads.agg(F.avg("_bytes")).head()[0] or 0
     per_file = max(1, int(FILE_BYTES / (mean_bytes + 500)))
     url = F.col("url")
