@@ -7,8 +7,8 @@ words. Words are put in one order for the whole corpus, rarest first, by countin
 over all documents. To reach the threshold, a block must hold one of a template's first
 ``n - need + 1`` words in that order (prefix filter), have at least ``need`` distinct words (length filter),
 and, given the place of the first shared word, have enough of the template left (positional filter). What
-passes is counted exactly, so the filters lose nothing. Notices resemble each other, so of all templates that a
-block meets, those that share most words with it give the labels. Blocks are lines; a line of over ``BLOCK_WORDS`` words
+passes is counted exactly, so the filters lose nothing. Notices resemble each other: a template whose words in
+a block are a proper subset of those that another met template has there gives no label. Blocks are lines; a line of over ``BLOCK_WORDS`` words
 is cut into blocks of that size, each beginning half a block after the last.
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are put in lower case. Null texts are
@@ -100,7 +100,7 @@ class TemplateIndex:
                 self.by_word[word].append((len(self.templates) - 1, place))
         self.least = min((need for _, _, need in self.templates), default=0)
 
-    def contained(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
+    def contained(self, block: set[bytes]) -> Iterator[tuple[str, frozenset[bytes], float]]:
         """(label, shared words, containment) of all templates met by a block."""
         if len(block) < self.least:
             return
@@ -111,9 +111,9 @@ class TemplateIndex:
         for which, place in first.items():
             words, label, need = self.templates[which]
             if len(block) >= need and len(words) - place >= need:
-                shared = len(words & block)
-                if shared >= need:
-                    yield label, shared, shared / len(words)
+                shared = words & block
+                if len(shared) >= need:
+                    yield label, shared, len(shared) / len(words)
 
 
 def blocks_of(lines: list[list[bytes]]) -> Iterator[set[bytes]]:
@@ -166,9 +166,8 @@ def scan(
         if not index.by_word.keys().isdisjoint(words):
             for block in blocks_of(lines):
                 found = list(index.contained(block))
-                most = max((shared for _, shared, _ in found), default=0)
                 for label, shared, share in found:
-                    if shared == most:
+                    if not any(shared < other for _, other, _ in found):
                         met[label] = max(share, met.get(label, 0.0))
         return (
             len(words), len(spans), min(starts, default=None), max(starts, default=None),
