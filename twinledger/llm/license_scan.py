@@ -7,9 +7,11 @@ words. Words are put in one order for the whole corpus, rarest first, by countin
 over all documents. To reach the threshold, a block must hold one of a template's first
 ``n - need + 1`` words in that order (prefix filter), have at least ``need`` distinct words (length filter),
 and, given the place of the first shared word, have enough of the template left (positional filter). What
-passes is counted exactly, so the filters lose nothing. Notices resemble each other: a template whose words in
-a block are a proper subset of those that another met template has there gives no label. Blocks are lines; a line of over ``BLOCK_WORDS`` words
-is cut into blocks of that size, each beginning half a block after the last.
+passes is counted exactly, so the filters lose nothing. Blocks are lines; a line of over ``BLOCK_WORDS`` words
+is cut into blocks of that size, each beginning half a block after the last. Besides, each template has blocks
+of twice its length over the words of the whole text, half overlapping, so a notice is found however its lines
+are broken and however long it is. Notices resemble each other: a template whose words in a block are a proper
+subset of those that another template has in a block that overlaps it gives no label there.
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are put in lower case. Null texts are
 empty; a document without words has no labels and score 0. Repeated rows are scanned each time; an empty
@@ -65,9 +67,14 @@ def _plain(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def _template_sets(templates: Mapping[str, str]) -> dict[frozenset[bytes], str]:
-    sets = {frozenset(words_of(_plain(text))): label for text, label in templates.items()}
-    sets.pop(frozenset(), None)
+def _template_sets(templates: Mapping[str, str]) -> dict[frozenset[bytes], tuple[str, int]]:
+    """Distinct words -> label, number of words."""
+    sets: dict[frozenset[bytes], tuple[str, int]] = {}
+    for text, label in templates.items():
+        words = words_of(_plain(text))
+        if words:
+            _, longest = sets.get(frozenset(words), (label, 0))
+            sets[frozenset(words)] = label, max(longest, len(words))
     if sum(map(len, sets)) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates of more than {MAX_TEMPLATE_WORDS} words in all")
     return sets
@@ -90,15 +97,17 @@ def word_frequencies(docs: DataFrame, words: frozenset[bytes]) -> dict[bytes, in
 class TemplateIndex:
     """Finds all templates that a block of words contains to the threshold."""
 
-    def __init__(self, sets: Mapping[frozenset[bytes], str], frequency: Mapping[bytes, int], containment: float):
+    def __init__(
+        self, sets: Mapping[frozenset[bytes], tuple[str, int]], frequency: Mapping[bytes, int], containment: float
+    ):
         rank = lambda w: (frequency.get(w, 0), w)
         self.templates, self.by_word = [], defaultdict(list)
-        for words, label in sets.items():
+        for words, (label, length) in sets.items():
             need = max(1, -(-int(round(containment * len(words) * 1e9)) // 10**9))
-            self.templates.append((words, label, need))
+            self.templates.append((words, label, need, length))
             for place, word in enumerate(sorted(words, key=rank)[: len(words) - need + 1]):
                 self.by_word[word].append((len(self.templates) - 1, place))
-        self.least = min((need for _, _, need in self.templates), default=0)
+        self.least = min((need for _, _, need, _ in self.templates), default=0)
 
     def contained(self, block: set[bytes]) -> Iterator[tuple[str, frozenset[bytes], float]]:
         """(label, shared words, containment) of all templates met by a block."""
@@ -109,20 +118,57 @@ class TemplateIndex:
             for which, place in self.by_word[word]:
                 first[which] = min(place, first.get(which, place))
         for which, place in first.items():
-            words, label, need = self.templates[which]
+            words, label, need, _ = self.templates[which]
             if len(block) >= need and len(words) - place >= need:
                 shared = words & block
                 if len(shared) >= need:
                     yield label, shared, len(shared) / len(words)
 
 
-def blocks_of(lines: list[list[bytes]]) -> Iterator[set[bytes]]:
+    def in_text(self, lines: list[list[bytes]]) -> dict[str, float]:
+        """Label -> largest containment of all templates met by a text's blocks."""
+        words = [w for line in lines for w in line]
+        found = [
+            (start, end, *hit) for start, end in blocks_of(lines) for hit in self.contained(set(words[start:end]))
+        ]
+        windows = set()
+        for at, word in enumerate(words):
+            for which, _ in self.by_word.get(word, ()):
+                last = at // self.templates[which][3]
+                windows.update((which, n) for n in (last - 1, last) if n >= 0)
+        for which, n in windows:
+            template, label, need, length = self.templates[which]
+            start, end = n * length, min((n + 2) * length, len(words))
+            shared = template.intersection(words[start:end])
+            if len(shared) >= need:
+                found.append((start, end, label, shared, len(shared) / len(template)))
+        found.sort(key=lambda hit: hit[:2])
+        beaten = set()
+        for i, (_, end, _, shared, _) in enumerate(found):
+            for j in range(i + 1, len(found)):
+                if found[j][0] >= end:
+                    break
+                if shared < found[j][3]:
+                    beaten.add(i)
+                elif found[j][3] < shared:
+                    beaten.add(j)
+        met: dict[str, float] = {}
+        for i, (_, _, label, _, share) in enumerate(found):
+            if i not in beaten:
+                met[label] = max(share, met.get(label, 0.0))
+        return met
+
+
+def blocks_of(lines: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+    """First word and end of the lines' blocks, counted over the whole text."""
+    first = 0
     for words in lines:
         if len(words) <= BLOCK_WORDS:
-            yield set(words)
+            yield first, first + len(words)
         else:
             for at in range(0, len(words) - BLOCK_WORDS // 2, BLOCK_WORDS // 2):
-                yield set(words[at : at + BLOCK_WORDS])
+                yield first + at, first + min(at + BLOCK_WORDS, len(words))
+        first += len(words)
 
 
 def scan(
@@ -164,11 +210,8 @@ def scan(
         met = {label: 1.0 for label, _, _ in spans}
         base = sorted(met)
         if not index.by_word.keys().isdisjoint(words):
-            for block in blocks_of(lines):
-                found = list(index.contained(block))
-                for label, shared, share in found:
-                    if not any(shared < other for _, other, _ in found):
-                        met[label] = max(share, met.get(label, 0.0))
+            for label, share in index.in_text(lines).items():
+                met[label] = max(share, met.get(label, 0.0))
         return (
             len(words), len(spans), min(starts, default=None), max(starts, default=None),
             ",".join(base), ",".join(sorted(met)), max(met.values(), default=0.0),
