@@ -7,7 +7,9 @@ gives the score.
 
 Finding. The lexicon is a trie. Each word is run through it with a Levenshtein automaton for one edit, kept as
 bits, which leaves a branch as soon as no spelling below it can be near enough. A word one edit from a whole
-term is a misspelling of it, unless clean texts of the fit hold that word.
+term, or one whose beginning is one edit from a beginning, is a misspelling of it, unless clean texts of the fit
+hold that word. Two neighbouring letters in the wrong order count as one edit. Frequent whole words that a
+beginning matches stay in the trie for their misspellings, which count as the beginning's.
 
 Context. A find is quoted when it stands between quotation marks on its line, or when one of the WINDOW
 words before it is a word of reporting. Quoted and misspelled finds count as QUOTED and MISSPELLED of a find.
@@ -61,16 +63,25 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Lexicon:
-    """A trie of terms; those marked open match every word that begins with them."""
+    """A trie of terms; those marked open match every word that begins with them.
 
-    def __init__(self, terms: Sequence[tuple[str, bool, float]]):
+    below: whole words that begin so; they stand for that term.
+    """
+
+    def __init__(self, terms: Sequence[tuple[str, bool, float]], below: Sequence[str] = ()):
         # A node: children, then [term number, open] or None.
         self.terms, self.root = list(terms), ({}, [])
+        self.below = frozenset(below)
         for number, (term, open_, _) in enumerate(self.terms):
-            node = self.root
-            for letter in term:
-                node = node[0].setdefault(letter, ({}, []))
-            node[1].append((number, open_))
+            self._add(term, number, open_)
+        for word, number in [(word, self.exact(word)) for word in below]:
+            self._add(word, number, False)
+
+    def _add(self, term: str, number: int, open_: bool) -> None:
+        node = self.root
+        for letter in term:
+            node = node[0].setdefault(letter, ({}, []))
+        node[1].append((number, open_))
 
     def exact(self, word: str) -> int | None:
         """The term that the word is or begins with; the longest one."""
@@ -85,7 +96,7 @@ class Lexicon:
         return best
 
     def near(self, word: str) -> int | None:
-        """A whole term one edit away from the word.
+        """A whole term one edit away from the word, or a beginning one edit away from how the word begins.
 
         Bit i of ``none`` (of ``one``) says that the path so far is the word's first i letters with no
         (with at most one) edit.
@@ -99,8 +110,8 @@ class Lexicon:
         found, stack = [], [(self.root, 1, 3, 0)]
         while stack:
             (children, ends), none, one, depth = stack.pop()
-            if depth >= FUZZY_LENGTH and one >> len(word) & 1:
-                found += [number for number, open_ in ends if not open_]
+            if depth >= FUZZY_LENGTH:
+                found += [number for number, open_ in ends if open_ or one >> len(word) & 1]
             for letter, child in children.items():
                 mask = letters.get(letter, 0)
                 exact = (none & mask) << 1
@@ -110,18 +121,31 @@ class Lexicon:
                     stack.append((child, exact, edited, depth + 1))
         return min(found) if found else None
 
+    def swapped(self, word: str) -> int | None:
+        """A term that the word is or begins with once two neighbouring letters change places."""
+        if len(word) < FUZZY_LENGTH:
+            return None
+        words = (word[:at] + word[at + 1] + word[at] + word[at + 2 :] for at in range(len(word) - 1))
+        found = [(w, n) for w in words if (n := self.exact(w)) is not None]
+        return min((n for w, n in found if w in self.below or len(self.terms[n][0]) >= FUZZY_LENGTH), default=None)
+
+    def misspelled(self, word: str) -> int | None:
+        """The term that the word, none itself, is a misspelling of."""
+        return min((n for n in (self.near(word), self.swapped(word)) if n is not None), default=None)
+
 
 @dataclass(frozen=True)
 class Model:
-    """terms: (term, open, weight); known: words of clean texts that are one edit from a term."""
+    """terms: (term, open, weight); known: words of clean texts that are one edit from a term; below: see Lexicon."""
 
     terms: tuple[tuple[str, bool, float], ...] = ()
     known: frozenset[str] = frozenset()
     weights: tuple[float, ...] = ()
     bias: float = 0.0
+    below: tuple[str, ...] = ()
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(w * x for w, x in zip(self.weights, features(self.terms, self.known, text)))
+        z = self.bias + sum(w * x for w, x in zip(self.weights, features(self.terms, self.known, text, self.below)))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
@@ -136,7 +160,7 @@ class _Matcher(dict):
         number = self.lexicon.exact(word)
         found = (number, False) if number is not None else None
         if found is None and word not in self.known:
-            number = self.lexicon.near(word)
+            number = self.lexicon.misspelled(word)
             found = (number, True) if number is not None else None
         if len(self) < KEPT_WORDS:
             self[word] = found
@@ -144,14 +168,16 @@ class _Matcher(dict):
 
 
 @lru_cache(maxsize=2)
-def _matcher(terms: tuple[tuple[str, bool, float], ...], known: frozenset[str]) -> _Matcher:
-    return _Matcher(Lexicon(terms), known)
+def _matcher(terms: tuple[tuple[str, bool, float], ...], known: frozenset[str], below: tuple[str, ...]) -> _Matcher:
+    return _Matcher(Lexicon(terms, below), known)
 
 
-def finds(terms, known: frozenset[str], text: str | None) -> tuple[int, list[tuple[str, int, int, float]]]:
+def finds(
+    terms, known: frozenset[str], text: str | None, below: tuple[str, ...] = ()
+) -> tuple[int, list[tuple[str, int, int, float]]]:
     """Number of words, and (term, start, end, what it counts) of all finds in the text in lower case."""
     lowered = (text or "").lower()
-    matcher = _matcher(terms, known)
+    matcher = _matcher(terms, known, below)
     words = _WORD.findall(lowered)
     found = [(at, hit) for at, hit in enumerate(map(matcher.__getitem__, words)) if hit]
     if not found:
@@ -167,9 +193,9 @@ def finds(terms, known: frozenset[str], text: str | None) -> tuple[int, list[tup
     return len(words), out
 
 
-def features(terms, known: frozenset[str], text: str | None) -> list[float]:
+def features(terms, known: frozenset[str], text: str | None, below: tuple[str, ...] = ()) -> list[float]:
     """How many finds, the heaviest, their share of the words, how many terms."""
-    n_words, found = finds(terms, known, text)
+    n_words, found = finds(terms, known, text, below)
     if not found:
         return [0.0] * 4
     total = sum(counts for *_, counts in found)
@@ -259,7 +285,8 @@ def _term_counts(sample: DataFrame, candidates: frozenset[tuple[str, bool]]) ->
 
 def _lexicon(
     words: DataFrame, sample: DataFrame, n_toxic: float, n_clean: float
-) -> tuple[tuple[str, bool, float], ...]:
+) -> tuple[tuple[tuple[str, bool, float], ...], tuple[str, ...]]:
+    """The terms, and the frequent whole words that begin with an open one."""
     least = max(3, min(MIN_TEXTS, int(n_toxic / 10)))
     lengths = F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), F.char_length("word")))
     begun = words.filter(F.char_length("word") >= SHORTEST).select(
@@ -304,7 +331,10 @@ def _lexicon(
             continue
         if not any(chosen.get(term[:n], ("", False))[1] for n in range(SHORTEST, len(term) + 1)):
             chosen[term] = (term, open_, weight((term, open_)))
-    return tuple(sorted(chosen.values(), key=lambda t: (-t[2], t[0])))[:MAX_TERMS]
+    terms = tuple(sorted(chosen.values(), key=lambda t: (-t[2], t[0])))[:MAX_TERMS]
+    lexicon = Lexicon(terms)
+    below = (w for w, open_ in texts if not open_ and w not in chosen and len(w) >= FUZZY_LENGTH)
+    return terms, tuple(sorted(w for w in below if lexicon.exact(w) is not None))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray) -> np.ndarray:
@@ -339,40 +369,41 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     if len(sizes) < 2:
         return Model(bias=40.0 if 1 in sizes else -40.0)
     words = written(spark, _word_counts(sample))
-    terms = _lexicon(words, sample, sizes[1], sizes[0])
-    known = _known(words, terms)
-    found = _with_features(sample, F.col("text"), terms, known)
+    terms, below = _lexicon(words, sample, sizes[1], sizes[0])
+    known = _known(words, terms, below)
+    found = _with_features(sample, F.col("text"), terms, known, below)
     # Equal rows of features are summed before they come to the driver: at most FIT_ROWS of each class.
     table = found.groupBy("toxic", "_features").agg(F.count(F.lit(1)).alias("n")).collect()
     x = np.array([r["_features"] for r in table], float)
     y = np.array([r["toxic"] for r in table], float)
     n = np.array([r["n"] / shares[r["toxic"]] for r in table], float)
     w = _fit(x, y, n)
-    return Model(terms, known, tuple(map(float, w[1:])), float(w[0]))
+    return Model(terms, known, tuple(map(float, w[1:])), float(w[0]), below)
 
 
-def _known(words: DataFrame, terms) -> frozenset[str]:
-    """The words of clean texts that one edit turns into a term, the most frequent if there are very many."""
+def _known(words: DataFrame, terms, below: tuple[str, ...]) -> frozenset[str]:
+    """The words of clean texts that would be misspellings, the most frequent if there are very many."""
 
     @F.pandas_udf("boolean")
     def near(batch: pd.Series) -> pd.Series:
-        lexicon = Lexicon(terms)
-        return pd.Series([lexicon.exact(w) is None and lexicon.near(w) is not None for w in batch], dtype=bool)
+        lexicon = Lexicon(terms, below)
+        return pd.Series([lexicon.exact(w) is None and lexicon.misspelled(w) is not None for w in batch], dtype=bool)
 
-    lengths = [len(term) for term, open_, _ in terms if not open_ and len(term) >= FUZZY_LENGTH]
+    lengths = [len(term) for term in (*(term for term, _, _ in terms), *below) if len(term) >= FUZZY_LENGTH]
     if not lengths:
         return frozenset()
-    candidates = words.filter(
-        (F.col("clean_texts") > 0) & F.char_length("word").between(min(lengths) - 1, max(lengths) + 1)
-    )
+    possible = F.char_length("word") >= min(lengths) - 1
+    if not any(open_ for term, open_, _ in terms if len(term) >= FUZZY_LENGTH):
+        possible &= F.char_length("word") <= max(lengths) + 1
+    candidates = words.filter((F.col("clean_texts") > 0) & possible)
     rows = candidates.filter(near("word")).orderBy(F.desc("clean_texts"), "word").limit(4 * MAX_TERMS).collect()
     return frozenset(r["word"] for r in rows)
 
 
-def _with_features(df: DataFrame, text: Column, terms, known: frozenset[str]) -> DataFrame:
+def _with_features(df: DataFrame, text: Column, terms, known: frozenset[str], below: tuple[str, ...]) -> DataFrame:
     @F.pandas_udf("array<double>")
     def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(terms, known, t) for t in texts], dtype=object)
+        return pd.Series([features(terms, known, t, below) for t in texts], dtype=object)
 
     return df.withColumn("_features", found(text))
 
