@@ -170,7 +170,12 @@ def resolve(spark: SparkSession, records: DataFrame) -> DataFrame:
         F.col("payload_bytes").alias("_bytes"),
         F.col("payload_digest").alias("_digest"),
     )
-    joined = records.join(originals, "refers_to_record", "left")
+    # Responses refer to nothing: in a join they would all go to one task.
+    own = records.filter("refers_to_record is null").withColumns(
+        {name: F.lit(None).cast(kind) for name, kind in originals.drop("refers_to_record").dtypes}
+    )
+    revisits = records.filter("refers_to_record is not null")
+    joined = own.unionByName(revisits.join(originals, "refers_to_record", "left"))
     digest = F.coalesce("payload_digest", "_digest")
     sound = F.when(digest == F.col("header_digest"), digest).otherwise(
         F.raise_error(F.concat(F.lit("digest of record differs: "), F.col("record_id"))).cast("string")
