@@ -13,6 +13,7 @@ from twinledger.llm import (
     minhash_dedup,
     mixing,
     packing,
+    resampling,
     token_counts,
     toxicity,
     warc,
@@ -68,6 +69,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(spark, load(spark, sf_dir, "pages"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample_report(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = r"""
@@ -145,4 +150,5 @@ QUERIES = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_warc": (op10_warc, OP10_SQL),
+    "op13_importance_resampling": (op13_importance_resampling, None),
 }
