@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinledger.llm import (
     chat_format,
+    collocations,
     exact_dedup,
     exact_topk,
     license_scan,
@@ -69,6 +70,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(spark, load(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, load(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample_report(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -138,6 +143,45 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM base32
 """
 
+OP11_SQL = rf"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS words FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), spans AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS at FROM pieces
+), phrases AS (
+  SELECT lang, size, array_to_string(words[at:at + size - 1], ' ') AS phrase, count(*) AS a
+  FROM spans, (VALUES (1), (2), (3)) AS sizes(size) WHERE at + size - 1 <= len(words)
+  GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a) AS n FROM phrases WHERE size = 1 GROUP BY lang
+), frequent AS (
+  SELECT *, string_split(phrase, ' ') AS words FROM phrases WHERE a >= 10
+), cuts AS (
+  SELECT lang, phrase, size, a, k, array_to_string(words[1:k], ' ') AS lhs, array_to_string(words[k + 1:], ' ') AS rhs
+  FROM frequent, (VALUES (1), (2)) AS places(k) WHERE k < size
+), scored AS (
+  SELECT c.lang, c.phrase, c.size, c.a, c.k, l.a AS l, r.a AS r,
+    (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score
+  FROM cuts c JOIN frequent l ON l.lang = c.lang AND l.phrase = c.lhs JOIN frequent r ON r.lang = c.lang AND r.phrase = c.rhs
+), worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS longest FROM (
+    SELECT lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase
+    FROM frequent WHERE size = 3) GROUP BY lang, phrase
+), ranked AS (
+  SELECT w.lang, w.phrase, w.a, w.l, w.r, w.score,
+    row_number() OVER (PARTITION BY w.lang ORDER BY w.score DESC, w.a DESC, w.phrase) AS rank
+  FROM worst w LEFT JOIN longer g ON g.lang = w.lang AND g.phrase = w.phrase
+  WHERE g.longest IS NULL OR 100 * g.longest < 50 * w.a
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 #: Name -> (query, SQL or None).
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
@@ -150,5 +194,6 @@ QUERIES = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_warc": (op10_warc, OP10_SQL),
+    "op11_collocations": (op11_collocations, OP11_SQL),
     "op13_importance_resampling": (op13_importance_resampling, None),
 }
