@@ -150,10 +150,10 @@ WITH pieces AS (
       unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
     FROM documents)
 ), spans AS (
-  SELECT lang, words, unnest(range(1, len(words) + 1)) AS at FROM pieces
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS place FROM pieces
 ), phrases AS (
-  SELECT lang, size, array_to_string(words[at:at + size - 1], ' ') AS phrase, count(*) AS a
-  FROM spans, (VALUES (1), (2), (3)) AS sizes(size) WHERE at + size - 1 <= len(words)
+  SELECT lang, size, array_to_string(words[place:place + size - 1], ' ') AS phrase, count(*) AS a
+  FROM spans, (VALUES (1), (2), (3)) AS sizes(size) WHERE place + size - 1 <= len(words)
   GROUP BY ALL
 ), totals AS (
   SELECT lang, sum(a) AS n FROM phrases WHERE size = 1 GROUP BY lang
