@@ -14,6 +14,7 @@ from twinledger.llm import (
     minhash_dedup,
     mixing,
     packing,
+    repeats,
     resampling,
     token_counts,
     toxicity,
@@ -74,6 +75,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(spark, load(spark, sf_dir, "documents"))
 
 
+def op12_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(spark, load(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample_report(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -182,6 +187,33 @@ SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT
 FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
+OP12_SQL = """
+WITH rows AS (
+  SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS hex FROM documents
+), windows AS (
+  SELECT row, start, md5(substr(hex, 2 * start + 1, 800)) AS digest FROM (
+    SELECT row, hex, unnest(range(0, length(hex) // 2 - 399)) AS start FROM rows)
+), repeated AS (
+  SELECT row, start FROM windows QUALIFY count(*) OVER (PARTITION BY digest) > 1
+), marked AS (
+  SELECT *, CASE WHEN start <= lag(start) OVER (PARTITION BY row ORDER BY start) + 400 THEN 0 ELSE 1 END AS new FROM repeated
+), runs AS (
+  SELECT row, first, last FROM (
+    SELECT row, min(start) AS first, max(start) + 400 AS last FROM (
+      SELECT *, sum(new) OVER (PARTITION BY row ORDER BY start) AS run FROM marked) GROUP BY row, run)
+), pieces AS (
+  SELECT row, coalesce(lag(last) OVER (PARTITION BY row ORDER BY first), 0) AS start, first AS until, 1 AS span FROM runs
+  UNION ALL SELECT row, max(last), NULL, 0 FROM runs GROUP BY row
+  UNION ALL SELECT row, 0, NULL, 0 FROM rows WHERE row NOT IN (SELECT row FROM runs)
+)
+SELECT doc_id, any_value(length(hex)) // 2 AS n_bytes,
+  CAST(any_value(length(hex)) // 2 - sum(coalesce(until, length(hex) // 2) - start) AS BIGINT) AS n_removed,
+  CAST(sum(span) AS BIGINT) AS n_spans,
+  sha256(unhex(string_agg(substr(hex, CAST(2 * start + 1 AS BIGINT),
+    CAST(2 * (coalesce(until, length(hex) // 2) - start) AS BIGINT)), '' ORDER BY start))) AS kept_sha256
+FROM pieces JOIN rows USING (row) GROUP BY row, doc_id
+"""
+
 #: Name -> (query, SQL or None).
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
@@ -195,5 +227,6 @@ QUERIES = {
     "op9_toxicity": (op9_toxicity, None),
     "op10_warc": (op10_warc, OP10_SQL),
     "op11_collocations": (op11_collocations, OP11_SQL),
+    "op12_repeat_removal": (op12_repeat_removal, OP12_SQL),
     "op13_importance_resampling": (op13_importance_resampling, None),
 }
