@@ -35,17 +35,20 @@ from twinledger.llm.common import ascii_lower, written
 THRESHOLD = 10
 LONGEST = 3
 #: Occurrences that a slot should hold at most on average; a power of two.
-SLOT_MASS = 2**22
-FEWEST_SLOTS, MOST_SLOTS = 2**6, 2**20
+SLOT_MASS = 2**20
+FEWEST_SLOTS, MOST_SLOTS = 2**8, 2**20
 #: Distinct phrases that a task gathers before it passes them on, and rows it merges at a time.
-TASK_PHRASES = 2**21
+TASK_PHRASES = 2**20
 
+ROWS_PER_BATCH = 2**16
 #: Bytes of text that a task cuts into words at a time; a longer text is cut alone.
-BATCH_BYTES = 2**22
+BATCH_BYTES = 2**20
 
 #: Ends of pieces become full stops, A-Z lower case, tabs spaces; all else stays.
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _CUT = bytes(b + 32 if 65 <= b <= 90 else 46 if b in _PIECE_ENDS else 32 if b == 9 else b for b in range(256))
+#: The upper 48 bits of a hash are kept, which saves a quarter of what moves.
+_HASH_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 _SPREAD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -86,7 +89,7 @@ class Phrases:
         found = self._lang_hash[self.lang[starts]] + np.uint64(n)
         for k in range(n):
             found = _mixed(found * _SPREAD[0] + self._word_hash[self.codes[starts + k]])
-        return found
+        return found & _HASH_BITS
 
     def identities(self, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Which of the starts show a phrase first, and how often each phrase begins at one of them: exact."""
@@ -160,6 +163,34 @@ def merged(summary, other, capacity: int):
     return hashes, counters, taken
 
 
+PACKED = "slot long, once binary, often binary, counts binary"
+
+
+def _packed(hashes: np.ndarray) -> bytes:
+    """Six bytes for each hash; the other two are zero."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    found = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    found[:, 2:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return found.reshape(-1).view("<u8")
+
+
+def _packed_rows(hashes: np.ndarray, counts: np.ndarray, shift: np.uint64) -> pa.RecordBatch:
+    """Sorted hashes as one row for each slot; those counted once need no count."""
+    slot = (hashes >> shift).astype(np.int64)
+    edges = np.flatnonzero(np.diff(slot, prepend=-1, append=-1))
+    columns: list[list] = [[], [], [], []]
+    for start, end in zip(edges[:-1], edges[1:]):
+        h, n = hashes[start:end], counts[start:end]
+        more = n > 1
+        for column, value in zip(columns, (int(slot[start]), _packed(h[~more]), _packed(h[more]), n[more].astype("<i8").tobytes())):
+            column.append(value)
+    arrays = [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]]
+    return pa.RecordBatch.from_arrays(arrays, names=["slot", "once", "often", "counts"])
+
+
 def frequent_hashes(
     docs: DataFrame, masses: np.ndarray, threshold: int = THRESHOLD, longest: int = LONGEST
 ) -> DataFrame:
@@ -167,56 +198,48 @@ def frequent_hashes(
     slots = len(masses)
     shift = np.uint64(64 - (slots.bit_length() - 1))
     capacities = masses // threshold + 1
+    nothing = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
     def counted(batches):
-        nothing = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        held, waiting, size = nothing, [], 0
-
-        def rows(found):
-            slot = (found[0] >> shift).astype(np.int64)
-            arrays = [pa.array(slot), pa.array(found[0].view(np.int64)), pa.array(found[1])]
-            return pa.RecordBatch.from_arrays(arrays, names=["slot", "hash", "n"])
-
+        waiting, size = [nothing], 0
         for phrases in _batches(batches):
             found = np.concatenate([phrases.hashes(phrases.starts(n), n) for n in range(1, longest + 1)])
             waiting.append(_summed(found, np.ones(len(found), dtype=np.int64)))
             size += len(waiting[-1][0])
             if size > TASK_PHRASES:
-                held = _summed(*(np.concatenate([x[i] for x in [held, *waiting]]) for i in (0, 1)))
-                waiting, size = [], 0
-                if len(held[0]) > TASK_PHRASES:
-                    yield rows(held)
-                    held = nothing
-        yield rows(_summed(*(np.concatenate([x[i] for x in [held, *waiting]]) for i in (0, 1))))
+                held = _summed(*(np.concatenate([x[i] for x in waiting]) for i in (0, 1)))
+                waiting, size = [held], len(held[0])
+                if size > TASK_PHRASES // 2:
+                    yield _packed_rows(*held, shift)
+                    waiting, size = [nothing], 0
+        yield _packed_rows(*_summed(*(np.concatenate([x[i] for x in waiting]) for i in (0, 1))), shift)
 
     def summarised(batches):
         summaries: dict[int, tuple] = {}
-        waiting, size = [], 0
+        waiting: dict[int, list] = {}
+        size = 0
 
         def absorb():
-            joined = [np.concatenate([x[i] for x in waiting]) for i in range(3)]
-            order = np.argsort(joined[0], kind="stable")
-            edges = np.flatnonzero(np.diff(joined[0][order], prepend=-1, append=-1))
-            for start, end in zip(edges[:-1], edges[1:]):
-                rows = order[start:end]
-                slot, new = int(joined[0][rows[0]]), (joined[1][rows].view(np.uint64), joined[2][rows], 0)
-                empty = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 0
-                summaries[slot] = merged(summaries.get(slot, empty), new, int(capacities[slot]))
+            for slot, parts in waiting.items():
+                hashes, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                summaries[slot] = merged(summaries.get(slot, (*nothing, 0)), (hashes, counts, 0), int(capacities[slot]))
+            waiting.clear()
 
         for batch in batches:
-            waiting.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            size += batch.num_rows
-            if size > TASK_PHRASES:
-                absorb()
-                waiting, size = [], 0
-        if waiting:
-            absorb()
+            for slot, once, often, counts in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                hashes = np.concatenate((_unpacked(once), _unpacked(often)))
+                n = np.concatenate((np.ones(len(once) // 6, dtype=np.int64), np.frombuffer(counts, "<i8")))
+                waiting.setdefault(slot, []).append((hashes, n))
+                size += len(hashes)
+                if size > TASK_PHRASES:
+                    absorb()
+                    size = 0
+        absorb()
         for hashes, counters, taken in summaries.values():
-            found = hashes[counters + taken >= threshold]
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["hash"])
+            found = hashes[counters + taken >= threshold].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["hash"])
 
-    dealt = docs.mapInArrow(counted, "slot long, hash long, n long").repartition("slot")
-    return dealt.mapInArrow(summarised, "hash long")
+    return docs.mapInArrow(counted, PACKED).repartition("slot").mapInArrow(summarised, "hash long")
 
 
 def exact_counts(
@@ -236,7 +259,7 @@ def exact_counts(
                 pa.array([k[2] for k in keys], pa.binary()).cast(pa.string()),
                 pa.array(list(held.values()), pa.int64()),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "a"])
+            return pa.Table.from_arrays(columns, names=["lang", "words", "phrase", "a"]).to_batches(ROWS_PER_BATCH)
 
         for phrases in _batches(batches):
             for n in range(1, longest + 1):
@@ -249,9 +272,9 @@ def exact_counts(
                     key = phrases.langs[lang], n, text
                     held[key] = held.get(key, 0) + total
             if len(held) > TASK_PHRASES // 4:
-                yield rows()
+                yield from rows()
                 held.clear()
-        yield rows()
+        yield from rows()
 
     found = docs.mapInArrow(counted, "lang string, words long, phrase string, a long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a")).filter(F.col("a") >= threshold)
