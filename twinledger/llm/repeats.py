@@ -2,8 +2,8 @@
 
 A byte goes if a string of ``length`` bytes that covers it starts somewhere else too. Equal strings share their
 *anchor*: of all runs of ANCHOR bytes in them the one of least hash, the first of several. So each document is cut into
-overlapping strings, one for each stretch of window starts with the same anchor. Anchors that occur once in all documents
-are dropped: no window around them has an equal. The other strings are dealt by anchor and laid over one another at it.
+overlapping strings, one for each stretch of window starts with the same anchor. Only windows that may have an
+equal take part: those in which the longer anchors of all strings of half the length occur more than once. Their strings are dealt by anchor and laid over one another at it.
 
 There the collection is sorted one column at a time: each round inserts one symbol per string, moves the strings into
 the order of the symbols read so far, last one first, and updates the common length of neighbours: one more
@@ -37,6 +37,7 @@ from twinledger.llm import sketch
 from twinledger.llm.common import columns_of, numbered, written
 
 LENGTH, ANCHOR = 400, 64
+INNER_PERCENT = 32
 #: Bytes that are searched for anchors at a time, as a power of two; longer texts are searched in parts.
 BUFFER_BITS = 20
 #: Bytes of distinct strings that a task holds back to send each but once, and that are sorted at a time.
@@ -82,22 +83,34 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchored(data: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """First and last window start, anchor's place and hash of each stretch, in texts that end at ``ends``."""
-    if len(data) < length:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64))
-    hashes = _run_hashes(np.frombuffer(data, dtype=np.uint8), ANCHOR)
+def anchors_of(hashes: np.ndarray, length: int, run: int) -> np.ndarray:
+    """Where the anchor of each ``length`` bytes begins, from the hashes of all runs of ``run`` bytes."""
     place = np.uint64((1 << BUFFER_BITS) - 1)
     keys = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
-    anchor = (_least(keys, length - ANCHOR + 1) & place).astype(np.int64)
-    starts = np.arange(len(anchor))
-    whole = starts + length <= ends[np.searchsorted(ends, starts, side="right")]
-    new = np.ones(len(anchor), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
+    return (_least(keys, length - run + 1) & place).astype(np.int64)
+
+
+def _stretches(values: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of neighbouring chosen ones with one value."""
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (chosen[1:] != chosen[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(anchor)) - 1
-    first, last = first[whole[first]], last[whole[first]]
-    return first, last, anchor[first], hashes[anchor[first]]
+    last = np.append(first[1:], len(values)) - 1
+    return first[chosen[first]], last[chosen[first]]
+
+
+def _whole(ends: np.ndarray, count: int, length: int) -> np.ndarray:
+    """Which of the first ``count`` places begin ``length`` bytes of one text."""
+    starts = np.arange(count)
+    return starts + length <= ends[np.searchsorted(ends, starts, side="right")]
+
+
+def _inner(length: int) -> tuple[int, int]:
+    """Of the shorter strings that must be repeated wherever ``length`` bytes are: their length, their anchors' length.
+
+    Neighbouring anchors overlap, so one changed byte makes an anchor differ.
+    """
+    return length // 2, length * INNER_PERCENT // 100
 
 
 def _buffers(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[bytes, np.ndarray, list]]:
@@ -127,7 +140,8 @@ def _buffers(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[b
 
 
 def repeated_anchors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """anchor: hashes of the anchors that occur more than once in (row, text)."""
+    """anchor: hashes of those anchors of the inner strings that occur more than once in (row, text)."""
+    inner, run = _inner(length)
 
     def count(batches):
         held, size = [], 0
@@ -137,8 +151,11 @@ def repeated_anchors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(n)], names=["anchor", "n"])
 
         for data, ends, _ in _buffers(batches, length):
-            held.append(anchored(data, ends, length)[3])
-            size += len(held[-1])
+            hashes = _run_hashes(np.frombuffer(data, dtype=np.uint8), run)
+            anchor = anchors_of(hashes, inner, run)
+            first, _ = _stretches(anchor, _whole(ends, len(anchor), inner))
+            held.append(hashes[anchor[first]])
+            size += len(first)
             if size > 1 << BUFFER_BITS:
                 yield sums()
                 held, size = [], 0
@@ -158,6 +175,7 @@ def anchored_strings(rows: DataFrame, bitmap: np.ndarray, length: int = LENGTH)
     """
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
     names = [field.split()[0] for field in STRINGS.split(", ")]
+    inner, run = _inner(length)
 
     def cut(batches):
         held: dict[bytes, list] = {}
@@ -172,10 +190,17 @@ def anchored_strings(rows: DataFrame, bitmap: np.ndarray, length: int = LENGTH)
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for data, ends, parts in _buffers(batches, length):
-            first, last, place, anchor = anchored(data, ends, length)
-            passing = sketch.may_hold(shared.value, anchor)
-            first, last, place = first[passing], last[passing], place[passing]
-            anchors = anchor[passing].view(np.int64).tolist()
+            symbols = np.frombuffer(data, dtype=np.uint8)
+            hashes = _run_hashes(symbols, run)
+            inside = sketch.may_hold(shared.value, hashes)[anchors_of(hashes, inner, run)]
+            hashes = _run_hashes(symbols, ANCHOR)
+            anchor = anchors_of(hashes, length, ANCHOR)
+            # A window passes if all inner strings do.
+            within, sums = len(inside) - len(anchor) + 1, np.append(0, np.cumsum(inside))
+            passing = sums[within:] - sums[: len(anchor)] == within
+            first, last = _stretches(anchor, passing & _whole(ends, len(anchor), length))
+            place = anchor[first]
+            anchors = hashes[place].view(np.int64).tolist()
             part = np.searchsorted(ends, first, side="right")
             begins = np.append(0, ends[:-1])[part]
             digests = []
