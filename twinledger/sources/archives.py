@@ -42,7 +42,7 @@ def _open_members(path: str, content: bytes, codec: str) -> Iterator[tuple[str,
 
 
 def read_archive_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
-    """All physical lines: value, file, line number (from 1 within its file), block, position."""
+    """All physical lines: value, file, block (always 0), and the index within the file."""
     codec, encoding = spec.codec, spec.encoding
 
     def lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,12 +50,12 @@ def read_archive_lines(spark: SparkSession, spec: TableSpec) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 for name, stream in _open_members(path, content, codec):
                     with io.TextIOWrapper(stream, encoding=encoding) as text:
-                        numbers = itertools.count(1)
+                        numbers = itertools.count()
                         while chunk := [line.rstrip("\n") for line in itertools.islice(text, ROWS_PER_BATCH)]:
                             yield pd.DataFrame(
-                                {"value": chunk, "__file": name, "__line": [next(numbers) for _ in chunk]}
+                                {"value": chunk, "__file": name, "__pos": [next(numbers) for _ in chunk]}
                             )
 
     files = spark.read.format("binaryFile").load(spec.path).select("path", "content")
-    lines = files.mapInPandas(lines_of, "value string, __file string, __line bigint")
-    return lines.withColumn("__block", F.lit(0)).withColumn("__pos", F.monotonically_increasing_id())
+    lines = files.mapInPandas(lines_of, "value string, __file string, __pos bigint")
+    return lines.select("value", "__file", F.lit(0).cast("bigint").alias("__block"), "__pos")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from twinledger.functions.names import distinct_names, ref
 from twinledger.operators.lines import CHUNK_BITS
-from twinledger.sources.lines import BLOCK, FILE, LINE, POSITION, with_line_numbers
+from twinledger.sources.lines import BLOCK, FILE, LINE, OVERLONG, POSITION, with_line_numbers
 from twinledger.spec import TableSpec
 
 RAW, REJECT = "__raw", "__reject"
@@ -22,6 +22,7 @@ RAW, REJECT = "__raw", "__reject"
 # Why a line was rejected.
 TOO_MANY = "TOO MANY COLUMNS"
 UNFINISHED = "UNQUOTED VALUE"
+TOO_LONG = "LINE SIZE OVER MAXIMUM"
 
 # Fields that Spark's CSV parser is always let to find in a line.
 MOST_FIELDS = 1_000_000
@@ -95,14 +96,16 @@ def parse_lines(lines: DataFrame, names: list[str], spec: TableSpec) -> DataFram
     """
     line, count = F.col(LINE), len(names)
     # `inline` makes the parsed fields plain columns, so that no later filter parses a line again.
-    hopeless = _cannot_be_parsed(line, count, spec)
-    fields = _fields(F.when(~hopeless, line), count, spec, corrupt=True)
-    parsed = lines.select(LINE, FILE, BLOCK, POSITION, F.inline(F.array(fields)))
+    hopeless, overlong = _cannot_be_parsed(line, count, spec), F.col(OVERLONG)
+    fields = _fields(F.when(~hopeless & ~overlong, line), count, spec, corrupt=True)
+    parsed = lines.select(LINE, FILE, BLOCK, POSITION, OVERLONG, F.inline(F.array(fields)))
     odd_quotes = _odd_quotes(line, spec)
     suspect = F.col("_bad").isNotNull() | odd_quotes
     reason = F.when(odd_quotes, F.lit(UNFINISHED)).otherwise(F.lit(TOO_MANY))
-    reject = F.when(hopeless, F.lit(TOO_MANY)).when(
-        suspect, F.when(~_well_formed(line, count, spec), reason)
+    reject = (
+        F.when(overlong, F.lit(TOO_LONG))
+        .when(hopeless, F.lit(TOO_MANY))
+        .when(suspect, F.when(~_well_formed(line, count, spec), reason))
     )
     return parsed.select(*_named(names), line.alias(RAW), FILE, BLOCK, POSITION, reject.alias(REJECT))
 
@@ -129,8 +132,14 @@ def join_records(lines: DataFrame, count: int, spec: TableSpec) -> DataFrame:
     Only lines with an odd number of quotes change whether a field is open. Those that leave a field open when
     they begin with none toggle; the others can only close one. What is open before a line follows from the
     toggles since the last line that closed for certain, counted within chunks of a file and then over its
-    chunks. A record counts if it closes within ``max_record_bytes`` and parses to ``count`` fields or less; else
-    each of its lines is judged alone, so one stray quote costs its own line and no more.
+    chunks. A record counts if it closes and parses to ``count`` fields or less; else each of its lines is judged
+    alone, so one stray quote costs its own line and no more.
+
+    A record of more than ``max_record_bytes`` is judged without being put together: each of its lines tells how many
+    fields it ends and whether it is sound, given that a field is open before it, and these are added up.
+    If it is a record, it comes as its first line, marked as overlong, and none of its lines becomes a row.
+
+    Each physical line that is part of an earlier one's record keeps a row without text.
     """
     chunk = [FILE, BLOCK, "__chunk"]
     line, odd = F.col(LINE), _odd_quotes(F.col(LINE), spec)
@@ -172,25 +181,54 @@ def join_records(lines: DataFrame, count: int, spec: TableSpec) -> DataFrame:
         "__record",
         F.when(F.col("__inside") | (F.col("__opens") & ~F.col("__inside")), F.coalesce("__first", "__carried")),
     )
-    kept = [LINE, FILE, BLOCK, POSITION]
+    kept = [LINE, FILE, BLOCK, POSITION, OVERLONG]
+    grouped = grouped.withColumn(OVERLONG, F.lit(False))
     alone = grouped.filter(F.col("__record").isNull()).select(*kept)
     spanning = grouped.filter(F.col("__record").isNotNull()).select(*kept, "__odd", "__record")
     sizes = spanning.groupBy(FILE, "__record").agg(
-        (F.sum(F.octet_length(LINE)) + F.count(F.lit(1))).alias("__bytes"), F.count_if("__odd").alias("__quotes")
+        (F.sum(F.octet_length(LINE)) + F.count(F.lit(1))).alias("__bytes"),
+        F.count_if("__odd").alias("__quotes"),
+        F.max(F.struct(BLOCK, POSITION)).alias("__end"),
     )
-    bounded = (F.col("__bytes") <= spec.max_record_bytes) & (F.col("__quotes") > 1)
+    closed, small = F.col("__quotes") > 1, F.col("__bytes") <= spec.max_record_bytes
     sized = spanning.join(sizes, [FILE, "__record"])
     gathered = (
-        sized.filter(bounded)
+        sized.filter(closed & small)
         .groupBy(FILE, "__record")
         .agg(F.array_sort(F.collect_list(F.struct(BLOCK, POSITION, LINE))).alias("__lines"))
         .withColumn("__text", F.array_join(F.transform("__lines", lambda x: x[LINE]), "\n"))
     )
-    whole = F.struct(F.col("__record")[BLOCK].alias(BLOCK), F.col("__record")[POSITION].alias(POSITION), F.col("__text").alias(LINE))
     sound = _well_formed(F.col("__text"), count, spec) & ~_ends_amid(F.col("__text"), spec)
-    each = F.when(sound, F.array(whole)).otherwise(F.col("__lines"))
-    records = gathered.select(FILE, F.inline(each)).select(*kept)
-    return alone.unionByName(records).unionByName(sized.filter(~bounded).select(*kept))
+    start = F.col("__record")
+    whole = F.struct(start[BLOCK].alias(BLOCK), start[POSITION].alias(POSITION), F.col("__text").alias(LINE))
+    inner = F.transform(
+        F.slice("__lines", F.lit(2), F.size("__lines")),
+        lambda x: F.struct(x[BLOCK].alias(BLOCK), x[POSITION].alias(POSITION), F.lit(None).cast("string").alias(LINE)),
+    )
+    each = F.when(sound, F.concat(F.array(whole), inner)).otherwise(F.col("__lines"))
+    records = gathered.select(FILE, F.inline(each)).withColumn(OVERLONG, F.lit(False)).select(*kept)
+    large = _overlong(sized.filter(closed & ~small), count, spec).select(*kept)
+    return alone.unionByName(records).unionByName(large).unionByName(sized.filter(~closed).select(*kept))
+
+
+def _overlong(lines: DataFrame, count: int, spec: TableSpec) -> DataFrame:
+    """The lines of records that are too long to be put together, each record judged as a whole."""
+    line, quote = F.col(LINE), F.lit(spec.quote)
+    place, start = F.struct(BLOCK, POSITION), F.col("__record")
+    first, last = place == start, place == F.col("__end")
+    # With the quotes that the lines before and after would supply, a line is a piece of a record of its own.
+    piece = F.concat(F.when(first, F.lit("")).otherwise(quote), line, F.when(last, F.lit("")).otherwise(quote))
+    mark = re.escape(spec.quote)
+    outside = F.regexp_replace(piece, f"{mark}[^{mark}]*{mark}", "")
+    ended = (F.length(outside) - F.length(F.replace(outside, F.lit(spec.delimiter), F.lit("")))) / len(spec.delimiter)
+    judged = lines.withColumn("__sound", _well_formed(piece, count, spec) & ~_ends_amid(piece, spec))
+    judged = judged.withColumn("__ended", ended)
+    verdicts = judged.groupBy(FILE, "__record").agg(
+        (F.min("__sound") & (F.sum("__ended") < count)).alias("__whole"),
+    )
+    found = lines.join(verdicts, [FILE, "__record"])
+    text = F.when(first | ~F.col("__whole"), line)
+    return found.withColumn(OVERLONG, F.col("__whole") & first).withColumn(LINE, text)
 
 
 def parse_multi_line(spark: SparkSession, names: list[str], spec: TableSpec) -> DataFrame:
@@ -242,13 +280,16 @@ def good_rows(parsed: DataFrame, names: list[str]) -> DataFrame:
     return parsed.filter(F.col(REJECT).isNull()).select(*[ref(n) for n in names])
 
 
-def rejected_rows(spark: SparkSession, parsed: DataFrame, spec: TableSpec) -> DataFrame:
-    """Where each reject stands (file and line), why, and its text."""
+def rejected_rows(lines: DataFrame | None, parsed: DataFrame) -> DataFrame:
+    """Where each reject stands (file and line), why, and its text.
+
+    ``lines`` has the address of every physical line, from which the numbers follow; without it there are none.
+    """
     found = parsed.filter(F.col(REJECT).isNotNull()).select(FILE, BLOCK, POSITION, REJECT, RAW)
-    if spec.multi_line and spec.opens_natively:
+    if lines is None:
         numbered = found.withColumn("line_number", F.lit(None).cast("bigint"))
     else:
-        numbered = with_line_numbers(spark, spec, found)
+        numbered = with_line_numbers(lines, found)
     return numbered.select(
         F.col(FILE).alias("file"),
         "line_number",

@@ -18,6 +18,7 @@ from twinledger.sources.lines import (
     header_frame,
     header_lines,
     is_trailer,
+    raw_lines,
     trailer_frame,
 )
 from twinledger.spec import TableSpec
@@ -70,28 +71,30 @@ def read_table(spark: SparkSession, spec: TableSpec) -> LoadedTable:
     if not names:
         empty = spark.createDataFrame([], "column0 string")
         return LoadedTable(spec, empty, no_rejects, *edges)
+    raw = None
     if spec.multi_line and spec.opens_natively:
         parsed = delimited.parse_multi_line(spark, names, spec)
     else:
-        lines = record_lines(spark, spec, len(names))
+        raw = raw_lines(spark, spec)
+        lines = record_lines(raw, spec, len(names))
         parsed = delimited.parse_lines(lines.filter(~is_trailer(F.col(LINE), spec.trailer_patterns)), names, spec)
     return LoadedTable(
         spec,
         delimited.good_rows(parsed, names),
-        delimited.rejected_rows(spark, parsed, spec),
+        delimited.rejected_rows(raw, parsed),
         *edges,
         parsed=parsed,
         header_text=tuple(headers),
     )
 
 
-def record_lines(spark: SparkSession, spec: TableSpec, count: int) -> DataFrame:
+def record_lines(raw: DataFrame, spec: TableSpec, count: int) -> DataFrame:
     """The lines after the header, those of one record joined. Looks for open quotes, with one action."""
 
     def joined(lines: DataFrame) -> DataFrame:
-        return delimited.join_records(lines, count, spec) if delimited.may_span_lines(lines, spec) else lines
+        return delimited.join_records(lines, count, spec)
 
-    return body_lines(spark, spec, joined)
+    return body_lines(raw, spec, joined if delimited.may_span_lines(raw, spec) else None)
 
 
 def delimited_names(spark: SparkSession, spec: TableSpec, headers: list[str]) -> list[str]:

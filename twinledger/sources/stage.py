@@ -2,7 +2,9 @@
 
 A run needs a text input several times: its rows, their number, its rejects and its trailers. One
 pass over the lines writes them all to one staged table, tagged by kind. Later reads are columnar:
-counts touch only the tag, and rejects and trailers skip the row groups that hold none. Lines are parsed
+counts touch only the tag, and rejects and trailers skip the row groups that hold none. Every physical line has a
+row with its address, those of headers and empty lines too, so line numbers come from the staged table alone,
+whatever becomes of the file, the settings or the executors after it was written. Lines are parsed
 alone first; only if one leaves a quoted field open is the file read again, with such lines joined.
 """
 
@@ -24,12 +26,13 @@ from twinledger.sources.lines import (
     header_lines,
     is_trailer,
     numbered,
+    raw_lines,
 )
-from twinledger.sources.read import LoadedTable, delimited_names, read_table, record_lines
+from twinledger.sources.read import LoadedTable, delimited_names, read_table
 from twinledger.spec import TableSpec
 
 KIND = "__kind"
-ROW, REJECTED, TRAILER = "row", "reject", "trailer"
+ROW, REJECTED, TRAILER, OTHER = "row", "reject", "trailer", "other"
 
 
 def stage_table(spark: SparkSession, spec: TableSpec, path: str) -> LoadedTable:
@@ -37,7 +40,8 @@ def stage_table(spark: SparkSession, spec: TableSpec, path: str) -> LoadedTable:
     if spec.is_parquet:
         return read_table(spark, spec)
     headers = header_lines(spark, spec)
-    lines = body_lines(spark, spec)
+    raw = raw_lines(spark, spec)
+    lines = body_lines(raw, spec, all_places=True)
     if spec.is_fixed_width:
         if spec.col_specs:
             names = fixed_width.column_names(spec, headers)
@@ -58,12 +62,13 @@ def stage_table(spark: SparkSession, spec: TableSpec, path: str) -> LoadedTable:
     if not spec.is_fixed_width and not spec.multi_line:
         # Without a field that is open at a line's end, no record spans lines, and nothing is left to do.
         if not stored.filter(F.col(delimited.REJECT) == delimited.UNFINISHED).isEmpty():
-            parsed = delimited.parse_lines(record_lines(spark, spec, len(names)), names, spec)
+            records = body_lines(raw, spec, lambda x: delimited.join_records(x, len(names), spec), all_places=True)
+            parsed = delimited.parse_lines(records, names, spec)
             stored = _stored(spark, spec, names, parsed, f"{path}_records")
     return LoadedTable(
         spec,
         rows=stored.filter(F.col(KIND) == ROW).select(*[ref(n) for n in names]),
-        rejects=delimited.rejected_rows(spark, stored.filter(F.col(KIND) == REJECTED), spec),
+        rejects=delimited.rejected_rows(None if spec.multi_line and spec.opens_natively else stored, stored),
         headers=header_frame(spark, headers),
         header_text=tuple(headers),
         trailers=_trailers(spark, spec, headers, stored),
@@ -76,14 +81,17 @@ def stage_table(spark: SparkSession, spec: TableSpec, path: str) -> LoadedTable:
 
 def _stored(spark: SparkSession, spec: TableSpec, names: list[str], parsed: DataFrame, path: str) -> DataFrame:
     raw = F.col(delimited.RAW)
+    # Spark's own reader of records gives the text of rejects alone.
+    whole_records = spec.multi_line and spec.opens_natively and not spec.is_fixed_width
     kind = (
-        F.when(is_trailer(raw, spec.trailer_patterns), F.lit(TRAILER))
+        F.when(raw.isNull() & F.lit(not whole_records), F.lit(OTHER))
+        .when(is_trailer(raw, spec.trailer_patterns), F.lit(TRAILER))
         .when(F.col(delimited.REJECT).isNotNull(), F.lit(REJECTED))
         .otherwise(F.lit(ROW))
     )
     staged = parsed.select(
         *[ref(n) for n in names],
-        F.when(kind != ROW, raw).alias(delimited.RAW),
+        F.when(kind.isin(REJECTED, TRAILER), raw).alias(delimited.RAW),
         FILE,
         BLOCK,
         POSITION,
