@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import sys
 import unicodedata
+from decimal import Decimal
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinledger.functions import chardiff, compare, fmt, names, normalize
 from twinledger.sources.fixed_width import parse_widths
@@ -194,3 +197,26 @@ def test_run_id(spark):
     at = F.lit("2025-02-08 01:02:03").cast("timestamp")
     found = one(spark, fmt.run_id(F.lit("My job!"), F.lit("/in/extract.2025.csv"), at))
     assert found == "My_job__extract_2025_20250208_010203"
+
+
+def test_syllables_are_composed(spark):
+    rng = random.Random(4)
+    alphabet = [*map(chr, range(0x1100, 0x1113)), *map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3)), "가", "각", "a", "é", "\u0301"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(12))) for _ in range(400)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", normalize.strip_accents(F.col("t")).alias("s"))
+    for text, stripped in frame.collect():
+        marks = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.category(c).startswith("M"))
+        assert stripped == unicodedata.normalize("NFC", marks), text.encode("unicode_escape")
+
+
+def test_floating_numbers_as_exact_ones(spark):
+    """The text of a double is that of the exact number equal to it, if there is one."""
+    values = [0.0, -0.0, 0.1, -2.5, 1e-10, 123456.1, 2.0**53, 2.0**53 + 2, -(2.0**60), 2.0**63, 2.0**80, 1e22, 3.0]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    texts = [r[0] for r in frame.select(normalize.floating_number_text(F.col("v"), T.DoubleType(), 2)).collect()]
+    for value, text in zip(values, texts):
+        expected = Decimal(int(value)) if abs(value) >= 2**53 else Decimal(repr(value))
+        assert Decimal(text) == expected and "E" not in text and text != "-0"
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e300,), (1e-300,), (None,)], "v double")
+    found = [r[0] for r in odd.select(normalize.floating_number_text(F.col("v"), T.DoubleType(), 2)).collect()]
+    assert found == ["NaN", "Infinity", "1.0E300", "1.0E-300", None]

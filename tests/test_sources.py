@@ -13,6 +13,7 @@ from twinledger import TableSpec, read_table
 from twinledger.operators.lines import compare_lines
 from twinledger.sources.fixed_width import convert_fixed_width, parse_widths
 from twinledger.sources.inventory import file_inventory, storage_stats
+from twinledger.sources.lines import header_lines
 from twinledger.sources.stage import stage_table
 
 
@@ -470,3 +471,73 @@ def test_storage_stats(spark, tmp_path):
     stats = storage_stats(spark, str(tmp_path)).head()
     assert (stats["files"], stats["total_bytes"]) == (2, 8)
     assert stats["oldest_mtime"] <= stats["newest_mtime"]
+
+
+def test_rejects_survive_a_new_split_plan(spark, tmp_path):
+    """Line numbers come from what was staged, whatever the split size is when they are asked for."""
+    lines = [f"{i},b{',c' * (i % 10 == 7)}" if i % 13 else "" for i in range(1, 301)]
+    folder = tmp_path / "in"
+    for f in range(2):
+        write(folder / f"{f}.csv", "k,v\n" + "\n".join(lines) + "\n")
+    expected = [i + 1 for i in range(1, 301) if i % 10 == 7 and i % 13] * 2
+    spec, name = TableSpec(str(folder), header_rows=1), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "300")
+        staged, lazy = stage_table(spark, spec, str(tmp_path / "staged")), read_table(spark, spec)
+        for size in ("77", "5000", before):
+            spark.conf.set(name, size)
+            for table in (staged, lazy):
+                assert [r["line_number"] for r in table.first_rejects(500).collect()] == expected
+        assert staged.counts.head()["reject_count"] == len(expected)
+    finally:
+        spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("split", [None, 40])
+def test_records_beyond_the_bound_give_no_rows(spark, tmp_path, split):
+    """A whole record over the limit is one reject; lines between two stray quotes stay rows."""
+    long = "\n".join(f'x{i} ""q"", y' for i in range(30))
+    text = f'1,"{long}"\n2,"a\nb"\n3,"{long}",c,d\n4,"open\n' + "".join(f"{i},p\n" for i in range(50, 80)) + '81,"r\n'
+    path, name = write(tmp_path / "a.csv", text), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    if split:
+        spark.conf.set(name, str(split))
+    try:
+        spec = TableSpec(path, column_names=("a", "b"), max_record_bytes=100)
+        for table in (read_table(spark, spec), stage_table(spark, spec, str(tmp_path / "staged"))):
+            found = [(r["line_number"], r["error_type"]) for r in table.first_rejects(200).collect()]
+            got = {r[0] for r in rows(table)}
+            assert found[0] == (1, "LINE SIZE OVER MAXIMUM") and ("2", "a\nb") in rows(table)
+            assert {str(i) for i in range(50, 80)} <= got and "1" not in got
+            assert (63, "UNQUOTED VALUE") in found and (94, "UNQUOTED VALUE") in found
+    finally:
+        spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("encoding", ["utf-16", "utf-32"])
+@pytest.mark.parametrize("header_rows", [0, 1])
+def test_byte_order_marks_of_mixed_files(spark, tmp_path, encoding, header_rows):
+    head = "näme,v\n" * header_rows
+    for order, mark in (("le", "\ufeff"), ("be", "\ufeff")):
+        write(tmp_path / "in" / f"{order}.csv", f"{mark}{head}Zoé 漢,{order}\r\nb,2\n", f"{encoding}-{order}")
+    write(tmp_path / "in" / "z.csv", f"{head}none,le\n", f"{encoding}-le")
+    table = read_table(spark, TableSpec(str(tmp_path / "in"), header_rows=header_rows, encoding=encoding))
+    assert rows(table) == sorted([("Zoé 漢", "le"), ("b", "2"), ("Zoé 漢", "be"), ("b", "2"), ("none", "le")], key=str)
+    assert not header_rows or table.rows.columns == ["näme", "v"]
+
+
+def test_a_folder_is_scanned_once_for_its_rows(spark, tmp_path):
+    for f in range(3):
+        write(tmp_path / "in" / f"{f}.csv", "k,v\n1,2\n")
+    plan = read_table(spark, TableSpec(str(tmp_path / "in"), header_rows=1)).rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("suffix", ["", ".gz", ".bz2"])
+def test_heads_of_long_first_lines(spark, tmp_path, suffix):
+    names = ",".join(f"c{i}" for i in range(40_000))
+    data = f"made by hand\r\n{names}\r\n1\r\n".encode()
+    path = tmp_path / f"a.csv{suffix}"
+    path.write_bytes({"": lambda d: d, ".gz": gzip.compress, ".bz2": bz2.compress}[suffix](data))
+    assert header_lines(spark, TableSpec(str(path), header_rows=2)) == ["made by hand", names]

@@ -24,6 +24,7 @@ from twinledger.sources.fixed_width import convert_fixed_width, parse_widths, sl
 from twinledger.sources.inventory import file_inventory, storage_stats
 from twinledger.sources.lines import BLOCK, FILE, LINE, POSITION, is_trailer, raw_lines
 from twinledger.sources.read import LoadedTable, read_table
+from twinledger.sources.stage import stage_table
 from twinledger.spec import CompareRules, JobConfig, TableSpec
 
 TEXT_RULES = CompareRules(
@@ -197,6 +198,61 @@ def job_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return run.source_rejects.select("line_number", "error_type", "csv_line")
 
 
+def job_rejects_resplit(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over a folder, with small splits while it is staged and others when the rejects are read."""
+    root, name = scratch_dir(spark), "spark.sql.files.maxPartitionBytes"
+    _ragged(load(spark, sf, "orders").orderBy("o_orderkey")).coalesce(1).write.text(f"{root}/r")
+    spec = TableSpec(f"{root}/r", column_names=("o_orderkey", "customer", "status", "priority"))
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "60000")
+    try:
+        staged = stage_table(spark, spec, f"{root}/staged")
+    finally:
+        spark.conf.set(name, usual)
+    return staged.rejects.select("line_number", "error_type", "csv_line")
+
+
+def _marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    yield pd.DataFrame({"doc_id": ["\ufeffdoc_id"], "text": ["text"]})
+    yield from batches
+
+
+def csv_utf16_bom(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in UTF-16 files with byte order marks, some little-endian and some big-endian."""
+    docs = load(spark, sf, "documents").select(
+        F.col("doc_id").cast("string"), F.translate("text", "\n", " ").alias("text"), (F.col("doc_id") % 2).alias("rest")
+    )
+    root = scratch_dir(spark)
+    for rest, codec in enumerate(("UTF-16LE", "UTF-16BE")):
+        rows = docs.filter(F.col("rest") == rest).select("doc_id", "text").mapInPandas(_marked, "doc_id string, text string")
+        write_csv(rows, f"{root}/{codec}", header=False, encoding=codec)
+    return read_table(spark, TableSpec(f"{root}/UTF-16*", header_rows=1, encoding="utf-16")).rows
+
+
+CSV_UTF16_BOM_SQL = """SELECT CAST(doc_id AS VARCHAR) AS doc_id,
+  nullif(translate(text, chr(10), ' '), '') AS text FROM documents"""
+
+
+def csv_long_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents with a bound that some exceed: each of these is one reject, and no line of it a row."""
+    path = write_csv(load(spark, sf, "documents").select("doc_id", "text"), f"{scratch_dir(spark)}/d")
+    table = read_table(spark, TableSpec(path, header_rows=1, max_record_bytes=LONG_RECORD))
+    rows = table.rows.select("doc_id", F.lit("row").alias("outcome"))
+    rejects = table.rejects.select(F.split("csv_line", ",")[0].alias("doc_id"), F.col("error_type").alias("outcome"))
+    return rows.unionByName(rejects)
+
+
+# Small, so that the given texts exceed it.
+LONG_RECORD = 4_000
+
+CSV_LONG_RECORDS_SQL = f"""WITH d AS (
+  SELECT doc_id, CASE WHEN text LIKE '%"%' OR text LIKE '%,%' OR text LIKE '%' || chr(10) || '%'
+    THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN field LIKE '%' || chr(10) || '%'
+    AND octet_length(encode(CAST(doc_id AS VARCHAR) || ',' || field)) + 1 > {LONG_RECORD}
+  THEN 'LINE SIZE OVER MAXIMUM' ELSE 'row' END AS outcome FROM d"""
+
+
 # -- trailers and line order -------------------------------------------------------------------
 
 
@@ -486,6 +542,17 @@ FROM l WHERE o_orderkey % 23 = 1
 UNION ALL SELECT line_number, 'UNQUOTED VALUE', concat_ws(',', o_orderkey, '"open', o_orderstatus, o_orderpriority)
 FROM l WHERE o_orderkey % 23 = 2""",
     ),
+    "job_rejects_resplit": (
+        job_rejects_resplit,
+        """WITH l AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS line_number FROM orders)
+SELECT line_number, 'TOO MANY COLUMNS' AS error_type,
+  concat_ws(',', o_orderkey, o_custkey, o_orderstatus, o_orderpriority) || ',extra,' AS csv_line
+FROM l WHERE o_orderkey % 23 = 1
+UNION ALL SELECT line_number, 'UNQUOTED VALUE', concat_ws(',', o_orderkey, '"open', o_orderstatus, o_orderpriority)
+FROM l WHERE o_orderkey % 23 = 2""",
+    ),
+    "csv_utf16_bom": (csv_utf16_bom, CSV_UTF16_BOM_SQL),
+    "csv_long_records": (csv_long_records, CSV_LONG_RECORDS_SQL),
     "trailer_compare": (
         trailer_compare,
         _TRAILERS_CTE

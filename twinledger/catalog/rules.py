@@ -90,6 +90,41 @@ def accent_rule(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def accent_jamo(spark: SparkSession, sf: str) -> DataFrame:
+    """Syllables written as letters, among other text: composed as the accents go."""
+    n = F.col("doc_id")
+    letters = [normalize.LEADS + n % 20, normalize.VOWELS - 1 + n % 23, normalize.TAILS - 1 + n % 30]
+    jamo = F.concat(*[F.decode(F.unhex(F.hex(code.cast("bigint"))), "UTF-16BE") for code in letters])
+    text = F.concat(F.lit("caf\u00e9 "), jamo, jamo, F.lit("\uac00\u11a8\u1100 "), F.substring("text", 1, 40), jamo)
+    return load(spark, sf, "documents").select("doc_id", normalize.strip_accents(text).alias("plain_text"))
+
+
+ACCENT_JAMO_SQL = """WITH j AS (SELECT doc_id, text,
+  chr(CAST(4352 + doc_id % 20 AS INTEGER)) || chr(CAST(4448 + doc_id % 23 AS INTEGER)) || chr(CAST(4518 + doc_id % 30 AS INTEGER)) AS jamo
+  FROM documents)
+SELECT doc_id, strip_accents('caf' || chr(233) || ' ' || jamo || jamo || chr(44032) || chr(4520) || chr(4352) || ' '
+  || substr(text, 1, 40) || jamo) AS plain_text FROM j"""
+
+
+def float_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole numbers and decimals against doubles: neighbours beyond 2^53 differ, equal values match."""
+    orders = load(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    large = F.lit(2**53).cast("bigint") + key
+    source = orders.select("o_orderkey", large.alias("whole"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    target = orders.select("o_orderkey", large.cast("double").alias("whole"), F.col("o_totalprice").cast("double").alias("price"))
+    return reconcile(spark, source, target, ["o_orderkey"]).column_stats.select(
+        "column_name", "compared", "matching", "mismatched"
+    )
+
+
+FLOAT_EXACT_SQL = """WITH c AS (SELECT o_orderkey % 2 = 0 AS whole,
+  CAST(o_totalprice AS DECIMAL(18,2))::VARCHAR::DOUBLE = o_totalprice::DOUBLE AS price FROM orders)
+SELECT 'whole' AS column_name, count(*) AS compared, count(*) FILTER (whole) AS matching,
+  count(*) FILTER (NOT whole) AS mismatched FROM c
+UNION ALL SELECT 'price', count(*), count(*) FILTER (price), count(*) FILTER (NOT price) FROM c"""
+
+
 def accent_recon(spark: SparkSession, sf: str) -> DataFrame:
     """Documents against a copy whose e-acute lost its accent: equal under the rule."""
     source = load(spark, sf, "documents").select("doc_id", "text", "lang")
@@ -507,6 +542,8 @@ QUERIES = {
         + sql.detail(pairs.CONVERSATION_KEYS, _CASE_COLUMNS),
     ),
     "accent_rule": (accent_rule, "SELECT doc_id, strip_accents(text) AS plain_text FROM documents"),
+    "accent_jamo": (accent_jamo, ACCENT_JAMO_SQL),
+    "recon_float_exact": (float_exact, FLOAT_EXACT_SQL),
     "accent_recon": (
         accent_recon,
         _accent_sql("exact", "coalesce({}, '')")

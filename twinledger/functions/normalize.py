@@ -48,11 +48,56 @@ def accent_table() -> tuple[str, str]:
     return "".join(accented + marks), "".join(bases)
 
 
+# Where syllables and the letters that compose them begin, and how many letters there are of each kind.
+SYLLABLES, LEADS, VOWELS, TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7
+LEAD_COUNT, VOWEL_COUNT, TAIL_COUNT = 19, 21, 28
+
+
+def _character(code: Column) -> Column:
+    return F.decode(F.unhex(F.hex(code.cast("bigint"))), "UTF-16BE")
+
+
+def compose_hangul(text: Column) -> Column:
+    """Syllables for runs of conjoining letters, by the arithmetic of the Unicode standard.
+
+    What becomes of a letter depends on its neighbours alone: a lead before a vowel starts a syllable, a tail after either
+    ends it, and letters that went into a syllable before them go. The code before the first tail stands for none, and
+    goes as well, which is what SQL's function makes of it.
+    """
+    chars = F.split(text, "")
+    syllables = LEAD_COUNT * VOWEL_COUNT * TAIL_COUNT
+
+    def code(i: Column) -> Column:
+        # Null beyond the ends, where no comparison holds.
+        return F.when(i >= 0, F.ascii(F.get(chars, F.greatest(i, F.lit(0)))))
+
+    def among(value: Column, first: int, count: int) -> Column:
+        return F.coalesce((value >= first) & (value < first + count), F.lit(False))
+
+    def composed(char: Column, i: Column) -> Column:
+        here, after, later = F.ascii(char), code(i + 1), code(i + 2)
+        before, earlier = code(i - 1), code(i - 2)
+        lead, vowel = (lambda x: among(x, LEADS, LEAD_COUNT)), (lambda x: among(x, VOWELS, VOWEL_COUNT))
+        tail = lambda x: among(x, TAILS, TAIL_COUNT)
+        open_syllable = lambda x: among(x, SYLLABLES, syllables) & ((x - SYLLABLES) % TAIL_COUNT == 0)
+        base = F.lit(SYLLABLES) + ((here - LEADS) * VOWEL_COUNT + (after - VOWELS)) * TAIL_COUNT
+        return (
+            F.when(lead(here) & vowel(after), _character(base + F.when(tail(later), later - TAILS).otherwise(0)))
+            .when(vowel(here) & lead(before), F.lit(""))
+            .when(tail(here) & ((vowel(before) & lead(earlier)) | open_syllable(before)), F.lit(""))
+            .when(open_syllable(here) & tail(after), _character(here + after - TAILS))
+            .otherwise(char)
+        )
+
+    letters = f"[{chr(LEADS)}-{chr(LEADS + LEAD_COUNT - 1)}{chr(TAILS)}-{chr(TAILS + TAIL_COUNT - 1)}]"
+    return F.when(text.rlike(letters), F.array_join(F.transform(chars, composed), "")).otherwise(text)
+
+
 def strip_accents(text: Column) -> Column:
     """Letters without their accents. Pure ASCII text is passed through untouched."""
     matching, replace = accent_table()
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(
-        F.translate(text, matching, replace)
+        compose_hangul(F.translate(text, matching, replace))
     )
 
 
@@ -97,6 +142,32 @@ def plain_number_text(value: Column) -> Column:
     return F.regexp_replace(text, r"\.$", "")
 
 
+# From here on every double is whole, and digits that a plain text of a smaller one is given.
+FIRST_WHOLE = 2**53
+FRACTION_DIGITS = 22
+# From here on a double may not fit the widest decimal.
+LAST_EXACT = 2.0**125
+
+
+def floating_number_text(value: Column, dtype: T.DataType, scale: int) -> Column:
+    """A floating point number as ``plain_number_text`` writes the exact number that equals it.
+
+    Whole numbers beyond 2^53 are written with all their digits: split by 2^62, both parts are exact. Of smaller
+    numbers the shortest decimal counts that reads back as the same value. What no decimal of ``scale`` digits can equal
+    keeps its scientific form.
+    """
+    double, shortest = value.cast("double"), value.cast("string")
+    part = F.lit(2.0**62)
+    high = F.when(F.abs(double) < LAST_EXACT, (double / part).cast("bigint"))
+    low = (double - high.cast("double") * part).cast("bigint")
+    digits = high.cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + low.cast("decimal(19,0)")
+    text = F.when((F.abs(double) >= FIRST_WHOLE) & high.isNotNull(), digits.cast("string"))
+    for places in sorted({FRACTION_DIGITS, max(FRACTION_DIGITS, scale)}):
+        decimal = shortest.try_cast(T.DecimalType(38, places))
+        text = text.when(decimal.cast(dtype) == value, plain_number_text(decimal))
+    return text.otherwise(shortest)
+
+
 def _holds_map(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.ArrayType):
         return _holds_map(dtype.elementType)

@@ -10,13 +10,14 @@ finds out, a plain null-safe full outer join saves the sort of whole rows before
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinledger.functions.names import key_names, ref, with_clean_names
-from twinledger.functions.normalize import canonical_text, plain_number_text
+from twinledger.functions.normalize import canonical_text, floating_number_text, plain_number_text
 
 N_SOURCE, N_TARGET = "__n_source", "__n_target"
 SOURCE, TARGET = "__source", "__target"
@@ -51,9 +52,6 @@ def _is_orderable(dtype: T.DataType) -> bool:
 # Digits of the whole-number types.
 WHOLE_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
 
-# Rows looked at before all keys are, when it is open whether keys repeat.
-FIRST_LOOK = 100_000
-
 
 def _as_decimal(dtype: T.DataType) -> T.DecimalType | None:
     """The decimal type that holds all values of an exact number type, else None."""
@@ -76,6 +74,9 @@ def common_type(left: T.DataType, right: T.DataType) -> T.DataType | None:
         scale = max(d.scale for d in exact)
         digits = max(d.precision - d.scale for d in exact) + scale
         return T.DecimalType(digits, scale) if digits <= 38 else None
+    if any(exact):
+        # Floating point cannot hold all exact numbers: their plain texts are compared.
+        return None
     if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
         return T.DoubleType()
     times = {type(left), type(right)}
@@ -107,8 +108,9 @@ def share_types(
         types[name] = dtype or T.StringType()
         for df_type, out in ((from_type, left), (to_type, right)):
             column = ref(name)
-            if dtype is None and _as_decimal(from_type) and _as_decimal(to_type):
-                column = plain_number_text(column)
+            if dtype is None and isinstance(from_type, T.NumericType) and isinstance(to_type, T.NumericType):
+                scale = max((d.scale for d in map(_as_decimal, (from_type, to_type)) if d), default=0)
+                column = plain_number_text(column) if _as_decimal(df_type) else floating_number_text(column, df_type, scale)
             elif dtype is None:
                 column = canonical_text(column, df_type, numeric_scale)
             elif df_type != dtype:
@@ -151,7 +153,7 @@ def align(
 
     if keys_only or not columns:
         frame = _keys_by_grouping(left, right, key_list)
-    elif unique_keys is not False and not any(has_repeats(df, key_list) for df in (left, right)):
+    elif unique_keys is not False and not has_repeats(key_list, left, right):
         frame = _by_join(left, right, key_list, list(columns))
     elif unique_keys:
         raise ValueError(f"keys repeat: {', '.join(key_list)}")
@@ -160,14 +162,12 @@ def align(
     return Aligned(frame, key_list, columns, source_only, target_only)
 
 
-def has_repeats(df: DataFrame, keys: list[str]) -> bool:
-    """Whether a key occurs twice. Reads keys alone, and only the first rows if those show it."""
+def has_repeats(keys: list[str], *sides: DataFrame) -> bool:
+    """Whether a key occurs twice on a side. One job, which reads keys alone and counts them before they move."""
     key_refs = [ref(k) for k in keys]
-    only = df.select(*key_refs)
-    return any(
-        not part.groupBy(*key_refs).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").isEmpty()
-        for part in (only.limit(FIRST_LOOK), only)
-    )
+    tagged = [df.select(F.lit(i).alias("__side"), *key_refs) for i, df in enumerate(sides)]
+    counts = reduce(DataFrame.unionByName, tagged).groupBy("__side", *key_refs).agg(F.count(F.lit(1)).alias("__n"))
+    return not counts.filter("__n > 1").isEmpty()
 
 
 def _record(columns: list[str]):

@@ -44,7 +44,7 @@ def dedup_rows(df: DataFrame, keys: str | list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in names]
     if not rest:
         return df.distinct()
-    if not has_repeats(df, names):
+    if not has_repeats(names, df):
         return df
     record = F.struct(*[ref(c) for c in rest])
     kept = df.groupBy(*[ref(k) for k in names]).agg(F.min(record).alias("_kept"))

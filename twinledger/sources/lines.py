@@ -40,7 +40,7 @@ def _decoded(value: Column, encoding: str) -> Column:
     if codec == "utf-8-sig":
         return F.regexp_replace(value, "^\ufeff", "")
     raw = value.cast("binary")
-    charset = SPARK_CHARSETS.get(codec) or WIDE_CHARSETS.get(codec)
+    charset = SPARK_CHARSETS.get(codec) or (WIDE_CHARSETS[codec] if codec.startswith("utf-16") else None)
     if charset:
         return F.decode(raw, charset)
 
