@@ -13,20 +13,25 @@ def labels(spark, text, templates=lic.TEMPLATES):
     [
         ("Licensed under the Apache License, Version 2.0; also released under the MIT License", "apache-2.0,mit"),
         ("Released under the MIT License, dedicated to the public domain under CC0", "cc0-1.0,mit"),
-        ("Licensed under the GNU General Public License, version 3", "gpl-3.0"),
+        ("Licensed under the GNU General Public License, version 3", "gpl-2.0,gpl-3.0,lgpl"),
     ],
 )
 def test_all_notices_of_a_block(spark, text, expected):
     assert labels(spark, text) == expected
 
 
+def test_a_notice_beside_a_longer_one(spark):
+    found = labels(spark, "Text: Licensed under CC BY 4.0.\nImages: Licensed under CC BY-SA 4.0.")
+    assert {"cc-by-4.0", "cc-by-sa-4.0"} <= set(found.split(","))
+
+
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
-        ("licensed under the GNU\nGeneral Public License, version 3", "gpl-3.0"),
+        ("licensed under the GNU\nGeneral Public License, version 3", "gpl-2.0,gpl-3.0,lgpl"),
         ("Released under the\nMIT License", "mit"),
-        ("x " * 10 + "licensed under the GNU General Public License, version 3", "gpl-3.0"),
-        ("a\nb c\n" * 7 + "licensed\nunder the GNU General Public\nLicense, version\n3" + " y" * 30, "gpl-3.0"),
+        ("x " * 10 + "licensed under the GNU General Public License, version 3", "gpl-2.0,gpl-3.0,lgpl"),
+        ("a\nb c\n" * 7 + "licensed\nunder the GNU General Public\nLicense, version\n3" + " y" * 30, "gpl-2.0,gpl-3.0,lgpl"),
     ],
 )
 def test_notices_over_line_ends(spark, text, expected):
@@ -39,7 +44,7 @@ def test_notices_at_any_place():
     for before in range(60):
         for cut in range(1, len(words)):
             lines = [[b"x"] * before, words[:cut], words[cut:], [b"y"] * 40]
-            assert index.in_text(lines) == {"gpl-3.0": 1.0}
+            assert index.in_text(lines)["gpl-3.0"] == 1.0
 
 
 def test_long_template(spark):

@@ -23,20 +23,18 @@ def brute(i, text):
     ]
     met = {label: 1.0 for _, label in places}
     base = sorted(met)
+    blocks = {template: [] for template in lic.TEMPLATES}
     for line in (text or "").split("\n"):
         line = words(line)
         starts = range(0, len(line) - 32, 32) if len(line) > 64 else [0]
-        for at in starts:
-            block = set(line[at : at + 64])
-            found = []
-            for template, label in lic.TEMPLATES.items():
-                t = set(words(template))
-                share = len(t & block) / len(t)
-                if share >= lic.CONTAINMENT:
-                    found.append((len(t & block), label, share))
-            for shared, label, share in found:
-                if shared == max(found)[0]:
-                    met[label] = max(share, met.get(label, 0))
+        for found in blocks.values():
+            found += [line[at : at + 64] for at in starts]
+    for template, label in lic.TEMPLATES.items():
+        length, t = len(words(template)), set(words(template))
+        blocks[template] += [w[at : at + 2 * length] for at in range(0, len(w), length)]
+        share = max(len(t.intersection(block)) / len(t) for block in blocks[template])
+        if share >= lic.CONTAINMENT:
+            met[label] = max(share, met.get(label, 0))
     starts = [at for at, _ in places]
     return (i, len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(base),
             ",".join(sorted(met)), max(met.values(), default=0.0))
@@ -70,8 +68,8 @@ def test_clashing_columns_and_no_rows(spark):
 @pytest.mark.parametrize(
     ("text", "base", "labels"),
     [
-        ("Licensed under CC BY-NC 4.0.", "cc-by", "cc-by,cc-by-nc-4.0"),
-        ("Licensed under the GNU General Public License, version 3", "gpl", "gpl,gpl-3.0"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by", "cc-by,cc-by-4.0,cc-by-nc-4.0,cc-by-sa-4.0"),
+        ("Licensed under the GNU General Public License, version 3", "gpl", "gpl,gpl-2.0,gpl-3.0,lgpl"),
         ("Released under the MIT License.", "", "mit"),
         ("the license was released", "", ""),
         ("All rights\nreserved.", "reserved", "reserved"),

@@ -10,8 +10,8 @@ and, given the place of the first shared word, have enough of the template left
 passes is counted exactly, so the filters lose nothing. Blocks are lines; a line of over ``BLOCK_WORDS`` words
 is cut into blocks of that size, each beginning half a block after the last. Besides, each template has blocks
 of twice its length over the words of the whole text, half overlapping, so a notice is found however its lines
-are broken and however long it is. Notices resemble each other: a template whose words in a block are a proper
-subset of those that another template has in a block that overlaps it gives no label there.
+are broken and however long it is. Notices resemble each other, and every template that a block meets gives its
+label: the notice of one version of a licence meets those of the others too.
 
 Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are put in lower case. Null texts are
 empty; a document without words has no labels and score 0. Repeated rows are scanned each time; an empty
@@ -109,8 +109,8 @@ class TemplateIndex:
                 self.by_word[word].append((len(self.templates) - 1, place))
         self.least = min((need for _, _, need, _ in self.templates), default=0)
 
-    def contained(self, block: set[bytes]) -> Iterator[tuple[str, frozenset[bytes], float]]:
-        """(label, shared words, containment) of all templates met by a block."""
+    def contained(self, block: set[bytes]) -> Iterator[tuple[str, float]]:
+        """(label, containment) of all templates met by a block."""
         if len(block) < self.least:
             return
         first: dict[int, int] = {}
@@ -122,15 +122,12 @@ class TemplateIndex:
             if len(block) >= need and len(words) - place >= need:
                 shared = words & block
                 if len(shared) >= need:
-                    yield label, shared, len(shared) / len(words)
-
+                    yield label, len(shared) / len(words)
 
     def in_text(self, lines: list[list[bytes]]) -> dict[str, float]:
         """Label -> largest containment of all templates met by a text's blocks."""
         words = [w for line in lines for w in line]
-        found = [
-            (start, end, *hit) for start, end in blocks_of(lines) for hit in self.contained(set(words[start:end]))
-        ]
+        found = [hit for start, end in blocks_of(lines) for hit in self.contained(set(words[start:end]))]
         windows = set()
         for at, word in enumerate(words):
             for which, _ in self.by_word.get(word, ()):
@@ -138,24 +135,12 @@ class TemplateIndex:
                 windows.update((which, n) for n in (last - 1, last) if n >= 0)
         for which, n in windows:
             template, label, need, length = self.templates[which]
-            start, end = n * length, min((n + 2) * length, len(words))
-            shared = template.intersection(words[start:end])
+            shared = template.intersection(words[n * length : (n + 2) * length])
             if len(shared) >= need:
-                found.append((start, end, label, shared, len(shared) / len(template)))
-        found.sort(key=lambda hit: hit[:2])
-        beaten = set()
-        for i, (_, end, _, shared, _) in enumerate(found):
-            for j in range(i + 1, len(found)):
-                if found[j][0] >= end:
-                    break
-                if shared < found[j][3]:
-                    beaten.add(i)
-                elif found[j][3] < shared:
-                    beaten.add(j)
+                found.append((label, len(shared) / len(template)))
         met: dict[str, float] = {}
-        for i, (_, _, label, _, share) in enumerate(found):
-            if i not in beaten:
-                met[label] = max(share, met.get(label, 0.0))
+        for label, share in found:
+            met[label] = max(share, met.get(label, 0.0))
         return met
 
 
