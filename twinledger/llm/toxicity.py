@@ -304,8 +304,6 @@ def _lexicon(
     rows = (
         open_.unionByName(whole)
         .filter((F.col("toxic") >= least) & (ratio >= MIN_RATIO))
-        .orderBy(F.desc("toxic"), "term", "open")
-        .limit(4 * MAX_TERMS)
         .collect()
     )
     n_words = {(r["term"], r["open"]): r["words"] for r in rows}
@@ -365,6 +363,7 @@ def _fit(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray) -> np.ndarray:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     """Learn lexicon and weights from the labelled rows that are not held out."""
     sample, shares = _sample(docs, labels)
+    sample = written(spark, sample)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model(bias=40.0 if 1 in sizes else -40.0)
@@ -382,12 +381,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _known(words: DataFrame, terms, below: tuple[str, ...]) -> frozenset[str]:
-    """The words of clean texts that would be misspellings, the most frequent if there are very many."""
+    """The words of clean texts that would be misspellings: at most those of the sample's texts."""
 
     @F.pandas_udf("boolean")
-    def near(batch: pd.Series) -> pd.Series:
+    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lexicon = Lexicon(terms, below)
-        return pd.Series([lexicon.exact(w) is None and lexicon.misspelled(w) is not None for w in batch], dtype=bool)
+        for batch in batches:
+            yield pd.Series([lexicon.exact(w) is None and lexicon.misspelled(w) is not None for w in batch], dtype=bool)
 
     lengths = [len(term) for term in (*(term for term, _, _ in terms), *below) if len(term) >= FUZZY_LENGTH]
     if not lengths:
@@ -396,8 +396,7 @@ def _known(words: DataFrame, terms, below: tuple[str, ...]) -> frozenset[str]:
     if not any(open_ for term, open_, _ in terms if len(term) >= FUZZY_LENGTH):
         possible &= F.char_length("word") <= max(lengths) + 1
     candidates = words.filter((F.col("clean_texts") > 0) & possible)
-    rows = candidates.filter(near("word")).orderBy(F.desc("clean_texts"), "word").limit(4 * MAX_TERMS).collect()
-    return frozenset(r["word"] for r in rows)
+    return frozenset(r["word"] for r in candidates.filter(near("word")).select("word").collect())
 
 
 def _with_features(df: DataFrame, text: Column, terms, known: frozenset[str], below: tuple[str, ...]) -> DataFrame:
