@@ -167,6 +167,63 @@ def test_a_day_that_keeps_some_runs_is_rewritten(spark, tmp_path):
     assert [r["run_id"] for r in history.read_history(spark, out).collect()] == ["r20"]
 
 
+def _append(spark, out, *hours):
+    schema, day = history.HISTORY_SCHEMA, datetime.date(2025, 1, 1)
+    names = spark.createDataFrame([], schema).columns
+    for h in hours:
+        row = {"run_id": f"r{h}", "finished_at": datetime.datetime(2025, 1, 1, h), "run_date": day}
+        history.append_run(spark.createDataFrame([tuple(row.get(n) for n in names)], schema), out)
+
+
+def _ids(spark, out):
+    return sorted(r["run_id"] for r in history.read_history(spark, out).collect())
+
+
+def test_a_run_recorded_during_a_purge_survives(spark, tmp_path, monkeypatch):
+    out = str(tmp_path)
+    _append(spark, out, 1, 2, 20)
+    dropped = history.drop_results
+
+    def record_another(spark, path):
+        if path.endswith("/r1"):
+            _append(spark, out, 21)
+        dropped(spark, path)
+
+    monkeypatch.setattr(history, "drop_results", record_another)
+    assert history.purge_runs(spark, out, F.lit("2025-01-01 22:00:00").cast("timestamp"), 4 * 3600) == 2
+    assert _ids(spark, out) == ["r20", "r21"]
+
+
+def test_compaction(spark, tmp_path, monkeypatch):
+    """Many appended files become one; runs appended meanwhile stay, and a failed compaction changes nothing."""
+    out, now = str(tmp_path), F.lit("2025-01-01 22:00:00").cast("timestamp")
+    assert history.compact_history(spark, out) == 0
+    _append(spark, out, 1, 2, 3, 19)
+    assert history.purge_runs(spark, out, now, 20 * 3600) == 1
+    with monkeypatch.context() as patch:
+        patch.setattr(history.time, "time_ns", lambda: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            history.compact_history(spark, out)
+    assert _ids(spark, out) == ["r19", "r2", "r3"]
+    deleted = history.delete_path
+
+    def record_another(spark, path):
+        if not _ids(spark, out).count("r20"):
+            _append(spark, out, 20)
+        deleted(spark, path)
+
+    monkeypatch.setattr(history, "delete_path", record_another)
+    assert history.compact_history(spark, out) == 4
+    monkeypatch.undo()
+    assert _ids(spark, out) == ["r19", "r2", "r20", "r3"]
+    files = lambda: [p for p in (tmp_path / "history").rglob("*.parquet")]
+    assert len(files()) == 1
+    assert history.compact_history(spark, out) == 1 and not files()
+    _append(spark, out, 21)
+    assert history.purge_runs(spark, out, now, 2 * 3600 + 1) == 3
+    assert _ids(spark, out) == ["r20", "r21"]
+
+
 def test_a_new_output_has_no_runs(spark, tmp_path):
     assert history.recent_runs(spark, str(tmp_path / "new")).collect() == []
 

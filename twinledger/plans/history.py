@@ -1,13 +1,22 @@
-"""The table of past runs: append, look up, list the latest, and expire by age."""
+"""The table of past runs: append, look up, list the latest, expire by age, and compact.
+
+The history is a log. A run is appended as a file of its own and never rewritten; runs that expired are named in a
+second log of removed runs. Compaction writes the runs that are left as a snapshot, with the names of all files that it
+stands for, and puts it in place by one rename: readers see either the files or the snapshot. What is appended
+meanwhile is not among those files, so nothing is lost, whoever writes at the same time.
+"""
 
 from __future__ import annotations
 
+import time
+from uuid import uuid4
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinledger.functions import fmt
-from twinledger.plans.session import delete_path
+from twinledger.plans.session import delete_path, scratch_dir
 from twinledger.sources.inventory import list_files
 
 # How many runs are listed, and how long results and reports are kept.
@@ -30,19 +39,91 @@ def history_path(output: str) -> str:
     return f"{output.rstrip('/')}/history"
 
 
+def _removed_path(output: str) -> str:
+    return f"{output.rstrip('/')}/history_removed"
+
+
+def _snapshots_path(output: str) -> str:
+    return f"{output.rstrip('/')}/history_snapshots"
+
+
 def append_run(run: DataFrame, output: str) -> None:
     """Add one run; each run date is a partition, so old dates are skipped when reading."""
     run.write.mode("append").partitionBy("run_date").parquet(history_path(output))
 
 
-def read_history(spark: SparkSession, output: str) -> DataFrame:
-    """All recorded runs; none where nothing has been recorded yet."""
+def _read_or_none(spark: SparkSession, schema: str, path: str) -> DataFrame | None:
     try:
-        return spark.read.schema(HISTORY_SCHEMA).parquet(history_path(output))
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], HISTORY_SCHEMA)
+        return None
+
+
+def _snapshot(spark: SparkSession, output: str) -> str | None:
+    """The newest snapshot's folder. Their names grow with time, and unfinished ones have others."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_snapshots_path(output)}/at_*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return max((str(status.getPath()) for status in found or ()), default=None)
+
+
+def _log_name(path: Column) -> Column:
+    """A log file's place below the history's folder."""
+    return F.regexp_extract(path, "(run_date=[^/]*/[^/]*)$", 1)
+
+
+def _with_snapshot(spark: SparkSession, log: DataFrame | None, snapshot: str | None) -> DataFrame:
+    """All runs of a snapshot and of the log files that it does not stand for, removed ones included."""
+    runs = spark.createDataFrame([], HISTORY_SCHEMA) if log is None else log
+    if snapshot is None:
+        return runs
+    if log is not None:
+        replaced = spark.read.schema("name string").parquet(f"{snapshot}/replaced")
+        named = log.withColumn("_name", _log_name(F.col("_metadata.file_path")))
+        runs = named.join(replaced, F.col("_name") == F.col("name"), "left_anti").drop("_name")
+    return spark.read.schema(HISTORY_SCHEMA).parquet(f"{snapshot}/runs").unionByName(runs)
+
+
+def _live(spark: SparkSession, output: str, runs: DataFrame) -> DataFrame:
+    """Those of the runs that were not removed."""
+    removed = _read_or_none(spark, "run_id string", _removed_path(output))
+    return runs if removed is None else runs.join(removed, "run_id", "left_anti").select(*runs.columns)
+
+
+def read_history(spark: SparkSession, output: str) -> DataFrame:
+    """All recorded runs that were not removed; none where nothing has been recorded yet."""
+    snapshot = _snapshot(spark, output)
+    log = _read_or_none(spark, HISTORY_SCHEMA, history_path(output))
+    return _live(spark, output, _with_snapshot(spark, log, snapshot))
+
+
+def compact_history(spark: SparkSession, output: str) -> int:
+    """Put the runs that are left into one snapshot and remove the files it stands for; returns how many.
+
+    A compaction that fails before its rename leaves the history as it was. One at a time: of two that end
+    together, the later snapshot holds all that both read.
+    """
+    log, before = _read_or_none(spark, HISTORY_SCHEMA, history_path(output)), _snapshot(spark, output)
+    if log is None:
+        return 0
+    # The files are listed once, when the table is opened; all that follows reads these and no later ones.
+    files = [(name.rsplit("/", 2)[-2] + "/" + name.rsplit("/", 1)[-1],) for name in log.inputFiles()]
+    root = _snapshots_path(output)
+    unfinished = f"{root}/new_{uuid4().hex}"
+    replaced = spark.createDataFrame(files, "name string")
+    kept = _live(spark, output, _with_snapshot(spark, log, before))
+    kept.coalesce(1).write.parquet(f"{unfinished}/runs")
+    replaced.coalesce(1).write.parquet(f"{unfinished}/replaced")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.rename(path(unfinished), path(f"{root}/at_{time.time_ns():020d}")):
+        raise RuntimeError(f"could not put the snapshot in place below {root}")
+    for (name,) in files:
+        delete_path(spark, f"{history_path(output)}/{name}")
+    if before is not None:
+        delete_path(spark, before)
+    return len(files)
 
 
 def run_metadata(history: DataFrame, run_id: str) -> DataFrame:
@@ -90,29 +171,22 @@ def recent_runs(spark: SparkSession, output: str, limit: int = RECENT_RUNS) -> D
 def purge_runs(spark: SparkSession, output: str, now: Column, ttl_seconds: int) -> int:
     """Remove runs that finished longer ago than the age, with their results; returns how many.
 
-    Results go first, so a run that is still listed never lacks more than its results. Whole days that
-    have expired are dropped as partitions; only the days that keep some runs are rewritten, and
-    later ones, where new runs are recorded, are not touched.
+    Results go first, so a run that is still listed never lacks more than its results. Then the runs are named as
+    removed, in one append; no file of the history is rewritten, so runs recorded at the same time stay.
     """
     history = read_history(spark, output)
     fresh = F.coalesce(within_age(F.col("finished_at"), now, ttl_seconds), F.lit(True))
-    days = history.groupBy("run_date").agg(
-        F.count_if(~fresh).alias("expired"), F.count_if(fresh).alias("kept")
-    )
-    expired_days = days.filter("expired > 0").collect()  # one row for each day
-    for row in history.filter(~fresh).select("run_id").toLocalIterator():
+    staged = scratch_dir(spark)
+    history.filter(~fresh).select("run_id").distinct().coalesce(1).write.parquet(staged)
+    expired = spark.read.schema("run_id string").parquet(staged)
+    n = 0
+    for row in expired.toLocalIterator():
         drop_results(spark, f"{output.rstrip('/')}/runs/{row['run_id']}")
-    for day in expired_days:
-        folder = f"{history_path(output)}/run_date={day['run_date']}"
-        if day["kept"]:
-            kept = history.filter((F.col("run_date") == F.lit(day["run_date"])) & fresh)
-            kept = spark.createDataFrame(kept.collect(), HISTORY_SCHEMA)  # a day's runs, one row each
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(
-                history_path(output)
-            )
-        else:
-            delete_path(spark, folder)
-    return sum(day["expired"] for day in expired_days)
+        n += 1
+    if n:
+        expired.write.mode("append").parquet(_removed_path(output))
+    delete_path(spark, staged)
+    return n
 
 
 def drop_results(spark: SparkSession, run_path: str) -> None:
