@@ -38,11 +38,11 @@ LONGEST = 3
 SLOT_MASS = 2**20
 FEWEST_SLOTS, MOST_SLOTS = 2**8, 2**20
 #: Distinct phrases that a task gathers before it passes them on, and rows it merges at a time.
-TASK_PHRASES = 2**20
+TASK_PHRASES = 2**19
 
 ROWS_PER_BATCH = 2**16
 #: Bytes of text that a task cuts into words at a time; a longer text is cut alone.
-BATCH_BYTES = 2**20
+BATCH_BYTES = 2**19
 
 #: Ends of pieces become full stops, A-Z lower case, tabs spaces; all else stays.
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -110,6 +110,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[Phrases]:
             end = max(start + 1, int(np.searchsorted(sizes, before + BATCH_BYTES, side="right")))
             yield Phrases(batch.slice(start, end - start))
             start = end
+        # What a batch took goes back to the system, since the executor's memory is shared with the JVM.
+        pa.default_memory_pool().release_unused()
 
 
 def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +173,10 @@ def _packed(hashes: np.ndarray) -> bytes:
     return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    found = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    found[:, 2:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+def _unpacked(data: pa.BinaryScalar) -> np.ndarray:
+    packed = np.frombuffer(data.as_buffer(), dtype=np.uint8).reshape(-1, 6)
+    found = np.zeros((len(packed), 8), dtype=np.uint8)
+    found[:, 2:] = packed
     return found.reshape(-1).view("<u8")
 
 
@@ -226,9 +229,10 @@ def frequent_hashes(
             waiting.clear()
 
         for batch in batches:
-            for slot, once, often, counts in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                hashes = np.concatenate((_unpacked(once), _unpacked(often)))
-                n = np.concatenate((np.ones(len(once) // 6, dtype=np.int64), np.frombuffer(counts, "<i8")))
+            for slot, once, often, counts in zip(batch.column(0).to_pylist(), *[batch.column(i) for i in (1, 2, 3)]):
+                single, several = _unpacked(once), _unpacked(often)
+                hashes = np.concatenate((single, several))
+                n = np.concatenate((np.ones(len(single), dtype=np.int64), np.frombuffer(counts.as_buffer(), "<i8")))
                 waiting.setdefault(slot, []).append((hashes, n))
                 size += len(hashes)
                 if size > TASK_PHRASES:
