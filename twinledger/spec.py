@@ -36,8 +36,7 @@ class TableSpec:
     ``path`` may be any URI that Spark can open; it is handed on unchanged. ``col_specs`` are
     half-open ``(start, end)`` positions. ``fan_out`` is the number of partitions that lines of
     an unsplittable file (gzip, zip) are spread over; None means the session's parallelism.
-    ``max_record_bytes`` bounds a record whose quoted fields hold line ends; lines of a longer one are
-    judged alone.
+    ``max_record_bytes`` bounds a record whose quoted fields hold line ends; a longer one is a reject.
     """
 
     path: str
