@@ -14,14 +14,14 @@ its links are.
 4. Of the nodes in buckets that still hold several components, it is counted how many shingles of each any
    other of them has: no pair can share more than the smaller of its two counts, and what cannot reach
    the threshold so is left out. Texts with a passage in common and little else drop out here.
-5. The rest is compared with one node of each bucket again, another in each of STAR_ROUNDS rounds. In
-   buckets that hold several components even then, nodes outside the largest one are compared with all
-   nodes of other components. So every pair that shares a bucket is compared, ruled out or already
+5. The rest is compared with PIVOTS further nodes of each bucket. In buckets that hold several components
+   even then, nodes outside the largest one are compared with all nodes of other components, each pair in
+   the first bucket that both are in. So every pair that shares a bucket is compared, ruled out or already
    connected, while a bucket of near copies costs a few comparisons for each node.
 
-Pairs go on to the comparison if their sizes and a sketch of 128 bits allow the threshold (the sketch
-turns down a pair at the threshold with a chance below one in 10,000), and are then compared on the full
-sets. Everything stays in tables: nothing but counts reaches the driver.
+Pairs go on to the comparison if their sizes and a sketch of 128 bits allow the threshold, those of the last
+step also by one of 1024 bits (either turns down a pair at the threshold with a chance below one in 10,000),
+and are then compared on the full sets. Everything stays in tables: nothing but counts reaches the driver.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``, A-Z in lower case. With fewer than five words the whole
 sequence is one shingle; without words the set is empty and linked with nothing. Null texts are empty. A null doc_id
@@ -45,10 +45,14 @@ from twinledger.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 75
 KEYS, HASHES = 16, 4
-#: Rounds in which buckets with several components are compared with one node before pairs are.
-STAR_ROUNDS = 3
+#: Nodes of each bucket with several components that the others are compared with before pairs are.
+PIVOTS = 3
 #: Of 128 sketch bits, how many may differ: 16 are expected at 0.75, with a deviation of 3.7.
 SKETCH_BITS, SKETCH_DIFFERENCE = 128, 33
+#: The same for the nodes of the last step: 128 are expected, with a deviation of 10.6.
+LONG_BITS, LONG_DIFFERENCE = 1024, 170
+#: Values that are held at once while min-hashes are formed.
+HELD_HASHES = 2**21
 #: Nodes whose ids are broadcast when their texts are fetched; beyond it the texts are shuffled.
 BROADCAST_NODES = 2_000_000
 #: Words remembered by a worker: some 80 MB.
@@ -72,7 +76,7 @@ def _words() -> _Words:
     return _Words()
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _constants(n: int) -> np.ndarray:
     """n fixed odd 64-bit numbers."""
     values = [xxhash.xxh3_64_intdigest(f"minhash {i}") | 1 for i in range(n)]
@@ -103,12 +107,19 @@ def min_hashes(shingles: np.ndarray, n: int) -> np.ndarray:
     """n min-hashes of a set that is not empty."""
     factors = _constants(2 * SHINGLE + n)[2 * SHINGLE :, None]
     out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 16_384):
-        part = shingles[None, at : at + 16_384] ^ (factors >> np.uint64(7))
+    step = HELD_HASHES // n
+    for at in range(0, len(shingles), step):
+        part = shingles[None, at : at + step] ^ (factors >> np.uint64(7))
         out = np.minimum(out, (part * factors).min(axis=1))
     return out
 
 
+def _sketch(mins: np.ndarray) -> np.ndarray:
+    """A bit of each min-hash, 64 to a number."""
+    bits = ((_mixed(mins) >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
 def signature(text: str | None) -> tuple:
     shingles = shingle_set(text)
     digest = xxhash.xxh3_128_digest(shingles.tobytes())
@@ -119,8 +130,7 @@ def signature(text: str | None) -> tuple:
     grouped = _mixed(mins).reshape(2 * KEYS, HASHES)
     factors = _constants(HASHES)
     keys = _mixed((grouped * factors).sum(axis=1, dtype=np.uint64)).view(np.int64)
-    bits = ((_mixed(mins) >> np.uint64(40)) & np.uint64(1)).astype(np.uint8)
-    sketch_a, sketch_b = np.packbits(bits[:SKETCH_BITS]).view(np.int64)
+    sketch_a, sketch_b = _sketch(mins[:SKETCH_BITS])
     return len(shingles), set_a, set_b, keys[:KEYS], keys[KEYS:], sketch_a, sketch_b
 
 
@@ -149,6 +159,18 @@ def _full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.select("node", sets("text").alias("shingles"))
 
 
+def _long_sketches(sets: DataFrame) -> DataFrame:
+    """node, bits: a sketch of LONG_BITS of each set."""
+
+    @F.pandas_udf("array<long>")
+    def sketches(sets: pd.Series) -> pd.Series:
+        return pd.Series(
+            [_sketch(min_hashes(np.asarray(s, np.int64).view(np.uint64), LONG_BITS)) for s in sets], dtype=object
+        )
+
+    return sets.select("node", sketches("shingles").alias("bits"))
+
+
 def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v: those pairs whose full sets reach the threshold."""
     of_u = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
@@ -172,8 +194,8 @@ def _may_reach(n: str, m: str, sketches: tuple[str, str, str, str]):
     return sizes & (F.bit_count(a.bitwiseXOR(c)) + F.bit_count(b.bitwiseXOR(d)) <= SKETCH_DIFFERENCE)
 
 
-def _buckets(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """key, node, n, sketch_a, sketch_b: the places of nodes in those tables that others may share."""
+def _shared_keys(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """node, firsts, seconds: the keys of either collection that other nodes have too, for nodes with both."""
     keys = nodes.select(
         "node", F.posexplode(F.concat("keys_a", "keys_b")).alias("slot", "key")
     ).select("node", (F.col("slot") < KEYS).alias("first"), F.xxhash64("slot", "key").alias("key"))
@@ -184,11 +206,15 @@ def _buckets(spark: SparkSession, nodes: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("first"), F.col("key"))).alias("firsts"),
         F.collect_list(F.when(~F.col("first"), F.col("key"))).alias("seconds"),
     )
-    both = held.filter((F.size("firsts") > 0) & (F.size("seconds") > 0))
+    return written(spark, held.filter((F.size("firsts") > 0) & (F.size("seconds") > 0)))
+
+
+def _buckets(spark: SparkSession, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, node, n, sketch_a, sketch_b: the places of nodes in those tables that others may share."""
     attributes = nodes.select("node", F.col("n_shingles").alias("n"), "sketch_a", "sketch_b")
     return written(
         spark,
-        both.join(attributes, "node")
+        keys.join(attributes, "node")
         .withColumn("first", F.explode("firsts"))
         .withColumn("second", F.explode("seconds"))
         .select(F.xxhash64("first", "second").alias("key"), "node", "n", "sketch_a", "sketch_b"),
@@ -239,47 +265,77 @@ def _still_mixed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return written(spark, rows.drop("main").join(mixed, "key"))
 
 
-def _links_between(spark: SparkSession, docs: DataFrame, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+def _links_between(
+    spark: SparkSession, docs: DataFrame, keys: DataFrame, buckets: DataFrame, roots: DataFrame
+) -> DataFrame:
     """Links between components that share a bucket."""
     rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     found = _still_mixed(spark, rooted)
     sets = written(spark, _full_sets(docs, written(spark, found.select("node").distinct())))
     able = F.col("shared") * 100 >= F.col("n") * PERCENT
     found = found.join(written(spark, _shared_counts(spark, sets)), "node").filter(able)
-    open_, links = _still_mixed(spark, found), None
+    open_ = _still_mixed(spark, found)
     most = F.least("shared", "shared_u")
     enough = 100 * most >= PERCENT * (F.col("n") + F.col("m") - most)
     possible = (
         (F.col("root") != F.col("root_u")) & enough & _may_reach("n", "m", ("a", "b", "sketch_a", "sketch_b"))
     )
-    for turn in range(STAR_ROUNDS):
-        # One node of each bucket, another in each round, against the rest of it.
-        order = F.xxhash64("node", F.lit(turn))
-        centres = written(spark, open_.groupBy("key").agg(F.min_by("node", order).alias("u")))
-        known = written(spark, _of_nodes(open_).join(centres.select("u").distinct(), "u", "left_semi"))
-        near = open_.join(centres, "key").select("u", "node", "n", "sketch_a", "sketch_b", "root", "shared").distinct()
-        pairs = written(spark, near.join(known, "u").filter(possible).select("u", F.col("node").alias("v")))
-        new = _confirmed(spark, pairs, sets)
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        # Components grow by the new links, drawn between the roots.
-        root_of = open_.select("node", "root").distinct()
-        joined = (
-            new.join(root_of.select(F.col("node").alias("u"), F.col("root").alias("a")), "u")
-            .join(root_of.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
-            .select(F.col("a").alias("u"), F.col("b").alias("v"))
-        )
-        merged = connected_components(spark, joined).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
-        open_ = open_.join(merged, "root", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
-        open_ = _still_mixed(spark, open_)
-    left = _of_nodes(open_, "key", "main").filter("root_u != main").drop("main")
-    right = open_.withColumnRenamed("key", "key_").withColumnRenamed("main", "main_")
+    # A few nodes of each bucket against the rest of it.
+    pivots = [F.min_by("node", F.xxhash64("node", F.lit(turn))) for turn in range(PIVOTS)]
+    centres = written(spark, open_.groupBy("key").agg(F.array_distinct(F.array(*pivots)).alias("us")))
+    near = open_.join(centres, "key").select(
+        F.explode("us").alias("u"), "node", "n", "sketch_a", "sketch_b", "root", "shared"
+    )
+    pairs = near.distinct().join(_of_nodes(open_), "u").filter(possible)
+    links = _confirmed(spark, written(spark, pairs.select("u", F.col("node").alias("v")).distinct()), sets)
+    if not links.isEmpty():
+        open_ = _still_mixed(spark, open_.drop("root").join(_merged(spark, open_, links), "node"))
+    pairs = _remaining_pairs(spark, keys, open_, sets, possible)
+    return written(spark, links.union(_confirmed(spark, pairs, sets)))
+
+
+def _merged(spark: SparkSession, rows: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root: one row for each node of rows, its component grown by the links, drawn between the roots."""
+    root_of = written(spark, rows.select("node", "root").distinct())
+    joined = (
+        links.join(root_of.select(F.col("node").alias("u"), F.col("root").alias("a")), "u")
+        .join(root_of.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
+        .select(F.col("a").alias("u"), F.col("b").alias("v"))
+    )
+    merged = connected_components(spark, joined).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+    return written(
+        spark, root_of.join(merged, "root", "left").select("node", F.coalesce("new_root", "root").alias("root"))
+    )
+
+
+def _remaining_pairs(spark: SparkSession, keys: DataFrame, open_: DataFrame, sets: DataFrame, possible) -> DataFrame:
+    """u, v: nodes of different components that share a bucket and may reach the threshold, each pair once.
+
+    Two nodes of different components are both in every bucket that they share, since such buckets are mixed.
+    So a pair is made in the one of the smallest keys that both have. One node at least is outside the
+    bucket's main component.
+    """
+    nodes = written(spark, open_.select("node").distinct())
+    more = written(
+        spark, _long_sketches(sets.join(nodes, "node", "left_semi")).join(keys, "node")
+    )
+    of_u = more.select(
+        F.col("node").alias("u"), F.col("bits").alias("bits_u"), F.col("firsts").alias("firsts_u"),
+        F.col("seconds").alias("seconds_u"),
+    )
+    left = _of_nodes(open_, "key", "main").filter("root_u != main").drop("main").join(of_u, "u")
+    right = open_.join(more, "node").withColumnRenamed("key", "key_").withColumnRenamed("main", "main_")
     other = (F.col("root") == F.col("main_")) | (F.col("u") < F.col("node"))
-    met = left.join(right, (F.col("key") == F.col("key_")) & other & possible)
-    pairs = met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-    last = _confirmed(spark, written(spark, pairs), sets)
-    return last if links is None else written(spark, links.union(last))
+    differing = sum(
+        (F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_u", F.lit(i)))) for i in range(LONG_BITS // 64)),
+        F.lit(0),
+    )
+    smallest = F.xxhash64(
+        F.array_min(F.array_intersect("firsts", "firsts_u")), F.array_min(F.array_intersect("seconds", "seconds_u"))
+    )
+    once = (differing <= LONG_DIFFERENCE) & (smallest == F.col("key"))
+    met = left.join(right, (F.col("key") == F.col("key_")) & other & possible & once)
+    return written(spark, met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")))
 
 
 def _of_nodes(rows: DataFrame, *more: str) -> DataFrame:
@@ -310,10 +366,11 @@ def _components(spark: SparkSession, docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("class_id"), F.coalesce(F.min_by("_row", "doc_id"), F.min("_row")).alias("node")),
     )
     nodes = rows.withColumnRenamed("_row", "node").join(classes.select("node"), "node", "left_semi")
-    buckets = _buckets(spark, nodes)
+    keys = _shared_keys(spark, nodes)
+    buckets = _buckets(spark, nodes, keys)
     first = _links_to_smallest(spark, docs, buckets)
     roots = connected_components(spark, first)
-    second = _links_between(spark, docs, buckets, roots)
+    second = _links_between(spark, docs, keys, buckets, roots)
     if not second.isEmpty():
         roots = connected_components(spark, first.union(second))
     rooted = written(
