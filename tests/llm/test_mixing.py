@@ -82,6 +82,8 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark):
 
 def test_many_shards(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_WORDS", 5_000)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    monkeypatch.setattr(mixing, "MIN_BLOCKS", 16)
     monkeypatch.setattr(mixing, "BROADCAST_SHARDS", 0)
     check(corpus(2), tuples(mixing.mix_report(spark, docs(spark, corpus(2))), *COLUMNS))
 
@@ -108,3 +110,81 @@ def test_mixed_texts_hold_the_words_taken(spark, tmp_path):
     report = mixing.mix_report(spark, frame).collect()
     assert {r["doc_id"]: r["taken"] for r in report if r["taken"]} == dict(words)
     assert mixing.mix(spark, docs(spark, [], path=tmp_path / "e")).count() == 0
+
+
+def brute(spark, rows, block, min_blocks, shard_words):
+    """doc_id -> the places of its words that the mix takes, from lists of all words, blocks and seats."""
+    hashed = docs(spark, rows).selectExpr("doc_id", "xxhash64(0, doc_id, text) AS key").selectExpr(
+        "doc_id", "key", "xxhash64(key, 'shard') AS deal"
+    )
+    keys = {r["doc_id"]: (r["key"], r["deal"]) for r in hashed.collect()}
+    size_of, by_source, taken = {}, {}, Counter()
+    for i, text, source in rows:
+        size_of[i] = len(WORD.findall(text or ""))
+        by_source.setdefault(source, []).append(i)
+    sources = sorted(by_source)
+    sizes = [sum(size_of[i] for i in by_source[s]) for s in sources]
+    aims = mixing.targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(sources))], 3)
+    large = [n >= block * min_blocks for n in sizes]
+    shares = [aim if is_large else 0 for aim, is_large in zip(aims, large)]
+    seats = round(sum(shares) / block)
+    quotas = by_seat(shares, seats, [seats] * len(shares))
+    for place, source in enumerate(sources):
+        n_shards = -(-sizes[place] // shard_words) if large[place] else 1
+        shards = {}
+        for i in sorted(by_source[source], key=lambda i: (keys[i][0], i)):
+            words = shards.setdefault(keys[i][1] % n_shards, [])
+            words += [(i, k) for k in range(size_of[i])]
+        if not large[place]:
+            (words,) = shards.values()
+            start = place * 104_729 * block
+            for k in range(round(aims[place])):
+                at = k if k < round(aims[place]) // len(words) * len(words) else start + k
+                taken[words[at % len(words)]] += 1
+            continue
+        order = sorted(shards)
+        counts = [max(1, (len(shards[k]) + block // 2) // block) for k in order]
+        held = by_seat([len(shards[k]) for k in order], quotas[place], [3 * c for c in counts])
+        for shard, count, quota in zip(order, counts, held):
+            words = shards[shard]
+            phase = (place * 104_729 + shard * 1_299_709) % count
+            blocks = [words[j * block : (j + 1) * block if j < count - 1 else None] for j in range(count)]
+            for j, members in enumerate(blocks):
+                once = (j + 1) * (quota % count) + phase
+                more = once // count - (once - quota % count) // count
+                for w in members:
+                    taken[w] += quota // count + more
+    return {w: n for w, n in taken.items() if n}
+
+
+@pytest.mark.parametrize(("block", "min_blocks", "shard_words"), [(8, 8, 400), (16, 40, 10_000), (512, 256, 250_000)])
+def test_blocks_against_brute_force(spark, monkeypatch, tmp_path, block, min_blocks, shard_words):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", block)
+    monkeypatch.setattr(mixing, "MIN_BLOCKS", min_blocks)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", shard_words)
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        n = rng.choice([0, 1, 3, 11, 40])
+        rows.append((i, " ".join(f"d{i}w{k}" for k in range(n)), rng.choice(["a", "b", "b", "c", "c", "c", "d"])))
+    rows += [(1_000, "d1000w0 d1000w1 d1000w2", "tiny"), (1_001, " ".join(f"d1001w{k}" for k in range(70)), "less")]
+    frame = docs(spark, rows, path=tmp_path / "d")
+    found = Counter()
+    for r in mixing.mix(spark, frame).collect():
+        found.update((r["doc_id"], int(w.split("w")[1])) for w in r["text"].split())
+    wanted = brute(spark, rows, block, min_blocks, shard_words)
+    assert dict(found) == wanted
+    report = {r["doc_id"]: r["taken"] for r in mixing.mix_report(spark, frame).collect()}
+    assert report == {i: sum(n for (j, _), n in wanted.items() if j == i) for i, _, _ in rows}
+
+
+def test_a_tiny_source_leaves_the_blocks_of_others_whole(spark, tmp_path):
+    """Words come in whole blocks, but for a document's or a shard's ends, whatever the smallest source."""
+    rows = [(i, " ".join(f"{k}" for k in range(2_000)), "ab"[i % 2]) for i in range(400)]
+    rows.append((900, "0 1 2", "tiny"))
+    runs = []
+    for r in mixing.mix(spark, docs(spark, rows, path=tmp_path / "d")).collect():
+        words = [int(w) for w in r["text"].split()]
+        cuts = [0, *(k for k in range(1, len(words)) if words[k] != words[k - 1] + 1), len(words)]
+        runs += [(words[a], z - a) for a, z in zip(cuts, cuts[1:]) if r["doc_id"] < 900]
+    inner = [n for first, n in runs if first and first + n < 2_000]
+    assert inner and all(n % mixing.BLOCK_WORDS == 0 for n in inner)

@@ -7,6 +7,10 @@ each block q // n times, and q % n of them, spread evenly from a seeded start, o
 a shard in seeded hash order, so the words that a document gives follow from its place alone, in one step
 and without listing blocks.
 
+Blocks have BLOCK_WORDS words whatever the sources. For a source of under MIN_BLOCKS blocks, whole blocks
+would miss the target by too much: it is one shard, gets its target in words, and what is left after whole
+copies is one run of words from a seeded start on, round the end: blocks in a row, the last one shorter.
+
 Shards hold some 250,000 words, more only in sources of over four billion, so a source of any size is dealt out to many tasks; only sums by
 source and by shard (at most ``MAX_SHARDS`` for each source) reach the driver, which needs the list of
 sources anyway, since weights belong to them.
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from twinledger.llm.common import WORD, columns_of, numbered, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Words in a block; less where the smallest source would have under MIN_BLOCKS of them.
+#: Words in a block, and the blocks below which a source gives a run of words instead.
 BLOCK_WORDS, MIN_BLOCKS = 512, 256
 SHARD_WORDS, MAX_SHARDS = 250_000, 16_384
 #: The plan of so many shards is broadcast: 80 bytes each.
@@ -98,7 +102,7 @@ def plan(
     """How much of each row is taken. row: the number of each row, if docs has one.
 
     _row, doc_id, size, source_size, target, taken, and the place of the document's words in its shard:
-    start, block, blocks, base, more, phase (see ``_taken_once_more``).
+    start, block, blocks, base, more, phase, run (see ``_once_more``).
     """
     sized = written(
         spark,
@@ -114,12 +118,13 @@ def plan(
     sources = sorted((s for s in sums if s is not None)) + [s for s in sums if s is None]
     sizes = [sums[s] for s in sources]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(sources))], max_repeats)
-    block = max(1, min([BLOCK_WORDS] + [n // MIN_BLOCKS for n in sizes if n]))
-    quotas = apportion(aims, round(sum(aims) / block))
+    small = [n < MIN_BLOCKS * BLOCK_WORDS for n in sizes]
+    shared = [0.0 if is_small else aim for aim, is_small in zip(aims, small)]
+    quotas = apportion(shared, round(sum(shared) / BLOCK_WORDS))
     by_source = _plan_table(
         spark,
         [
-            (source, i, n, float(aim), max(1, min(MAX_SHARDS, math.ceil(n / SHARD_WORDS))))
+            (source, i, n, float(aim), 1 if small[i] else max(1, min(MAX_SHARDS, math.ceil(n / SHARD_WORDS))))
             for i, (source, n, aim) in enumerate(zip(sources, sizes, aims))
         ],
         "_source string, place int, source_size long, target double, shards int",
@@ -135,67 +140,99 @@ def plan(
         by_place.setdefault(r["place"], []).append((r["shard"], r["n"]))
     rows = []
     for place, shards in by_place.items():
-        counts = [max(1, (n + block // 2) // block) for _, n in shards]
+        if small[place]:
+            ((shard, n),) = shards
+            rows.append((place, shard, 1, *_run(round(aims[place]), n, seed * 7919 + place * 104_729), True))
+            continue
+        counts = [max(1, (n + BLOCK_WORDS // 2) // BLOCK_WORDS) for _, n in shards]
         held = apportion([n for _, n in shards], quotas[place], [max_repeats * c for c in counts])
         for (shard, _), count, quota in zip(shards, counts, held):
             phase = (seed * 7919 + place * 104_729 + shard * 1_299_709) % count
-            rows.append((place, shard, count, quota // count, quota % count, phase))
+            rows.append((place, shard, BLOCK_WORDS, count, quota // count, quota % count, phase, False))
     by_shard = _plan_table(
-        spark, rows, "place int, shard int, blocks long, base long, more long, phase long"
+        spark,
+        rows,
+        "place int, shard int, block long, blocks long, base long, more long, phase long, run boolean",
     )
     order = Window.partitionBy("place", "shard").orderBy("key", "doc_id", "size", "_row")
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     placed = dealt.withColumn("start", end - F.col("size")).join(by_shard, ["place", "shard"])
     return (
-        placed.withColumn("block", F.lit(block).cast("long"))
-        .withColumn("extra", _once_more(F.col("start") + F.col("size")) - _once_more(F.col("start")))
+        placed.withColumn("extra", _once_more(F.col("start") + F.col("size")) - _once_more(F.col("start")))
         .withColumn("taken", F.col("base") * F.col("size") + F.col("extra"))
         .drop("key", "source", "place", "shard")
     )
 
 
+def _run(quota: int, n: int, start: int) -> tuple[int, int, int, int]:
+    """blocks, base, more and phase of a source that gives a run: its blocks are its words."""
+    return (n, quota // n, quota % n, start * BLOCK_WORDS % n) if n else (1, 0, 0, 0)
+
+
 def _once_more(words):
-    """Of a shard's first ``words`` words, how many are in blocks taken once more.
+    """Of a shard's first ``words`` words, how many are taken once more.
 
-    Block j is such a block when (j * more + phase) // blocks steps up from j to j + 1. The last block
+    In a run these are ``more`` words from place ``phase`` on, round the shard's end. Else block j is taken when (j * more + phase) // blocks steps up from j to j + 1. The last block
     also holds what is left of the shard, less than half a block more, or is as much shorter.
     """
     def steps(j):
         return F.floor((j * F.col("more") + F.col("phase")) / F.col("blocks"))
 
     j = F.least(F.floor(words / F.col("block")), F.col("blocks") - 1)
-    return steps(j) * F.col("block") + (words - j * F.col("block")) * (steps(j + 1) - steps(j))
-
-
-def _extra_text(text, start, size, block, blocks, more, phase):
-    """Column: the words of the blocks that are taken once more, each run of words as it stands."""
+    in_blocks = steps(j) * F.col("block") + (words - j * F.col("block")) * (steps(j + 1) - steps(j))
+    end = F.col("phase") + F.col("more")
+    none = F.lit(0).cast("long")
+    in_run = F.greatest(none, F.least(words, end) - F.col("phase")) + F.greatest(
+        none, F.least(words, end - F.col("blocks"))
+    )
+    return F.when(F.col("run"), in_run).otherwise(in_blocks)
+
+
+def taken_once_more(
+    start: int, size: int, block: int, blocks: int, more: int, phase: int, run: bool
+) -> list[tuple[int, int]]:
+    """Which words of a document (from, to) are taken once more, as few runs as there are."""
+    found = []
+    if run:
+        whole = [(0, phase + more - blocks), (phase, min(blocks, phase + more))]
+    else:
+        first, last = (min(at // block, blocks - 1) for at in (start, start + size - 1))
+        steps = [(j * more + phase) // blocks for j in range(first, last + 2)]
+        whole = [
+            (j * block, (j + 1) * block if j < blocks - 1 else start + size)
+            for j, here, there in zip(range(first, last + 1), steps, steps[1:])
+            if there > here
+        ]
+    for a, z in whole:
+        a, z = max(a, start) - start, min(z, start + size) - start
+        if a < z and found and found[-1][1] == a:
+            found[-1] = (found[-1][0], z)
+        elif a < z:
+            found.append((a, z))
+    return found
+
+
+_PLACE = ("start", "size", "block", "blocks", "more", "phase", "run")
+
+
+def _extra_text(text: Column, place: Column) -> Column:
+    """The words of a text that are taken once more, each run of words as it stands."""
     import re
 
     word = re.compile(WORD)
 
     @F.pandas_udf("string")
-    def cut(
-        text: pd.Series, start: pd.Series, size: pd.Series, block: pd.Series, blocks: pd.Series,
-        more: pd.Series, phase: pd.Series,
-    ) -> pd.Series:
+    def cut(text: pd.Series, place: pd.DataFrame) -> pd.Series:
         out = []
-        for t, s, n, b, count, extra, u in zip(text, start, size, block, blocks, more, phase):
+        for t, *where in zip(text, *(place[name] for name in _PLACE)):
             if t is None:
                 out.append(None)
                 continue
-            places, runs = [m.span() for m in word.finditer(t)], []
-            for j in range(min(s // b, count - 1), min((s + n - 1) // b, count - 1) + 1):
-                if ((j + 1) * extra + u) // count > (j * extra + u) // count:
-                    first = max(s, j * b) - s
-                    last = n if j == count - 1 else min(s + n, (j + 1) * b) - s
-                    if runs and runs[-1][1] == first:
-                        runs[-1][1] = last
-                    else:
-                        runs.append([first, last])
-            out.append("\n".join(t[places[a][0] : places[z - 1][1]] for a, z in runs))
+            words = [m.span() for m in word.finditer(t)]
+            out.append("\n".join(t[words[a][0] : words[z - 1][1]] for a, z in taken_once_more(*where)))
         return pd.Series(out, dtype=object)
 
-    return cut(text, start, size, block, blocks, more, phase)
+    return cut(text, place)
 
 
 def mix_report(
@@ -216,16 +253,12 @@ def mix(
     stored = numbered(spark, docs, "_llm_row")
     places = plan(spark, stored, weights, max_repeats, seed, F.col("_llm_row")).filter("taken > 0").select(
         F.col("_row").alias("_llm_row"),
-        F.struct("size", "start", "block", "blocks", "base", "more", "phase", "extra").alias("_llm_mix"),
+        F.struct(*_PLACE, "base", "extra").alias("_llm_mix"),
     )
     rows = stored.join(places, "_llm_row")
     m = F.col("_llm_mix")
     part = m["extra"].between(1, m["size"] - 1)
-    cut = _extra_text(
-        F.when(part, F.col("text")),
-        *(F.when(part, m[name]).otherwise(0 if name in ("start", "more", "phase") else 1)
-          for name in ("start", "size", "block", "blocks", "more", "phase")),
-    )
+    cut = _extra_text(F.when(part, F.col("text")), F.struct(*(m[name].alias(name) for name in _PLACE)))
     last = F.when(part, cut).when(m["extra"] > 0, F.col("text"))
     texts = F.concat(F.array_repeat("text", m["base"].cast("int")), F.when(last.isNull(), F.array().cast("array<string>")).otherwise(F.array(last)))
     rows = rows.withColumn("_llm_text", F.explode(texts))
