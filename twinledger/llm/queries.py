@@ -24,7 +24,7 @@ from twinledger.llm.common import load
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.context_table(token_counts.length_histogram(load(spark, sf_dir, "documents")))
+    return token_counts.context_report(spark, load(spark, sf_dir, "documents"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

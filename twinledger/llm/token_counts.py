@@ -15,10 +15,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinledger.llm import tokens
+from twinledger.llm.common import written
 
 #: Lengths summed by one task when suffix sums are formed.
 LENGTHS_PER_GROUP = 4096
@@ -43,6 +44,11 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
     )
 
 
+def context_report(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``context_table`` of docs. The histogram is stored first, since two steps read it and texts are encoded once."""
+    return context_table(written(spark, length_histogram(docs, tokenizer)))
+
+
 def context_table(histogram: DataFrame) -> DataFrame:
     """For every length as a context limit: what fits, what does not, and what truncation leaves.
 
