@@ -36,6 +36,18 @@ NASTY = [
 ]
 
 
+def test_rows_become_a_log_of_every_kind_of_event(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "abc😀ef"), (1, 1, "assistant", "xy"), (1, 2, "user", None)], SCHEMA)
+    log = chat.conversation_events(frame)
+    first = [(r["seq"], r["kind"], r["text"]) for r in log.filter("message.turn = 0").orderBy("seq").collect()]
+    assert first == [
+        (0, chat.DELTA, "abc"), (1, chat.REGENERATE, "ab"), (2, chat.DELTA, "c😀"), (3, chat.EDIT, "abc😀"), (4, chat.DELTA, "ef"),
+    ]
+    assert log.count() == 15
+    folded = chat.fold_events(log.repartition(5, F.rand(3)))
+    assert sorted(r["text"] for r in folded.collect()) == ["", "abc😀ef", "xy"]
+
+
 def test_nasty_texts_come_back(spark):
     rows = [(1, i, ("user", "assistant", "system", None, "assis\ntant</s>")[i % 5], t) for i, t in enumerate(NASTY * 2)]
     parsed = chat.parse(formatted(spark, rows))

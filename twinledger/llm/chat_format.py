@@ -124,19 +124,43 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Whole rows as events: one delta each. Rows of one turn stay apart."""
+    """The log that writes these rows as a client that streams would. Rows of one turn stay apart.
+
+    Each message begins as a draft of its first half. It is regenerated with its first third, a delta streams the
+    second, an edit then gives both again, and a last delta the rest; so each kind of event counts, and the
+    draft and what came before the edit must go.
+    """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     row = F.monotonically_increasing_id()
-    return conversations.select(
+    size = F.char_length("text")
+    third = F.floor(size / 3).cast("int")
+
+    def event(seq: int, kind: str, begin: Column, end: Column) -> Column:
+        return F.struct(
+            F.lit(seq).cast("long").alias("seq"),
+            F.lit(kind).alias("kind"),
+            F.substring(F.col("text"), begin + 1, end - begin).alias("text"),
+        )
+
+    none = F.lit(0)
+    log = F.array(
+        event(4, DELTA, 2 * third, size),
+        event(3, EDIT, none, 2 * third),
+        event(2, DELTA, third, 2 * third),
+        event(1, REGENERATE, none, third),
+        event(0, DELTA, none, F.floor(size / 2).cast("int")),
+    )
+    messages = conversations.select(
         "conv_id",
         F.struct(
             F.col("turn"), role.alias("role"), F.sha2(text, 256).alias("digest"), row.alias("row")
         ).alias("message"),
-        F.lit(0).cast("long").alias("seq"),
-        F.lit(DELTA).alias("kind"),
         role.alias("role"),
         text.alias("text"),
     )
+    return messages.select("conv_id", "message", "role", F.inline(log)).select(
+        "conv_id", "message", "seq", "kind", "role", "text"
+    )
 
 
 def digests(parsed: DataFrame) -> DataFrame:
