@@ -5,7 +5,7 @@ one list per dimension, sorted by value. For a query, lists are read from the en
 deeper and deeper. What has been read of a candidate gives bounds of its score: for dimensions not yet
 reached, at most the value at which reading stands, at least the smallest value of the list. Reading
 stops when nothing unseen can reach the k-th best lower bound; candidates whose upper bound still
-reaches it have their scores resolved. The best k of each shard then meet, and the best of these are the
+reaches it have their scores resolved, which is the first time that whole vectors are read. The best k of each shard then meet, and the best of these are the
 answer, with nothing left out.
 
 Components are floor(1024 * x), x as double, and scores are integers. A vector that is null, or
@@ -86,15 +86,9 @@ class SortedLists:
             everyone = np.concatenate([self.order[d, p] for d, p in zip(used, self._parts(used, rising, 0, stop))])
             upper = frontier.sum() + seen_sum - np.bincount(everyone, np.repeat(frontier, stop), n)
             lower = least.sum() + seen_sum - seen_least
-            # The candidates that look best have their scores resolved, for a bound that holds.
-            front = np.argpartition(-seen_sum, 3 * k)[: 3 * k]
-            front = front[self.ids[front] != own_id]
-            resolved = np.sort(self._scores(query, front))[::-1]
-            if len(resolved) >= k:
-                bound = max(bound, float(resolved[k - 1]))
-            lower_known = lower[self.ids != own_id]
-            if len(lower_known) >= k:
-                bound = max(bound, float(np.partition(lower_known, -k)[-k]))
+            known = lower[self.ids != own_id]
+            if len(known) >= k:
+                bound = max(bound, float(np.partition(known, -k)[-k]))
             alive = np.flatnonzero(upper >= bound - slack)
             if frontier.sum() < bound - slack and len(alive) <= n * FEW:
                 break
