@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -5,6 +6,7 @@ import pytest
 from helpers import CLASHING, ODD, docs, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from twinledger.llm import toxicity as tox
 
@@ -28,6 +30,42 @@ def test_automaton_finds_what_one_edit_gives(terms, word):
     assert found == min(near, default=None)
 
 
+def plain_exact(terms, below, word):
+    """The longest term that the word is or begins with, a whole word below one standing for it."""
+    fits = [(len(t), n) for n, (t, open_, _) in enumerate(terms) if word == t or open_ and word.startswith(t)]
+    return max(fits)[1] if fits else None
+
+
+def plain_misspelled(terms, below, word):
+    whole = [(t, n) for n, (t, open_, _) in enumerate(terms) if not open_] + [(b, plain_exact(terms, (), b)) for b in below]
+    begun = [(t, n) for n, (t, open_, _) in enumerate(terms) if open_]
+    found = []
+    if len(word) >= 4:
+        found += [n for t, n in whole if len(t) >= 5 and distance(t, word) <= 1]
+        found += [n for t, n in begun if len(t) >= 5 and any(distance(t, word[:i]) <= 1 for i in range(len(word) + 1))]
+    for at in range(len(word) - 1 if len(word) >= 5 else 0):
+        turned = word[:at] + word[at + 1] + word[at] + word[at + 2 :]
+        n = plain_exact(terms, below, turned)
+        if n is not None and (turned in below or len(terms[n][0]) >= 5):
+            found.append(n)
+    return min(found, default=None)
+
+
+@settings(max_examples=400, deadline=None)
+@given(
+    st.dictionaries(st.text("abc", min_size=3, max_size=7), st.booleans(), min_size=1, max_size=5),
+    st.lists(st.text("abc", min_size=2, max_size=9), max_size=6),
+    st.text("abcd", max_size=10),
+)
+def test_misspellings_against_every_edit(marked, words, word):
+    """What is not run through the automaton is no misspelling of anything."""
+    terms = [(t, open_, 1.0) for t, open_ in marked.items()]
+    below = {w for w in words if len(w) >= 5 and w not in marked and plain_exact(terms, (), w) is not None}
+    lexicon = tox.Lexicon(terms, tuple(sorted(below)))
+    assert lexicon.exact(word) == plain_exact(terms, below, word)
+    assert lexicon.misspelled(word) == plain_misspelled(terms, below, word)
+
+
 def test_open_terms_match_their_continuations():
     lexicon = tox.Lexicon([("lowe", True, 1.0), ("lowest", False, 1.0), ("idiot", False, 1.0)])
     assert [lexicon.exact(w) for w in ("low", "lowe", "lowering", "lowest", "idiot", "idiots")] == [None, 0, 0, 1, 2, None]
@@ -86,6 +124,46 @@ def test_held_out_rows_are_told_apart(spark):
     assert sum(r["predicted"] == (r["doc_id"] % 8 == 0) for r in held) >= 0.99 * len(held)
 
 
+def plain_score(model, text):
+    """The score by the definitions: every word against every term, quotation marks counted line by line."""
+    total, by_term, n_words = 0.0, {}, 0
+    before = []
+    for line in (text or "").lower().split("\n"):
+        for m in tox._WORD.finditer(line):
+            word, n_words = m.group(), n_words + 1
+            number = plain_exact(model.terms, model.below, word)
+            counts = 1.0
+            if number is None and word not in model.known:
+                number, counts = plain_misspelled(model.terms, model.below, word), tox.MISSPELLED
+            if number is not None:
+                left, right = (sum(c in "\"“”„«»" for c in part) for part in (line[: m.start()], line[m.end() :]))
+                if left % 2 and right or any(w in tox.REPORTING for w in before[-tox.WINDOW :]):
+                    counts *= tox.QUOTED
+                total += counts
+                by_term[number] = max(by_term.get(number, 0.0), counts)
+            before.append(word)
+    x = [0.0] * 4
+    if by_term:
+        heaviest = max(model.terms[n][2] * c for n, c in by_term.items())
+        x = [math.log1p(total), heaviest, math.sqrt(total / n_words), math.log1p(sum(by_term.values()))]
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, model.bias + sum(w * v for w, v in zip(model.weights, x))))))
+
+
+def test_scores_against_brute_force(spark):
+    rows, labels = corpus(600)
+    labels = spark.createDataFrame(labels, LABELS)
+    rows += [
+        (10_001, 'he said "idiot"\nidoit and scumbga, "zaku7x'), (10_002, "scumbag idi0t zakku9x idiott"),
+        (10_003, "„Idiot“ schrieb er\nzzaku"), *ODD,
+    ]
+    frame = docs(spark, rows)
+    model = tox.fit(spark, frame, labels)
+    found = sorted((repr(r["text"]), r["score"]) for r in frame.select("text", tox.toxicity_score(model, F.col("text")).alias("score")).collect())
+    expected = sorted((repr(text), plain_score(model, text)) for _, text in rows)
+    assert [t for t, _ in found] == [t for t, _ in expected]
+    assert [s for _, s in found] == pytest.approx([s for _, s in expected])
+
+
 def test_held_out_labels_do_not_matter(spark):
     rows, labels = corpus(600)
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t, x) for i, q, t, x in labels]

@@ -6,7 +6,8 @@ share it; so inflected terms are found as well. A logistic regression over a few
 gives the score.
 
 Finding. The lexicon is a trie. Each word is run through it with a Levenshtein automaton for one edit, kept as
-bits, which leaves a branch as soon as no spelling below it can be near enough. A word one edit from a whole
+bits, which leaves a branch as soon as no spelling below it can be near enough; words that share neither the first
+two letters nor the next three with a term cannot be near any and are not run. A word one edit from a whole
 term, or one whose beginning is one edit from a beginning, is a misspelling of it, unless clean texts of the fit
 hold that word. Two neighbouring letters in the wrong order count as one edit. Frequent whole words that a
 beginning matches stay in the trie for their misspellings, which count as the beginning's.
@@ -76,6 +77,9 @@ class Lexicon:
             self._add(term, number, open_)
         for word, number in [(word, self.exact(word)) for word in below]:
             self._add(word, number, False)
+        long = [t for t in (*(term for term, _, _ in self.terms), *below) if len(t) >= FUZZY_LENGTH]
+        self.heads, self.tails = {t[:2] for t in long}, {t[2:5] for t in long}
+        self.turned = {t[0] + t[2] + t[1] for t in long}
 
     def _add(self, term: str, number: int, open_: bool) -> None:
         node = self.root
@@ -129,8 +133,24 @@ class Lexicon:
         found = [(w, n) for w in words if (n := self.exact(w)) is not None]
         return min((n for w, n in found if w in self.below or len(self.terms[n][0]) >= FUZZY_LENGTH), default=None)
 
+    def possible(self, word: str) -> bool:
+        """Whether the word can be a misspelling.
+
+        An edit beyond a term's first two letters leaves these in place. One within them leaves the next three, at
+        most one place further on or back. The swap of the second and the third letter shows in the first three.
+        """
+        return (
+            word[:2] in self.heads
+            or word[2:5] in self.tails
+            or word[1:4] in self.tails
+            or word[3:6] in self.tails
+            or word[:3] in self.turned
+        )
+
     def misspelled(self, word: str) -> int | None:
         """The term that the word, none itself, is a misspelling of."""
+        if not self.possible(word):
+            return None
         return min((n for n in (self.near(word), self.swapped(word)) if n is not None), default=None)
 
 
@@ -214,8 +234,8 @@ def held_out(doc_id: Column) -> Column:
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
     """(text, toxic) rows for the fit; share of each class's labels that was drawn.
 
-    Copies and most near copies count once: of rows with the same min-hash of three-word shingles and the
-    same label, one is kept. Else the words of a text that was copied often would look like terms.
+    Copies and nearly all near copies count once: of rows with the same label and either of two min-hashes of
+    three-word shingles the same, one is kept. Else the words of a text that was copied often would look like terms.
     """
     marked = (
         labels.filter("toxic is not null")
@@ -229,22 +249,50 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, fl
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000))
     limit = F.when(F.col("toxic") == 1, shares.get(1, 1.0)).otherwise(shares.get(0, 1.0)) * 1_000_000
 
-    @F.pandas_udf("long")
-    def mark(texts: pd.Series) -> pd.Series:
-        return pd.Series([_first_shingle(t) for t in texts], dtype="int64")
+    @F.pandas_udf("first long, second long")
+    def mark(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_marks(t) for t in texts], columns=["first", "second"], dtype="int64")
 
     texts = docs.select("doc_id", "text")
     # Both sides that are broadcast hold some FIT_ROWS ids of each class.
     drawn = texts.join(F.broadcast(marked.filter(draw < limit)), "doc_id")
-    one = drawn.select("doc_id", "toxic", mark("text").alias("mark")).groupBy("mark", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    marked_rows = drawn.select("toxic", "doc_id", mark("text").alias("mark")).select("toxic", "doc_id", "mark.*")
+    one = marked_rows.groupBy("first", "toxic").agg(F.min(F.struct("doc_id", "second")).alias("kept")).select("toxic", "kept.*")
+    one = one.groupBy("second", "toxic").agg(F.min("doc_id").alias("doc_id"))
     return texts.join(F.broadcast(one.select("doc_id", "toxic")), "doc_id").select("text", "toxic"), shares
 
 
-def _first_shingle(text: str | None) -> int:
-    """The smallest hash of three words in a row, as a signed number."""
+class _Hashes(dict):
+    """Word -> 64-bit hash, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < KEPT_WORDS:
+            self[word] = value
+        return value
+
+
+@lru_cache(maxsize=1)
+def _hashes() -> _Hashes:
+    return _Hashes()
+
+
+def _marks(text: str | None) -> tuple[int, int]:
+    """Two min-hashes of three words in a row (of all words, if fewer), as signed numbers."""
     words = words_of(text)
-    shingles = (" ".join(words[at : at + 3]) for at in range(max(1, len(words) - 2)))
-    return min(map(xxhash.xxh3_64_intdigest, shingles)) - 2**63
+    hashes = np.fromiter(map(_hashes().__getitem__, words), np.uint64, len(words))
+    width = min(3, len(words))
+    total = np.full(max(1, len(words) - 2), width, np.uint64)
+    for at in range(width):
+        total = _spread(total ^ hashes[at : at + len(total)])
+    first, second = total.min(), _spread(~total).min()
+    return int(first) - 2**63, int(second) - 2**63
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(32))
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
