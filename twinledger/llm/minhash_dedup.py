@@ -209,18 +209,24 @@ def _shared_keys(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     return written(spark, held.filter((F.size("firsts") > 0) & (F.size("seconds") > 0)))
 
 
-def _buckets(spark: SparkSession, nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, node, n, sketch_a, sketch_b: the places of nodes in those tables that others may share."""
+def _held_keys(spark: SparkSession, nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """node, n, sketch_a, sketch_b, firsts, seconds: one row for each node that may share a table's key."""
     attributes = nodes.select("node", F.col("n_shingles").alias("n"), "sketch_a", "sketch_b")
+    return written(spark, attributes.join(keys, "node"))
+
+
+def _buckets(spark: SparkSession, held: DataFrame) -> DataFrame:
+    """key, node, n, sketch_a, sketch_b: the places of nodes in those tables that others may share."""
     return written(
-        spark,
-        keys.join(attributes, "node")
-        .withColumn("first", F.explode("firsts"))
-        .withColumn("second", F.explode("seconds"))
-        .select(F.xxhash64("first", "second").alias("key"), "node", "n", "sketch_a", "sketch_b"),
+        spark, held.select(F.explode(_table_keys()).alias("key"), "node", "n", "sketch_a", "sketch_b")
     )
 
 
+def _table_keys():
+    """The keys of all tables: pairs of a key of either collection."""
+    return F.flatten(F.transform("firsts", lambda a: F.transform("seconds", lambda b: F.xxhash64(a, b))))
+
+
 def _links_to_smallest(spark: SparkSession, docs: DataFrame, buckets: DataFrame) -> DataFrame:
     centres = written(
         spark,
@@ -252,9 +258,14 @@ def _shared_counts(spark: SparkSession, sets: DataFrame) -> DataFrame:
     return places.join(common, "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def _still_mixed(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """Those of rows (key, node, root, ...) whose key holds several roots, with the most frequent as main."""
-    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_nodes"))
+def _still_mixed(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """Those nodes of which a bucket holds several roots, one row each.
+
+    ``keys`` are cut to such buckets; ``open`` holds them with their most frequent roots as main. Only
+    (node, root, key) goes through the buckets, all else stays with the node.
+    """
+    places = nodes.select("node", "root", F.explode("keys").alias("key"))
+    counts = places.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_nodes"))
     mixed = written(
         spark,
         counts.groupBy("key")
@@ -262,41 +273,38 @@ def _still_mixed(spark: SparkSession, rows: DataFrame) -> DataFrame:
         .filter("parts > 1")
         .select("key", "main"),
     )
-    return written(spark, rows.drop("main").join(mixed, "key"))
+    kept = places.join(mixed, "key").groupBy("node").agg(F.collect_list(F.struct("key", "main")).alias("open"))
+    return written(spark, nodes.drop("open", "keys").join(kept, "node").withColumn("keys", F.col("open.key")))
 
 
-def _links_between(
-    spark: SparkSession, docs: DataFrame, keys: DataFrame, buckets: DataFrame, roots: DataFrame
-) -> DataFrame:
+def _links_between(spark: SparkSession, docs: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame:
     """Links between components that share a bucket."""
-    rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    found = _still_mixed(spark, rooted)
-    sets = written(spark, _full_sets(docs, written(spark, found.select("node").distinct())))
+    rooted = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = _still_mixed(spark, rooted.withColumn("keys", _table_keys()))
+    sets = written(spark, _full_sets(docs, written(spark, found.select("node"))))
     able = F.col("shared") * 100 >= F.col("n") * PERCENT
-    found = found.join(written(spark, _shared_counts(spark, sets)), "node").filter(able)
-    open_ = _still_mixed(spark, found)
+    open_ = _still_mixed(spark, found.join(written(spark, _shared_counts(spark, sets)), "node").filter(able))
     most = F.least("shared", "shared_u")
     enough = 100 * most >= PERCENT * (F.col("n") + F.col("m") - most)
     possible = (
         (F.col("root") != F.col("root_u")) & enough & _may_reach("n", "m", ("a", "b", "sketch_a", "sketch_b"))
     )
     # A few nodes of each bucket against the rest of it.
+    places = open_.select("node", F.explode("keys").alias("key"))
     pivots = [F.min_by("node", F.xxhash64("node", F.lit(turn))) for turn in range(PIVOTS)]
-    centres = written(spark, open_.groupBy("key").agg(F.array_distinct(F.array(*pivots)).alias("us")))
-    near = open_.join(centres, "key").select(
-        F.explode("us").alias("u"), "node", "n", "sketch_a", "sketch_b", "root", "shared"
-    )
-    pairs = near.distinct().join(_of_nodes(open_), "u").filter(possible)
-    links = _confirmed(spark, written(spark, pairs.select("u", F.col("node").alias("v")).distinct()), sets)
+    centres = written(spark, places.groupBy("key").agg(F.array_distinct(F.array(*pivots)).alias("us")))
+    near = written(spark, places.join(centres, "key").select("node", F.explode("us").alias("u")).distinct())
+    pairs = near.join(open_.drop("keys", "open", "firsts", "seconds"), "node").join(_of_nodes(open_), "u").filter(possible)
+    links = _confirmed(spark, written(spark, pairs.select("u", F.col("node").alias("v"))), sets)
     if not links.isEmpty():
         open_ = _still_mixed(spark, open_.drop("root").join(_merged(spark, open_, links), "node"))
-    pairs = _remaining_pairs(spark, keys, open_, sets, possible)
+    pairs = _remaining_pairs(spark, open_, sets, possible)
     return written(spark, links.union(_confirmed(spark, pairs, sets)))
 
 
 def _merged(spark: SparkSession, rows: DataFrame, links: DataFrame) -> DataFrame:
     """node, root: one row for each node of rows, its component grown by the links, drawn between the roots."""
-    root_of = written(spark, rows.select("node", "root").distinct())
+    root_of = written(spark, rows.select("node", "root"))
     joined = (
         links.join(root_of.select(F.col("node").alias("u"), F.col("root").alias("a")), "u")
         .join(root_of.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
@@ -308,24 +316,21 @@ def _merged(spark: SparkSession, rows: DataFrame, links: DataFrame) -> DataFrame
     )
 
 
-def _remaining_pairs(spark: SparkSession, keys: DataFrame, open_: DataFrame, sets: DataFrame, possible) -> DataFrame:
+def _remaining_pairs(spark: SparkSession, open_: DataFrame, sets: DataFrame, possible) -> DataFrame:
     """u, v: nodes of different components that share a bucket and may reach the threshold, each pair once.
 
     Two nodes of different components are both in every bucket that they share, since such buckets are mixed.
     So a pair is made in the one of the smallest keys that both have. One node at least is outside the
     bucket's main component.
     """
-    nodes = written(spark, open_.select("node").distinct())
-    more = written(
-        spark, _long_sketches(sets.join(nodes, "node", "left_semi")).join(keys, "node")
+    sketches = _long_sketches(sets.join(open_.select("node"), "node", "left_semi"))
+    nodes = written(spark, open_.drop("keys").join(sketches, "node"))
+    right = nodes.select("*", F.inline("open")).drop("open")
+    left = _of_nodes(nodes, "bits", "firsts", "seconds", "open").select("*", F.inline("open")).drop("open")
+    left = left.filter("root_u != main").drop("main").withColumnsRenamed(
+        {"key": "key_u", "bits": "bits_u", "firsts": "firsts_u", "seconds": "seconds_u"}
     )
-    of_u = more.select(
-        F.col("node").alias("u"), F.col("bits").alias("bits_u"), F.col("firsts").alias("firsts_u"),
-        F.col("seconds").alias("seconds_u"),
-    )
-    left = _of_nodes(open_, "key", "main").filter("root_u != main").drop("main").join(of_u, "u")
-    right = open_.join(more, "node").withColumnRenamed("key", "key_").withColumnRenamed("main", "main_")
-    other = (F.col("root") == F.col("main_")) | (F.col("u") < F.col("node"))
+    other = (F.col("root") == F.col("main")) | (F.col("u") < F.col("node"))
     differing = sum(
         (F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_u", F.lit(i)))) for i in range(LONG_BITS // 64)),
         F.lit(0),
@@ -334,7 +339,7 @@ def _remaining_pairs(spark: SparkSession, keys: DataFrame, open_: DataFrame, set
         F.array_min(F.array_intersect("firsts", "firsts_u")), F.array_min(F.array_intersect("seconds", "seconds_u"))
     )
     once = (differing <= LONG_DIFFERENCE) & (smallest == F.col("key"))
-    met = left.join(right, (F.col("key") == F.col("key_")) & other & possible & once)
+    met = left.join(right, (F.col("key_u") == F.col("key")) & other & possible & once)
     return written(spark, met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")))
 
 
@@ -348,7 +353,7 @@ def _of_nodes(rows: DataFrame, *more: str) -> DataFrame:
         F.col("sketch_b").alias("b"),
         F.col("root").alias("root_u"),
         F.col("shared").alias("shared_u"),
-    ).distinct()
+    )
 
 
 def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -367,10 +372,10 @@ def _components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     nodes = rows.withColumnRenamed("_row", "node").join(classes.select("node"), "node", "left_semi")
     keys = _shared_keys(spark, nodes)
-    buckets = _buckets(spark, nodes, keys)
-    first = _links_to_smallest(spark, docs, buckets)
+    held = _held_keys(spark, nodes, keys)
+    first = _links_to_smallest(spark, docs, _buckets(spark, held))
     roots = connected_components(spark, first)
-    second = _links_between(spark, docs, keys, buckets, roots)
+    second = _links_between(spark, docs, held, roots)
     if not second.isEmpty():
         roots = connected_components(spark, first.union(second))
     rooted = written(
