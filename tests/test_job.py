@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from twinledger import CompareRules, JobConfig, TableSpec, compare_files, read_table, reconcile
+from twinledger.catalog.files import mounted
 from twinledger.operators.reconcile import sample_of_equal_tables
 from twinledger.plans import history, job
 from twinledger.plans.job import load_run, run_recon_job
@@ -66,6 +68,48 @@ def test_run_stores_everything(spark, config):
     assert again.keys == ["id"] and again.detail.count() == 3
 
 
+def _scanned(df) -> int:
+    """Rows that the scan behind df handed on, once its result has been fetched."""
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_keys_are_found_without_reading_all_detail(spark, tmp_path):
+    n = 200_000
+    for name, value in (("s", 0), ("t", 1)):
+        frame = spark.range(n).select(
+            (F.col("id") * 2).alias("Id"), F.concat(F.lit("k"), F.col("id") % 7).alias("part"), (F.col("id") + value).alias("v")
+        )
+        frame.unionByName(spark.createDataFrame([(None, "k0", value)], "Id long, part string, v long")).write.parquet(str(tmp_path / name))
+    sides = [TableSpec(str(tmp_path / name), file_type="parquet") for name in "st"]
+    run = run_recon_job(spark, JobConfig("wide", *sides, ("id", "part"), str(tmp_path / "out")))
+    assert run.detail.count() == n + 1
+
+    found = run.find({"ID": "100002"}, status="Found in Both")
+    assert [(r["id"], r["part"], r["v_target"]) for r in found.collect()] == [(100_002, "k0", "50002")]
+    assert 1 <= _scanned(found) <= n / 4
+    assert run.find({"id": 100_002, "part": "k1"}).isEmpty()
+    between = run.find({"id": 100_003})
+    assert between.collect() == [] and _scanned(between) == 0
+    assert [r["v_target"] for r in run.find({"id": None}).collect()] == ["1"]
+    assert run.find({"id": 100_002}, status="Missing in Source").isEmpty()
+
+
+def test_a_run_over_text_through_another_scheme(spark, config, tmp_path):
+    root = mounted(spark, str(tmp_path))
+    sides = {
+        side: dataclasses.replace(spec, path=spec.path.replace(str(tmp_path), root))
+        for side, spec in (("source", config.source), ("target", config.target))
+    }
+    run = run_recon_job(spark, dataclasses.replace(config, output=f"{root}/out", **sides))
+    plain = run_recon_job(spark, config)
+    assert run.path.startswith("viewfs://")
+    assert run.summary.collect() == plain.summary.collect()
+    assert sorted(run.detail.collect()) == sorted(plain.detail.collect())
+    assert [r["csv_line"] for r in run.source_rejects.collect()] == ["5,x,y,z"]
+    assert load_run(spark, f"{root}/out", run.run_id).header_comparison.count() == 1
+
+
 def test_stored_summary_equals_the_lazy_one(spark, config):
     run = run_recon_job(spark, config)
     source, target = read_table(spark, config.source), read_table(spark, config.target)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from twinledger.catalog.pairs import load
 from twinledger.catalog.recon import RULES, summary_of
 from twinledger.catalog.rules import TEXT_COLUMNS
 from twinledger.operators.lines import compare_lines, number_lines
-from twinledger.operators.reconcile import reconcile
+from twinledger.operators.reconcile import FOUND_IN_BOTH, reconcile
 from twinledger.plans.compare import compare_files
 from twinledger.plans.history import append_run, drop_results, purge_runs, read_history, recent_runs
 from twinledger.plans.job import StoredRun, run_recon_job
@@ -392,8 +393,21 @@ _PART_SQL = """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand,
 # -- complete runs -----------------------------------------------------------------------------
 
 
-def _job(spark: SparkSession, sf: str, rules: CompareRules = pairs.ORDERS_RULES) -> StoredRun:
-    root = scratch_dir(spark)
+def mounted(spark: SparkSession, path: str) -> str:
+    """The same folder under another Hadoop scheme: a mount table of its own, since file systems are kept by name."""
+    conf = spark._jsc.hadoopConfiguration()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(conf)
+    system.mkdirs(where)
+    table = f"ledger{uuid4().hex}"
+    conf.set(f"fs.viewfs.mounttable.{table}.link./data", system.makeQualified(where).toString())
+    return f"viewfs://{table}/data"
+
+
+def _job(
+    spark: SparkSession, sf: str, rules: CompareRules = pairs.ORDERS_RULES, root: str | None = None
+) -> StoredRun:
+    root = root or scratch_dir(spark)
     source, target = pairs.orders_pair(spark, sf)
     source.write.parquet(f"{root}/s")
     target.write.parquet(f"{root}/t")
@@ -410,6 +424,18 @@ def _job(spark: SparkSession, sf: str, rules: CompareRules = pairs.ORDERS_RULES)
     )
 
 
+def job_other_scheme(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole run that reads and stores through a scheme other than the scratch folder's."""
+    return _job(spark, sf, root=mounted(spark, scratch_dir(spark))).detail
+
+
+def job_find_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored detail of the largest key that differs on both sides."""
+    run = _job(spark, sf)
+    both = run.detail.filter(F.col("validation_status") == FOUND_IN_BOTH)
+    return run.find({"O_OrderKey": both.agg(F.max("o_orderkey")).head()[0]}, status=FOUND_IN_BOTH)
+
+
 def job_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A run over equal sides stores a sample of matching rows."""
     path = f"{sf.rstrip('/')}/customer.parquet"
@@ -649,6 +675,13 @@ FROM l WHERE o_orderkey % 19 < 2""",
         lambda s, d: _job(s, d).detail,
         RULES + sql.detail(["o_orderkey"], pairs.ORDERS_COLUMNS_RULES),
     ),
+    "job_other_scheme": (job_other_scheme, RULES + sql.detail(["o_orderkey"], pairs.ORDERS_COLUMNS_RULES)),
+    "job_find_key": (
+        job_find_key,
+        RULES
+        + f"""SELECT * FROM ({sql.detail(["o_orderkey"], pairs.ORDERS_COLUMNS_RULES)}) WHERE validation_status = 'Found in Both'
+QUALIFY o_orderkey = max(o_orderkey) OVER ()""",
+    ),
     "job_column_stats": (
         lambda s, d: _job(s, d).column_stats,
         RULES

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from uuid import uuid4
@@ -26,6 +26,7 @@ from twinledger.operators.reconcile import (
     reconcile,
     sample_of_equal_tables,
 )
+from twinledger.operators.results import rows_of_key
 from twinledger.plans.history import HISTORY_SCHEMA, append_run
 from twinledger.plans.report import report_tables
 from twinledger.plans.session import delete_path, in_parallel, scratch_dir
@@ -81,6 +82,10 @@ class StoredRun:
             sample_cap=sample_cap,
         )
 
+    def find(self, key: Mapping[str, object], status: str | None = None) -> DataFrame:
+        """Detail of one key, or of all that share the given part of it; see ``rows_of_key``."""
+        return rows_of_key(self.detail, key, status)
+
 
 def exception_counts(exceptions: DataFrame, columns: list[str]) -> DataFrame:
     """One row: what the stored exceptions say about the whole comparison."""
@@ -168,10 +173,7 @@ def _run(spark: SparkSession, config: JobConfig, run_id: str, path: str, staging
         lambda: stage_table(spark, config.target, f"{staging}/target"),
     )
     result = reconcile(spark, source.rows, target.rows, list(config.primary_keys), config.rules)
-    # Rebalancing moves only the exceptions, and turns many nearly empty files into a few full ones.
-    result.exceptions.hint("rebalance").write.mode("overwrite").option("compression", "snappy").partitionBy(
-        "is_difference"
-    ).parquet(f"{path}/exceptions")
+    _store_exceptions(result.exceptions, result.keys, f"{path}/exceptions")
     stored = spark.read.schema(result.exceptions.schema).parquet(f"{path}/exceptions")
     counts, source_counts, target_counts = in_parallel(
         spark, exception_counts(stored, result.columns).head, source.counts.head, target.counts.head
@@ -218,6 +220,22 @@ def _run(spark: SparkSession, config: JobConfig, run_id: str, path: str, staging
     }
 
 
+def _store_exceptions(exceptions: DataFrame, keys: list[str], path: str) -> None:
+    """Write the exceptions so that a key or a status is found without reading them all.
+
+    Rebalancing moves only the exceptions, and turns many nearly empty files into a few full ones. Each file is
+    sorted by status and key, so that page statistics are narrow, and has Bloom filters of its key columns, sized
+    to what it holds, so that most files are left out altogether.
+    """
+    blooms = {f"parquet.bloom.filter.enabled#{k}": "true" for k in keys}
+    ordered = exceptions.hint("rebalance").sortWithinPartitions(
+        "is_difference", "validation_status", *[ref(k) for k in keys]
+    )
+    ordered.write.mode("overwrite").option("compression", "snappy").options(
+        **blooms, **{"parquet.bloom.filter.adaptive.enabled": "true"}
+    ).partitionBy("is_difference").parquet(path)
+
+
 def _record(
     spark: SparkSession,
     config: JobConfig,
