@@ -80,6 +80,20 @@ def test_large_group_of_near_copies(spark):
     assert {r["component_id"] for r in found} == {0}
 
 
+def test_connected_near_copies_give_no_rows_in_their_buckets(spark):
+    """However many nodes of a bucket are connected, only the others and a few of it are paired."""
+    group = [(i, 0, [7, 8, 9]) for i in range(500)]
+    others = [(1_000 + i, 1_000 + i, [7, 50 + i]) for i in range(3)] + [(2_000, 2_000, [9, 60])]
+    nodes = spark.createDataFrame(group + others, "node long, root long, keys array<long>")
+    found = near._outside(spark, nodes).collect()
+    assert sorted((r["node"], r["key"], r["main"]) for r in found) == [
+        (1_000, 7, 0), (1_001, 7, 0), (1_002, 7, 0), (2_000, 9, 0),
+    ]
+    assert all(1 <= len(r["us"]) <= near.PIVOTS for r in found)
+    cut = {r["node"]: sorted(r["keys"]) for r in near._still_mixed(spark, nodes).collect()}
+    assert cut == {i: [7, 9] for i in range(500)} | {1_000: [7], 1_001: [7], 1_002: [7], 2_000: [9]}
+
+
 def test_dropping_keeps_one_row_of_each_component(spark, tmp_path):
     rows = corpus()
     frame = docs(spark, rows + rows[:40], CLASHING, tmp_path / "d")

@@ -14,9 +14,9 @@ its links are.
 4. Of the nodes in buckets that still hold several components, it is counted how many shingles of each any
    other of them has: no pair can share more than the smaller of its two counts, and what cannot reach
    the threshold so is left out. Texts with a passage in common and little else drop out here.
-5. The rest is compared with PIVOTS further nodes of each bucket. In buckets that hold several components
-   even then, nodes outside the largest one are compared with all nodes of other components, each pair in
-   the first bucket that both are in. So every pair that shares a bucket is compared, ruled out or already
+5. Of the rest, nodes outside the largest component of a bucket are compared with PIVOTS further nodes of it. In
+   buckets that hold several components even then, they are compared with all nodes of other components, each
+   pair in the first bucket that both are in. So every pair that shares a bucket is compared, ruled out or already
    connected, while a bucket of near copies costs a few comparisons for each node.
 
 Pairs go on to the comparison if their sizes and a sketch of 128 bits allow the threshold, those of the last
@@ -259,22 +259,35 @@ def _shared_counts(spark: SparkSession, sets: DataFrame) -> DataFrame:
 
 
 def _still_mixed(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """Those nodes of which a bucket holds several roots, one row each.
+    """Those nodes of which a bucket holds several roots, one row each, their ``keys`` cut to such buckets.
 
-    ``keys`` are cut to such buckets; ``open`` holds them with their most frequent roots as main. Only
-    (node, root, key) goes through the buckets, all else stays with the node.
+    Only (node, root, key) goes through the buckets, all else stays with the node.
     """
     places = nodes.select("node", "root", F.explode("keys").alias("key"))
-    counts = places.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_nodes"))
-    mixed = written(
-        spark,
-        counts.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", "n_nodes").alias("main"))
-        .filter("parts > 1")
-        .select("key", "main"),
+    roots = places.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
+    mixed = written(spark, roots.filter("least < most").select("key"))
+    kept = places.join(mixed, "key", "left_semi").groupBy("node").agg(F.collect_list("key").alias("keys"))
+    return written(spark, nodes.drop("keys").join(kept, "node"))
+
+
+def _outside(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """node, key, main, us: the places of nodes in buckets with several roots, but for those of the most frequent root.
+
+    That root is main, and us are PIVOTS nodes of the bucket. A bucket of near copies that are connected
+    so gives rows for its other nodes only, however many it holds.
+    """
+    places = nodes.select("node", "root", F.explode("keys").alias("key"))
+    turns = [f"first_{turn}" for turn in range(PIVOTS)]
+    least = [F.min(F.struct(F.xxhash64("node", F.lit(i)), "node")).alias(turn) for i, turn in enumerate(turns)]
+    parts = places.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_nodes"), *least)
+    buckets = parts.groupBy(F.col("key").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("parts"),
+        F.max(F.struct("n_nodes", "root"))["root"].alias("main"),
+        F.array_distinct(F.array(*[F.min(turn)["node"] for turn in turns])).alias("us"),
     )
-    kept = places.join(mixed, "key").groupBy("node").agg(F.collect_list(F.struct("key", "main")).alias("open"))
-    return written(spark, nodes.drop("open", "keys").join(kept, "node").withColumn("keys", F.col("open.key")))
+    buckets = written(spark, buckets.filter("parts > 1").drop("parts"))
+    met = (F.col("key") == F.col("bucket")) & (F.col("root") != F.col("main"))
+    return places.join(buckets, met).select("node", "key", "main", "us")
 
 
 def _links_between(spark: SparkSession, docs: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame:
@@ -289,15 +302,12 @@ def _links_between(spark: SparkSession, docs: DataFrame, held: DataFrame, roots:
     possible = (
         (F.col("root") != F.col("root_u")) & enough & _may_reach("n", "m", ("a", "b", "sketch_a", "sketch_b"))
     )
-    # A few nodes of each bucket against the rest of it.
-    places = open_.select("node", F.explode("keys").alias("key"))
-    pivots = [F.min_by("node", F.xxhash64("node", F.lit(turn))) for turn in range(PIVOTS)]
-    centres = written(spark, places.groupBy("key").agg(F.array_distinct(F.array(*pivots)).alias("us")))
-    near = written(spark, places.join(centres, "key").select("node", F.explode("us").alias("u")).distinct())
-    pairs = near.join(open_.drop("keys", "open", "firsts", "seconds"), "node").join(_of_nodes(open_), "u").filter(possible)
+    # A few nodes of each bucket against those outside its largest component.
+    near = written(spark, _outside(spark, open_).select("node", F.explode("us").alias("u")).distinct())
+    pairs = near.join(open_.drop("keys", "firsts", "seconds"), "node").join(_of_nodes(open_), "u").filter(possible)
     links = _confirmed(spark, written(spark, pairs.select("u", F.col("node").alias("v"))), sets)
     if not links.isEmpty():
-        open_ = _still_mixed(spark, open_.drop("root").join(_merged(spark, open_, links), "node"))
+        open_ = written(spark, open_.drop("root").join(_merged(spark, open_, links), "node"))
     pairs = _remaining_pairs(spark, open_, sets, possible)
     return written(spark, links.union(_confirmed(spark, pairs, sets)))
 
@@ -324,11 +334,11 @@ def _remaining_pairs(spark: SparkSession, open_: DataFrame, sets: DataFrame, pos
     bucket's main component.
     """
     sketches = _long_sketches(sets.join(open_.select("node"), "node", "left_semi"))
-    nodes = written(spark, open_.drop("keys").join(sketches, "node"))
-    right = nodes.select("*", F.inline("open")).drop("open")
-    left = _of_nodes(nodes, "bits", "firsts", "seconds", "open").select("*", F.inline("open")).drop("open")
-    left = left.filter("root_u != main").drop("main").withColumnsRenamed(
-        {"key": "key_u", "bits": "bits_u", "firsts": "firsts_u", "seconds": "seconds_u"}
+    nodes = written(spark, open_.join(sketches, "node"))
+    right = nodes.select("*", F.explode("keys").alias("key")).drop("keys")
+    outside = _outside(spark, open_).select(F.col("node").alias("u"), F.col("key").alias("key_u"), "main")
+    left = outside.join(_of_nodes(nodes, "bits", "firsts", "seconds"), "u").withColumnsRenamed(
+        {"bits": "bits_u", "firsts": "firsts_u", "seconds": "seconds_u"}
     )
     other = (F.col("root") == F.col("main")) | (F.col("u") < F.col("node"))
     differing = sum(
