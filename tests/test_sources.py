@@ -13,7 +13,7 @@ from twinledger import TableSpec, read_table
 from twinledger.operators.lines import compare_lines
 from twinledger.sources.fixed_width import convert_fixed_width, parse_widths
 from twinledger.sources.inventory import file_inventory, storage_stats
-from twinledger.sources.lines import header_lines
+from twinledger.sources.lines import SPLITS_PER_CORE, header_lines, raw_lines
 from twinledger.sources.stage import stage_table
 
 
@@ -473,6 +473,21 @@ def test_storage_stats(spark, tmp_path):
     assert stats["oldest_mtime"] <= stats["newest_mtime"]
 
 
+def test_tiny_splits_are_bounded_in_number(spark, tmp_path):
+    """A split setting of few bytes does not make tasks in proportion to the input; numbers stay right."""
+    lines = [f"{i},b{',c' * (i % 100 == 7)}" for i in range(1, 40_001)]
+    write(tmp_path / "a.csv", "\n".join(lines) + "\n")
+    spec, name = TableSpec(str(tmp_path / "a.csv"), column_names=("k", "v")), "spark.sql.files.maxPartitionBytes"
+    before, cores = spark.conf.get(name), spark.sparkContext.defaultParallelism
+    try:
+        spark.conf.set(name, "50")
+        assert cores < raw_lines(spark, spec).rdd.getNumPartitions() <= SPLITS_PER_CORE * cores + cores
+        staged = stage_table(spark, spec, str(tmp_path / "staged"))
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(r["line_number"] for r in staged.rejects.collect()) == list(range(7, 40_001, 100))
+
+
 def test_rejects_survive_a_new_split_plan(spark, tmp_path):
     """Line numbers come from what was staged, whatever the split size is when they are asked for."""
     lines = [f"{i},b{',c' * (i % 10 == 7)}" if i % 13 else "" for i in range(1, 301)]

@@ -25,6 +25,9 @@ LINE, FILE, BLOCK, POSITION = "value", "__file", "__block", "__pos"
 # Whether a record is whole but too long to be put together; its line is then its first one.
 OVERLONG = "__overlong"
 
+# More splits than this for each core only add tasks, unless splits of fewer would pass the cost of opening a file.
+SPLITS_PER_CORE = 32
+
 # Encodings that Spark decodes by itself, by their Python codec name.
 SPARK_CHARSETS = {"ascii": "US-ASCII", "iso8859-1": "ISO-8859-1"}
 WIDE_CHARSETS = {"utf-16-le": "UTF-16LE", "utf-16-be": "UTF-16BE", "utf-32-le": "UTF-32LE", "utf-32-be": "UTF-32BE"}
@@ -104,12 +107,17 @@ def _text_lines(spark: SparkSession, paths: str | list[str], whole: str, name: s
 
 
 def _split_bytes(spark: SparkSession, path: str) -> int:
-    """Spark's own rule for the size of splits, worked out once."""
+    """Spark's own rule for the size of splits, worked out once, with a bound on their number.
+
+    With a setting of few bytes, their number would follow the input, and each has a task and a file wherever
+    lines are read and staged.
+    """
     most, least = (
         int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(f"spark.sql.files.{name}")))
         for name in ("maxPartitionBytes", "openCostInBytes")
     )
-    return min(most, max(least, total_bytes(spark, path) // spark.sparkContext.defaultParallelism))
+    size, cores = total_bytes(spark, path), spark.sparkContext.defaultParallelism
+    return max(min(most, max(least, size // cores)), min(least, size // (cores * SPLITS_PER_CORE)))
 
 
 def is_trailer(line: Column, patterns: tuple[str, ...]) -> Column:
