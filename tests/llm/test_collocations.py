@@ -80,6 +80,19 @@ def test_masses_count_every_phrase(spark):
     assert found < all_hashes
 
 
+def test_tasks_of_the_bitmap_hold_no_summaries(spark, monkeypatch):
+    """Two Python steps in one task take the memory of two workers."""
+    plans, bitmap_of = [], sketch.bitmap_of
+
+    def seen(hashes):
+        plans.append(hashes._jdf.queryExecution().toString())
+        return bitmap_of(hashes)
+
+    monkeypatch.setattr(sketch, "bitmap_of", seen)
+    col.frequent_phrases(spark, table(spark, corpus()).select("text", "lang"))
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+
+
 def test_odd_rows(spark):
     rows = ODD + [(20 + i, "und so weiter\x00 ok") for i in range(12)]
     found = col.collocations(spark, docs(spark, rows, CLASHING))

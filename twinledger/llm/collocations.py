@@ -297,7 +297,9 @@ def frequent_phrases(
     """Tables (lang, words, phrase, a) of all frequent phrases of one word and more, and (lang, n) of all words."""
     texts = docs.select("text", "lang")
     masses, totals = slot_masses(texts, _slots(texts, longest), longest)
-    bitmap = sketch.bitmap_of(frequent_hashes(texts, masses, threshold, longest))
+    # Written between, so that a task never holds a Python worker for the summaries and another for the bitmap.
+    hashes = written(spark, frequent_hashes(texts, masses, threshold, longest))
+    bitmap = sketch.bitmap_of(hashes)
     return written(spark, exact_counts(texts, bitmap, threshold, longest)), totals
 
 
