@@ -94,6 +94,29 @@ def test_connected_near_copies_give_no_rows_in_their_buckets(spark):
     assert cut == {i: [7, 9] for i in range(500)} | {1_000: [7], 1_001: [7], 1_002: [7], 2_000: [9]}
 
 
+def test_open_nodes_go_by_their_keys_and_not_by_their_tables(spark):
+    """After the first links no step makes more rows of a node than it has keys, however large its group is."""
+    keys = list(range(100, 100 + near.KEYS)), list(range(200, 200 + near.KEYS))
+    group = [(i, 0, *keys) for i in range(300)]
+    others = [(1_000, 1_000, [100, 1], [200, 2]), (1_001, 1_001, [101, 3], [4]), (1_002, 1_002, [5], [201])]
+    nodes = spark.createDataFrame(group + others, "node long, root long, firsts array<long>, seconds array<long>")
+    cut = {r["node"]: (r["firsts"], r["seconds"]) for r in near._still_open(spark, nodes).collect()}
+    assert cut == {i: ([100, 101], [200, 201]) for i in range(300)} | {1_000: ([100], [200])}
+    met = near._outside(spark, near._by_first(near._still_open(spark, nodes))).collect()
+    assert [(r["node"], r["key"], r["main"]) for r in met] == [(1_000, 100, 0)]
+
+
+@pytest.mark.parametrize("second, wanted", [(20, [(1, 2)]), (99, [])])
+def test_last_pairs_share_a_key_of_either_collection(spark, second, wanted):
+    """Pairs that share several keys are made once, and only if they share a second key too."""
+    rows = [(1, 1, 400, 400, 0, 0, [10, 11, 12], [20, 21]), (2, 2, 400, 400, 0, 0, [11, 12, 13], [second, 22])]
+    columns = "node long, root long, n long, shared long, sketch_a long, sketch_b long, firsts array<long>, seconds array<long>"
+    open_ = spark.createDataFrame(rows, columns)
+    sets = spark.createDataFrame([(1, list(range(1, 401))), (2, list(range(1, 401)))], "node long, shingles array<long>")
+    found = near._remaining_pairs(spark, open_, sets, near.F.col("root") != near.F.col("root_u"))
+    assert [tuple(r) for r in found.collect()] == wanted
+
+
 def test_dropping_keeps_one_row_of_each_component(spark, tmp_path):
     rows = corpus()
     frame = docs(spark, rows + rows[:40], CLASHING, tmp_path / "d")

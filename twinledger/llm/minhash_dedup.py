@@ -11,13 +11,14 @@ its links are.
 2. Keys that only one node has are dropped. The pairs of the remaining ones, few for most nodes, are the
    tables' buckets.
 3. Every node is compared with the smallest node of each of its buckets. Links give components.
-4. Of the nodes in buckets that still hold several components, it is counted how many shingles of each any
+4. Of the nodes whose keys, of either collection, several components still have, it is counted how many shingles of each any
    other of them has: no pair can share more than the smaller of its two counts, and what cannot reach
    the threshold so is left out. Texts with a passage in common and little else drop out here.
-5. Of the rest, nodes outside the largest component of a bucket are compared with PIVOTS further nodes of it. In
-   buckets that hold several components even then, they are compared with all nodes of other components, each
-   pair in the first bucket that both are in. So every pair that shares a bucket is compared, ruled out or already
-   connected, while a bucket of near copies costs a few comparisons for each node.
+5. Of the rest, nodes outside the largest component of a first key are compared with PIVOTS further nodes of it. Where
+   several components have a first key even then, they are compared with all nodes of other components that share a
+   second key as well, each pair at the smallest first key that both have. So every pair that shares a bucket is compared,
+   ruled out or already connected, while near copies that are connected cost a few comparisons for each node. From
+   step 4 on a node takes part with its 2 * KEYS keys and not with its KEYS ** 2 tables.
 
 Pairs go on to the comparison if their sizes and a sketch of 128 bits allow the threshold, those of the last
 step also by one of 1024 bits (either turns down a pair at the threshold with a chance below one in 10,000),
@@ -259,9 +260,9 @@ def _shared_counts(spark: SparkSession, sets: DataFrame) -> DataFrame:
 
 
 def _still_mixed(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """Those nodes of which a bucket holds several roots, one row each, their ``keys`` cut to such buckets.
+    """Those nodes of which a key has several roots, one row each, their ``keys`` cut to such keys.
 
-    Only (node, root, key) goes through the buckets, all else stays with the node.
+    Only (node, root, key) goes through the keys, all else stays with the node.
     """
     places = nodes.select("node", "root", F.explode("keys").alias("key"))
     roots = places.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"))
@@ -270,11 +271,22 @@ def _still_mixed(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     return written(spark, nodes.drop("keys").join(kept, "node"))
 
 
+def _still_open(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """Those nodes that may share a bucket with a node of another root, ``firsts`` and ``seconds`` cut to keys that may.
+
+    Both keys of a bucket with several roots have several. So keys are looked at one by one, and a node gives a
+    row for each of its keys, 2 * KEYS at most, and not for each of its tables, which are up to KEYS ** 2.
+    """
+    mixed = _still_mixed(spark, nodes.withColumn("keys", F.concat("firsts", "seconds")))
+    cut = mixed.withColumns({c: F.array_intersect(c, "keys") for c in ("firsts", "seconds")})
+    return written(spark, cut.drop("keys").filter((F.size("firsts") > 0) & (F.size("seconds") > 0)))
+
+
 def _outside(spark: SparkSession, nodes: DataFrame) -> DataFrame:
-    """node, key, main, us: the places of nodes in buckets with several roots, but for those of the most frequent root.
+    """node, key, main, us: nodes and their keys with several roots, but for nodes of a key's most frequent root.
 
-    That root is main, and us are PIVOTS nodes of the bucket. A bucket of near copies that are connected
-    so gives rows for its other nodes only, however many it holds.
+    That root is main, and us are PIVOTS nodes with the key. A key of near copies that are connected
+    so gives rows for its other nodes only, however many have it.
     """
     places = nodes.select("node", "root", F.explode("keys").alias("key"))
     turns = [f"first_{turn}" for turn in range(PIVOTS)]
@@ -293,18 +305,18 @@ def _outside(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 def _links_between(spark: SparkSession, docs: DataFrame, held: DataFrame, roots: DataFrame) -> DataFrame:
     """Links between components that share a bucket."""
     rooted = held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    found = _still_mixed(spark, rooted.withColumn("keys", _table_keys()))
+    found = _still_open(spark, rooted)
     sets = written(spark, _full_sets(docs, written(spark, found.select("node"))))
     able = F.col("shared") * 100 >= F.col("n") * PERCENT
-    open_ = _still_mixed(spark, found.join(written(spark, _shared_counts(spark, sets)), "node").filter(able))
+    open_ = _still_open(spark, found.join(written(spark, _shared_counts(spark, sets)), "node").filter(able))
     most = F.least("shared", "shared_u")
     enough = 100 * most >= PERCENT * (F.col("n") + F.col("m") - most)
     possible = (
         (F.col("root") != F.col("root_u")) & enough & _may_reach("n", "m", ("a", "b", "sketch_a", "sketch_b"))
     )
-    # A few nodes of each bucket against those outside its largest component.
-    near = written(spark, _outside(spark, open_).select("node", F.explode("us").alias("u")).distinct())
-    pairs = near.join(open_.drop("keys", "firsts", "seconds"), "node").join(_of_nodes(open_), "u").filter(possible)
+    # A few nodes of each first key against those outside its largest component.
+    near = written(spark, _outside(spark, _by_first(open_)).select("node", F.explode("us").alias("u")).distinct())
+    pairs = near.join(open_.drop("firsts", "seconds"), "node").join(_of_nodes(open_), "u").filter(possible)
     links = _confirmed(spark, written(spark, pairs.select("u", F.col("node").alias("v"))), sets)
     if not links.isEmpty():
         open_ = written(spark, open_.drop("root").join(_merged(spark, open_, links), "node"))
@@ -329,14 +341,15 @@ def _merged(spark: SparkSession, rows: DataFrame, links: DataFrame) -> DataFrame
 def _remaining_pairs(spark: SparkSession, open_: DataFrame, sets: DataFrame, possible) -> DataFrame:
     """u, v: nodes of different components that share a bucket and may reach the threshold, each pair once.
 
-    Two nodes of different components are both in every bucket that they share, since such buckets are mixed.
-    So a pair is made in the one of the smallest keys that both have. One node at least is outside the
-    bucket's main component.
+    They are met by first key: near copies share few of those, but a large part of all tables. Two nodes of
+    different components both have all keys that they share, since such keys have several roots. So a pair is made at
+    the smallest first key that both have, if they share a second one too. One node at least is outside the key's main
+    component.
     """
     sketches = _long_sketches(sets.join(open_.select("node"), "node", "left_semi"))
     nodes = written(spark, open_.join(sketches, "node"))
-    right = nodes.select("*", F.explode("keys").alias("key")).drop("keys")
-    outside = _outside(spark, open_).select(F.col("node").alias("u"), F.col("key").alias("key_u"), "main")
+    right = _by_first(nodes).select("*", F.explode("keys").alias("key")).drop("keys")
+    outside = _outside(spark, _by_first(open_)).select(F.col("node").alias("u"), F.col("key").alias("key_u"), "main")
     left = outside.join(_of_nodes(nodes, "bits", "firsts", "seconds"), "u").withColumnsRenamed(
         {"bits": "bits_u", "firsts": "firsts_u", "seconds": "seconds_u"}
     )
@@ -345,14 +358,16 @@ def _remaining_pairs(spark: SparkSession, open_: DataFrame, sets: DataFrame, pos
         (F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_u", F.lit(i)))) for i in range(LONG_BITS // 64)),
         F.lit(0),
     )
-    smallest = F.xxhash64(
-        F.array_min(F.array_intersect("firsts", "firsts_u")), F.array_min(F.array_intersect("seconds", "seconds_u"))
-    )
-    once = (differing <= LONG_DIFFERENCE) & (smallest == F.col("key"))
+    smallest = F.array_min(F.array_intersect("firsts", "firsts_u"))
+    once = (differing <= LONG_DIFFERENCE) & (smallest == F.col("key")) & F.arrays_overlap("seconds", "seconds_u")
     met = left.join(right, (F.col("key_u") == F.col("key")) & other & possible & once)
     return written(spark, met.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")))
 
 
+def _by_first(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("keys", F.col("firsts"))
+
+
 def _of_nodes(rows: DataFrame, *more: str) -> DataFrame:
     """The nodes of rows with what a pair's other side is compared by."""
     return rows.select(
