@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import corpus_pipeline
 from helpers import CLASHING, DOCS, ODD, docs, prose
@@ -6,6 +7,8 @@ from test_exact_dedup import lower
 from test_minhash_dedup import brute as near_brute
 from test_packing import brute_pieces, check_packed
 
+from twinledger.llm import minhash_dedup, toxicity
+
 LABELS = "doc_id long, quality int, toxic int"
 
 
@@ -77,3 +80,36 @@ def test_odd_rows_and_clashing_columns(spark, tmp_path):
 
 def test_no_rows(spark, tmp_path):
     assert all(not rows for rows in stages(spark, tmp_path, [], []).values())
+
+
+def test_what_a_worker_remembers_of_its_steps_is_small():
+    """Workers outlive a step, so what all steps remember counts together: here over 300,000 words that each come once."""
+    terms = (("zorble", True, 2.0), ("quatchig", False, 2.0))
+    caches = (toxicity._hashes, toxicity._matcher, minhash_dedup._words)
+    for cache in caches:
+        cache.cache_clear()
+    tracemalloc.start()
+    for at in range(0, 300_000, 1000):
+        text = " ".join(f"{'zo' if i % 2 else 'wa'}{i:x}" for i in range(at, at + 1000))
+        toxicity._marks(text)
+        toxicity.finds(terms, frozenset(), text)
+        minhash_dedup.min_hashes(minhash_dedup.shingle_set(text), 128)
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    for cache in caches:
+        cache.cache_clear()
+    assert kept < 56e6, kept
+
+
+def test_words_are_judged_alike_remembered_or_not(monkeypatch):
+    terms = (("zorble", True, 2.0), ("quatchig", False, 2.0))
+    text = "Zorbles quatchig quatchgi zorbel waxing zotter zorbly " * 3
+    toxicity._matcher.cache_clear()
+    found = toxicity.finds(terms, frozenset({"zorbel"}), text)
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 0)
+    monkeypatch.setattr(toxicity, "KEPT_RUNS", 1)
+    toxicity._matcher.cache_clear()
+    assert toxicity.finds(terms, frozenset({"zorbel"}), text) == found
+    assert len(toxicity._matcher(terms, frozenset({"zorbel"}), ())) == 1
+    toxicity._matcher.cache_clear()
+    assert {number for number, *_ in found[1]} == {0, 1}

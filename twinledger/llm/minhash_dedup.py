@@ -52,12 +52,12 @@ PIVOTS = 3
 SKETCH_BITS, SKETCH_DIFFERENCE = 128, 33
 #: The same for the nodes of the last step: 128 are expected, with a deviation of 10.6.
 LONG_BITS, LONG_DIFFERENCE = 1024, 170
-#: Values that are held at once while min-hashes are formed.
-HELD_HASHES = 2**21
+#: Values that are held at once while min-hashes are formed: 1 MB for each step of the formula.
+HELD_HASHES = 2**17
 #: Nodes whose ids are broadcast when their texts are fetched; beyond it the texts are shuffled.
 BROADCAST_NODES = 2_000_000
-#: Words remembered by a worker: some 80 MB.
-KEPT_WORDS = 500_000
+#: Words remembered by a worker: some 10 MB. Workers outlive a step, so this adds to the memory of all after it.
+KEPT_WORDS = 80_000
 _SIGNATURE = (
     "n_shingles long, set_a long, set_b long, keys_a array<long>, keys_b array<long>, "
     "sketch_a long, sketch_b long"

@@ -48,7 +48,9 @@ MIN_TEXTS, MIN_RATIO, MIN_WORDS = 8, 20.0, 4
 SHORTEST, LONGEST, FUZZY_LENGTH = 3, 10, 5
 WINDOW, QUOTED, MISSPELLED = 4, 0.4, 0.9
 THRESHOLD = 0.3
-KEPT_WORDS = 500_000
+#: Words remembered by a worker, some 10 MB, and those among them that a lexicon's automaton has run, some 20 MB.
+#: Workers outlive a step, so what is remembered for one adds to the memory of all after it.
+KEPT_WORDS, KEPT_RUNS = 80_000, 170_000
 # Words that announce somebody else's speech.
 REPORTING = frozenset(
     "said says wrote writes called calls quote quoted quoting quotes term word insult slur "
@@ -170,24 +172,24 @@ class Model:
 
 
 class _Matcher(dict):
-    """Word -> (term, misspelled) or None, remembered."""
+    """Word -> (term, misspelled) or None, remembered; words that cost an automaton's run for longer than others."""
 
     def __init__(self, lexicon: Lexicon, known: frozenset[str]):
         super().__init__()
         self.lexicon, self.known = lexicon, known
 
     def __missing__(self, word: str):
-        number = self.lexicon.exact(word)
+        number, kept = self.lexicon.exact(word), KEPT_WORDS
         found = (number, False) if number is not None else None
-        if found is None and word not in self.known:
-            number = self.lexicon.misspelled(word)
+        if found is None and word not in self.known and self.lexicon.possible(word):
+            number, kept = self.lexicon.misspelled(word), KEPT_RUNS
             found = (number, True) if number is not None else None
-        if len(self) < KEPT_WORDS:
+        if len(self) < kept:
             self[word] = found
         return found
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _matcher(terms: tuple[tuple[str, bool, float], ...], known: frozenset[str], below: tuple[str, ...]) -> _Matcher:
     return _Matcher(Lexicon(terms, below), known)
 
